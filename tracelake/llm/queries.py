@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, fingerprint, langid, mixing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -22,6 +22,18 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", INJECTED), (-1, 1, "assistant", INJECTED)], "conv_id long, turn long, role string, text string")
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -30,7 +42,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mixing": op1_entropy_mixing,
+    "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_kd_sharding": op4_kd_sharding,
+    "op5_language_id": op5_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
