@@ -89,10 +89,11 @@ def mix(docs: DataFrame, rows_per_group: int = 1500, repairs: int = 4, carry: li
     an empty table gives an empty result; other columns are ignored, or kept if named in
     ``carry``. Reruns agree: sums are decimal, ties break by doc_id and then by a hash.
 
-    Returns doc_id, size, source_size, target, taken, copies (and ``carry``).
+    Returns doc_id, size, source_size, target, taken, copies (and ``carry`` as kept_<name>).
     """
-    carry = carry or []
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie"), *carry)
+    names = carry or []
+    carry = [f"carry_{i}" for i in range(len(names))]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie"), *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)])
     meta = cut(plain.select("doc_id", "source", "size", "tie")) if not carry else plain
     hist = cut(meta.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = hist.select("source", (F.col("size") * F.col("n")).alias("size"), "n")
@@ -110,11 +111,13 @@ def mix(docs: DataFrame, rows_per_group: int = 1500, repairs: int = 4, carry: li
     rated = rated.withColumns({"upto": F.floor(F.round(run, 6) + start), "nth": F.row_number().over(order)})
     rated = rated.withColumn("copies", F.least(F.lit(MOST), F.col("upto") - F.coalesce(F.lag("upto").over(order), F.floor(start))))
     rated = rated.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("long"))
-    rated = cut(rated.select("doc_id", "source", "size", "source_size", "target", "part", "nth", "copies", *carry))
-    return _repair(rated, repairs, carry)
+    rated = rated.select("doc_id", "source", "size", "source_size", "target", "part", "nth", "copies", *carry)
+    small = cut(rated.drop(*carry))
+    out = _repaired(rated if carry else small, _fixes(small, repairs), carry)
+    return out.withColumnsRenamed({c: f"kept_{n}" for n, c in zip(names, carry, strict=True)})
 
 
-def _repair(rated: DataFrame, repairs: int, carry: list[str]) -> DataFrame:
+def _fixes(rated: DataFrame, repairs: int) -> DataFrame | None:
     """One document of each source and round, the one nearest in size to what is missing or over, changes by a copy."""
     fixes = None
     left = cut(rated.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"), F.first("target").alias("target")).select(F.col("source").alias("s"), (F.col("target") - F.col("got")).alias("miss")).coalesce(1))
@@ -133,6 +136,10 @@ def _repair(rated: DataFrame, repairs: int, carry: list[str]) -> DataFrame:
             break
         fixes = best if fixes is None else fixes.unionByName(best)
         left = cut(left.join(best.select(F.col("source").alias("bs"), "size", "change"), F.col("s").eqNullSafe(F.col("bs")), "left").select("s", (F.col("miss") - F.coalesce(F.col("size") * F.col("change"), F.lit(0))).alias("miss")).coalesce(1))
+    return fixes
+
+
+def _repaired(rated: DataFrame, fixes: DataFrame | None, carry: list[str]) -> DataFrame:
     out = rated
     if fixes is not None:
         named = fixes.select(F.col("source").alias("fs"), F.col("part").alias("fp"), F.col("nth").alias("fn"), "change")

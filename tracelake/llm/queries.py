@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, mixing, sharding, toxicity
+from . import chat, fingerprint, langid, mixing, packing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -22,6 +22,10 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mixing": op1_entropy_mixing,
+    "op2_best_two_fit_packing": op2_best_two_fit_packing,
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_language_id": op5_language_id,
