@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, mixing, packing, sharding, toxicity
+from . import ann, chat, fingerprint, langid, mixing, packing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_language_id": op5_language_id,
+    "op7_anisotropic_search": op7_anisotropic_search,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
