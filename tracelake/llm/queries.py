@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, langid, mixing, packing, sharding, toxicity
+from . import ann, chat, fingerprint, jaccard, langid, mixing, packing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -38,6 +38,10 @@ def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kd_sharding": op4_kd_sharding,
     "op5_language_id": op5_language_id,
     "op7_anisotropic_search": op7_anisotropic_search,
+    "op8_signature_tree_join": op8_signature_tree_join,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
@@ -72,4 +77,19 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(24 + length(replace({_ESCAPED.format('role')}, chr(10), '%0A')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM told GROUP BY conv_id""",
+    "op8_signature_tree_join": r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM shingled),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+    WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM shingled UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM shingled s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = s.doc_id""",
 }

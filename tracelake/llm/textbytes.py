@@ -105,7 +105,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[n
         if k >= width:
             out.append(np.unique(s[a : a + k - width + 1]))
         elif k:
-            out.append(mix(np.array([np.sum(h[a : a + k] * factors[:k]) + np.uint64(k) * factors[width]], np.uint64)))
+            out.append(mix(np.sum(h[a : a + k] * factors[:k], keepdims=True) + np.full(1, k, np.uint64) * factors[width:]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
