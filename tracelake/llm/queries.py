@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, jaccard, langid, mixing, packing, sharding, toxicity
+from . import ann, chat, fingerprint, jaccard, langid, licenses, mixing, packing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -58,15 +62,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_anisotropic_search": op7_anisotropic_search,
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_RUNS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
+
 _ESCAPED = "replace(replace({0}, '%', '%25'), '<|', '%3C|')"
 
 ORACLE: dict[str, str] = {
+    "op6_license_scan": f"""
+WITH known AS (SELECT template_id, license, {_RUNS.format('text')} AS w FROM (VALUES {_VALUES}) v(template_id, license, text)),
+sets AS (SELECT template_id, license, len(w) AS t, list_distinct({_SHINGLES}) AS s FROM known),
+tokens AS (SELECT template_id, license, t, len(s) AS n, unnest(s) AS token FROM sets),
+runs AS (SELECT doc_id, text, {_RUNS.format('text')} AS w FROM documents),
+placed AS (SELECT doc_id, text, unnest(s) AS token, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, text, {_SHINGLES} AS s FROM runs)),
+hits AS (SELECT p.doc_id, p.text, k.*, p.pos, CAST(ceil(k.t / 2.0) AS INT) AS step, greatest(1, CAST(ceil(1.5 * k.t) AS INT) - 4) AS most FROM placed p JOIN tokens k USING (token)),
+windows AS (SELECT *, unnest(range(greatest(0, CAST(ceil((pos - most + 1) / step) AS INT)), CAST(floor(pos / step) AS INT) + 1)) * step AS place FROM hits),
+scored AS (SELECT doc_id, text, license, template_id, place, count(DISTINCT token) / any_value(n) AS containment FROM windows GROUP BY doc_id, text, license, template_id, place)
+SELECT doc_id, license, CAST(template_id AS INT) AS template_id, round(max(containment), 6) AS containment,
+    CAST(arg_min(place, struct_pack(a := -containment, b := place)) AS BIGINT) AS first_word
+FROM scored WHERE containment >= 0.75 GROUP BY doc_id, text, license, template_id""",
     "op10_chat_format": f"""
 WITH told AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

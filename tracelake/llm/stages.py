@@ -1,14 +1,66 @@
-"""Stages of the training-data pipeline."""
+"""Stages of the training-data pipeline.
+
+Each takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents that
+it was given. Stages read everything their predecessor kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import jaccard, langid, mixing, packing, toxicity
+from .common import cut, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: A text is rejected as no language if no language reaches this score.
+LEAST_SCORE = 0.15
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: those that are ``und`` or score below LEAST_SCORE go."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't call toxic; it learns from the labels table."""
+    chain = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
+    return toxicity.predict(docs, chain, docs.columns).where(F.col("p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Documents without words are in no group and stay. Rows that share the smallest doc_id
+    are told apart by their whole row; of identical rows one stays.
+    """
+    found = jaccard.join(docs)
+    heads = cut(found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("head")).distinct())
+    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("head")), "left_semi")
+    return kept.dropDuplicates()
+
 
-def _later(spark, docs, sf_dir):
-    raise NotImplementedError
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs, carry=docs.columns)
+    copies = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
-language_stage = toxicity_stage = dedup_stage = mixing_stage = packing_stage = _later
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: the pieces of every document and copy, with their places."""
+    return packing.pack(docs)
 
 
-def run_stages(spark, docs, sf_dir, stages):
-    raise NotImplementedError
+def run_stages(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: list[tuple[str, Stage]]) -> DataFrame:
+    """The last stage's result; each stage's is written as Parquet in the shared folder and read as the next one's input."""
+    cut(spark.range(1))  # sets a checkpoint folder where the session names none
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(stages):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
