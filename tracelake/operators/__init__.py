@@ -1 +1 @@
-
+"""Relational operators over artifacts, events and detections."""
