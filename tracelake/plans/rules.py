@@ -289,15 +289,15 @@ def detect(artifacts: DataFrame, rules: list[Rule], engine: str = "rules", host:
     return found.join(told, "rule_id").select("artifact_id", "case_id", F.lit(engine).alias("engine"), "rule_id", "rule_title", "severity", "score", "attack", "matched_on")
 
 
-def coverage(rules: list[Rule], types: DataFrame, os_of_rule=None) -> DataFrame:
-    """rule_id, scope and state of each rule: runnable if evidence has a type in scope, blocked if not, not_applicable for another platform."""
+def coverage(rules: list[Rule], types: DataFrame, applies=None) -> DataFrame:
+    """rule_id, scope and state of each rule: runnable if evidence has a type in scope, blocked if not, not_applicable where ``applies(rule)`` is false (another platform)."""
     spark = types.sparkSession
     rows = [(r.id, t, r.exact) for r in rules for t in (r.types or ("",))]
     table = spark.createDataFrame(rows, "rule_id string, scope string, exact boolean")
     seen = types.select("artifact_type").distinct()
     met = table.join(seen, F.when(F.col("exact"), F.col("artifact_type") == F.col("scope")).otherwise(F.col("artifact_type").startswith(F.col("scope"))), "left")
     out = met.groupBy("rule_id").agg(F.max(F.col("artifact_type").isNotNull()).alias("seen"), F.array_join(F.array_sort(F.collect_set("scope")), ", ").alias("scope"))
-    other = [r.id for r in rules if os_of_rule and not os_of_rule(r)]
+    other = [r.id for r in rules if applies and not applies(r)]
     return out.select("rule_id", "scope", F.when(F.col("rule_id").isin(*other) if other else F.lit(False), "not_applicable").when(F.col("seen"), "runnable").otherwise("blocked").alias("state"))
 
 

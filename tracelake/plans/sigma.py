@@ -1,0 +1,246 @@
+"""Sigma documents compiled straight to Catalyst predicates.
+
+The whole boolean grammar of conditions is supported: and, or, not, parentheses, `N of` and
+`all of` with patterns or `them`. Values may hold * and ? wildcards. What can't be expressed
+without data of its own is refused with a reason: base64 and UTF-16 encodings, CIDR ranges,
+placeholders, field references, and condition pipes (count_over() covers counting).
+"""
+
+from __future__ import annotations
+
+import fnmatch
+import hashlib
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tracelake.functions import all_of, any_of
+from tracelake.plans.rules import Fields, Rule
+
+REFUSED = ("base64", "base64offset", "utf16", "utf16le", "utf16be", "wide", "cidr", "expand", "fieldref", "cased")
+LEVELS = {"informational": ("info", 5), "low": ("low", 10), "medium": ("medium", 25), "high": ("high", 40), "critical": ("critical", 70)}
+LEVEL_ORDER = list(LEVELS)
+DASHES = "-/\u2013\u2014\u2015"
+
+
+class Refused(ValueError):
+    """A document that isn't translated, and why."""
+
+
+# --- condition grammar: text -> tree of tuples -----------------------------------------------------------
+
+def parse_condition(text: str, names: list[str]):
+    """("name", x), ("not", t), ("and"|"or", [t..]), ("of", least, [names])."""
+    if "|" in text or re.search(r"\b(near|timeframe)\b", text):
+        raise Refused("aggregation in the condition")
+    tokens = re.findall(r"\(|\)|[^\s()]+", text)
+    at = 0
+
+    def peek() -> str:
+        return tokens[at].lower() if at < len(tokens) else ""
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def either():
+        parts = [both()]
+        while peek() == "or":
+            take()
+            parts.append(both())
+        return parts[0] if len(parts) == 1 else ("or", parts)
+
+    def both():
+        parts = [single()]
+        while peek() == "and":
+            take()
+            parts.append(single())
+        return parts[0] if len(parts) == 1 else ("and", parts)
+
+    def single():
+        if not peek():
+            raise Refused("condition ends early")
+        if peek() == "not":
+            take()
+            return ("not", single())
+        if peek() == "(":
+            take()
+            tree = either()
+            if peek() != ")":
+                raise Refused("unbalanced parentheses")
+            take()
+            return tree
+        word = take()
+        if peek() == "of":
+            take()
+            pattern = take() if peek() else ""
+            picked = [n for n in names if not n.startswith("_")] if pattern == "them" else fnmatch.filter(names, pattern)
+            if not picked:
+                raise Refused(f"no selection matches {pattern}")
+            if word.lower() not in ("all", "any") and not word.isdigit():
+                raise Refused(f"unknown quantifier {word}")
+            return ("of", len(picked) if word.lower() == "all" else 1 if word.lower() == "any" else int(word), picked)
+        if word not in names:
+            raise Refused(f"unknown selection {word}")
+        return ("name", word)
+
+    tree = either()
+    if at != len(tokens):
+        raise Refused(f"unexpected {tokens[at]}")
+    return tree
+
+
+# --- selections -----------------------------------------------------------------------------------------------
+
+def _wild(value: str) -> str | None:
+    """A regular expression for a value with wildcards; null if it has none. A backslash escapes a wildcard."""
+    out, wild, i = [], False, 0
+    while i < len(value):
+        c = value[i]
+        if c == "\\" and value[i + 1 : i + 2] in ("*", "?"):
+            out.append(re.escape(value[i + 1]))
+            i += 1
+        elif c in "*?":
+            out.append(".*" if c == "*" else ".")
+            wild = True
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return "".join(out) if wild else None
+
+
+def _one(kind: str, raw: Column, low: Column, value, ignore_case: bool) -> Column:
+    if value is None:
+        return raw == ""
+    if kind == "re":
+        return raw.rlike(("(?i)" if ignore_case else "") + str(value))
+    if kind in ("lt", "lte", "gt", "gte"):
+        n = F.replace(raw, F.lit(","), F.lit("")).try_cast("double")
+        test = {"lt": n < float(value), "lte": n <= float(value), "gt": n > float(value), "gte": n >= float(value)}[kind]
+        return F.coalesce(test, F.lit(False))
+    if kind == "exists":
+        return (raw != "") == F.lit(bool(value))
+    v = str(value).lower()
+    if pattern := _wild(v):
+        before, after = (".*" if kind in ("contains", "endswith") else ""), (".*" if kind in ("contains", "startswith") else "")
+        return low.rlike(f"(?s)^{before}{pattern}{after}$")
+    v = v.replace("\\*", "*").replace("\\?", "?")
+    return {"equals": low == v, "contains": low.contains(v), "startswith": low.startswith(v), "endswith": low.endswith(v)}[kind]
+
+
+def _field(key: str, values, fields: Fields, names: dict[str, str]) -> Column:
+    name, *modifiers = key.split("|")
+    kind, every, dash, ignore = "equals", False, False, False
+    for m in modifiers:
+        if m in REFUSED:
+            raise Refused(f"modifier {m}")
+        if m == "all":
+            every = True
+        elif m == "windash":
+            dash = True
+        elif m == "i":
+            ignore = True
+        elif m in ("contains", "startswith", "endswith", "re", "lt", "lte", "gt", "gte", "exists"):
+            kind = m
+        else:
+            raise Refused(f"modifier {m}")
+    raw, low = fields.raw(names.get(name, name)), fields.low(names.get(name, name))
+    tests = []
+    for v in values if isinstance(values, list) else [values]:
+        spelled = [v] if not dash else list(dict.fromkeys(re.sub(r"(^|\s)[-/](?=\w)", lambda m, d=d: m[1] + d, str(v)) for d in DASHES))
+        tests.append(any_of([_one(kind, raw, low, s, ignore) for s in spelled]))
+    return all_of(tests) if every else any_of(tests)
+
+
+def _selection(selection, fields: Fields, names: dict[str, str]) -> Column:
+    if isinstance(selection, dict):
+        return all_of([_field(k, v, fields, names) for k, v in selection.items()])
+    if isinstance(selection, list) and all(isinstance(s, dict) for s in selection):
+        return any_of([_selection(s, fields, names) for s in selection])
+    raise Refused("keyword search without a field")
+
+
+def _names(selection) -> list[str]:
+    return [k.split("|")[0] for s in (selection if isinstance(selection, list) else [selection]) if isinstance(s, dict) for k in s]
+
+
+@dataclass
+class SigmaRule:
+    rule: Rule
+    fields: Fields
+    predicate: Column
+
+
+def stable_id(uuid: str) -> str:
+    """A short id that follows from the document's uuid alone."""
+    return "SIG-" + hashlib.blake2b(uuid.encode(), digest_size=4).hexdigest()
+
+
+def compile_sigma(doc: dict, names: dict[str, str], prefix: str = "raw_data.", types: tuple[str, ...] = (), guards: dict[str, list[str]] | None = None) -> SigmaRule:
+    """A predicate from a document. ``names`` maps its fields to ours, others get ``prefix``; guards are values that fields must have."""
+    detection = dict(doc.get("detection") or {})
+    if "timeframe" in detection:
+        raise Refused("timeframe")
+    condition = detection.pop("condition", None)
+    if isinstance(condition, list):
+        condition = " or ".join(f"({c})" for c in condition)
+    if not condition:
+        raise Refused("no condition")
+    tree = parse_condition(str(condition), list(detection))
+    own = {n: names.get(n, prefix + n) for s in detection.values() for n in _names(s)}
+    fields = Fields([*own.values(), *(guards or {})])
+
+    def column(t) -> Column:
+        if t[0] == "name":
+            return _selection(detection[t[1]], fields, own)
+        if t[0] == "not":
+            return ~column(t[1])
+        if t[0] in ("and", "or"):
+            return (all_of if t[0] == "and" else any_of)([column(x) for x in t[1]])
+        tests = [_selection(detection[n], fields, own) for n in t[2]]
+        if t[1] == 1:
+            return any_of(tests)
+        if t[1] == len(tests):
+            return all_of(tests)
+        total = F.lit(0)
+        for x in tests:
+            total = total + x.cast("int")
+        return total >= t[1]
+
+    test = column(tree)
+    for name, values in (guards or {}).items():
+        test = test & fields.low(name).isin([v.lower() for v in values])
+    severity, score = LEVELS.get(doc.get("level", "medium"), LEVELS["medium"])
+    techniques = tuple(t.removeprefix("attack.").upper() for t in doc.get("tags") or [] if re.fullmatch(r"attack\.t\d{4}(\.\d{3})?", t.lower()))
+    return SigmaRule(Rule(stable_id(str(doc.get("id") or doc.get("title"))), str(doc.get("title")), {}, severity, score, techniques, types), fields, test)
+
+
+def matching(artifacts: DataFrame, sigma: SigmaRule) -> DataFrame:
+    """Artifacts for which the document's condition holds."""
+    return sigma.fields.project(artifacts).where(sigma.predicate)
+
+
+def translate_corpus(docs: list[dict], names: dict[str, str], statuses=("stable", "test"), techniques: set[str] | None = None, least_level: str = "low") -> tuple[list[SigmaRule], list[tuple[str, str]]]:
+    """(compiled rules, refused (id, reason)) of the documents that pass the status, level and technique filters."""
+    done, refused = [], []
+    for doc in docs:
+        level = doc.get("level", "medium")
+        if doc.get("status") not in statuses or level not in LEVEL_ORDER or LEVEL_ORDER.index(level) < LEVEL_ORDER.index(least_level):
+            continue
+        tags = {t.removeprefix("attack.").upper() for t in doc.get("tags") or []}
+        if techniques is not None and not tags & techniques:
+            continue
+        try:
+            done.append(compile_sigma(doc, names))
+        except Refused as e:
+            refused.append((str(doc.get("id")), str(e)))
+    return done, refused
+
+
+def count_over(events: DataFrame, ts: str, keys: list[str], window: str, more_than: int) -> DataFrame:
+    """Keys and tumbling windows with more than so many events; works on a stream as well."""
+    by = events.groupBy(F.window(ts, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+    return by.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")

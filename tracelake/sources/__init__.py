@@ -1 +1 @@
-
+"""Readers that turn collected evidence into artifact records."""
