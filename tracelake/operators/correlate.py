@@ -65,7 +65,7 @@ def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes:
 def download_then_execute(artifacts: DataFrame, minutes: int = 60) -> DataFrame:
     """C001: an execution on the same host whose description names a file downloaded at most ``minutes`` before."""
     timed = artifacts.where(F.col("timestamp_utc").isNotNull()).withColumn("ts", F.to_timestamp("timestamp_utc"))
-    target = F.lower(basename(F.coalesce(_key("target_path"), _key("_enrich", "target_path"), F.regexp_extract("description", r"(\S+)\s*$", 1))))
+    target = F.lower(basename(F.coalesce(_key("path"), F.lit(""))))
     name = F.regexp_replace(F.regexp_replace(target, r"\.crdownload$", ""), r"\.part$", "")
     downloads = timed.where(F.col("artifact_type") == "browser_download").select("case_id", "host", "ts", F.col("artifact_id").alias("id"), "timestamp_utc", name.alias("name")).where(F.length("name") > 4)
     runs = timed.where(F.col("artifact_type").isin(EXECUTIONS)).select("case_id", "host", "ts", F.col("artifact_id").alias("id"), "timestamp_utc", F.lower("description").alias("description"))
