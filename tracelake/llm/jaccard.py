@@ -7,10 +7,10 @@
    documents, kept in a table of 2**20 counters, give the classes of the order, so a passage
    that many documents share is in few prefixes. Prefix tokens are dealt by token; groups of
    one are dropped.
-3. Candidate groups are joined by signature trees: nodes hold the OR of their members' token
-   bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
-   overlap is too small, or whose members are one component already. Surviving pairs are
-   checked exactly.
+3. Candidate groups are joined by signature trees over token bitmaps of 4 to 8 bits a token:
+   nodes hold the OR of their members' bitmaps and their size range, and a dual traversal
+   drops node pairs whose largest possible overlap is too small, or whose members are one
+   component already. Only for surviving pairs are the sets themselves fetched and compared.
 4. So that a group of thousands of near copies costs no more than its chain, neighbours in
    the groups are checked first and linked classes contracted; the trees see only groups that
    still hold several components. Every link between different components is then found.
@@ -38,6 +38,8 @@ ENTRIES_PER_PART, GROUP_ROWS = 250_000, 1000
 #: Bits of the table that tells which sets the later passes must carry.
 WANTED_BITS = 23
 LEAF = 8
+#: Bits of a bitmap for each token, at least.
+BITS_A_TOKEN = 4
 
 
 def _linked(overlap, n_x, n_y):
@@ -58,39 +60,53 @@ def _sets(batch):
             yield lo + i, s
 
 
+def size_class(n: int) -> int:
+    """The least k with n <= 2**k; sets that may be linked differ by one at most."""
+    return max(0, int(n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's bitmap: BITS_A_TOKEN * 2**size_class bits (64 at least), each token setting one."""
+    bits = max(64, BITS_A_TOKEN << size_class(len(tokens)))
+    out = np.zeros(bits // 64, np.uint64)
+    at = mix(tokens) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _describe(docs: DataFrame) -> DataFrame:
-    """One pass: rows of kind 0 with doc_id, n, name; rows of kind 1 with a slice of the task's token counters."""
+    """One pass: rows of kind 0 with doc_id, n, name and bitmap; rows of kind 1 with a slice of the task's token counters."""
     def run(batches):
         import pyarrow as pa
 
         seen = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("counts", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("blob", pa.binary())])
         for batch in batches:
-            n, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, names, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, s in _sets(batch):
                 n[i] = len(s)
                 if len(s):
-                    names[i] = set_name(s)
+                    names[i], maps[i] = set_name(s), bitmap(s).tobytes()
                     np.add.at(seen, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(names), pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(names), pa.array(maps, pa.binary())], schema=schema)
         parts = [seen[k : k + (1 << SLICE_BITS)] for k in range(0, len(seen), 1 << SLICE_BITS)]
         told = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(parts) if p.any()]
         if told:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(told), np.int32)), pa.array([k for k, _ in told], pa.int64()), pa.array(np.zeros(len(told), np.int64)), pa.array(np.zeros(len(told), np.int64)), pa.array([c for _, c in told], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, doc_id long, n long, name long, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, doc_id long, n long, name long, blob binary")
 
 
 def _order_classes(described: DataFrame) -> np.ndarray:
     """For each counter 0 if its tokens are about as rare as chance has it, else a class that grows with the count."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SLICE_BITS, np.int64)
-        for c in pdf["counts"]:
+        for c in pdf["blob"]:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
         return pd.DataFrame({"k": [pdf["doc_id"].iloc[0]], "counts": [total.tobytes()]})
 
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in described.where("kind = 1").select("doc_id", "counts").groupBy("doc_id").applyInPandas(add, "k long, counts binary").collect():  # 64 rows of 128 kB
+    for r in described.where("kind = 1").select("doc_id", "blob").groupBy("doc_id").applyInPandas(add, "k long, counts binary").collect():  # 64 rows of 128 kB
         counts[r["k"] << SLICE_BITS : (r["k"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["counts"]), np.int64)
     usual = 2 * counts.mean() + 16
     return np.where(counts > usual, np.minimum(15, 1 + np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
@@ -198,8 +214,9 @@ def _carried(docs: DataFrame, names: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["name", "tokens"])
 
+    # each task tells a set once; the table may let a few other sets through, which meet no pair
     sets = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "name long, tokens binary")
-    return sets.join(names, "name", "left_semi").dropDuplicates(["name"])
+    return sets.dropDuplicates(["name"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,8 +242,8 @@ def components(links: DataFrame) -> DataFrame:
     return cut(root.unionByName(root.select(F.col("root").alias("name"), "root")).distinct())
 
 
-def _check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) pairs whose sets are linked."""
+def _check_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those distinct (a, b) pairs whose sets are linked."""
     def run(parts):
         for pdf in parts:
             ok = []
@@ -235,24 +252,22 @@ def _check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
+    pairs = cut(pairs)
+    sets = _carried(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
     with_sets = pairs.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b")
     return with_sets.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 class SignatureTree:
-    """Sets of one group in order of component and size; a level's node has LEAF nodes of the level below."""
-
-    def __init__(self, sets: list[np.ndarray], roots: np.ndarray):
-        self.sizes = np.array([len(s) for s in sets])
-        bits = 1 << int(min(16, max(6, np.ceil(np.log2(4 * self.sizes.max())))))
-        self.maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for i, s in enumerate(sets):
-            at = mix(s) & np.uint64(bits - 1)
-            np.bitwise_or.at(self.maps[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    """Bitmaps of one group in order of component and size; a level's node has LEAF nodes of the level below.
+
+    All bitmaps have one length here; a longer one is folded, which keeps it an upper bound.
+    """
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
         #: tokens beyond one a bit: so many more than the common bits may two sets share
-        self.extra = self.sizes - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
-        one = (self.maps, self.sizes, self.sizes, self.extra, roots, roots)
-        self.levels = [one]
+        extra = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        self.levels = [(maps, sizes, sizes, extra, roots, roots)]
         while len(self.levels[-1][0]) > 1:
             low = self.levels[-1]
             at = np.arange(0, len(low[0]), LEAF)
@@ -284,44 +299,47 @@ class SignatureTree:
                 todo.append((level - 1, p[ok], q[ok]))
 
 
-def tree_links(names: np.ndarray, sets: list[np.ndarray], roots: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect components of one group: pairs within a component known by then are skipped."""
-    by = np.lexsort((np.array([len(s) for s in sets]), roots))
-    names, sets, roots = names[by], [sets[i] for i in by], roots[by]
-    head = {int(r): int(r) for r in roots}
-
-    def find(r: int) -> int:
-        while head[r] != r:
-            head[r] = head[head[r]]
-            r = head[r]
-        return r
-
-    links = []
-    for a, b in SignatureTree(sets, roots).pairs():
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(int(roots[i])), find(int(roots[j]))
-            if p != q and _linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
-                head[max(p, q)] = min(p, q)
-                links.append((int(names[i]), int(names[j])))
-    return links
-
-
-def _tree_join(postings: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links between different components that share a prefix token."""
+def fold(raw: bytes, words: int) -> np.ndarray:
+    """A bitmap at a shorter length of ``words`` 64-bit words."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), 0)
+
+
+def tree_pairs(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], roots: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of one group's sets in different components that their bitmaps allow to be linked."""
+    kinds = np.array([size_class(n) for n in sizes])
+    out = []
+    for k in np.unique(kinds):
+        # sets of one size class with each other and with the next larger class
+        pick = np.flatnonzero((kinds == k) | (kinds == k + 1))
+        if len(pick) < 2:
+            continue
+        pick = pick[np.lexsort((sizes[pick], roots[pick]))]
+        words = max(1, (BITS_A_TOKEN << int(k)) // 64)
+        tree = SignatureTree(np.stack([fold(maps[i], words) for i in pick]), sizes[pick], roots[pick])
+        for a, b in tree.pairs():
+            a, b = pick[a], pick[b]
+            ok = (roots[a] != roots[b]) & ((kinds[a] == k) | (kinds[b] == k))
+            out += zip(names[a[ok]].tolist(), names[b[ok]].tolist(), strict=True)
+    return out
+
+
+def _tree_join(postings: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
+    """Distinct (a, b) pairs of different components that share a prefix token and that the signature trees let through."""
     told = postings.select("token", "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     groups = told.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).cast("string").alias("s"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("x")).where("lo <> hi")
     # tokens with one and the same member list are one group
     named = groups.select("token", F.xxhash64("s", "x", "m").alias("gid"), F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("blocks"))
-    rows = told.join(named, "token").select("gid", "blocks", "name", "root").dropDuplicates(["gid", "name"])
+    first = named.groupBy("gid").agg(F.min("token").alias("token"), F.first("blocks").alias("blocks"))
+    rows = told.join(first, "token").select("gid", "blocks", "name", "root")
     own = F.pmod(F.xxhash64("name", F.lit(2)), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).select("gid", "name", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("gid", "name", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "name")
+    rows = rows.select("gid", "name", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(maps, "name")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = tree_links(pdf["name"].to_numpy(), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], pdf["root"].to_numpy())
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        pairs = tree_pairs(pdf["name"].to_numpy(), pdf["n"].to_numpy(), list(pdf["map"]), pdf["root"].to_numpy())
+        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("gid", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("gid", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,13 +349,12 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).first()[0] or 0
     parts = max(1, -(-int(entries) // ENTRIES_PER_PART))
     postings = cut(_postings(_prefixes(docs, _order_classes(described), parts)))
-    sets = cut(_carried(docs, postings.select("name").distinct()))
-    # neighbours that share most of a prefix are almost surely linked: contract those first
+    # neighbours that share much of a prefix are almost surely linked: contract those first
     near = postings.where(F.col("before").isNotNull() & (F.col("before_n") * OF >= F.col("n") * SHARE)).groupBy(F.col("before").alias("a"), F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    chain = _check_pairs(near.where(F.col("m") * 10 >= F.col("n") / 4 * 3).select("a", "b"), sets)
-    chain = cut(chain)
+    chain = cut(_check_pairs(docs, near.where(F.col("m") * 10 >= F.col("n") / 4 * 3).select("a", "b")))
     roots = components(chain)
-    more = cut(_tree_join(postings, roots, sets))
+    maps = described.where("kind = 0 and n > 0").select("name", "n", F.col("blob").alias("map")).join(postings.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    more = cut(_check_pairs(docs, _tree_join(postings, roots, maps)))
     return rows, components(chain.unionByName(more).distinct())
 
 
