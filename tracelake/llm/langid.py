@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textbytes import code_points, letters, mix
 
 BINS = 1 << 14
@@ -23,6 +24,7 @@ GRAMS = (1, 2, 3)
 #: Bounds of the fitted sample: texts a language, and landmarks in all.
 SAMPLE, LANDMARKS, RIDGE = 300, 128, 0.1
 BATCH_CHARS = 1 << 21
+FEW_LANGUAGES = 10_000
 
 
 def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
@@ -94,10 +96,13 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
     (doc_id, text). The sample reaches the driver as n-gram bin sets of at most 32 kB each.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     # a hash threshold keeps the candidates of the largest language few before any row is compared
     rate = (F.lit(3.0 * per_language + 50) / F.col("n")).alias("rate")
-    some = rows.join(sizes.select(F.col("lang").alias("l"), rate), F.col("lang") == F.col("l")).where((F.col("key") / F.lit(2.0**64) + 0.5) <= F.col("rate"))
+    rates = sizes.select(F.col("lang").alias("l"), rate)
+    # one row a language: broadcast if they are few, so that texts aren't shuffled by language
+    rates = F.broadcast(rates) if sizes.count() <= FEW_LANGUAGES else rates
+    some = rows.join(rates, F.col("lang") == F.col("l")).where((F.col("key") / F.lit(2.0**64) + 0.5) <= F.col("rate"))
 
     def bins(parts):
         for pdf in parts:
