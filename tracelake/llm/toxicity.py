@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in a fixed order; each later linear model also reads the logits of
-the earlier ones. While fitting, those logits are out-of-fold predictions, so that a later
-model learns how far it can trust them. Features of a text are log counts of its lower-cased
+Categories are predicted in a fixed order; each later linear model also reads the
+probabilities of the earlier ones. While fitting, those are out-of-fold predictions, so that a
+later model learns how far it can trust them. Features of a text are log counts of its lower-cased
 letter runs and of their anchored beginnings (4 to 7 letters), hashed to a fixed space; the
 columns that the models use are chosen by their association with the labels.
 """
@@ -61,10 +61,14 @@ def _weight(n: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return np.log1p(n) / (1 + np.log1p(runs / 400.0))
 
 
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 @dataclass
 class Chain:
     categories: list[str]
-    #: per category: for each bin its coefficient; then intercept and the coefficients of earlier logits
+    #: per category: for each bin its coefficient; then intercept and the coefficients of earlier probabilities
     bins: list[np.ndarray]
     rest: list[np.ndarray]
 
@@ -74,7 +78,7 @@ class Chain:
         v = _weight(n, runs[row])
         for k in range(len(self.categories)):
             z = np.bincount(row, weights=v * self.bins[k][col], minlength=len(runs)) + self.rest[k][0]
-            out[:, k] = z + out[:, :k] @ self.rest[k][1:]
+            out[:, k] = z + sigmoid(out[:, :k]) @ self.rest[k][1:]
         return out
 
 
@@ -85,12 +89,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = S
     pen = np.full(x.shape[1], ridge, np.float32)
     pen[0] = 0
     u = np.ones(x.shape[1], np.float32)
-    for _ in range(10):  # largest curvature, by power iteration
+    for _ in range(25):  # largest curvature, by power iteration, which comes near it from below
         u = (x @ u) @ x
         u /= np.linalg.norm(u) or 1
-    rate = np.float32(1 / (0.25 * np.linalg.norm(x @ u) ** 2 / len(y) + ridge))
+    rate = np.float32(1 / (0.3 * np.linalg.norm(x @ u) ** 2 / len(y) + ridge))
     for k in range(steps):
-        g = (1 / (1 + np.exp(-np.clip(x @ v, -30, 30))) - y) @ x / np.float32(len(y)) + pen * v
+        g = (sigmoid(x @ v) - y) @ x / np.float32(len(y)) + pen * v
         w, old = v - rate * g, w
         v = w + np.float32(k / (k + 3)) * (w - old)
     return w
@@ -140,7 +144,7 @@ def fit(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, column
         if y.min() == y.max():  # one class only
             chain.bins.append(np.zeros(BINS))
             chain.rest.append(np.concatenate(([20.0 if y[0] else -20.0], np.zeros(k))))
-            earlier = np.column_stack([earlier, np.full(len(got), chain.rest[-1][0])])
+            earlier = np.column_stack([earlier, np.full(len(got), y[0])])
             continue
         used = _associated(row, col, y, columns)
         place = np.full(BINS, -1)
@@ -160,7 +164,7 @@ def fit(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, column
             for f in range(FOLDS):
                 here = fold == f
                 out[here] = x[here] @ _logistic(x[~here], y[~here])
-            earlier = np.column_stack([earlier, out])
+            earlier = np.column_stack([earlier, sigmoid(out)])
     return chain
 
 
@@ -187,7 +191,7 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
             z = np.concatenate(got) if got else np.zeros((0, len(names)))
             out = pdf.drop(columns="text__")
             for k, name in enumerate(names):
-                out[name] = 1 / (1 + np.exp(-np.clip(z[:, k], -40, 40)))
+                out[name] = sigmoid(z[:, k])
             yield out
 
     kept = docs.select(*keep, F.col("text").alias("text__"))
