@@ -1,7 +1,7 @@
 """K-d tree sharding: documents into byte-balanced shards by metadata ranges.
 
 Spark plan: one scan of the documents writes a small metadata table (no text), all further
-passes read that table. A tree level costs four aggregations whose results are bounded by
+passes read that table. A tree level costs a few aggregations whose results are bounded by
 constants (open nodes x 4096 histogram buckets), so the driver never sees rows that grow
 with the corpus. Splits land in a nested CASE, which assigns shards without a join.
 """
@@ -15,6 +15,8 @@ from .common import case_tree, cut
 
 #: A split key has 20 bits of the metadata value, then 42 bits that break ties.
 VALUE_BITS, TIE_BITS, STEP_BITS = 20, 42, 12
+#: A cut is close enough if its bucket has at most this fraction of a shard's bytes.
+CLOSE = 1000
 
 
 def kd_shards(docs: DataFrame, shards: int = 40, rows_per_slot_group: int = 1000) -> DataFrame:
@@ -91,7 +93,8 @@ def _grow(meta: DataFrame, shards: int):
         wanted = {i: (seen[i]["w"] if i in seen else 0) * (k // 2) / k for (_, _, k), i in zip(level, ids.values(), strict=True)}
         prefix, below = {i: 0 for i in wanted}, {i: 0 for i in wanted}
         shift = VALUE_BITS + TIE_BITS
-        while shift > VALUE_BITS + TIE_BITS - 3 * STEP_BITS:
+        # 12 bits of the keys a round, until the bucket in which a cut falls is small beside a shard
+        while shift >= STEP_BITS:
             bucket = F.lit(None).cast("long")
             for i in wanted:
                 key_i = F.col(f"k{widest[i]}")
@@ -103,6 +106,8 @@ def _grow(meta: DataFrame, shards: int):
                     hist.setdefault(r["node"], []).append((r["b"], r["w"]))
             for i in wanted:
                 prefix[i], below[i] = _bucket(sorted(hist.get(i, [])), wanted[i], below[i], prefix[i] << STEP_BITS)
+            if all(dict(hist.get(i, [])).get(prefix[i], 0) * CLOSE * shards <= first["w"] for i in wanted):
+                break
         for path, i in ids.items():
             # the cut goes to whichever edge of the last bucket is nearer to the wanted weight
             w = dict(hist.get(i, [])).get(prefix[i], 0)
