@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of what no one refers to any more.
+
+    The cleaner acts on the driver's garbage collections, which come late on an idle driver.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,9 +11,11 @@
    nodes hold the OR of their members' bitmaps and their size range, and a dual traversal
    drops node pairs whose largest possible overlap is too small, or whose members are one
    component already. Only for surviving pairs are the sets themselves fetched and compared.
-4. So that a group of thousands of near copies costs no more than its chain, neighbours in
-   the groups are checked first and linked classes contracted; the trees see only groups that
-   still hold several components. Every link between different components is then found.
+4. So that a group of thousands of near copies costs no more than a few pairs a member, each
+   member is first checked against its neighbour and the first member of its group, in three
+   random orders, and linked sets are contracted; the trees see only groups that still hold
+   several components, and of those only members that share enough prefix tokens with some
+   other component to be linked at all. Every link between different components is then found.
 
 Sets are named by a 64-bit hash; tokens too. At 10**9 documents a false equality is expected
 once in some 40 corpora.
@@ -25,19 +27,21 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .textbytes import chunks, flat, mix, shingle_sets
 
 #: Similarity as a fraction of integers: 75 / 100.
 SHARE, OF = 75, 100
 SKETCH_BITS, SLICE_BITS = 20, 14
-ENTRIES_PER_PART, GROUP_ROWS = 250_000, 1000
+ENTRIES_PER_PART, GROUP_ROWS, BUNDLE_ROWS = 250_000, 1000, 4000
 #: Bits of the table that tells which sets the later passes must carry.
 WANTED_BITS = 23
 LEAF = 8
+#: Rounds of checking neighbours before the trees.
+ROUNDS = 3
 #: Bits of a bitmap for each token, at least.
 BITS_A_TOKEN = 4
 
@@ -47,6 +51,21 @@ def _linked(overlap, n_x, n_y):
     return (OF + SHARE) * overlap >= SHARE * (n_x + n_y)
 
 
+def least_common(n_x, n_y):
+    """How many prefix tokens two linked sets have in common at least.
+
+    Whichever prefix ends first in the token order, at most the rest of that set can be common
+    beyond it; so overlap <= common prefix tokens + max(rest of x, rest of y).
+    """
+    overlap = -(-SHARE * (n_x + n_y) // (OF + SHARE))
+    return overlap - np.maximum(-(-SHARE * n_x // OF), -(-SHARE * n_y // OF)) + 1
+
+
+def _least_common(n_x, n_y):
+    """least_common() as a column."""
+    return F.ceil(SHARE * (n_x + n_y) / (OF + SHARE)) - F.ceil(SHARE * F.greatest(n_x, n_y) / OF) + 1
+
+
 def set_name(tokens: np.ndarray) -> int:
     """A 64-bit name of a token set, as a signed integer."""
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
@@ -155,7 +174,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """token, name, n, and the group's member before it (before, before_n; null for the first), for tokens of several sets."""
+    """token, name, n for tokens of several sets."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs, sizes = [], []
         for blob in pdf["entries"]:
@@ -176,12 +195,9 @@ def _postings(prefixes: DataFrame) -> DataFrame:
         same[1:] = t[1:, 0] == t[:-1, 0]
         several = same.copy()
         several[:-1] |= same[1:]
-        before, before_n = np.roll(t[:, 1], 1), np.roll(n, 1)
-        out = pd.DataFrame({"token": t[:, 0], "name": t[:, 1], "n": n, "before": pd.array(before, "Int64"), "before_n": pd.array(before_n, "Int64")})
-        out.loc[~same, ["before", "before_n"]] = pd.NA
-        return out[several]
+        return pd.DataFrame({"token": t[:, 0], "name": t[:, 1], "n": n})[several]
 
-    return prefixes.groupBy("part").applyInPandas(run, "token long, name long, n long, before long, before_n long")
+    return prefixes.groupBy("part").applyInPandas(run, "token long, name long, n long")
 
 
 def _carried(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -304,8 +320,19 @@ def fold(raw: bytes, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), 0)
 
 
-def tree_pairs(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], roots: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of one group's sets in different components that their bitmaps allow to be linked."""
+def feasible(sizes: np.ndarray, roots: np.ndarray, shared: np.ndarray, block: int = 512) -> np.ndarray:
+    """Which sets have a partner in another component with which they may share enough prefix tokens; ``shared`` bounds those of each."""
+    out = np.zeros(len(sizes), bool)
+    for lo in range(0, len(sizes), block):
+        x = slice(lo, lo + block)
+        n, m = sizes[x, None], np.minimum(shared[x, None], shared)
+        may = (roots[x, None] != roots) & (OF * np.minimum(n, sizes) >= SHARE * np.maximum(n, sizes)) & (m >= least_common(n, sizes))
+        out[x] = may.any(1)
+    return out
+
+
+def tree_pairs(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], roots: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of one group's sets in different components that bitmaps and shared prefix tokens allow to be linked."""
     kinds = np.array([size_class(n) for n in sizes])
     out = []
     for k in np.unique(kinds):
@@ -318,28 +345,70 @@ def tree_pairs(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], roots: n
         tree = SignatureTree(np.stack([fold(maps[i], words) for i in pick]), sizes[pick], roots[pick])
         for a, b in tree.pairs():
             a, b = pick[a], pick[b]
-            ok = (roots[a] != roots[b]) & ((kinds[a] == k) | (kinds[b] == k))
+            ok = (roots[a] != roots[b]) & ((kinds[a] == k) | (kinds[b] == k)) & (np.minimum(shared[a], shared[b]) >= least_common(sizes[a], sizes[b]))
             out += zip(names[a[ok]].tolist(), names[b[ok]].tolist(), strict=True)
     return out
 
 
+def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings with the component of each set, of tokens that several components share."""
+    if roots is None:
+        return postings.withColumn("root", F.col("name"))
+    told = postings.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    several = told.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return told.join(several, "token")
+
+
+def _linear_pairs(postings: DataFrame, roots: DataFrame | None, nth: int) -> DataFrame:
+    """(a, b): in each group of a token and a size range, each member with the one before it and with the first, in a random order.
+
+    At most two pairs a posting. Pairs that share less than half of what linked sets share at
+    least are left to the trees.
+    """
+    told = _rooted(postings, roots).withColumn("range", F.floor(F.log("n") / np.log(1.15) + 0.5 * nth).cast("int"))
+    order = Window.partitionBy("token", "range").orderBy(F.xxhash64("name", F.lit(nth)))
+    me = F.struct("name", "n", "root")
+    pairs = told.withColumns({"before": F.lag(me).over(order), "first": F.first(me).over(order)})
+    pairs = pairs.withColumn("o", F.explode(F.array_distinct(F.array_compact(F.array("before", "first"))))).where(F.col("o.root") != F.col("root"))
+    by = pairs.groupBy(F.least("name", "o.name").alias("a"), F.greatest("name", "o.name").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("n", "o.n")).alias("lo"), F.max(F.greatest("n", "o.n")).alias("hi"))
+    return by.where((OF * F.col("lo") >= SHARE * F.col("hi")) & (2 * F.col("m") >= _least_common(F.col("lo"), F.col("hi")))).select("a", "b")
+
+
 def _tree_join(postings: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
     """Distinct (a, b) pairs of different components that share a prefix token and that the signature trees let through."""
-    told = postings.select("token", "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    groups = told.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).cast("string").alias("s"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("x")).where("lo <> hi")
+    told = cut(_rooted(postings, roots))
+    shared = told.groupBy("name").agg(F.count(F.lit(1)).alias("shared"))
+    groups = told.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).cast("string").alias("s"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("x"))
     # tokens with one and the same member list are one group
     named = groups.select("token", F.xxhash64("s", "x", "m").alias("gid"), F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("blocks"))
     first = named.groupBy("gid").agg(F.min("token").alias("token"), F.first("blocks").alias("blocks"))
-    rows = told.join(first, "token").select("gid", "blocks", "name", "root")
+    rows = told.join(first, "token").select("gid", "blocks", "name", "n", "root").join(shared, "name")
     own = F.pmod(F.xxhash64("name", F.lit(2)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).select("gid", "name", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("gid", "name", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(maps, "name")
+    rows = rows.withColumn("own", own).select("gid", "name", "n", "root", "shared", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("gid", "name", "n", "root", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # small groups are many: a task call takes a bundle of whole groups
+    bundles = max(1, -(-told.count() // BUNDLE_ROWS))
+    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(bundles)).cast("int"))
+
+    def each(pdf: pd.DataFrame):
+        """The group bounds of a bundle that is sorted by group."""
+        key = pdf[["gid", "i", "j"]].to_numpy()
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        return zip([0, *edge.tolist()], [*edge.tolist(), len(pdf)], strict=True)
+
+    def with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["gid", "i", "j"])
+        n, root, shared = (pdf[c].to_numpy() for c in ("n", "root", "shared"))
+        return pdf[np.concatenate([feasible(n[lo:hi], root[lo:hi], shared[lo:hi]) for lo, hi in each(pdf)])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = tree_pairs(pdf["name"].to_numpy(), pdf["n"].to_numpy(), list(pdf["map"]), pdf["root"].to_numpy())
-        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype=np.int64)
+        pdf = pdf.sort_values(["gid", "i", "j"])
+        name, n, root, shared, maps_ = pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["shared"].to_numpy(), list(pdf["map"])
+        pairs = {(min(p), max(p)) for lo, hi in each(pdf) for p in tree_pairs(name[lo:hi], n[lo:hi], maps_[lo:hi], root[lo:hi], shared[lo:hi])}
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("gid", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    left = cut(rows.groupBy("bundle").applyInPandas(with_partner, rows.schema))
+    return left.join(maps, "name").groupBy("bundle").applyInPandas(run, "a long, b long").distinct()
 
 
 def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -349,13 +418,16 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).first()[0] or 0
     parts = max(1, -(-int(entries) // ENTRIES_PER_PART))
     postings = cut(_postings(_prefixes(docs, _order_classes(described), parts)))
-    # neighbours that share much of a prefix are almost surely linked: contract those first
-    near = postings.where(F.col("before").isNotNull() & (F.col("before_n") * OF >= F.col("n") * SHARE)).groupBy(F.col("before").alias("a"), F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    chain = cut(_check_pairs(docs, near.where(F.col("m") * 10 >= F.col("n") / 4 * 3).select("a", "b")))
-    roots = components(chain)
-    maps = described.where("kind = 0 and n > 0").select("name", "n", F.col("blob").alias("map")).join(postings.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    release(docs.sparkSession)
+    links = roots = None
+    for nth in range(ROUNDS):
+        more = cut(_check_pairs(docs, _linear_pairs(postings, roots, nth)))
+        links = more if links is None else links.unionByName(more)
+        roots = components(links)
+        release(docs.sparkSession)
+    maps = described.where("kind = 0 and n > 0").select("name", F.col("blob").alias("map")).join(postings.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
     more = cut(_check_pairs(docs, _tree_join(postings, roots, maps)))
-    return rows, components(chain.unionByName(more).distinct())
+    return rows, components(links.unionByName(more).distinct())
 
 
 def join(docs: DataFrame) -> DataFrame:
