@@ -123,7 +123,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK, bloc
     """Each query row's ``k`` nearest other rows by inner product.
 
     Defined cases: rows that usable() drops are neither queries nor candidates; vectors of
-    another length than the most frequent one's take part only among their own length; rows
+    different lengths are searched apart; rows
     that share a vec_id are one row, the first by components; ties go to the smaller vec_id;
     fewer than ``k`` candidates give fewer rows; an empty table gives an empty result; other
     columns are ignored.
@@ -131,7 +131,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK, bloc
     Returns query_id, rank, vec_id, score.
     """
     rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("d", F.size("embedding"))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}  # one row a length
     out = [_search(rows.where(F.col("d") == d).drop("d"), n, is_query, k, rerank, block, query_block) for d, n in sizes.items()]
     if not out:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
