@@ -9,6 +9,7 @@ props as raw_data), ``orders`` and ``customer`` play process tables, and ``docum
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,8 +232,27 @@ def orphan_processes(spark, d):
 
 @_register("field_vs_field", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' AND l_partkey % 40 = 7 GROUP BY 1""")
 def field_vs_field(spark, d):
-    li = _table(spark, d, "lineitem").where((F.col("l_discount") < F.col("l_tax")) & (F.col("l_returnflag") == "R") & (F.col("l_partkey") % 40 == 7))
-    return li.groupBy(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("artifact_id")).agg(F.count(F.lit(1)).alias("n"))
+    return _below_tax(_table(spark, d, "lineitem").where(F.col("l_partkey") % 40 == 7))
+
+
+@_register("field_vs_field_all", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' GROUP BY 1""")
+def field_vs_field_all(spark, d):
+    """field_vs_field over every row of lineitem."""
+    return _below_tax(_table(spark, d, "lineitem"))
+
+
+def _sortable(name: str):
+    """A finite number as text of one width, in the order of the numbers: all of bigint, fractions to 17 places."""
+    return F.lpad((F.col(name).cast("decimal(38,18)") + F.lit(Decimal(10**19))).cast("string"), 38, "0")
+
+
+def _below_tax(lines):
+    """Line items as rewritten creation times, from tax to discount, by a script host; C003 compares the two fields."""
+    payload = F.struct(_sortable("l_discount").alias("CreationUtcTime"), _sortable("l_tax").alias("PreviousCreationUtcTime"), F.lit("C:\\x\\PowerShell.exe").alias("Image"), F.lit("C:\\x\\a.txt").alias("TargetFilename"))
+    raw = F.to_json(F.struct(F.when(F.col("l_returnflag") == "R", "2").otherwise("1").alias("EventId"), F.lit("Microsoft-Windows-Sysmon/Operational").alias("Channel"), F.struct(payload.alias("payload")).alias("_enrich")))
+    name = F.concat(*[x for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") for x in (F.lit("-"), F.col(c).cast("string"))][1:])
+    logs = lines.select(name.alias("artifact_id"), F.lit("case-a").alias("case_id"), F.lit("event_log").alias("artifact_type"), raw.alias("raw_data"))
+    return correlate.rewritten_creation_time(logs).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("timestomp_c003", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2 AND length(CAST(o_custkey AS VARCHAR)) = 4 AND length(CAST(o_orderkey AS VARCHAR)) = 4""")
