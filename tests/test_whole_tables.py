@@ -25,3 +25,14 @@ def test_fields_are_compared_on_every_part(spark, lines):
 def test_fields_are_compared_by_the_operator(spark, tiny, monkeypatch):
     monkeypatch.setattr(catalog.correlate, "rewritten_creation_time", lambda logs: logs.where("false"))
     assert catalog.QUERIES["field_vs_field"](spark, tiny).count() == catalog.QUERIES["field_vs_field_all"](spark, tiny).count() == 0
+
+
+def test_orders_of_any_key_length_reach_c003(spark, tmp_path):
+    keys = [(9, 10), (10, 9), (999, 1000), (9999, 10000), (10000, 9999), (99999, 100000), (2**31, 2**40 + 2), (2**62, 2**63 - 2), (3, 6), (6, 3), (-20, -3), (-3, -20), (None, 9)]
+    df = spark.createDataFrame(keys, "o_custkey long, o_orderkey long")
+    df.write.parquet(f"{tmp_path}/orders.parquet")
+    (tmp_path / "duck").mkdir()
+    df.toPandas().astype("Int64").to_parquet(tmp_path / "duck" / "orders.parquet")
+    got = catalog.QUERIES["timestomp_c003_all"](spark, str(tmp_path))
+    assert {"e10", "e1000", "e10000", "e100000", "e6", f"e{2**63 - 2}"} <= {r["artifact_id"] for r in got.collect()}
+    assert_same(got, catalog.ORACLE["timestomp_c003_all"], f"{tmp_path}/duck")

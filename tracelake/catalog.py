@@ -257,9 +257,19 @@ def _below_tax(lines):
 
 @_register("timestomp_c003", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2 AND length(CAST(o_custkey AS VARCHAR)) = 4 AND length(CAST(o_orderkey AS VARCHAR)) = 4""")
 def timestomp_c003(spark, d):
-    o = _table(spark, d, "orders").where((F.length(F.col("o_custkey").cast("string")) == 4) & (F.length(F.col("o_orderkey").cast("string")) == 4))
+    return _moved_back(_table(spark, d, "orders").where((F.length(F.col("o_custkey").cast("string")) == 4) & (F.length(F.col("o_orderkey").cast("string")) == 4)))
+
+
+@_register("timestomp_c003_all", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2""")
+def timestomp_c003_all(spark, d):
+    """timestomp_c003 over every order."""
+    return _moved_back(_table(spark, d, "orders"))
+
+
+def _moved_back(o):
+    """Orders as rewritten creation times, from the order to the customer."""
     kind = F.col("o_orderkey") % 3
-    payload = F.struct(F.col("o_custkey").cast("string").alias("CreationUtcTime"), F.col("o_orderkey").cast("string").alias("PreviousCreationUtcTime"), F.when(kind == 0, "C:\\x\\PowerShell.exe").when(kind == 1, "C:\\x\\tool.exe").otherwise("C:\\x\\Explorer.exe").alias("Image"), F.lit("C:\\Windows\\Temp\\a.txt").alias("TargetFilename"))
+    payload = F.struct(_sortable("o_custkey").alias("CreationUtcTime"), _sortable("o_orderkey").alias("PreviousCreationUtcTime"), F.when(kind == 0, "C:\\x\\PowerShell.exe").when(kind == 2, "C:\\x\\Explorer.exe").otherwise("C:\\x\\tool.exe").alias("Image"), F.lit("C:\\Windows\\Temp\\a.txt").alias("TargetFilename"))
     raw = F.to_json(F.struct(F.lit("2").alias("EventId"), F.lit("Microsoft-Windows-Sysmon/Operational").alias("Channel"), F.struct(payload.alias("payload")).alias("_enrich")))
     logs = o.select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("artifact_id"), F.lit("case-a").alias("case_id"), F.lit("event_log").alias("artifact_type"), raw.alias("raw_data"))
     return correlate.rewritten_creation_time(logs).select("artifact_id", F.regexp_extract("matched_on", r"\[([^\]]+)\]$", 1).alias("why"))
