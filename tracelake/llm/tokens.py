@@ -40,7 +40,6 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -151,7 +150,9 @@ class WordBPE:
         return [flat[e - c * 4 : e] for c, e in zip(counts, ends, strict=True)]
 
     def runs(self, text: str) -> list[str] | None:
-        """The text's runs, normalised; None if it has characters that only the library should judge."""
+        """The text's runs, normalised; None if it has characters or special tokens that only the library should judge."""
+        if any(s in text for s in self.specials):
+            return None
         if not text.isascii():
             if UNSURE.search(text):
                 return None
@@ -159,7 +160,7 @@ class WordBPE:
         return self.find(text.lower())
 
     def encode_bytes(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
+        """Ids of each text as little-endian unsigned 32-bit integers; none are added at its ends."""
         texts = list(texts)
         split = [self.runs(t) for t in texts]
         sure = [s for s in split if s is not None]
