@@ -14,7 +14,7 @@ STAGES = [
     ("best_fit_packing", stages.packing_stage),
 ]
 
-#: The classifiers of the first two stages can't be written in SQL; tests hold run() against a brute-force version.
+#: The classifiers of the first two stages can't be written in SQL. No test runs the stages together.
 ORACLE_SQL = None
 
 
