@@ -37,8 +37,8 @@ def brute(rows):
     return sorted((str(d), len(sets[i]), str(first.get(find(i)) if sets[i] else d)) for i, (d, _) in enumerate(rows))
 
 
-def ours(df):
-    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(df).collect())
+def ours(df, **bounds):
+    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(df, **bounds).collect())
 
 
 def test_join_equals_brute_force_on_the_tiny_table(spark, tiny):
@@ -46,7 +46,7 @@ def test_join_equals_brute_force_on_the_tiny_table(spark, tiny):
     assert ours(docs) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_chains_of_near_copies_and_a_shared_passage(spark):
+def test_chains_of_near_copies_and_a_shared_passage(spark, monkeypatch):
     """Copies that drift apart are one component; documents that only share a passage aren't."""
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in rng.integers(0, 9999, 120)]
@@ -66,7 +66,11 @@ def test_chains_of_near_copies_and_a_shared_passage(spark):
             base[e * 7] = f"e{edits}_{e}"
         rows.append((doc + 1, " ".join(base)))
         doc += 2
-    assert ours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ours(df) == brute(rows)
+    # the same where no group and no cluster fits a task
+    monkeypatch.setattr(jaccard, "HOT_ENTRIES", 4)
+    assert ours(df, group_rows=3, block_tokens=400) == brute(rows)
 
 
 def test_join_of_odd_rows(spark):
@@ -94,16 +98,24 @@ def test_shingle_sets_have_the_right_sizes_and_equalities(texts):
             assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=60), min_size=2, max_size=25))
-def test_signature_trees_let_every_link_through(sets):
+def test_signature_trees_lose_no_link(sets):
+    """Checked or not, the tree joins all that links join; with the exact check it joins nothing else."""
     arrays = [np.unique(np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
-    names, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
-    pairs = {tuple(sorted(p)) for p in jaccard.tree_pairs(names, sizes, [jaccard.bitmap(a).tobytes() for a in arrays], names.copy(), np.full(len(sets), 10**6))}
+    sizes, maps = np.array([len(s) for s in sets]), [jaccard.bitmap(a) for a in arrays]
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    loose, exact, want = np.arange(len(sets)), np.arange(len(sets)), np.arange(len(sets))
+    jaccard.search(sizes, maps, loose)
+    forest = jaccard.search(sizes, maps, exact, linked)
     for i in range(len(sets)):
         for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                assert (j, i) in pairs
+            if linked(i, j):
+                want[want == want[j]] = want[i]
+                assert loose[i] == loose[j]
+    assert all(linked(i, j) for i, j in forest) and len(forest) < len(sets)
+    assert len(forest) == len(sets) - len(np.unique(want))
+    assert all((exact == exact[i]).tolist() == (want == want[i]).tolist() for i in range(len(sets)))
 
 
 def test_components_of_a_long_chain(spark):

@@ -1,24 +1,26 @@
 """Exact n-gram Jaccard join with signature trees.
 
-1. Every whole text becomes its set of 5-word shingle hashes. Texts with equal sets are one
-   class, found by a map-side combined aggregation, so copies are never compared.
+1. One pass turns every whole text into its set of 5-word shingle hashes and keeps a 64-bit
+   name, the size and a token bitmap of each; texts with equal sets are one class. The pass
+   also counts tokens in a table of 2**20 counters.
 2. Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of any
-   common token order. The order here puts frequent tokens last: token counts of all
-   documents, kept in a table of 2**20 counters, give the classes of the order, so a passage
-   that many documents share is in few prefixes. Prefix tokens are dealt by token; groups of
-   one are dropped.
-3. Candidate groups are joined by signature trees over token bitmaps of 4 to 8 bits a token:
-   nodes hold the OR of their members' bitmaps and their size range, and a dual traversal
-   drops node pairs whose largest possible overlap is too small, or whose members are one
-   component already. Only for surviving pairs are the sets themselves fetched and compared.
-4. So that a group of thousands of near copies costs no more than a few pairs a member, each
-   member is first checked against its neighbour and the first member of its group, in three
-   random orders, and linked sets are contracted; the trees see only groups that still hold
-   several components, and of those only members that share enough prefix tokens with some
-   other component to be linked at all. Every link between different components is then found.
-
-Sets are named by a 64-bit hash; tokens too. At 10**9 documents a false equality is expected
-once in some 40 corpora.
+   common token order. The order puts frequent tokens last, so a passage that many documents
+   share is in few prefixes. A second pass deals prefix tokens by token; tokens with one and
+   the same holders are one group, and tokens of a single holder are dropped. The holders of a
+   very frequent token are dealt to several blocks while they are being shuffled.
+3. Each block of a group is searched by a signature tree: nodes hold the OR of their members'
+   bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
+   overlap is too small or whose members are joined already. What is left are candidate links;
+   their components (clusters) hold every true link. Blocks of one group meet as nodes of a
+   table, pruned in the same way, unless all their members are in one cluster already.
+4. A cluster's texts are fetched once and its tree is searched again, now with the exact check
+   of each candidate. A cluster too large for a task is dealt to blocks anew, twice, and then
+   block pairs meet that still hold several components.
+
+So a set goes to one cluster, copies are compared once, and a group of thousands of near copies
+costs a few checks a member: pairs that are joined already aren't visited. Links inside a
+component are therefore not enumerated. Sets, tokens and texts are named by 64-bit hashes; at
+10**9 documents a false equality is expected once in some 20 corpora.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release
@@ -35,15 +36,18 @@ from .textbytes import chunks, flat, mix, shingle_sets
 
 #: Similarity as a fraction of integers: 75 / 100.
 SHARE, OF = 75, 100
-SKETCH_BITS, SLICE_BITS = 20, 14
-ENTRIES_PER_PART, GROUP_ROWS, BUNDLE_ROWS = 250_000, 1000, 4000
-#: Bits of the table that tells which sets the later passes must carry.
+SKETCH_BITS, SLICE_BITS, FAN_IN = 20, 14, 64
+#: Prefix tokens in a task's part; more holders of one token are divided.
+ENTRIES_PER_PART, HOT_ENTRIES = 250_000, 100_000
+#: Members of a tree that one task searches, and rows of a task call that takes several.
+GROUP_ROWS, BUNDLE_ROWS = 2000, 4000
+#: Tokens of the sets that one task call checks exactly.
+BLOCK_TOKENS = 4_000_000
+#: Bits of the table that tells which texts are fetched.
 WANTED_BITS = 23
 LEAF = 8
-#: Rounds of checking neighbours before the trees.
-ROUNDS = 3
 #: Bits of a bitmap for each token, at least.
-BITS_A_TOKEN = 4
+BITS_A_TOKEN = 2
 
 
 def _linked(overlap, n_x, n_y):
@@ -51,32 +55,16 @@ def _linked(overlap, n_x, n_y):
     return (OF + SHARE) * overlap >= SHARE * (n_x + n_y)
 
 
-def least_common(n_x, n_y):
-    """How many prefix tokens two linked sets have in common at least.
-
-    Whichever prefix ends first in the token order, at most the rest of that set can be common
-    beyond it; so overlap <= common prefix tokens + max(rest of x, rest of y).
-    """
-    overlap = -(-SHARE * (n_x + n_y) // (OF + SHARE))
-    return overlap - np.maximum(-(-SHARE * n_x // OF), -(-SHARE * n_y // OF)) + 1
-
-
-def _least_common(n_x, n_y):
-    """least_common() as a column."""
-    return F.ceil(SHARE * (n_x + n_y) / (OF + SHARE)) - F.ceil(SHARE * F.greatest(n_x, n_y) / OF) + 1
-
-
 def set_name(tokens: np.ndarray) -> int:
     """A 64-bit name of a token set, as a signed integer."""
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
 def _sets(batch):
-    """(row number, token set) of an Arrow batch with a text column."""
+    """For each chunk of an Arrow batch with a text column: its first row number and its token sets."""
     raw, at = flat(batch.column("text"))
     for lo, hi in chunks(at):
-        for i, s in enumerate(shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])):
-            yield lo + i, s
+        yield lo, shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
 
 
 def size_class(n: int) -> int:
@@ -87,57 +75,84 @@ def size_class(n: int) -> int:
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """A set's bitmap: BITS_A_TOKEN * 2**size_class bits (64 at least), each token setting one."""
     bits = max(64, BITS_A_TOKEN << size_class(len(tokens)))
-    out = np.zeros(bits // 64, np.uint64)
-    at = mix(tokens) & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    on = np.zeros(bits, bool)
+    on[(mix(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").view(np.uint64)
+
+
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+def _texts(docs: DataFrame):
+    """(th, text): whole texts and their 64-bit names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text).alias("th"), text.alias("text")
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """One pass: rows of kind 0 with doc_id, n, name and bitmap; rows of kind 1 with a slice of the task's token counters."""
+    """One pass: rows of kind 0 with doc_id, th, n, name and bitmap; rows of kind 1 with a slice of the task's token counters."""
     def run(batches):
         import pyarrow as pa
 
-        seen = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("blob", pa.binary())])
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["kind", "doc_id", "th", "n", "name", "blob"]
         for batch in batches:
-            n, names, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for i, s in _sets(batch):
-                n[i] = len(s)
-                if len(s):
-                    names[i], maps[i] = set_name(s), bitmap(s).tobytes()
-                    np.add.at(seen, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(names), pa.array(maps, pa.binary())], schema=schema)
-        parts = [seen[k : k + (1 << SLICE_BITS)] for k in range(0, len(seen), 1 << SLICE_BITS)]
-        told = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(parts) if p.any()]
+            n, name, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            for lo, sets in _sets(batch):
+                for i, s in enumerate(sets, lo):
+                    if len(s):
+                        n[i], name[i], maps[i] = len(s), set_name(s), bitmap(s).tobytes()
+                seen += np.bincount(_slot(np.concatenate(sets)), minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(name), pa.array(maps, pa.binary())], names=names)
+        told = [(k, zlib.compress(seen[k << SLICE_BITS : (k + 1) << SLICE_BITS].tobytes(), 1)) for k in range(len(seen) >> SLICE_BITS) if seen[k << SLICE_BITS : (k + 1) << SLICE_BITS].any()]
         if told:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(told), np.int32)), pa.array([k for k, _ in told], pa.int64()), pa.array(np.zeros(len(told), np.int64)), pa.array(np.zeros(len(told), np.int64)), pa.array([c for _, c in told], pa.binary())], schema=schema)
+            none = pa.array(np.zeros(len(told), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(told), np.int32)), pa.array([k for k, _ in told], pa.int64()), none, none, none, pa.array([c for _, c in told], pa.binary())], names=names)
+
+    th, text = _texts(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), th, text).mapInArrow(run, "kind int, doc_id long, th long, n long, name long, blob binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, doc_id long, n long, name long, blob binary")
 
+def _counts(described: DataFrame) -> np.ndarray:
+    """Token counters of all documents. Slices are summed FAN_IN at a time, so no task gathers what all tasks have counted."""
+    def add(table):
+        import pyarrow as pa
 
-def _order_classes(described: DataFrame) -> np.ndarray:
-    """For each counter 0 if its tokens are about as rare as chance has it, else a class that grows with the count."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SLICE_BITS, np.int64)
-        for c in pdf["blob"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"k": [pdf["doc_id"].iloc[0]], "counts": [total.tobytes()]})
+        for c in table.column("blob"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+        return pa.table({"k": table.column("k")[:1], "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    parts = described.where("kind = 1").select(F.col("doc_id").alias("k"), "blob")
+    most = parts.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        groups = -(-most // FAN_IN)
+        parts = parts.withColumn("g", F.pmod(F.xxhash64("blob"), F.lit(max(1, groups)))).groupBy("k", "g").applyInArrow(add, "k long, blob binary")
+        if groups <= 1:
+            break
+        parts, most = cut(parts), groups
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in described.where("kind = 1").select("doc_id", "blob").groupBy("doc_id").applyInPandas(add, "k long, counts binary").collect():  # 64 rows of 128 kB
-        counts[r["k"] << SLICE_BITS : (r["k"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["counts"]), np.int64)
+    for r in parts.collect():  # 64 rows of 128 kB
+        counts[r["k"] << SLICE_BITS : (r["k"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(bytes(r["blob"])), np.int64)
+    return counts
+
+
+def _order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter: 0 if its tokens are about as rare as chance has it, else a class that grows with the count; and to how many blocks a token's holders are dealt."""
     usual = 2 * counts.mean() + 16
-    return np.where(counts > usual, np.minimum(15, 1 + np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
+    classes = np.where(counts > usual, np.minimum(15, 1 + np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
+    return classes, np.minimum(65_535, -(-counts // HOT_ENTRIES)).astype(np.uint16)
 
 
-def _prefixes(docs: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
-    """(part, entries): each task's prefix tokens for a part as bytes, (token, set name, set size) each; equal sets of a task count once."""
-    order = docs.sparkSession.sparkContext.broadcast(classes)  # bounded: 1 MB
+def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """(part, entries): each task's prefix tokens for a part as bytes, (token, set name, set size, block of the token) each; equal sets of a task count once."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # bounded: 3 MB
 
     def run(batches):
         import pyarrow as pa
 
+        classes, splits = shared.value
         done: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
@@ -146,93 +161,85 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
             token = np.concatenate([h[0] for h in held])
             many = [len(h[0]) for h in held]
             name = np.repeat(np.array([h[1] for h in held], np.int64), many)
-            n = np.repeat(np.array([h[2] for h in held], np.int64), many)
-            part = (mix(token) % np.uint64(parts)).astype(np.int64)
+            n = np.repeat(np.array([h[2] for h in held], np.uint32), many)
+            split = splits[_slot(token)].astype(np.uint64)
+            # 0: the token is whole; else 1 + the block that the name falls in
+            block = np.where(split > 1, 1 + mix(name.view(np.uint64) + np.uint64(1)) % np.maximum(split, np.uint64(1)), 0).astype(np.uint32)
+            part = (mix(token + block) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            table = np.stack([token.view(np.int64), name, n], 1)[by]
             where = np.concatenate(([0], np.flatnonzero(np.diff(part[by])) + 1, [len(by)]))
-            return pa.RecordBatch.from_arrays([pa.array(part[by][where[:-1]].astype(np.int32)), pa.array([table[a:b, :2].tobytes() + table[a:b, 2].astype(np.uint32).tobytes() for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["part", "entries"])
+            pairs, rest = np.stack([token.view(np.int64), name], 1)[by], np.stack([n, block], 1)[by]
+            return pa.RecordBatch.from_arrays([pa.array(part[by][where[:-1]].astype(np.int32)), pa.array([pairs[a:b].tobytes() + rest[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            for _, s in _sets(batch):
-                if not len(s) or (name := set_name(s)) in done:
-                    continue
-                done.add(name)
-                k = len(s) - -(-SHARE * len(s) // OF) + 1
-                c = order.value[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                if c.any():
-                    s = s[np.argsort(c, kind="stable")]
-                held.append((s[:k], name, len(s)))
-                size += k
-                if size > 2_000_000:
-                    yield flush()
-                    held, size = [], 0
+            for _, sets in _sets(batch):
+                for s in sets:
+                    if not len(s) or (name := set_name(s)) in done:
+                        continue
+                    done.add(name)
+                    k = len(s) - -(-SHARE * len(s) // OF) + 1
+                    c = classes[_slot(s)]
+                    if c.any():
+                        s = s[np.argsort(c, kind="stable")]
+                    held.append((s[:k], name, len(s)))
+                    size += k
+                    if size > 2_000_000:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "part int, entries binary")
+    return docs.select(_texts(docs)[1]).mapInArrow(run, "part int, entries binary")
 
 
-def _postings(prefixes: DataFrame) -> DataFrame:
-    """token, name, n for tokens of several sets."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, sizes = [], []
-        for blob in pdf["entries"]:
-            k = len(blob) // 20
-            pairs.append(np.frombuffer(blob, np.int64, 2 * k).reshape(k, 2))
-            sizes.append(np.frombuffer(blob, np.uint32, k, 16 * k))
-        t, n = np.concatenate(pairs), np.concatenate(sizes).astype(np.int64)
-        # first the tokens of one entry go, cheaply
-        _, inverse, count = np.unique(t[:, 0], return_inverse=True, return_counts=True)
-        keep = count[inverse] > 1
-        t, n = t[keep], n[keep]
-        by = np.lexsort((t[:, 1], n, t[:, 0]))
-        t, n = t[by], n[by]
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = (t[1:] != t[:-1]).any(1)
-        t, n = t[fresh], n[fresh]
-        same = np.zeros(len(t), bool)
-        same[1:] = t[1:, 0] == t[:-1, 0]
-        several = same.copy()
-        several[:-1] |= same[1:]
-        return pd.DataFrame({"token": t[:, 0], "name": t[:, 1], "n": n})[several]
-
-    return prefixes.groupBy("part").applyInPandas(run, "token long, name long, n long")
-
-
-def _carried(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, tokens) of each set in ``names``, once each."""
-    spark = docs.sparkSession
-    low = F.col("name").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
-    bits = names.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    words = np.zeros(1 << (WANTED_BITS - 6), np.int64)
-    got = bits.toPandas()  # at most 2**17 rows
-    words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    wanted = spark.sparkContext.broadcast(words.view(np.uint64))
+def holders(token: np.ndarray, name: np.ndarray, n: np.ndarray, block: np.ndarray, most: int) -> list[tuple[int, int, bool, np.ndarray, np.ndarray]]:
+    """The groups of a part's entries: (gid, block, whether the group has other blocks, names, sizes).
 
-    def run(batches):
+    Tokens with the same holders give one group; a whole token of one holder gives none.
+    """
+    by = np.lexsort((name, n, block, token))
+    token, name, n, block = token[by], name[by], n[by], block[by]
+    if len(token):
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (name[1:] != name[:-1])
+        token, name, n, block = token[fresh], name[fresh], n[fresh], block[fresh]
+    edge = np.concatenate(([0], np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1])) + 1, [len(token)])) if len(token) else np.zeros(1, np.int64)
+    at, end = edge[:-1], edge[1:]
+    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(name.view(np.uint64)), dtype=np.uint64)))
+    gid = np.where(block[at] > 0, mix(token[at].view(np.uint64)), mix(total[end] - total[at] + (end - at).astype(np.uint64))).view(np.int64)
+    _, first = np.unique(np.stack([gid, block[at].astype(np.int64)], 1), axis=0, return_index=True)
+    out = []
+    for k in first.tolist():
+        lo, hi, split = int(at[k]), int(end[k]), int(block[at[k]])
+        if hi - lo < 2 and not split:
+            continue
+        slices = range(lo, hi, most)
+        out += [(int(gid[k]), split << 16 | i, split > 0 or len(slices) > 1, name[x : min(hi, x + most)], n[x : min(hi, x + most)]) for i, x in enumerate(slices)]
+    return out
+
+
+def _groups(prefixes: DataFrame, most: int) -> DataFrame:
+    """gid, block, divided, names, sizes: blocks of at most ``most`` sets that share a prefix token."""
+    def run(table):
         import pyarrow as pa
 
-        done: set[int] = set()
-        for batch in batches:
-            out: list[tuple[int, bytes]] = []
-            for _, s in _sets(batch):
-                if not len(s):
-                    continue
-                name = set_name(s)
-                at = name & ((1 << WANTED_BITS) - 1)
-                if name not in done and int(wanted.value[at >> 6]) >> (at & 63) & 1:
-                    done.add(name)
-                    out.append((name, s.tobytes()))
-                    if len(out) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["name", "tokens"])
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["name", "tokens"])
+        pairs, rest = [], []
+        for blob in table.column("entries"):
+            raw = blob.as_py()
+            k = len(raw) // 24
+            pairs.append(np.frombuffer(raw, np.int64, 2 * k).reshape(k, 2))
+            rest.append(np.frombuffer(raw, np.uint32, 2 * k, 16 * k).reshape(k, 2))
+        t, r = np.concatenate(pairs), np.concatenate(rest)
+        # tokens of one entry go first, cheaply
+        _, inverse, count = np.unique(t[:, 0], return_inverse=True, return_counts=True)
+        keep = (count[inverse] > 1) | (r[:, 1] > 0)
+        t, r = t[keep], r[keep]
+        got = holders(t[:, 0], t[:, 1], r[:, 0].astype(np.int64), r[:, 1], most)
+        offsets = np.concatenate(([0], np.cumsum([len(g[3]) for g in got]))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64)) for c in (3, 4)]
+        return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_()), *lists], names=["gid", "block", "divided", "names", "sizes"])
 
-    # each task tells a set once; the table may let a few other sets through, which meet no pair
-    sets = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "name long, tokens binary")
-    return sets.dropDuplicates(["name"])
+    return prefixes.groupBy("part").applyInArrow(run, "gid long, block long, divided boolean, names array<long>, sizes array<long>").dropDuplicates(["gid", "block"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,181 +265,302 @@ def components(links: DataFrame) -> DataFrame:
     return cut(root.unionByName(root.select(F.col("root").alias("name"), "root")).distinct())
 
 
-def _check_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those distinct (a, b) pairs whose sets are linked."""
-    def run(parts):
-        for pdf in parts:
-            ok = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-
-    pairs = cut(pairs)
-    sets = _carried(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    with_sets = pairs.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_sets.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+def fold(raw: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a shorter length of ``words`` 64-bit words; it stays an upper bound."""
+    return np.bitwise_or.reduce(raw.reshape(-1, words), 0)
 
 
 class SignatureTree:
-    """Bitmaps of one group in order of component and size; a level's node has LEAF nodes of the level below.
+    """Bitmaps of one length in the order given; a level's node has LEAF nodes of the level below.
 
-    All bitmaps have one length here; a longer one is folded, which keeps it an upper bound.
+    A node holds the OR of its bitmaps, its least and largest size, how many tokens its sets
+    have beyond one a bit at most, and the least and largest of its members' labels.
     """
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
-        #: tokens beyond one a bit: so many more than the common bits may two sets share
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         extra = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
-        self.levels = [(maps, sizes, sizes, extra, roots, roots)]
+        self.levels = [(maps, sizes, sizes, extra, labels, labels)]
         while len(self.levels[-1][0]) > 1:
             low = self.levels[-1]
             at = np.arange(0, len(low[0]), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(low[0], at), np.minimum.reduceat(low[1], at), np.maximum.reduceat(low[2], at), np.maximum.reduceat(low[3], at), np.minimum.reduceat(low[4], at), np.maximum.reduceat(low[5], at)))
-
-    def pairs(self):
-        """Index pairs i < j of sets that may be linked and aren't of one component, in blocks."""
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), low, strict=True)))
+
+    def may(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of nodes a and b may be linked."""
+        maps, least, most, extra = self.levels[level][:4]
+        ok = np.flatnonzero((OF * most[a] >= SHARE * least[b]) & (OF * most[b] >= SHARE * least[a]))
+        x, y = a[ok], b[ok]
+        common = np.bitwise_count(maps[x] & maps[y]).sum(1, dtype=np.int64) + np.minimum(extra[x], extra[y])
+        out = np.zeros(len(a), bool)
+        out[ok] = _linked(np.minimum(common, np.minimum(most[x], most[y])), least[x], least[y])
+        return out
+
+    def pairs(self, labels: np.ndarray):
+        """Index pairs of sets that may be linked and have different labels, in blocks; labels may change meanwhile."""
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        step = np.arange(LEAF)
         while todo:
-            level, x, y = todo.pop()
-            maps, least, most, extra, lo, hi = self.levels[level]
-            for at in range(0, len(x), 4096):
-                a, b = x[at : at + 4096], y[at : at + 4096]
-                may = (OF * most[a] >= SHARE * least[b]) & (OF * most[b] >= SHARE * least[a]) & ~((lo[a] == hi[a]) & (lo[b] == hi[b]) & (lo[a] == lo[b]))
-                a, b = a[may], b[may]
-                common = np.bitwise_count(maps[a] & maps[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
-                may = _linked(np.minimum(common, np.minimum(most[a], most[b])), least[a], least[b])
-                a, b = a[may], b[may]
-                if not len(a):
-                    continue
-                if level == 0:
-                    yield a[a < b], b[a < b]
-                    continue
-                step = np.arange(LEAF)
-                n = len(self.levels[level - 1][0])
-                p = np.repeat(a[:, None] * LEAF + step, LEAF, 1).ravel()
-                q = np.tile(b[:, None] * LEAF + step, LEAF).ravel()
-                ok = (p < n) & (q < n) & (p <= q)
+            level, a, b = todo.pop()
+            if level == 0:
+                new = labels[a] != labels[b]
+            else:
+                lo, hi = self.levels[level][4:]
+                new = (lo[a] != hi[a]) | (lo[b] != hi[b]) | (lo[a] != lo[b])
+            a, b = a[new], b[new]
+            ok = self.may(level, a, b)
+            a, b = a[ok], b[ok]
+            if level == 0:
+                yield a, b
+                continue
+            n = len(self.levels[level - 1][0])
+            for at in range(0, len(a), 64):
+                p = np.repeat(a[at : at + 64, None] * LEAF + step, LEAF, 1).ravel()
+                q = np.tile(b[at : at + 64, None] * LEAF + step, LEAF).ravel()
+                ok = (p < n) & (q < n) & ((p < q) if level == 1 else (p <= q))
                 todo.append((level - 1, p[ok], q[ok]))
 
 
-def fold(raw: bytes, words: int) -> np.ndarray:
-    """A bitmap at a shorter length of ``words`` 64-bit words."""
-    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), 0)
-
+def search(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, check=None) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as a forest: pairs of indices that join them as far as any links do.
 
-def feasible(sizes: np.ndarray, roots: np.ndarray, shared: np.ndarray, block: int = 512) -> np.ndarray:
-    """Which sets have a partner in another component with which they may share enough prefix tokens; ``shared`` bounds those of each."""
-    out = np.zeros(len(sizes), bool)
-    for lo in range(0, len(sizes), block):
-        x = slice(lo, lo + block)
-        n, m = sizes[x, None], np.minimum(shared[x, None], shared)
-        may = (roots[x, None] != roots) & (OF * np.minimum(n, sizes) >= SHARE * np.maximum(n, sizes)) & (m >= least_common(n, sizes))
-        out[x] = may.any(1)
-    return out
+    Pairs that the tree lets through count as links, or are put to ``check``. Neighbours in
+    size and the most central set are visited first, so that most pairs of a group of near
+    copies need no visit. ``labels`` are merged in place.
+    """
+    links: list[tuple[int, int]] = []
 
+    def visit(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if labels[i] != labels[j] and (check is None or check(i, j)):
+                links.append((i, j))
+                labels[labels == labels[j]] = labels[i]
 
-def tree_pairs(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], roots: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of one group's sets in different components that bitmaps and shared prefix tokens allow to be linked."""
-    kinds = np.array([size_class(n) for n in sizes])
-    out = []
+    kinds = np.array([size_class(int(n)) for n in sizes])
     for k in np.unique(kinds):
         # sets of one size class with each other and with the next larger class
         pick = np.flatnonzero((kinds == k) | (kinds == k + 1))
-        if len(pick) < 2:
+        if len(pick) < 2 or (labels[pick] == labels[pick[0]]).all():
             continue
-        pick = pick[np.lexsort((sizes[pick], roots[pick]))]
         words = max(1, (BITS_A_TOKEN << int(k)) // 64)
-        tree = SignatureTree(np.stack([fold(maps[i], words) for i in pick]), sizes[pick], roots[pick])
-        for a, b in tree.pairs():
-            a, b = pick[a], pick[b]
-            ok = (roots[a] != roots[b]) & ((kinds[a] == k) | (kinds[b] == k)) & (np.minimum(shared[a], shared[b]) >= least_common(sizes[a], sizes[b]))
-            out += zip(names[a[ok]].tolist(), names[b[ok]].tolist(), strict=True)
-    return out
-
-
-def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings with the component of each set, of tokens that several components share."""
-    if roots is None:
-        return postings.withColumn("root", F.col("name"))
-    told = postings.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    several = told.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return told.join(several, "token")
-
-
-def _linear_pairs(postings: DataFrame, roots: DataFrame | None, nth: int) -> DataFrame:
-    """(a, b): in each group of a token and a size range, each member with the one before it and with the first, in a random order.
+        pick = pick[np.argsort(sizes[pick], kind="stable")]
+        folded = np.stack([fold(maps[i], words) for i in pick])
+        if len(pick) > 2:
+            tree = SignatureTree(folded, sizes[pick], labels[pick])
+            x = np.arange(len(pick) - 1)
+            near = tree.may(0, x, x + 1)
+            visit(pick[x[near]], pick[x[near] + 1])
+            often = 2 * np.unpackbits(folded.view(np.uint8), axis=1).sum(0, dtype=np.int64) >= len(pick)
+            center = int(np.bitwise_count(folded & np.packbits(often).view(np.uint64)).sum(1).argmax())
+            x = np.delete(np.arange(len(pick)), center)
+            near = tree.may(0, np.full(len(x), center), x)
+            visit(np.full(int(near.sum()), pick[center]), pick[x[near]])
+            by = np.lexsort((sizes[pick], labels[pick]))
+            pick, folded = pick[by], folded[by]
+        tree = SignatureTree(folded, sizes[pick], labels[pick])
+        own = labels[pick]
+        for a, b in tree.pairs(own):
+            visit(pick[a], pick[b])
+            own[:] = labels[pick]
+    return links
+
+
+def _edges(schema_rows: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([x for x, _ in schema_rows], pa.int64()), "b": pa.array([y for _, y in schema_rows], pa.int64())})
+
+
+def _spans(*keys: np.ndarray):
+    """(lo, hi) of each run of equal keys."""
+    edge = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    return zip([0, *edge.tolist()], [*edge.tolist(), len(keys[0])], strict=True)
+
+
+def _candidates(members: DataFrame, maps: DataFrame, rows: int) -> DataFrame:
+    """(a, b) candidate links of each block of ``members`` (gid, block, name, n, root), by a signature tree a block."""
+    def run(table):
+        order = table.sort_by([("gid", "ascending"), ("block", "ascending")])
+        gid, block, name, n, root = (order.column(c).to_numpy() for c in ("gid", "block", "name", "n", "root"))
+        maps_ = [np.frombuffer(x.as_py(), np.uint64) for x in order.column("map")]
+        found = set()
+        for lo, hi in _spans(gid, block):
+            labels = np.unique(root[lo:hi], return_inverse=True)[1]
+            for i, j in search(n[lo:hi], maps_[lo:hi], labels):
+                a, b = int(name[lo + i]), int(name[lo + j])
+                found.add((min(a, b), max(a, b)))
+        return _edges(sorted(found))
+
+    # a task call takes several whole blocks
+    bundles = max(1, -(-rows // BUNDLE_ROWS))
+    bundled = members.join(maps, "name").withColumn("bundle", F.pmod(F.xxhash64("gid", "block"), F.lit(bundles)).cast("int"))
+    return bundled.groupBy("bundle").applyInArrow(run, "a long, b long").distinct()
+
+
+def _rooted(members: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``members`` with their roots, of those keys that have several."""
+    told = members.drop("root").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    several = told.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select(key, "m")
+    return cut(told.join(several, key))
+
+
+def _across(told: DataFrame, maps: DataFrame, most: int) -> DataFrame:
+    """(a, b) candidate links between blocks: a table of nodes (bounded groups of a group's sets of like size), joined by group and size where node bitmaps, sizes and roots allow a link."""
+    ranged = told.withColumn("r", F.floor(F.log("n") / float(np.log(OF / SHARE))).cast("int"))
+    parts = ranged.groupBy("gid", "r").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    placed = ranged.join(parts, ["gid", "r"]).withColumn("c", F.pmod(F.xxhash64("name", F.lit(9)), F.col("parts")).cast("int"))
+
+    def node(table):
+        import pyarrow as pa
 
-    At most two pairs a posting. Pairs that share less than half of what linked sets share at
-    least are left to the trees.
-    """
-    told = _rooted(postings, roots).withColumn("range", F.floor(F.log("n") / np.log(1.15) + 0.5 * nth).cast("int"))
-    order = Window.partitionBy("token", "range").orderBy(F.xxhash64("name", F.lit(nth)))
-    me = F.struct("name", "n", "root")
-    pairs = told.withColumns({"before": F.lag(me).over(order), "first": F.first(me).over(order)})
-    pairs = pairs.withColumn("o", F.explode(F.array_distinct(F.array_compact(F.array("before", "first"))))).where(F.col("o.root") != F.col("root"))
-    by = pairs.groupBy(F.least("name", "o.name").alias("a"), F.greatest("name", "o.name").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("n", "o.n")).alias("lo"), F.max(F.greatest("n", "o.n")).alias("hi"))
-    return by.where((OF * F.col("lo") >= SHARE * F.col("hi")) & (2 * F.col("m") >= _least_common(F.col("lo"), F.col("hi")))).select("a", "b")
-
-
-def _tree_join(postings: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs of different components that share a prefix token and that the signature trees let through."""
-    told = cut(_rooted(postings, roots))
-    shared = told.groupBy("name").agg(F.count(F.lit(1)).alias("shared"))
-    groups = told.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).cast("string").alias("s"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("x"))
-    # tokens with one and the same member list are one group
-    named = groups.select("token", F.xxhash64("s", "x", "m").alias("gid"), F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("blocks"))
-    first = named.groupBy("gid").agg(F.min("token").alias("token"), F.first("blocks").alias("blocks"))
-    rows = told.join(first, "token").select("gid", "blocks", "name", "n", "root").join(shared, "name")
-    own = F.pmod(F.xxhash64("name", F.lit(2)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).select("gid", "name", "n", "root", "shared", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("gid", "name", "n", "root", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # small groups are many: a task call takes a bundle of whole groups
-    bundles = max(1, -(-told.count() // BUNDLE_ROWS))
-    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(bundles)).cast("int"))
-
-    def each(pdf: pd.DataFrame):
-        """The group bounds of a bundle that is sorted by group."""
-        key = pdf[["gid", "i", "j"]].to_numpy()
-        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        return zip([0, *edge.tolist()], [*edge.tolist(), len(pdf)], strict=True)
-
-    def with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gid", "i", "j"])
-        n, root, shared = (pdf[c].to_numpy() for c in ("n", "root", "shared"))
-        return pdf[np.concatenate([feasible(n[lo:hi], root[lo:hi], shared[lo:hi]) for lo, hi in each(pdf)])]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gid", "i", "j"])
-        name, n, root, shared, maps_ = pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["shared"].to_numpy(), list(pdf["map"])
-        pairs = {(min(p), max(p)) for lo, hi in each(pdf) for p in tree_pairs(name[lo:hi], n[lo:hi], maps_[lo:hi], root[lo:hi], shared[lo:hi])}
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
-
-    left = cut(rows.groupBy("bundle").applyInPandas(with_partner, rows.schema))
-    return left.join(maps, "name").groupBy("bundle").applyInPandas(run, "a long, b long").distinct()
-
-
-def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        n, root = table.column("n").to_numpy(), table.column("root").to_numpy()
+        maps_ = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("map")]
+        words = min(len(m) for m in maps_)
+        folded = [fold(m, words) for m in maps_]
+        extra = max(int(k) - int(np.bitwise_count(f).sum()) for k, f in zip(n, folded, strict=True))
+        one = {"gid": table.column("gid")[:1], "r": table.column("r")[:1], "c": table.column("c")[:1]}
+        one |= {"words": [words], "signature": [np.bitwise_or.reduce(np.stack(folded), 0).tobytes()], "extra": [extra], "least": [int(n.min())], "most": [int(n.max())], "lo": [int(root.min())], "hi": [int(root.max())]}
+        return pa.table(one | {c: pa.array([table.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("name", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("map", pa.binary()))})
+
+    head = "gid long, r int, c int, words long, signature binary, extra long, least long, most long, lo long, hi long"
+    nodes = cut(placed.select("gid", "r", "c", "name", "n", "root").join(maps, "name").groupBy("gid", "r", "c").applyInArrow(node, f"{head}, name array<long>, n array<long>, root array<long>, map array<binary>"))
+    columns = [f.split()[0] for f in head.split(", ")]
+    x = nodes.select(*columns)
+    y = nodes.select("gid", *[F.col(c).alias(f"{c}_y") for c in columns[1:]])
+    y = y.withColumn("r", F.explode(F.array(F.col("r_y"), F.col("r_y") - 1)))
+    pairs = x.join(y, ["gid", "r"]).where("(r < r_y or c <= c_y) and not (lo = hi and lo_y = hi_y and lo = lo_y)").where(f"{OF} * most_y >= {SHARE} * least and {OF} * most >= {SHARE} * least_y")
+
+    def allowed(parts):
+        for pdf in parts:
+            ok = []
+            for p in pdf.itertuples():
+                words = min(p.words, p.words_y)
+                common = np.bitwise_count(fold(np.frombuffer(p.signature, np.uint64), words) & fold(np.frombuffer(p.signature_y, np.uint64), words)).sum()
+                # folding may add tokens beyond one a bit: all of a node's largest set, at worst
+                more = min(p.extra, p.extra_y) if p.words == p.words_y else min(p.most, p.most_y)
+                ok.append(_linked(min(int(common) + more, p.most, p.most_y), p.least, p.least_y))
+            yield pdf.loc[np.array(ok, bool), ["gid", "r", "c", "r_y", "c_y"]]
+
+    pairs = cut(pairs.select(*x.columns, *[c for c in y.columns if c.endswith("_y")]).mapInPandas(allowed, "gid long, r int, c int, r_y int, c_y int"))
+    body = ["name", "n", "root", "map"]
+    full = pairs.join(nodes.select("gid", "r", "c", *body), ["gid", "r", "c"])
+    full = full.join(nodes.select("gid", F.col("r").alias("r_y"), F.col("c").alias("c_y"), *[F.col(c).alias(f"{c}_y") for c in body]), ["gid", "r_y", "c_y"])
+
+    def meet(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                both = {n: (m, r, raw) for s in ("", "_y") for n, m, r, raw in zip(row[f"name{s}"], row[f"n{s}"], row[f"root{s}"], row[f"map{s}"], strict=True)}
+                name = list(both)
+                labels = np.unique([both[k][1] for k in name], return_inverse=True)[1]
+                got = search(np.array([both[k][0] for k in name]), [np.frombuffer(both[k][2], np.uint64) for k in name], labels)
+                yield from _edges([(name[i], name[j]) for i, j in got]).to_batches()
+
+    return full.select(*body, *[f"{c}_y" for c in body]).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _clusters(groups: DataFrame, maps: DataFrame, most: int) -> DataFrame:
+    """(name, root) of every set with a candidate link: no link leads out of a cluster."""
+    size, divided = groups.agg(F.sum(F.size("names")), F.max("divided")).first()
+    members = groups.select("gid", "block", "divided", F.explode(F.arrays_zip("names", "sizes")).alias("x")).select("gid", "block", "divided", F.col("x.names").alias("name"), F.col("x.sizes").alias("n"))
+    edges = cut(_candidates(members.withColumn("root", F.col("name")), maps, size or 0))
+    roots = components(edges)
+    if not divided:
+        return roots
+    split = members.where("divided").select("gid", "name", "n")
+    # the blocks of a divided group: dealt anew, then node by node
+    told = _rooted(split, roots, "gid").withColumn("block", F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("m") / most)))
+    edges = edges.unionByName(cut(_candidates(told, maps, told.count())))
+    told = _rooted(split, components(edges), "gid")
+    return components(edges.unionByName(cut(_across(told, maps, most))))
+
+
+def _wanted(docs: DataFrame, ths: DataFrame) -> DataFrame:
+    """(th, text): each wanted text once. A table of 2**WANTED_BITS bits keeps most others out before any text is shuffled; beyond that many the join does."""
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low("th").bitwiseAND(F.lit(63)).cast("int"))
+    bits = cut(ths.groupBy(F.shiftright(low("th"), 6).alias("w")).agg(F.bit_or(bit).alias("b")))  # at most 2**17 rows
+    some = docs.select(*_texts(docs)).withColumns({"w": F.shiftright(low("th"), 6), "bit": bit}).join(F.broadcast(bits), "w").where("b & bit <> 0")
+    return some.groupBy("th").agg(F.first("text").alias("text"))
+
+
+def _exact(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links inside each task key of ``placed`` (key, bundle, name, th, label), checked on whole sets."""
+    def run(table):
+        order = table.sort_by([("key", "ascending"), ("name", "ascending")])
+        key, name, label = (order.column(c).to_numpy() for c in ("key", "name", "label"))
+        sets = [s for _, some in _sets(order) for s in some]
+        found = []
+        for lo, hi in _spans(key):
+            own, n = sets[lo:hi], np.array([len(s) for s in sets[lo:hi]])
+            labels = np.unique(label[lo:hi], return_inverse=True)[1]
+
+            def check(i, j, own=own):
+                x, y = (own[i], own[j]) if len(own[i]) < len(own[j]) else (own[j], own[i])
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                return bool(_linked(int((y[at] == x).sum()), len(x), len(y)))
+
+            found += [(int(name[lo + i]), int(name[lo + j])) for i, j in search(n, [bitmap(s) for s in own], labels, check)]
+        return _edges(found)
+
+    return placed.join(texts, "th").select("key", "bundle", "name", "label", "text").groupBy("bundle").applyInArrow(run, "a long, b long").distinct()
+
+
+def _dealt(members: DataFrame, tokens: int, seed: int) -> DataFrame:
+    """``members`` (root, name, n, blocks, ..) with the task key of their cluster's block and a bundle of keys for a task call."""
+    block = F.pmod(F.xxhash64("name", F.lit(seed)), F.col("blocks"))
+    keyed = members.withColumn("block", block).withColumn("key", F.xxhash64("root", "block"))
+    return keyed.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-tokens // BLOCK_TOKENS)))).cast("int"))
+
+
+def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_tokens: int) -> DataFrame:
+    """(a, b) links, a forest of each component."""
+    members = clusters.join(sets, "name")
+    weights = members.groupBy("root").agg(F.ceil(F.sum("n") / block_tokens).alias("blocks"))
+    members = cut(members.join(weights, "root"))
+    tokens, most = members.agg(F.sum("n"), F.max("blocks")).first()
+    texts = _wanted(docs, members.select("th"))
+    links = cut(_exact(_dealt(members, tokens or 0, 0).withColumn("label", F.col("name")), texts))
+    if (most or 0) <= 1:
+        return links
+    # clusters too large for a task: dealt anew, then block by block
+    large = members.where("blocks > 1").withColumnRenamed("root", "cluster")
+    named = lambda told: told.withColumnRenamed("root", "label").withColumnRenamed("cluster", "root")
+    told = named(_rooted(large, components(links), "cluster"))
+    links = links.unionByName(cut(_exact(_dealt(told, told.agg(F.sum("n")).first()[0] or 0, 1), texts)))
+    told = named(_rooted(large, components(links), "cluster"))
+    last = cut(_dealt(told, 1, 1).drop("key", "bundle"))
+    heads = last.groupBy("root", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    other = heads.select("root", *[F.col(c).alias(f"{c}_y") for c in heads.columns[1:]])
+    pairs = heads.join(other, "root").where("block < block_y and not (lo = hi and lo_y = hi_y and lo = lo_y)").where(f"{OF} * most_y >= {SHARE} * least and {OF} * most >= {SHARE} * least_y")
+    sides = pairs.withColumn("key", F.xxhash64("root", "block", "block_y")).select("root", "key", F.explode(F.array("block", "block_y")).alias("block"))
+    met = last.join(sides, ["root", "block"])
+    # a key has at most two blocks, and a task call takes one key
+    met = met.withColumn("bundle", F.col("key"))
+    return links.unionByName(cut(_exact(met, texts)))
+
+
+def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(described documents with doc_id, n, name; (name, root) of the sets that have a link to another set)."""
     described = cut(_describe(docs))
     rows = described.where("kind = 0").select("doc_id", "n", "name")
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).first()[0] or 0
     parts = max(1, -(-int(entries) // ENTRIES_PER_PART))
-    postings = cut(_postings(_prefixes(docs, _order_classes(described), parts)))
+    groups = cut(_groups(_prefixes(docs, _order(_counts(described)), parts), group_rows))
+    release(docs.sparkSession)
+    sets = described.where("kind = 0 and n > 0").groupBy("name").agg(F.min("n").alias("n"), F.min("th").alias("th"))
+    used = groups.select(F.explode("names").alias("name")).distinct()
+    maps = described.where("kind = 0 and n > 0").select("name", F.col("blob").alias("map")).join(used, "name", "left_semi").dropDuplicates(["name"])
+    clusters = _clusters(groups, maps, group_rows)
     release(docs.sparkSession)
-    links = roots = None
-    for nth in range(ROUNDS):
-        more = cut(_check_pairs(docs, _linear_pairs(postings, roots, nth)))
-        links = more if links is None else links.unionByName(more)
-        roots = components(links)
-        release(docs.sparkSession)
-    maps = described.where("kind = 0 and n > 0").select("name", F.col("blob").alias("map")).join(postings.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
-    more = cut(_check_pairs(docs, _tree_join(postings, roots, maps)))
-    return rows, components(links.unionByName(more).distinct())
-
-
-def join(docs: DataFrame) -> DataFrame:
+    return rows, components(_links(docs, sets, clusters, block_tokens))
+
+
+def join(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Shingle count and component of every document.
 
+    ``group_rows`` and ``block_tokens`` bound what one task searches at once; the result is the
+    same for any.
+
     Defined cases: a null, empty or blank text has no shingles and links with nothing; fewer
     than five words are one shingle; equal sets are linked; repeated rows and repeated doc_ids
     each get a row; a document whose doc_id is null gets its component's smallest id, or null;
@@ -440,7 +568,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable).
     """
-    rows, roots = similarity_links(docs)
+    rows, roots = similarity_links(docs, group_rows, block_tokens)
     classes = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
     placed = classes.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
