@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of what no one refers to any more.
 
-    The cleaner acts on the driver's garbage collections, which come late on an idle driver.
+    The cleaner acts on the driver's garbage collections, which come late on an idle driver;
+    what a first one frees is what a second one finds unreferenced.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def n_words(text: Column) -> Column:

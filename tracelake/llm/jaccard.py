@@ -551,6 +551,7 @@ def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens
     used = groups.select(F.explode("names").alias("name")).distinct()
     maps = described.where("kind = 0 and n > 0").select("name", F.col("blob").alias("map")).join(used, "name", "left_semi").dropDuplicates(["name"])
     clusters = _clusters(groups, maps, group_rows)
+    del groups, used, maps
     release(docs.sparkSession)
     return rows, components(_links(docs, sets, clusters, block_tokens))
 
