@@ -81,6 +81,7 @@ def test_join_of_odd_rows(spark):
     assert kept.columns == df.columns
     ids = sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect())
     assert ids == sorted(map(str, [1, 3, 4, 5, 7, 9, 11, None]))
+    assert stages.dedup_stage(spark, df.where("false"), "").count() == 0
 
 
 @settings(max_examples=80, deadline=None)
@@ -217,3 +218,18 @@ def test_odd_conversations_round_trip(spark):
     span = whole[1]["loss_spans"][0]
     assert chat.unescape(whole[1]["formatted"][span["start"] : span["end"]]) == x and len(whole[1]["formatted"]) == got[1]["formatted_chars"]
     assert chat.chat_digests(df.where("false")).count() == 0
+
+
+def test_conversation_ids_beside_nulls_are_exact(spark):
+    df = spark.createDataFrame([(2**53 + 1, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r["conv_id"] for r in chat.chat_digests(df).collect()} == {2**53 + 1, None} == {r["conv_id"] for r in chat.format_chats(df).collect()}
+
+
+def test_dedup_of_null_and_repeated_ids(spark):
+    """Rows are told apart by id and text: near copies without an id go, and of two texts with one id only the head stays."""
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"z{k}"])
+    rows = [(1, near(1), 0), (None, near(2), 0), (None, "something else that stands quite alone here", 0), (5, near(3), 0), (5, "another lonely text with more than five words", 0), (1, near(1), 1), (1, near(1), 1), (None, None, 0), (None, "", 0), (7, " ", 0), (7, " ", 0)]
+    kept = stages.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(3), "")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect())
+    assert got == sorted((str(d), str(t)) for d, t in [(1, near(1)), (None, rows[2][1]), (5, rows[4][1]), (None, None), (None, ""), (7, " "), (7, " ")])

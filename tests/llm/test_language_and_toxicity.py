@@ -73,3 +73,76 @@ def test_stages_keep_columns_and_clean_documents(spark, docs, tiny):
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     clean = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi")
     assert calm.columns == docs.columns and calm.join(clean.select("doc_id"), "doc_id", "left_semi").count() >= 0.97 * clean.count()
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_beside_nulls_are_exact(spark, docs, tiny):
+    rows = spark.createDataFrame([(BIG, "ein kurzer Text"), (None, "another text"), (-BIG, None)], "doc_id long, text string").coalesce(1)
+    model = langid.fit(docs)
+    assert {r["doc_id"] for r in langid.predict(rows, model, ["doc_id"]).collect()} == {BIG, None, -BIG}
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    chain = toxicity.fit(toxicity.labelled(docs, labels), ["low_quality", "toxic"])
+    assert {r["doc_id"] for r in toxicity.predict(rows, chain, ["doc_id"]).collect()} == {BIG, None, -BIG}
+
+
+def test_every_language_is_learned(spark):
+    """200 languages, the common ones with many texts: each is in the model."""
+    rows = [(i, f"k{i % 200} " + "abc"[i % 3], f"l{i % 200:03}") for i in range(1000)] + [(2000 + i, f"viel {i}", "l000") for i in range(1500)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert len(model.languages) == 200 and model.weights.shape == (200, 200)
+
+
+def grams(text):
+    """The definition: letters of the lower-cased text and an end mark, other code points like that mark, n-grams of 1 to 3 with a letter."""
+    t = "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n].strip("\0")}
+
+
+def test_kernel_scores_equal_brute_force(spark):
+    """Kernels over sets of n-grams, K_mm ** -1/2 and ridge regression written out over the same texts."""
+    import numpy as np
+
+    words = {"a": "der die das und nicht ist ein Haus", "b": "the and not is a house of some", "c": "le la les et pas est une maison"}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[k].split(), 6)), k) for i, k in enumerate("abc" * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=5, landmarks=9, ridge=0.1)
+    keyed = sorted((r["lang"], r["key"], r["text"]) for r in df.select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).collect())
+    sample = [t for k in "abc" for t in [r[2] for r in keyed if r[0] == k][:5]]
+    marks = [t for i, t in enumerate(sample) if i % 5 < 3]
+    k = lambda x, y: len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y)))
+    k_mm, k_nm = (np.array([[k(x, y) for y in marks] for x in xs]) for xs in (marks, sample))
+    values, vectors = np.linalg.eigh(k_mm)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    phi = k_nm @ root
+    dual = np.linalg.solve(phi.T @ phi / 5 + 0.1 / 15 * np.eye(9), phi.T @ np.repeat(np.eye(3), 5, 0) / 5)
+    new = ["das Haus ist nicht", "not a house", "la maison et le Haus", "house"]
+    want = np.array([[k(x, y) for y in marks] for x in new]) @ root @ dual
+    told, scores = model.predict(new)
+    # n-grams that share one of 2**14 bins move a kernel value by little
+    assert told == [model.languages[i] for i in want.argmax(1)] and np.abs(scores - np.clip(want.max(1), 0, 1)).max() < 0.03
+
+
+def test_chain_equals_its_definition():
+    """Two logistic models by plain gradient steps, the second fed with out-of-fold probabilities, reach the same coefficients."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.ones((90, 1)), rng.normal(size=(90, 4))], 1).astype(np.float32)
+    y = (x @ [0.2, 1, -1, 0.5, 0] + rng.normal(size=90) > 0).astype(float)
+    use = np.arange(90) % 3 != 0
+    w, z = np.zeros(5), x[use].astype(float)
+    pen = np.array([0, 1, 1, 1, 1]) * 0.05
+    for _ in range(20000):
+        w -= 0.2 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y[use]) / use.sum() + pen * w)
+    assert np.allclose(toxicity._logistic(x, y, use, ridge=0.05, steps=600), w, atol=2e-3)
+
+
+def test_stages_keep_clashing_columns(spark, docs, tiny):
+    odd = docs.limit(80).withColumns({c: F.lit("mine") for c in ("score", "lang_pred", "p_toxic", "p_low_quality", "text_", "head", "nth", "id")}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    for stage in (stages.language_stage, stages.toxicity_stage, stages.dedup_stage):
+        kept = stage(spark, odd, tiny)
+        assert kept.columns == odd.columns
+        assert {tuple(r) for r in kept.select("score", "lang_pred", "p_toxic", "p_low_quality", "text_", "head", "nth", "id").distinct().collect()} == {("mine",) * 8}

@@ -20,7 +20,6 @@ import operator
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -405,9 +404,9 @@ def _conversations(batches) -> Iterator[tuple[int | None, Iterator[dict]]]:
     """Consecutive rows of one conv_id, as a lazy iterator of messages."""
     import itertools
 
-    rows = (r for pdf in batches for r in zip(pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None), pdf["role"], pdf["text"], strict=True))
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True))
     for conv, group in itertools.groupby(rows, key=lambda r: r[0]):
-        yield (None if conv is None else int(conv)), ({"role": "" if r[1] is None else r[1], "text": "" if r[2] is None else r[2]} for r in group)
+        yield conv, ({"role": r[1] or "", "text": r[2] or ""} for r in group)
 
 
 def _arranged(conversations: DataFrame) -> DataFrame:
@@ -423,6 +422,8 @@ def format_chats(conversations: DataFrame, template: str = CHATML) -> DataFrame:
     are all kept, an empty table gives an empty result, other columns are ignored.
     """
     def run(batches):
+        import pyarrow as pa
+
         render = compile_template(template)
         for conv, messages in _conversations(batches):
             out, spans, at = [], [], 0
@@ -431,9 +432,10 @@ def format_chats(conversations: DataFrame, template: str = CHATML) -> DataFrame:
                     spans.append({"start": at, "end": at + len(text)})
                 out.append(text)
                 at += len(text)
-            yield pd.DataFrame({"conv_id": pd.array([conv], dtype="Int64"), "formatted": ["".join(out)], "loss_spans": [spans]})
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array(["".join(out)], pa.string()), pa.array([spans], pa.list_(span))], names=["conv_id", "formatted", "loss_spans"])
 
-    return _arranged(conversations).mapInPandas(run, TEXT)
+    return _arranged(conversations).mapInArrow(run, TEXT)
 
 
 def chat_digests(conversations: DataFrame, template: str = CHATML, batch: int = 2000) -> DataFrame:
@@ -442,10 +444,13 @@ def chat_digests(conversations: DataFrame, template: str = CHATML, batch: int =
     Same defined cases as format_chats(); the memory used is that of one turn, so one
     conversation may hold a third of all rows.
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    fields = [f.split() for f in DIGEST.split(", ")]
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        import pyarrow as pa
+
+        kinds = {"long": pa.int64(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
     def run(batches):
         render, rows = compile_template(template), []
@@ -460,4 +465,4 @@ def chat_digests(conversations: DataFrame, template: str = CHATML, batch: int =
         if rows:
             yield frame(rows)
 
-    return _arranged(conversations).mapInPandas(run, DIGEST)
+    return _arranged(conversations).mapInArrow(run, DIGEST)

@@ -540,9 +540,9 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_tokens:
 
 
 def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(described documents with doc_id, n, name; (name, root) of the sets that have a link to another set)."""
+    """(described documents with doc_id, th, n, name; (name, root) of the sets that have a link to another set)."""
     described = cut(_describe(docs))
-    rows = described.where("kind = 0").select("doc_id", "n", "name")
+    rows = described.where("kind = 0").select("doc_id", "th", "n", "name")
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).first()[0] or 0
     parts = max(1, -(-int(entries) // ENTRIES_PER_PART))
     groups = cut(_groups(_prefixes(docs, _order(_counts(described)), parts), group_rows))
@@ -553,7 +553,27 @@ def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens
     clusters = _clusters(groups, maps, group_rows)
     del groups, used, maps
     release(docs.sparkSession)
-    return rows, components(_links(docs, sets, clusters, block_tokens))
+    roots = components(_links(docs, sets, clusters, block_tokens))
+    release(docs.sparkSession)
+    return rows, roots
+
+
+def _classes(rows: DataFrame, roots: DataFrame, least) -> DataFrame:
+    """(name, root, least) of each distinct set: its component and its rows' smallest ``least``."""
+    classes = rows.where("n > 0").groupBy("name").agg(F.min(least).alias("least"))
+    return classes.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def representatives(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row a component: the smallest doc_id (nulls last) and, of its texts, the smallest 64-bit hash.
+
+    The same defined cases as join(); documents without words have no row.
+
+    Returns absent (whether the id is null), id (0 if null), th (xxhash64 of the text).
+    """
+    rows, roots = similarity_links(docs, group_rows, block_tokens)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
+    return _classes(rows, roots, key).groupBy("root").agg(F.min("least").alias("head")).select("head.*")
 
 
 def join(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -570,9 +590,8 @@ def join(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOC
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable).
     """
     rows, roots = similarity_links(docs, group_rows, block_tokens)
-    classes = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
-    placed = classes.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    placed = _classes(rows, roots, F.col("doc_id"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select(F.col("name").alias("c"), "component_id")
     out = rows.join(named, (F.col("name") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

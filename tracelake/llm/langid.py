@@ -12,11 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .textbytes import code_points, letters, mix
 
 BINS = 1 << 14
@@ -24,7 +23,6 @@ GRAMS = (1, 2, 3)
 #: Bounds of the fitted sample: texts a language, and landmarks in all.
 SAMPLE, LANDMARKS, RIDGE = 300, 128, 0.1
 BATCH_CHARS = 1 << 21
-FEW_LANGUAGES = 10_000
 
 
 def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
@@ -48,7 +46,7 @@ def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
     return np.bincount(row[is_letter], minlength=len(texts)) > 0
 
 
-def batches(texts: list[str]):
+def _batches(texts: list[str]):
     """Ranges of texts whose presence matrix and temporaries stay small."""
     lo = 0
     while lo < len(texts):
@@ -69,7 +67,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
         plain = [t or "" for t in texts]
-        for lo, hi in batches(plain):
+        for lo, hi in _batches(plain):
             x = np.zeros((hi - lo, BINS), np.float32)
             some = presence(plain[lo:hi], x)
             if not self.languages:
@@ -93,67 +91,77 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
     """A model from (text, lang) rows; rows without a lang or without a letter teach nothing.
 
     Fitted on at most ``per_language`` texts of each language, those with the smallest hash of
-    (doc_id, text). The sample reaches the driver as n-gram bin sets of at most 32 kB each.
+    (doc_id, text); every language is learned. The sample reaches the driver a language after
+    the other, as n-gram bin sets of at most 32 kB each, and is kept as kernel values against
+    the landmarks: ``landmarks`` doubles a text.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    # a hash threshold keeps the candidates of the largest language few before any row is compared
-    rate = (F.lit(3.0 * per_language + 50) / F.col("n")).alias("rate")
-    rates = sizes.select(F.col("lang").alias("l"), rate)
-    # one row a language: broadcast if they are few, so that texts aren't shuffled by language
-    rates = F.broadcast(rates) if sizes.count() <= FEW_LANGUAGES else rates
-    some = rows.join(rates, F.col("lang") == F.col("l")).where((F.col("key") / F.lit(2.0**64) + 0.5) <= F.col("rate"))
-
-    def bins(parts):
-        for pdf in parts:
-            got = []
-            texts = list(pdf["text"])
-            for lo, hi in batches(texts):
+    # a hash threshold keeps the candidates of each language few before any row is compared
+    sizes = rows.groupBy(F.col("lang").alias("l")).agg((F.lit(3.0 * per_language + 50) / F.count(F.lit(1))).alias("rate"))
+    some = rows.join(sizes, F.col("lang") == F.col("l")).where((F.col("key") / F.lit(2.0**64) + 0.5) <= F.col("rate"))
+
+    def bins(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, got = batch.column("text").to_pylist(), []
+            for lo, hi in _batches(texts):
                 x = np.zeros((hi - lo, BINS), np.uint8)
                 ok = presence(texts[lo:hi], x)
                 got += [np.flatnonzero(r).astype(np.uint16).tobytes() if o else b"" for r, o in zip(x, ok, strict=True)]
-            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"], "bins": got})
-
-    sets = some.select("lang", "text", "key").mapInPandas(bins, "lang string, key long, bins binary").where(F.length("bins") > 0)
-    got: dict[str, list] = {}
-    for r in sets.orderBy("key").limit(100_000).toLocalIterator():
-        if len(mine := got.setdefault(r["lang"], [])) < per_language:
-            mine.append(np.frombuffer(bytes(r["bins"]), np.uint16))
-    languages = sorted(got)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(got, pa.binary())], names=["lang", "key", "bins"])
+
+    sets = some.select("lang", "text", "key").mapInArrow(bins, "lang string, key long, bins binary").where(F.length("bins") > 0)
+    order = Window.partitionBy("lang").orderBy("key", "bins")
+    sets = cut(sets.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language))
+    languages = sorted(r["lang"] for r in sets.select("lang").distinct().toLocalIterator())
     if not languages:
         return LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros((0, 0), np.float32))
     each = max(1, landmarks // len(languages))
-    dense = lambda sets: np.stack([_unit(s) for s in sets]).astype(np.float32)
-    marks = dense([s for lang in languages for s in got[lang][:each]])
-    x, y = dense([s for lang in languages for s in got[lang]]), np.concatenate([np.full(len(got[lang]), i) for i, lang in enumerate(languages)])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))  # Nyström: K_mm ** -1/2
-    phi = (x @ marks.T).astype(np.float64) @ root
-    # every language counts alike, however many texts it has
-    w = (1 / np.bincount(y))[y]
-    dual = np.linalg.solve(phi.T @ (phi * w[:, None]) + ridge / len(y) * np.eye(len(marks)), phi.T @ (np.eye(len(languages))[y] * w[:, None]))
-    return LanguageModel(languages, np.ascontiguousarray(marks.T), (root @ dual).astype(np.float32))
-
-
-def _unit(bins: np.ndarray) -> np.ndarray:
-    v = np.zeros(BINS, np.float32)
-    v[bins] = 1 / np.sqrt(len(bins))
+    marks = np.stack([_unit(r["bins"]) for r in sets.where(F.col("nth") <= each).orderBy("lang", "nth").toLocalIterator()])
+    kernel, y = [], []
+    for r in sets.orderBy("lang", "nth").toLocalIterator():
+        own = np.frombuffer(bytes(r["bins"]), np.uint16)
+        kernel.append(marks[:, own].sum(1, dtype=np.float64) / np.sqrt(len(own)))
+        y.append(r["lang"])
+    y = np.searchsorted(np.array(languages), np.array(y))
+    return LanguageModel(languages, np.ascontiguousarray(marks.T), kernel_ridge((marks @ marks.T).astype(np.float64), np.array(kernel), y, len(languages), ridge))
+
+
+def kernel_ridge(k_mm: np.ndarray, k_nm: np.ndarray, y: np.ndarray, languages: int, ridge: float) -> np.ndarray:
+    """Weights on kernel values against the landmarks, one column a language.
+
+    Nyström features are k_nm K_mm ** -1/2; on them each language is fitted against the rest by
+    ridge regression. Every language counts alike, however many texts it has.
+    """
+    values, vectors = np.linalg.eigh(k_mm)
+    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
+    phi, w = k_nm @ root, (1 / np.bincount(y, minlength=languages))[y]
+    dual = np.linalg.solve(phi.T @ (phi * w[:, None]) + ridge / len(y) * np.eye(len(k_mm)), phi.T @ (np.eye(languages)[y] * w[:, None]))
+    return (root @ dual).astype(np.float32)
+
+
+def _unit(bins: bytes) -> np.ndarray:
+    """A landmark's column: 1 / sqrt(n) at its n bins."""
+    at, v = np.frombuffer(bytes(bins), np.uint16), np.zeros(BINS, np.float32)
+    v[at] = 1 / np.sqrt(len(at))
     return v
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred and score of every whole text; und where text is null or has no letter."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, unchanged, and language and score of every whole text under ``names``; und where text is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BINS x LANDMARKS floats
+    (text,) = fresh([*keep, *names], "text")
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(parts):
-        for pdf in parts:
-            names, scores = shared.value.predict(list(pdf["text__"]))
-            out = pdf.drop(columns="text__")
-            out["lang_pred"], out["score"] = names, scores.astype(float)
-            yield out
+        for batch in batches:
+            told, scores = shared.value.predict(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(told, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    kept = docs.select(*keep, F.col("text").alias("text__"))
-    return kept.mapInPandas(run, kept.drop("text__").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    kept = docs.select(*keep, F.col("text").alias(text))
+    return kept.mapInArrow(run, kept.drop(text).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -8,10 +8,8 @@ each group is packed on its own, which costs at most one unfilled sequence a gro
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +40,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def pieces(docs: DataFrame, name: str = VOCABULARY, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document's ids and a last ``end_id``; longer documents are cut at multiples of ``limit``."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         encode = encoder(vocabulary_path(name)).encode_bytes
         end, step, seen = int(end_id).to_bytes(4, "little"), 4 * limit, 0
-        for pdf in parts:
-            texts, ids = [t or "" for t in pdf["text"]], pdf["doc_id"].tolist()
+        for batch in batches:
+            texts, ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
             lo = 0
             while lo < len(texts):
                 hi, chars = lo, 0
@@ -54,14 +54,15 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, limit: int = LIMIT, end_id:
                     chars += len(texts[hi])
                     hi += 1
                 rows = []
-                for doc, own in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
+                for i, own in enumerate(encode(texts[lo:hi]), lo):
                     own += end
-                    rows += [(doc, k // step, k // 4, min(step, len(own) - k) // 4, zlib.crc32(own[k : k + step]), seen) for k in range(0, len(own), step)]
+                    rows += [(i, k // step, k // 4, min(step, len(own) - k) // 4, zlib.crc32(own[k : k + step]), seen) for k in range(0, len(own), step)]
                     seen += 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"]).astype({"doc_id": "Int64"})
+                at, piece, start, length, crc, nth = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, nth))], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
                 lo = hi
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +134,12 @@ def pack(docs: DataFrame, name: str = VOCABULARY, limit: int = LIMIT, end_id: in
     groups = max(1, -(-docs.count() // group_rows))
     rows = pieces(docs, name, limit, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(groups)).cast("int"))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "nth"], kind="stable")
-        bins, offsets = best_two_fit(pdf["length"].to_numpy(), limit)
-        return pdf.assign(sequence_id=(pdf["group"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets).drop(columns=["nth", "group"])
+    def place(table):
+        import pyarrow as pa
+
+        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "nth")])
+        bins, offsets = best_two_fit(table.column("length").to_numpy(), limit)
+        kept = [table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+        return pa.table([*kept, pa.array((table.column("group").to_numpy().astype(np.int64) << 32) + bins), pa.array(offsets)], names=[f.split()[0] for f in PLACES.split(", ")])
 
-    return rows.groupBy("group").applyInPandas(place, PLACES)
+    return rows.groupBy("group").applyInArrow(place, PLACES)

@@ -9,11 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, packing, toxicity
-from .common import cut, table
+from .common import WORD, fresh, release, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A text is rejected as no language if no language reaches this score.
@@ -21,27 +21,48 @@ LEAST_SCORE = 0.15
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those that are ``und`` or score below LEAST_SCORE go."""
+    """Documents in a known language: those that are ``und`` or score below LEAST_SCORE go.
+
+    Null, empty and letterless texts go; a null lang teaches nothing, and with nothing to learn
+    from all go; repeated rows are each judged; an empty table stays empty; columns of any name
+    are handed on as they were.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, model, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    told = langid.predict(docs, model, docs.columns, (lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic; it learns from the labels table."""
+    """Documents that the classifier chain doesn't call toxic; it learns from the labels table.
+
+    A null or empty text stays; without labels all stay; repeated rows are each judged; an empty
+    table stays empty; columns of any name are handed on as they were.
+    """
     chain = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
-    return toxicity.predict(docs, chain, docs.columns).where(F.col("p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    names = fresh(docs.columns, "p_low_quality", "p_toxic")
+    return toxicity.predict(docs, chain, docs.columns, names).where(F.col(names[1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Documents without words are in no group and stay. Rows that share the smallest doc_id
-    are told apart by their whole row; of identical rows one stays.
+    Null ids come last; of rows with one id the one with the smallest 64-bit hash of its text
+    stays, and of rows alike in both the one with the smallest hash of its other columns.
+    Documents without words are in no group and all stay; an empty table stays empty; columns
+    of any name and kind are handed on.
     """
-    found = jaccard.join(docs)
-    heads = cut(found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("head")).distinct())
-    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("head")), "left_semi")
-    return kept.dropDuplicates()
+    keys = ("absent", "id", "th")
+    absent, key, th, nth = fresh(docs.columns, *keys, "nth")
+    heads = jaccard.representatives(docs).select(*[F.col(k).alias(c) for k, c in zip(keys, (absent, key, th), strict=True)])
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    worded = text.rlike(WORD)
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("a"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])))
+    # rows alike are reduced in each task before anything is shuffled; heads meet the same partitions
+    order = Window.partitionBy(absent, key, th).orderBy(rest)
+    keyed = docs.where(worded).withColumns({absent: doc_id.isNull(), key: F.coalesce(doc_id, F.lit(0)), th: F.xxhash64(text)})
+    kept = keyed.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).join(heads, [absent, key, th], "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +79,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def run_stages(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: list[tuple[str, Stage]]) -> DataFrame:
     """The last stage's result; each stage's is written as Parquet in the shared folder and read as the next one's input."""
-    cut(spark.range(1))  # sets a checkpoint folder where the session names none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(stages):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        release(spark)
     return docs

@@ -12,10 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh
 from .textbytes import P, code_points, letters, mix, span_hashes
 
 BINS = 1 << 18
@@ -82,19 +82,20 @@ class Chain:
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
-    """Ridge logistic regression with an intercept in column 0, by accelerated gradient steps."""
-    y = y.astype(np.float32)
+def _logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Ridge logistic regression on the rows in ``use``, with an intercept in column 0, by accelerated gradient steps."""
+    y, use = y.astype(np.float32), use.astype(np.float32)
+    n = np.float32(max(1, use.sum()))
     w = v = np.zeros(x.shape[1], np.float32)
     pen = np.full(x.shape[1], ridge, np.float32)
     pen[0] = 0
     u = np.ones(x.shape[1], np.float32)
     for _ in range(25):  # largest curvature, by power iteration, which comes near it from below
-        u = (x @ u) @ x
+        u = ((x @ u) * use) @ x
         u /= np.linalg.norm(u) or 1
-    rate = np.float32(1 / (0.3 * np.linalg.norm(x @ u) ** 2 / len(y) + ridge))
+    rate = np.float32(1 / (0.3 * np.linalg.norm((x @ u) * use) ** 2 / n + ridge))
     for k in range(steps):
-        g = (sigmoid(x @ v) - y) @ x / np.float32(len(y)) + pen * v
+        g = ((sigmoid(x @ v) - y) * use).astype(np.float32) @ x / n + pen * v
         w, old = v - rate * g, w
         v = w + np.float32(k / (k + 3)) * (w - old)
     return w
@@ -103,99 +104,131 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = S
 def fit(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, columns: int = COLUMNS) -> Chain:
     """A chain from rows of doc_id, text and one 0/1 column a category, in that order.
 
-    Fitted on at most ``sample`` rows, those with the smallest hash of (doc_id, text); rows
-    with a null text or a null label teach nothing. The sample reaches the driver as feature
-    counts in bounded batches.
+    Fitted on at most about ``sample`` rows, those with the smallest hash of (doc_id, text); rows
+    with a null text or a null label teach nothing. Columns are chosen by counts that tasks sum
+    up; of the sample only its values in the chosen columns reach the driver.
     """
     ok = F.col("text").isNotNull()
     for c in categories:
         ok = ok & F.col(c).isNotNull()
-    rows = labelled.where(ok).select("text", F.xxhash64("doc_id", "text").alias("key"), *[F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories)])
-    total = rows.count()
-    empty = Chain(categories, [np.zeros(BINS)] * len(categories), [np.concatenate(([-20.0], np.zeros(k))) for k in range(len(categories))])
-    if not total:
-        return empty
-    rate = min(1.0, sample / total)
     names = [f"y{k}" for k in range(len(categories))]
-
-    def features(parts):
-        for pdf in parts:
-            texts = list(pdf["text"])
-            for lo, hi in _ranges(texts):
-                row, col, n, runs = counts(texts[lo:hi])
-                cut = np.searchsorted(row, np.arange(1, hi - lo))
-                part = pdf.iloc[lo:hi]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "runs": runs, "cols": [c.astype(np.int32).tobytes() for c in np.split(col, cut)], "ns": [c.astype(np.int32).tobytes() for c in np.split(n, cut)]} | {c: part[c].to_numpy() for c in names})
-
-    schema = "key long, runs long, cols binary, ns binary, " + ", ".join(f"{c} int" for c in names)
-    part = rows.where((F.col("key") / F.lit(2.0**64) + 0.5) <= rate).mapInPandas(features, schema)
-    got = sorted(((r["key"], r["runs"], np.frombuffer(bytes(r["cols"]), np.int32), np.frombuffer(bytes(r["ns"]), np.int32), *[r[c] for c in names]) for r in part.toLocalIterator()), key=lambda r: r[0])
-    if not got:
-        return empty
-    row = np.repeat(np.arange(len(got)), [len(r[2]) for r in got])
-    col, n = np.concatenate([r[2] for r in got]), np.concatenate([r[3] for r in got])
-    runs = np.array([r[1] for r in got])
-    v = _weight(n, runs[row])
-    fold = np.arange(len(got)) % FOLDS
-    earlier = np.zeros((len(got), 0))
+    rows = labelled.where(ok).select("text", F.xxhash64("doc_id", "text").alias("key"), *[F.col(c).cast("int").alias(y) for c, y in zip(categories, names, strict=True)])
+    total = rows.count()
+    # a cut of the hash, so nothing is ordered or gathered; about ``sample`` rows pass
+    some = cut(rows.where((F.col("key") / F.lit(2.0**64) + 0.5) <= min(1.0, sample / max(1, total))))
+    sums = some.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).first()
+    if not sums["n"]:
+        return Chain(categories, [np.zeros(BINS)] * len(categories), [np.concatenate(([-20.0], np.zeros(k))) for k in range(len(categories))])
+    used = _associated(_present(some, names), names, sums, columns)
+    got = _features(some, names, used)
+    fold = np.arange(len(got["key"])) % FOLDS
+    earlier = np.zeros((len(fold), 0), np.float32)
     chain = Chain(categories, [], [])
-    for k in range(len(categories)):
-        y = np.array([r[4 + k] for r in got], float)
+    for k, y in enumerate(got[c] for c in names):
         if y.min() == y.max():  # one class only
             chain.bins.append(np.zeros(BINS))
             chain.rest.append(np.concatenate(([20.0 if y[0] else -20.0], np.zeros(k))))
-            earlier = np.column_stack([earlier, np.full(len(got), y[0])])
+            earlier = np.column_stack([earlier, y.astype(np.float32)])
             continue
-        used = _associated(row, col, y, columns)
-        place = np.full(BINS, -1)
-        place[used] = np.arange(len(used))
-        x = np.zeros((len(got), 1 + k + len(used)), np.float32)
+        x = np.zeros((len(fold), 1 + k + len(used[k])), np.float32)
         x[:, 0] = 1
         x[:, 1 : 1 + k] = earlier
-        hit = place[col] >= 0
-        x[row[hit], 1 + k + place[col[hit]]] = v[hit]
-        w = _logistic(x, y)
+        for i, (col, value) in enumerate(zip(got["cols"], got["values"], strict=True)):
+            at = np.searchsorted(used[k], col)
+            hit = at < len(used[k])
+            hit[hit] = used[k][at[hit]] == col[hit]
+            x[i, 1 + k + at[hit]] = value[hit]
+        w = _logistic(x, y, np.ones(len(fold), bool))
         bins = np.zeros(BINS)
-        bins[used] = w[1 + k :]
+        bins[used[k]] = w[1 + k :]
         chain.bins.append(bins)
         chain.rest.append(w[: 1 + k])
         if k + 1 < len(categories):
-            out = np.zeros(len(got))
+            out = np.zeros(len(fold), np.float32)
             for f in range(FOLDS):
                 here = fold == f
-                out[here] = x[here] @ _logistic(x[~here], y[~here])
+                out[here] = (x @ _logistic(x, y, ~here))[here]
             earlier = np.column_stack([earlier, sigmoid(out)])
+        del x
     return chain
 
 
-def _associated(row, col, y, columns: int) -> np.ndarray:
-    """The bins whose presence is most associated with the label (signed root of the chi-square statistic)."""
-    a = np.bincount(col, weights=y[row], minlength=BINS)
-    n = np.bincount(col, minlength=BINS)
-    p = y.mean()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        score = np.where(n >= 3, np.abs(a - n * p) / np.sqrt(n * p * (1 - p) + 1e-9), 0)
-    used = np.argsort(-score, kind="stable")[:columns]
-    return np.sort(used[score[used] > 0])
+def _present(some: DataFrame, names: list[str]) -> DataFrame:
+    """(bin, n, one sum a category): in how many sample texts a bin occurs, and in how many of each category's; summed in tasks first."""
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((1 + len(names), BINS), np.int64)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            labels = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            for lo, hi in _ranges(texts):
+                row, col, _, _ = counts(texts[lo:hi])
+                total[0] += np.bincount(col, minlength=BINS)
+                for k, y in enumerate(labels):
+                    total[1 + k] += np.bincount(col[y[lo:hi][row] == 1], minlength=BINS)
+        bins = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(bins), *(pa.array(t[bins]) for t in total)], names=["bin", "n", *names])
+
+    parts = some.mapInArrow(run, "bin long, n long, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy("bin").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+
+
+def _associated(present: DataFrame, names: list[str], sums, columns: int) -> list[np.ndarray]:
+    """For each category the bins whose presence is most associated with its label (signed root of the chi-square statistic)."""
+    told, out = cut(present), []
+    for c in names:
+        p = sums[c] / sums["n"]
+        score = F.abs(F.col(c) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) + 1e-9)
+        best = told.where("n >= 3").select("bin", F.round(score, 9).alias("score")).where("score > 0").orderBy(F.desc("score"), "bin").limit(columns)
+        out.append(np.sort(np.array([r["bin"] for r in best.collect()], np.int64)))  # ``columns`` rows
+    return out
+
+
+def _features(some: DataFrame, names: list[str], used: list[np.ndarray]) -> dict:
+    """The sample in order of its hash: key, labels, and of each text the chosen bins and their values."""
+    chosen = np.zeros(BINS, bool)
+    for u in used:
+        chosen[u] = True
+    shared = some.sparkSession.sparkContext.broadcast(chosen)  # bounded: BINS bytes
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, cols, values = batch.column("text").to_pylist(), [], []
+            for lo, hi in _ranges(texts):
+                row, col, n, runs = counts(texts[lo:hi])
+                keep = shared.value[col]
+                v = _weight(n[keep], runs[row[keep]]).astype(np.float32)
+                at = np.searchsorted(row[keep], np.arange(1, hi - lo))
+                cols += [c.astype(np.int32).tobytes() for c in np.split(col[keep], at)]
+                values += [x.tobytes() for x in np.split(v, at)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in names), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], names=["key", *names, "cols", "values"])
 
+    told = some.mapInArrow(run, "key long, " + ", ".join(f"{c} int" for c in names) + ", cols binary, values binary")
+    got = sorted(((r["key"], *[r[c] for c in names], bytes(r["cols"]), bytes(r["values"])) for r in told.toLocalIterator()))
+    out = {c: np.array([r[i] for r in got]) for i, c in enumerate(["key", *names])}
+    return out | {"cols": [np.frombuffer(r[-2], np.int32) for r in got], "values": [np.frombuffer(r[-1], np.float32) for r in got]}
 
-def predict(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
-    """``keep`` columns with a probability p_<category> of every whole text; a null text counts as empty."""
+
+def predict(docs: DataFrame, chain: Chain, keep: list[str], names: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, unchanged, with a probability of every whole text for each category, p_<category> if not named otherwise; a null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # bounded: BINS floats a category
-    names = [f"p_{c}" for c in chain.categories]
+    names = names or [f"p_{c}" for c in chain.categories]
+    (text,) = fresh([*keep, *names], "text")
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(parts):
-        for pdf in parts:
-            texts = [t or "" for t in pdf["text__"]]
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             got = [shared.value.logits(*counts(texts[lo:hi])) for lo, hi in _ranges(texts)]
-            z = np.concatenate(got) if got else np.zeros((0, len(names)))
-            out = pdf.drop(columns="text__")
-            for k, name in enumerate(names):
-                out[name] = sigmoid(z[:, k])
-            yield out
-
-    kept = docs.select(*keep, F.col("text").alias("text__"))
-    return kept.mapInPandas(run, kept.drop("text__").withColumns({n: F.lit(0.0) for n in names}).schema)
+            p = sigmoid(np.concatenate(got)) if got else np.zeros((0, len(names)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names=[*keep, *names])
+
+    kept = docs.select(*keep, F.col("text").alias(text))
+    return kept.mapInArrow(run, kept.drop(text).withColumns({n: F.lit(0.0) for n in names}).schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
