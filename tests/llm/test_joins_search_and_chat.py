@@ -154,6 +154,17 @@ def test_search_of_odd_rows(spark):
     assert ann.search(v.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 7, 384])
+def test_equal_vectors_rank_by_id(spark, width):
+    """37 equal vectors and some others: equal scores, smaller ids first, at any width and over several blocks."""
+    rng = np.random.default_rng(width)
+    same = rng.normal(size=width).tolist()
+    rows = [(i, same) for i in range(38)] + [(100 + i, (-1 * np.abs(rng.normal(size=width)) * np.sign(same)).tolist()) for i in range(30)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(v, F.col("vec_id") % 20 == 0, block=16, query_block=2).where("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and len({r["score"] for r in got}) == 1
+
+
 def test_codes_weigh_the_parallel_error():
     x = np.random.default_rng(0).normal(size=(2000, 16))
     book = ann.fit_codebook(x)

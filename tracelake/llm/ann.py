@@ -6,9 +6,11 @@ rest, because that part is what moves large inner products. A query scans a bloc
 table lookups (two codewords a byte-wide table) and the best survivors are scored again on
 the original vectors in double precision.
 
-Spark plan: vectors are dealt to blocks of bounded size, queries to bounded blocks too; each
-pair of blocks is one co-group task, so neither side is broadcast and memory stays bounded
-however many rows there are. Only (query, candidate, score) survivors of a block meet again.
+Spark plan: codes are dealt to blocks of bounded size, queries to bounded blocks too; each pair
+of blocks is one co-group task, so neither side is broadcast and memory stays bounded however
+many rows there are. Only codes travel to the scans, a byte for two components. Of a query's
+survivors in all blocks the best RERANK by scanned score meet their original vectors in a join.
+Every query meets every code: the scan's work grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the fitting sample, candidates a block, queries a block.
-SAMPLE, BLOCK, QUERY_BLOCK = 8192, 8192, 2048
+SAMPLE, BLOCK, QUERY_BLOCK = 8192, 16_384, 2048
 #: The loss treats inner products above this share of the vector's length as those that matter.
 THRESHOLD = 0.2
 SUBDIM, CODES, ROUNDS = 2, 16, 4
-#: Candidates of a block that are scored exactly for each query, at least.
-RERANK = 160
+#: Candidates that are scored exactly for each query.
+RERANK = 320
 
 
 @dataclass
@@ -151,22 +153,23 @@ def _search(rows: DataFrame, n: int, is_query, k: int, rerank: int, block: int,
     def encode(parts):
         for pdf in parts:
             if len(pdf):
-                yield pdf.assign(code=[c.tobytes() for c in book.value.encode(_matrix(pdf["embedding"]))])
+                yield pdf[["vec_id"]].assign(code=[c.tobytes() for c in book.value.encode(_matrix(pdf["embedding"]))])
 
-    index = rows.mapInPandas(encode, "vec_id long, embedding array<double>, code binary")
+    index = rows.mapInPandas(encode, "vec_id long, code binary")
     queries = rows.where(is_query)
     n_queries = queries.count()
     blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
     spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.select("vec_id", "embedding", spread(q_blocks, 1).alias("qb"), every(blocks).alias("cb"))
-    right = index.select("vec_id", "embedding", "code", spread(blocks, 2).alias("cb"), every(q_blocks).alias("qb"))
+    right = index.select("vec_id", "code", spread(blocks, 2).alias("cb"), every(q_blocks).alias("qb"))
+    want = max(rerank, k)
 
     def near_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "rough": []}).astype({"query_id": "int64", "vec_id": "int64"})
         c = c.sort_values("vec_id")
-        ids, x = c["vec_id"].to_numpy(), _matrix(c["embedding"])
+        ids = c["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
         q_ids, y = q["vec_id"].to_numpy(), _matrix(q["embedding"])
         found = []
@@ -175,16 +178,19 @@ def _search(rows: DataFrame, n: int, is_query, k: int, rerank: int, block: int,
             for i in range(len(rough)):
                 at = np.flatnonzero(ids == q_ids[lo + i])
                 rough[i, at] = -np.inf
-                want = min(rerank + len(at), len(c))
-                line = np.partition(rough[i], len(c) - want)[len(c) - want]
+                most = min(want + len(at), len(c))
+                line = np.partition(rough[i], len(c) - most)[len(c) - most]
                 # all above the line, then those on it with the smallest ids
-                pick = np.concatenate([np.flatnonzero(rough[i] > line), np.flatnonzero(rough[i] == line)])[:want]
+                pick = np.concatenate([np.flatnonzero(rough[i] > line), np.flatnonzero(rough[i] == line)])[:most]
                 pick = pick[~np.isin(pick, at)]
-                exact = x[pick] @ y[lo + i]
-                best = np.lexsort((ids[pick], -exact))[:k]
-                found.append(pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": ids[pick][best], "score": exact[best]}))
+                found.append(pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": ids[pick], "rough": rough[i, pick].astype(float)}))
         return pd.concat(found)
 
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(near_in_block, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(near_in_block, "query_id long, vec_id long, rough double")
+    rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
+    best = near.withColumn("nth", rank("rough")).where(F.col("nth") <= want).select("query_id", "vec_id")
+    pairs = best.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    # components are multiplied and added one after the other, so equal vectors have equal scores
+    score = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    scored = pairs.select("query_id", "vec_id", score.alias("score"))
+    return scored.withColumn("rank", rank("score")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
