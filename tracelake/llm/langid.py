@@ -22,7 +22,10 @@ BINS = 1 << 14
 GRAMS = (1, 2, 3)
 #: Bounds of the fitted sample: texts a language, and landmarks in all.
 SAMPLE, LANDMARKS, RIDGE = 300, 128, 0.1
-BATCH_CHARS = 1 << 21
+#: Code points of a call's temporaries, of some 50 bytes each; a longer text is a call of its own.
+BATCH_CHARS = 1 << 19
+#: Languages whose table is broadcast, of some 100 bytes each.
+FEW_LANGUAGES = 10_000
 
 
 def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
@@ -97,7 +100,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
     # a hash threshold keeps the candidates of each language few before any row is compared
-    sizes = rows.groupBy(F.col("lang").alias("l")).agg((F.lit(3.0 * per_language + 50) / F.count(F.lit(1))).alias("rate"))
+    sizes = cut(rows.groupBy(F.col("lang").alias("l")).agg((F.lit(3.0 * per_language + 50) / F.count(F.lit(1))).alias("rate")))
+    # one row a language: broadcast if they are few, so that texts aren't shuffled by language; else joined, with the same result
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes
     some = rows.join(sizes, F.col("lang") == F.col("l")).where((F.col("key") / F.lit(2.0**64) + 0.5) <= F.col("rate"))
 
     def bins(batches):
@@ -151,7 +156,7 @@ def _unit(bins: bytes) -> np.ndarray:
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, unchanged, and language and score of every whole text under ``names``; und where text is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BINS x LANDMARKS floats
-    (text,) = fresh([*keep, *names], "text")
+    (text,) = ("text",) if "text" in keep else fresh([*keep, *names], "text")
 
     def run(batches):
         import pyarrow as pa
@@ -160,8 +165,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
             told, scores = shared.value.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(told, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    kept = docs.select(*keep, F.col("text").alias(text))
-    return kept.mapInArrow(run, kept.drop(text).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
+    kept = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
+    return kept.mapInArrow(run, docs.select(*keep).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

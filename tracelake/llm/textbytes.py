@@ -61,7 +61,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer row is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -25,7 +25,8 @@ SAMPLE, COLUMNS = 8_000, 1_200
 FOLDS, RIDGE, STEPS = 3, 2e-3, 150
 #: A document is toxic from this probability on.
 THRESHOLD = 0.35
-BATCH_CHARS = 1 << 21
+#: Code points of a call's temporaries, of some 100 bytes each; a longer text is a call of its own.
+BATCH_CHARS = 1 << 19
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +217,7 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str], names: list[str] | N
     """``keep`` columns, unchanged, with a probability of every whole text for each category, p_<category> if not named otherwise; a null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # bounded: BINS floats a category
     names = names or [f"p_{c}" for c in chain.categories]
-    (text,) = fresh([*keep, *names], "text")
+    (text,) = ("text",) if "text" in keep else fresh([*keep, *names], "text")
 
     def run(batches):
         import pyarrow as pa
@@ -227,8 +228,8 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str], names: list[str] | N
             p = sigmoid(np.concatenate(got)) if got else np.zeros((0, len(names)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names=[*keep, *names])
 
-    kept = docs.select(*keep, F.col("text").alias(text))
-    return kept.mapInArrow(run, kept.drop(text).withColumns({n: F.lit(0.0) for n in names}).schema)
+    kept = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
+    return kept.mapInArrow(run, docs.select(*keep).withColumns({n: F.lit(0.0) for n in names}).schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
