@@ -6,8 +6,6 @@ from tracelake import catalog
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, tiny, name):
-    if name == "risk_band":
-        pytest.skip("the expected level is written for sf0.01")
     assert_same(catalog.QUERIES[name](spark, tiny), catalog.ORACLE[name], tiny)
 
 

@@ -138,3 +138,20 @@ def test_sigma_corpus(spark):
     done, refused = sigma.translate_corpus(docs, {})
     assert [r.rule.attack for r in done] == [("T1059",)] and refused == [("2", "modifier cidr")]
     assert F is not None
+
+
+def test_sigma_in_one_scan_and_verified(spark, tmp_path):
+    """Documents of a folder, in the scope and under the guards of their log sources; the scan agrees with each document alone."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.yml").write_text("title: A\nid: '1'\nlevel: high\nlogsource: {product: windows, category: process_creation}\ndetection: {s: {Image|endswith: '\\x.exe'}, condition: s}\n---\ntitle: B\nid: '2'\nlogsource: {product: linux, service: sudo}\ndetection: {s: {nope: 1}, condition: not s}\n")
+    (tmp_path / "two.yaml").write_text("title: C\nid: '3'\nlogsource: {product: windows, service: sysmon}\ndetection: {s: {a: 1}, condition: s}\n")
+    docs = [doc for _, doc in sigma.read_corpus(spark, str(tmp_path))]
+    found, refused = sigma.assemble(docs)
+    assert sorted(r.rule.title for r in found) == ["A", "B"] and refused == [("3", "log source windows/sysmon isn't collected")]
+    raw = '{"EventId": "%s", "_enrich": {"payload": {"Image": "C:\\\\X.EXE"}}}'
+    df = spark.createDataFrame([("1", "event_log", raw % 1), ("2", "event_log", raw % 3), ("3", "mft_file", raw % 1), ("4", "auth_log", "{}")], "artifact_id string, artifact_type string, raw_data string").withColumn("case_id", F.lit("c"))
+    got = {(r["artifact_id"], r["rule_title"], r["matched_on"]) for r in sigma.detect(df, found).collect()}
+    assert got == {("1", "A", "raw_data._enrich.payload.Image=C:\\X.EXE"), ("4", "B", "")}
+    state = {r["rule_id"]: (r["state"], r["missing"]) for r in sigma.verify(df, found).collect()}
+    assert state == {sigma.stable_id("1"): ("verified", []), sigma.stable_id("2"): ("absent", ["raw_data.nope"])}
+    assert sigma.detect(df, []).count() == 0

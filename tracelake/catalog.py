@@ -126,13 +126,15 @@ for _id, _name in (("R2", "rule_block_all_any"), ("R3", "rule_exclude"), ("R4",
 _register("rule_matched_on_host", f"WITH {DET} SELECT artifact_id, rule_id, matched_on FROM det WHERE host = 'host-2' AND case_id = 'case-a'")(lambda spark, d: rules.detect(artifacts(spark, d), list(META.values()), host="host-2", case_id="case-a").select("artifact_id", "rule_id", "matched_on"))
 
 
-@_register("rule_coverage", """SELECT * FROM (VALUES ('R1', 'error', 'runnable'), ('R4', 'click, err', 'runnable'), ('R9', 'memory_', 'blocked'), ('L1', 'auth_log', 'not_applicable')) v(rule_id, scope, state)""")
+@_register("rule_coverage", f"""WITH {EV}, told AS (SELECT * FROM (VALUES ('R1', 'error'), ('R4', 'click'), ('R4', 'err'), ('R9', 'memory_'), ('L1', 'auth_log')) v(rule_id, scope)),
+met AS (SELECT t.rule_id, t.scope, bool_or(e.artifact_type IS NOT NULL) AS seen FROM told t LEFT JOIN (SELECT DISTINCT artifact_type FROM ev) e ON starts_with(e.artifact_type, t.scope) GROUP BY ALL)
+SELECT rule_id, string_agg(scope, ', ' ORDER BY scope) AS scope, CASE WHEN rule_id LIKE 'L%' THEN 'not_applicable' WHEN bool_or(seen) THEN 'runnable' ELSE 'blocked' END AS state FROM met GROUP BY rule_id""")
 def rule_coverage(spark, d):
     more = [rules.rule_from({"id": i, "title": "t", "scope": {"artifact_type": [s]}, "match": [{"field": "host", "exists": True}]}) for i, s in (("R9", "memory_"), ("L1", "auth_log"))]
     return rules.coverage([META["R1"], META["R4"], *more], artifacts(spark, d), lambda r: not r.id.startswith("L"))
 
 
-@_register("rule_unseen_fields", "SELECT 'U1' AS rule_id, 'raw_data.nowhere.deep' AS field")
+@_register("rule_unseen_fields", """SELECT 'U1' AS rule_id, 'raw_data.' || v.f AS field FROM (VALUES ('nowhere.deep', '$.nowhere.deep'), ('k', '$.k')) v(f, path) WHERE NOT EXISTS (SELECT 1 FROM events WHERE json_extract(props, v.path) IS NOT NULL)""")
 def rule_unseen_fields(spark, d):
     one = rules.rule_from({"id": "U1", "title": "t", "match": [{"field": "raw_data.nowhere.deep", "exists": True}, {"field": "raw_data.k", "exists": True}]})
     return rules.unseen_fields(artifacts(spark, d), [one])
@@ -156,6 +158,44 @@ def sigma_boolean_condition(spark, d):
     return sigma.matching(artifacts(spark, d), rule).select("artifact_id")
 
 
+#: Sigma documents over orders as Sysmon and security events; the last two are refused.
+_CORPUS = [
+    {"title": "tools by name", "id": "u-1", "level": "high", "tags": ["attack.t1059.001"], "logsource": {"product": "windows", "category": "process_creation"}, "detection": {"a": {"Image|endswith": ["\\p1.exe", "\\p2.exe"]}, "b": {"CommandLine|contains": "urgent"}, "f": {"User": "u3"}, "condition": "(a or b) and not f"}},
+    {"title": "dropped files", "id": "u-2", "level": "low", "logsource": {"product": "windows", "category": "file_event"}, "detection": {"s": {"Image|startswith": "C:\\x", "User": ["u1", "u5"]}, "condition": "s"}},
+    {"title": "security log", "id": "u-3", "level": "critical", "tags": ["attack.t1070.001"], "logsource": {"product": "windows", "service": "security"}, "detection": {"x1": {"CommandLine|re": "^[12]-"}, "x2": {"User": "u4"}, "condition": "all of x*"}},
+    {"title": "no such source", "id": "u-4", "level": "high", "logsource": {"product": "mars", "category": "rover"}, "detection": {"s": {"a": 1}, "condition": "s"}},
+    {"title": "encoded", "id": "u-5", "level": "high", "logsource": {"product": "linux", "service": "sudo"}, "detection": {"s": {"a|base64": "x"}, "condition": "s"}},
+]
+
+
+def _logged(spark, d):
+    """Orders as event log entries: Sysmon process starts and file events, or the security channel, by the order's number."""
+    kind = F.col("o_orderkey") % 4
+    payload = F.struct(F.concat(F.lit("C:\\x\\p"), (F.col("o_custkey") % 9).cast("string"), F.lit(".exe")).alias("Image"), F.lower("o_orderpriority").alias("CommandLine"), F.concat(F.lit("u"), (F.col("o_custkey") % 7).cast("string")).alias("User"))
+    raw = F.to_json(F.struct(F.when(kind < 2, "1").when(kind == 2, "11").otherwise("4688").alias("EventId"), F.when(kind == 3, "Security").otherwise("Sysmon").alias("Channel"), F.struct(payload.alias("payload")).alias("_enrich")))
+    return _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("artifact_id"), F.lit("case-a").alias("case_id"), F.lit("event_log").alias("artifact_type"), raw.alias("raw_data"))
+
+
+_SAID = "'raw_data._enrich.payload.{0}=' || {1}"
+_SIGMA_SQL = r"""WITH l AS (SELECT CAST(o_orderkey AS VARCHAR) AS artifact_id, o_orderkey % 4 AS kind, 'C:\x\p' || (o_custkey % 9) || '.exe' AS image, lower(o_orderpriority) AS line, 'u' || (o_custkey % 7) AS who FROM orders)
+SELECT artifact_id, 'tools by name' AS rule_title, 'high' AS severity, 40 AS score, 'T1059.001' AS attack, {all} AS matched_on FROM l WHERE kind < 2 AND (image IN ('C:\x\p1.exe', 'C:\x\p2.exe') OR contains(line, 'urgent')) AND who <> 'u3'
+UNION ALL SELECT artifact_id, 'dropped files', 'low', 10, '', {two} FROM l WHERE kind = 2 AND who IN ('u1', 'u5')
+UNION ALL SELECT artifact_id, 'security log', 'critical', 70, 'T1070.001', {last} FROM l WHERE kind = 3 AND line[1] IN ('1', '2') AND line[2] = '-' AND who = 'u4'""".format(
+    all=" || ' | ' || ".join(_SAID.format(*x) for x in (("Image", "image"), ("CommandLine", "line"), ("User", "who"))), two=" || ' | ' || ".join(_SAID.format(*x) for x in (("Image", "image"), ("User", "who"))), last=" || ' | ' || ".join(_SAID.format(*x) for x in (("CommandLine", "line"), ("User", "who"))))
+
+
+@_register("sigma_corpus_detect", _SIGMA_SQL)
+def sigma_corpus_detect(spark, d):
+    """A corpus of Sigma documents in one scan, each in its log source's scope."""
+    found, _ = sigma.assemble(_CORPUS)
+    return sigma.detect(_logged(spark, d), found).select("artifact_id", "rule_title", "severity", "score", F.array_join("attack", ",").alias("attack"), "matched_on")
+
+
+@_register("sigma_refusals", """SELECT reason, count(*) AS n FROM (VALUES ('log source mars/rover isn''t collected'), ('modifier base64')) v(reason) GROUP BY reason""")
+def sigma_refusals(spark, d):
+    return sigma.refusal_counts(spark, sigma.assemble(_CORPUS)[1])
+
+
 @_register("sigma_count_by_window", f"""WITH {EV}, e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM ev WHERE artifact_type = 'error')
 SELECT user_id, day, count(*) AS n FROM e GROUP BY user_id, day HAVING count(*) > 2""")
 def sigma_count_by_window(spark, d):
@@ -230,9 +270,10 @@ def orphan_processes(spark, d):
     return correlate.orphans(_as_processes(spark, d)).select("artifact_id")
 
 
-@_register("field_vs_field", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' AND l_partkey % 40 = 7 GROUP BY 1""")
+@_register("field_vs_field", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' GROUP BY 1""")
 def field_vs_field(spark, d):
-    return _below_tax(_table(spark, d, "lineitem").where(F.col("l_partkey") % 40 == 7))
+    """Two fields of one record compared, over every row of lineitem."""
+    return _below_tax(_table(spark, d, "lineitem"))
 
 
 @_register("field_vs_field_all", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' GROUP BY 1""")
@@ -255,9 +296,10 @@ def _below_tax(lines):
     return correlate.rewritten_creation_time(logs).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("timestomp_c003", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2 AND length(CAST(o_custkey AS VARCHAR)) = 4 AND length(CAST(o_orderkey AS VARCHAR)) = 4""")
+@_register("timestomp_c003", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2""")
 def timestomp_c003(spark, d):
-    return _moved_back(_table(spark, d, "orders").where((F.length(F.col("o_custkey").cast("string")) == 4) & (F.length(F.col("o_orderkey").cast("string")) == 4)))
+    """Creation times moved back, over every order."""
+    return _moved_back(_table(spark, d, "orders"))
 
 
 @_register("timestomp_c003_all", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2""")
@@ -275,6 +317,22 @@ def _moved_back(o):
     return correlate.rewritten_creation_time(logs).select("artifact_id", F.regexp_extract("matched_on", r"\[([^\]]+)\]$", 1).alias("why"))
 
 
+@_register("service_binary_c008", "SELECT CAST(o_orderkey AS VARCHAR) AS artifact_id, 's' || o_custkey || ': running C:\\x\\p' || (o_custkey % 50) || '.exe but registry says \"C:\\y\\P' || (o_orderkey % 50) || '.EXE\" -k' AS matched_on FROM orders WHERE o_custkey % 50 <> o_orderkey % 50")
+def service_binary_c008(spark, d):
+    """Orders as services whose running program follows the customer and whose configured one the order."""
+    running, configured = F.concat(F.lit("C:\\x\\p"), (F.col("o_custkey") % 50).cast("string"), F.lit(".exe")), F.concat(F.lit('"C:\\y\\P'), (F.col("o_orderkey") % 50).cast("string"), F.lit('.EXE" -k'))
+    raw = F.to_json(F.struct(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("Name"), running.alias("Binary"), configured.alias("Binary (Registry)")))
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("artifact_id"), F.lit("case-a").alias("case_id"), F.lit("memory_service").alias("artifact_type"), raw.alias("raw_data"))
+    return correlate.service_binary_mismatch(rows).select("artifact_id", "matched_on")
+
+
+@_register("noise_flag", "SELECT page_id, contains(p, '/proc/') OR contains(p, '/usr/share/doc/') OR contains(p, '/inetcache/') AS is_noise FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/proc/' WHEN 1 THEN '/usr/share/doc/' WHEN 2 THEN '/inetcache/' ELSE '/home/' END || lower(url) AS p FROM pages)")
+def noise_flag(spark, d):
+    kind = F.col("page_id") % 4
+    path = F.concat(F.when(kind == 0, "/proc/").when(kind == 1, "\\usr\\share\\doc\\").when(kind == 2, "\\INetCache\\").otherwise("/home/"), "url")
+    return _table(spark, d, "pages").select("page_id", fn.is_noise(path).alias("is_noise"))
+
+
 def _starts(spark, d):
     """Orders as process starts: the parent of an order's process is the process numbered by its customer."""
     payload = F.struct(F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("ProcessGuid"), F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("ParentProcessGuid"), F.lit("a.exe").alias("Image"), F.lit("a -x").alias("CommandLine"))
@@ -314,24 +372,56 @@ def tactic_rollup(spark, d):
     return attack.tactics(attack.techniques(_detected(spark, d)), attack.pairs_frame(spark, attack.TACTICS, "technique", "tactic")).select("tactic", "technique", "hits")
 
 
-@_register("risk_band", f"WITH {DET} SELECT 3 AS n_tactics, 1 AS n_late, count(*) AS n_detections, count(*) FILTER (severity = 'critical') AS n_critical, 'high' AS level FROM det")
+#: The technique tables in SQL.
+def _pairs(table: dict[str, list[str]], key: str, value: str) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in table.items() for v in vs) + f") {key}_{value}({key}, {value})"
+
+
+_LATE = ", ".join(f"'{t}'" for t in attack.LATE)
+
+
+@_register("risk_band", f"""WITH {DET}, tac AS (SELECT DISTINCT tactic FROM (SELECT DISTINCT upper(unnest(attack)) AS technique FROM det) JOIN {_pairs(attack.TACTICS, "technique", "tactic")} USING (technique)),
+t AS (SELECT CAST(count(*) AS INT) AS n_tactics, CAST(count(*) FILTER (tactic IN ({_LATE})) AS INT) AS n_late FROM tac), c AS (SELECT count(*) AS n_detections, count(*) FILTER (severity = 'critical') AS n_critical FROM det)
+SELECT *, CASE WHEN n_detections = 0 THEN 'none' WHEN n_tactics >= 5 AND n_late >= 2 THEN 'critical' WHEN n_tactics >= 4 OR n_late >= 1 THEN 'high' WHEN n_critical > 0 OR n_tactics >= 2 THEN 'medium' ELSE 'low' END AS level FROM t, c""")
 def risk_band(spark, d):
     out = attack.risk(_detected(spark, d), attack.pairs_frame(spark, attack.TACTICS, "technique", "tactic"))
     return out.select(F.col("n_tactics").cast("int").alias("n_tactics"), F.col("n_late").cast("int").alias("n_late"), "n_detections", "n_critical", "level")
 
 
-_REQ = {"T1": ["process", "network"], "T2": ["process"], "T3": ["file", "registry"], "T4": ["network", "file"], "T5": ["process"]}
-_PROV = {"err": ["process"], "purch": ["process", "network"], "zz": ["registry"]}
+#: Event types as the evidence that the technique tables know.
+_KINDS = {"error": "event_log", "purchase": "memory_network", "click": "mft_file", "view": "prefetch_execution", "signup": "user_account"}
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " ELSE event_type END"
+
 
+def _evidence(spark, d):
+    kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    return artifacts(spark, d).withColumn("artifact_type", F.coalesce(kinds[F.col("artifact_type")], F.col("artifact_type")))
 
-@_register("relational_division", "SELECT * FROM (VALUES ('T1', 2, 0, 'gap'), ('T2', 1, 0, 'gap'), ('T4', 2, 1, 'partial')) v(technique, needed, missing, state)")
+
+_HAVE = f"have AS (SELECT DISTINCT component FROM (SELECT DISTINCT {_KIND_SQL} AS t FROM events) e JOIN {_pairs(attack.PROVIDES, 'prefix', 'component')} ON starts_with(e.t, prefix)), req AS (SELECT * FROM {_pairs(attack.REQUIRES, 'technique', 'component')})"
+
+
+@_register("relational_division", f"""WITH {_HAVE}, n AS (SELECT technique, CAST(count(*) AS INT) AS needed, CAST(count(*) FILTER (component NOT IN (SELECT component FROM have)) AS INT) AS missing FROM req WHERE technique <> 'T1105' GROUP BY technique)
+SELECT technique, needed, missing, CASE WHEN missing = 0 THEN 'gap' ELSE 'partial' END AS state FROM n WHERE missing < needed""")
 def relational_division(spark, d):
-    have = attack.available(artifacts(spark, d), attack.pairs_frame(spark, _PROV, "prefix", "component"))
-    named = spark.createDataFrame([("R", "t5")], "rule_id string, technique string")
-    return attack.gaps(attack.pairs_frame(spark, _REQ, "technique", "component"), have, named).select("technique", F.col("needed").cast("int").alias("needed"), F.col("missing").cast("int").alias("missing"), "state")
+    have = attack.available(_evidence(spark, d), attack.pairs_frame(spark, attack.PROVIDES, "prefix", "component"))
+    named = spark.createDataFrame([("R", "t1105")], "rule_id string, technique string")
+    return attack.gaps(attack.pairs_frame(spark, attack.REQUIRES, "technique", "component"), have, named).select("technique", F.col("needed").cast("int").alias("needed"), F.col("missing").cast("int").alias("missing"), "state")
+
+
+@_register("missing_telemetry", f"""WITH {_HAVE} SELECT v.rule_id, v.technique, string_agg(component, ',' ORDER BY component) AS missing FROM (VALUES ('A', 'T1059.001'), ('A', 'T1105'), ('B', 'T1003.001'), ('B', 'T1071.001')) v(rule_id, technique) JOIN req USING (technique)
+WHERE component NOT IN (SELECT component FROM have) GROUP BY ALL""")
+def missing_telemetry(spark, d):
+    have = attack.available(_evidence(spark, d), attack.pairs_frame(spark, attack.PROVIDES, "prefix", "component"))
+    asked = spark.createDataFrame([("A", "T1059.001"), ("A", "T1105"), ("B", "T1003.001"), ("B", "T1071.001")], "rule_id string, technique string")
+    return attack.missing_telemetry(attack.pairs_frame(spark, attack.REQUIRES, "technique", "component"), have, asked).select("rule_id", "technique", F.array_join("missing", ",").alias("missing"))
+
+
+@_register("technique_coverage", f"SELECT DISTINCT technique FROM (SELECT DISTINCT {_KIND_SQL} AS t FROM events) e JOIN {_pairs(attack.COVERAGE, 'prefix', 'technique')} ON starts_with(e.t, prefix)")
+def technique_coverage(spark, d):
+    return attack.covered(_evidence(spark, d), attack.pairs_frame(spark, attack.COVERAGE, "prefix", "technique"))
 
 
-_register("missing_telemetry", "SELECT 'R' AS rule_id, 'T3' AS technique, 'file,registry' AS missing")(lambda spark, d: attack.missing_telemetry(attack.pairs_frame(spark, _REQ, "technique", "component"), attack.available(artifacts(spark, d), attack.pairs_frame(spark, _PROV, "prefix", "component")), spark.createDataFrame([("R", "T3"), ("R", "T2")], "rule_id string, technique string")).select("rule_id", "technique", F.array_join("missing", ",").alias("missing")))
 _register("prefix_join_coverage", f"WITH {EV} SELECT DISTINCT v.technique FROM ev JOIN (VALUES ('err', 'T1'), ('cl', 'T2'), ('zz', 'T3')) v(prefix, technique) ON starts_with(ev.artifact_type, v.prefix)")(lambda spark, d: attack.covered(artifacts(spark, d), spark.createDataFrame([("err", "T1"), ("cl", "T2"), ("zz", "T3")], "prefix string, technique string")))
 _register("compare_cases", f"WITH {DET} SELECT rule_id, count(*) FILTER (case_id = 'case-a') AS n_a, count(*) FILTER (case_id = 'case-b') AS n_b, n_b - n_a AS diff, CASE WHEN n_b > n_a THEN 'more' WHEN n_b < n_a THEN 'fewer' ELSE 'same' END AS change FROM det GROUP BY rule_id")(lambda spark, d: store.compare_cases(_detected(spark, d), "case-a", "case-b").drop("rule_title"))
 _register("case_health", f"WITH {EV} SELECT count(*) AS artifacts, array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts, count(*) FILTER (timestamp_utc IS NULL) AS no_time, count(*) FILTER (is_noise) AS noise, min(timestamp_utc) AS first_seen, max(timestamp_utc) AS last_seen FROM ev WHERE case_id = 'case-a'")(lambda spark, d: store.case_health(artifacts(spark, d), "case-a").withColumn("hosts", F.array_join("hosts", ",")))

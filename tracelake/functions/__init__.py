@@ -39,6 +39,7 @@ SKIPPED_HASH_LABELS = ["imphash", "impfuzzy", "ssdeep", "tlsh", "authentihash"]
 NOISE = [
     "$logfile", "$extend", "$bitmap", "$secure", "thumbcache", "qmgr.db", "lastalive", "\\webcache\\", "\\inetcache\\", "settings.dat",
     "\\servicestate\\", "\\windows\\servicing\\", "\\softwaredistribution\\",
+    "/proc/", "/sys/", "/run/", "/dev/shm/.x11", "/var/lib/dpkg/info/", "/usr/share/man/", "/usr/share/doc/", "/var/cache/apt/", "/snap/",
 ]
 
 
@@ -125,7 +126,7 @@ def is_noise(description: Column) -> Column:
     """Whether a description has a noise part, under either slash."""
     low = F.lower(F.coalesce(description, F.lit("")))
     back = F.translate(low, "/", "\\")
-    return any_of([back.contains(p) for p in NOISE])
+    return any_of([back.contains(p.replace("/", "\\")) for p in NOISE])
 
 
 def dedup_key(case_id: Column, host: Column, artifact_type: Column, ts: Column, description: Column, raw_json: Column) -> Column:

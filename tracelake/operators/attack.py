@@ -5,24 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import severity_of_rank, severity_rank
+from tracelake.operators.attack_tables import COVERAGE, PROVIDES, REQUIRES, SYSMON_PROVIDES, TACTICS  # noqa: F401 the tables that pairs_frame() makes frames of
 
 TACTIC_ORDER = ["reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact"]
 LATE = ["credential-access", "lateral-movement", "collection", "exfiltration", "impact", "command-and-control"]
-#: Tactics of some techniques, as ATT&CK publishes them; pass a table of your own for more.
-TACTICS = {
-    "T1003.001": ["credential-access"], "T1003.008": ["credential-access"], "T1014": ["defense-evasion"], "T1018": ["discovery"], "T1021.001": ["lateral-movement"], "T1021.002": ["lateral-movement"],
-    "T1027": ["defense-evasion"], "T1036.005": ["defense-evasion"], "T1040": ["credential-access", "discovery"], "T1047": ["execution"], "T1053.003": ["execution", "persistence", "privilege-escalation"],
-    "T1053.005": ["execution", "persistence", "privilege-escalation"], "T1055": ["defense-evasion", "privilege-escalation"], "T1059.001": ["execution"], "T1059.003": ["execution"], "T1059.004": ["execution"],
-    "T1070.001": ["defense-evasion"], "T1070.004": ["defense-evasion"], "T1070.006": ["defense-evasion"], "T1071.001": ["command-and-control"], "T1071.004": ["command-and-control"], "T1078": ["defense-evasion", "initial-access", "persistence", "privilege-escalation"],
-    "T1098": ["persistence", "privilege-escalation"], "T1105": ["command-and-control"], "T1110": ["credential-access"], "T1134": ["defense-evasion", "privilege-escalation"], "T1136.001": ["persistence"],
-    "T1204.001": ["execution"], "T1204.002": ["execution"], "T1218.011": ["defense-evasion"], "T1486": ["impact"], "T1489": ["impact"], "T1490": ["impact"], "T1543.002": ["persistence", "privilege-escalation"],
-    "T1543.003": ["persistence", "privilege-escalation"], "T1547.001": ["persistence", "privilege-escalation"], "T1547.006": ["persistence", "privilege-escalation"], "T1548.001": ["defense-evasion", "privilege-escalation"],
-    "T1566.001": ["initial-access"], "T1574.006": ["defense-evasion", "persistence", "privilege-escalation"],
-}
 COLOURS = {"critical": "#a32020", "high": "#d1601a", "medium": "#e8b53a", "low": "#8fb04a", "info": "#8fb04a"}
 
 
@@ -34,8 +24,12 @@ def pairs_frame(spark: SparkSession, table: dict[str, list[str]], key: str, valu
 def techniques(detections: DataFrame) -> DataFrame:
     """Each technique of detections that fired: hits, rules, engines, worst severity, 20 artifacts at most."""
     one = detections.withColumn("technique", F.explode("attack")).withColumn("technique", F.upper(F.trim("technique"))).where("technique <> ''")
-    first20 = F.slice(F.array_sort(F.collect_set("artifact_id")), 1, 20)
-    out = one.groupBy("technique").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("engine")).alias("engines"), F.max(severity_rank(F.col("severity"))).alias("rank"), first20.alias("artifacts"))
+    # ranked before they are gathered: however often a technique fires, a task holds 20 of its artifacts
+    named = one.where(F.col("artifact_id").isNotNull()).select("technique", "artifact_id").distinct()
+    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("technique").orderBy("artifact_id"))).where("nth <= 20")
+    first = first.groupBy("technique").agg(F.array_sort(F.collect_list("artifact_id")).alias("artifacts"))
+    out = one.groupBy("technique").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("engine")).alias("engines"), F.max(severity_rank(F.col("severity"))).alias("rank"))
+    out = out.join(first, "technique", "left").withColumn("artifacts", F.coalesce("artifacts", F.array().cast("array<string>")))
     return out.withColumn("severity", severity_of_rank(F.greatest("rank", F.lit(0)))).drop("rank")
 
 

@@ -303,6 +303,11 @@ def coverage(rules: list[Rule], types: DataFrame, applies=None) -> DataFrame:
 
 def unseen_fields(artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule_id, field) pairs that no artifact in the rule's scope has, so the condition can never hold."""
+    return unseen_paths(artifacts, [(r.id, f, t, r.exact) for r in rules for f in fields_of(r) if f not in TOP_LEVEL for t in (r.types or ("",))])
+
+
+def unseen_paths(artifacts: DataFrame, asked: list[tuple[str, str, str, bool]]) -> DataFrame:
+    """unseen_fields() for (rule_id, field, scope, whether the scope is exact) entries; keys are seen three levels deep."""
     one = artifacts.select("artifact_type", F.try_parse_json("raw_data").cast("string").alias("j"))
     keys = one.select("artifact_type", "j", F.explode(F.coalesce(F.json_object_keys("j"), F.array().cast("array<string>"))).alias("k"))
     inner = F.expr("try_variant_get(try_parse_json(j), '$', 'map<string,variant>')[k]").cast("string")
@@ -311,7 +316,8 @@ def unseen_fields(artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
     third = second.select("artifact_type", F.concat_ws(".", "q", "k").alias("p"), inner.alias("j"))
     last = third.select("artifact_type", F.col("p").alias("q"), F.explode(F.coalesce(F.json_object_keys("j"), F.array().cast("array<string>"))).alias("k")).select("artifact_type", F.concat_ws(".", "q", "k").alias("p"))
     seen = deeper.select("artifact_type", "p").unionByName(third.select("artifact_type", "p")).unionByName(last).distinct()
-    asked = artifacts.sparkSession.createDataFrame([(r.id, f, f.removeprefix("raw_data."), t, r.exact) for r in rules for f in fields_of(r) if f not in TOP_LEVEL for t in (r.types or ("",))] or [("", "", "", "", False)], "rule_id string, field string, path string, scope string, exact boolean").where("rule_id <> ''")
+    rows = [(i, f, f.removeprefix("raw_data."), t, exact) for i, f, t, exact in asked]
+    asked = artifacts.sparkSession.createDataFrame(rows, "rule_id string, field string, path string, scope string, exact boolean")
     fits = F.when(F.col("exact"), F.col("artifact_type") == F.col("scope")).otherwise(F.col("artifact_type").startswith(F.col("scope")))
     met = asked.join(seen, (F.col("p") == F.col("path")) & fits, "left_semi").select("rule_id", "field")
     return asked.select("rule_id", "field").distinct().join(met, ["rule_id", "field"], "left_anti")
