@@ -31,6 +31,24 @@ def test_shards_have_near_equal_bytes(docs):
     assert all(zlib.crc32(text[i].encode()) == c and len(text[i].encode()) + 16 == s for i, c, s in zip(got.doc_id, got.text_crc32, got["size"], strict=True))
 
 
+def test_equal_texts_stay_together(docs):
+    """Of the groups of equal texts only those with more than a tenth of a shard's bytes may be divided."""
+    got = sharding.kd_shards(docs).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    most = got["size"].sum() / 40 / sharding.WHOLE
+    groups = [g for _, g in got.groupby("text") if len(g) > 1]
+    assert len(groups) > 20 and all(g.shard.nunique() == 1 or g["size"].sum() > most for g in groups)
+
+
+def test_cuts_are_those_of_the_definition(spark):
+    """Three shards of rows that differ in size only: cuts at weighted thirds along the size."""
+    rows = [(i, "x" * (10 + 37 * i), "en", "s") for i in range(90)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 3).toPandas().sort_values("size")
+    weight, third = got["size"].cumsum().to_numpy(), got["size"].sum() / 3
+    assert got.shard.is_monotonic_increasing and sorted(set(got.shard)) == [0, 1, 2]
+    for k, edge in ((1, third), (2, 2 * third)):
+        assert abs(weight[(got.shard < k).sum() - 1] - edge) <= got["size"].max()
+
+
 def test_one_text_in_all_rows_is_still_divided(spark):
     same = spark.range(2000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "'s' AS source")
     n = sharding.kd_shards(same, 8).groupBy("shard").count().toPandas()["count"]

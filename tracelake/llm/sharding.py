@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import case_tree, cut
 
-#: A split key has 20 bits of the metadata value, then 42 bits that break ties.
-VALUE_BITS, TIE_BITS, STEP_BITS = 20, 42, 12
+#: A split key has 24 bits of the metadata value, then 24 bits of a text hash and 12 of a row hash that break ties.
+VALUE_BITS, TEXT_BITS, ROW_BITS, STEP_BITS = 24, 24, 12, 12
+TIE_BITS = TEXT_BITS + ROW_BITS
+#: A cut goes through the rows of one text only if they have more than this fraction of a shard's bytes.
+WHOLE = 10
 #: A cut is close enough if its bucket has at most this fraction of a shard's bytes.
 CLOSE = 1000
 
@@ -26,30 +29,33 @@ def kd_shards(docs: DataFrame, shards: int = 40, rows_per_slot_group: int = 1000
     source; spread relative to the whole corpus) at the weighted quantile floor(k/2)/k of its
     bytes, until every node is one leaf. A row weighs its UTF-8 bytes plus 16.
 
+    Rows of equal texts are one group: its least language and source count for all of them, and
+    equal metadata values are cut between text hashes. Only a group with more than 1/WHOLE of a
+    shard's bytes may be divided, by a hash of its rows, because near-equal bytes come first.
+
     Defined cases: null text has 16 bytes and checksum 0; null language or source is a value
-    of its own; a null doc_id is kept; equal metadata values are cut by a hash of the text and
-    then of the doc_id, so equal texts mostly stay together while one huge group of copies is
-    still divided; repeated rows are all placed; an empty table gives an empty result. Columns
-    beyond doc_id, text, lang and source are ignored.
+    of its own; a null doc_id is kept; repeated rows are all placed; an empty table gives an
+    empty result. Columns beyond doc_id, text, lang and source are ignored.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     unit = lambda c: (F.xxhash64(F.coalesce(F.col(c), F.lit("\x00")).cast("string")).bitwiseAND(F.lit((1 << VALUE_BITS) - 1)))
     size = F.octet_length(text).cast("long") + F.lit(16)
-    tie = F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 22) - 1)), 20).bitwiseOR(
-        F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), text).bitwiseAND(F.lit((1 << 20) - 1))
-    )
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1))
     # log2 of a size in bytes is below 64, so a fixed scale serves every corpus
     log_size = F.floor(F.log2(size.cast("double")) * F.lit((1 << (VALUE_BITS - 6)) - 1)).cast("long")
-    key = lambda v: F.shiftleft(v.cast("long"), TIE_BITS).bitwiseOR(F.col("tie"))
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), tie.alias("tie"), log_size.alias("d0"), unit("lang").alias("d1"), unit("source").alias("d2"))
-    meta = cut(meta.select("doc_id", "size", "text_crc32", "tie", key(F.col("d0")).alias("k0"), key(F.col("d1")).alias("k1"), key(F.col("d2")).alias("k2")))
+    plain = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), low(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), text), ROW_BITS).alias("row"), log_size.alias("d0"), unit("lang").alias("d1"), unit("source").alias("d2")))
+    copies = plain.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.min("d1").alias("m1"), F.min("d2").alias("m2")).where("n > 1").drop("n")
+    tie = F.shiftleft(low(F.col("th"), TEXT_BITS), ROW_BITS).bitwiseOR(F.col("row"))
+    key = lambda v: F.shiftleft(v, TIE_BITS).bitwiseOR(tie)
+    meta = plain.join(copies, "th", "left").select("doc_id", "size", "text_crc32", tie.alias("tie"), key(F.col("d0")).alias("k0"), key(F.coalesce("m1", "d1")).alias("k1"), key(F.coalesce("m2", "d2")).alias("k2"))
+    meta = cut(meta)
 
     total, rows, tree = _grow(meta, shards)
     shard = case_tree(tree, lambda leaf: F.lit(leaf), lambda cut_at: F.col(f"k{cut_at[0]}") < F.lit(cut_at[1]))
     groups = max(1, -(-rows // (shards * rows_per_slot_group)))
-    placed = meta.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.col("tie"), F.lit(groups)).cast("int"))
+    placed = meta.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.xxhash64("tie", "doc_id"), F.lit(groups)).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -91,12 +97,13 @@ def _grow(meta: DataFrame, shards: int):
         seen = {r["node"]: r for r in open_rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(F.shiftright(f"k{d}", TIE_BITS)).alias(f"{s}{d}") for d in dims for s, f in (("lo", F.min), ("hi", F.max))]).collect()}
         widest = {i: max(dims, key=lambda d: ((seen[i][f"hi{d}"] - seen[i][f"lo{d}"]) / spread[d], -d)) if i in seen else 0 for i in ids.values()}
         wanted = {i: (seen[i]["w"] if i in seen else 0) * (k // 2) / k for (_, _, k), i in zip(level, ids.values(), strict=True)}
-        prefix, below = {i: 0 for i in wanted}, {i: 0 for i in wanted}
+        prefix, below, last = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0)
         shift = VALUE_BITS + TIE_BITS
+        at_shift, coarse = dict.fromkeys(wanted, shift), set(wanted)
         # 12 bits of the keys a round, until the bucket in which a cut falls is small beside a shard
-        while shift >= STEP_BITS:
+        while shift and coarse:
             bucket = F.lit(None).cast("long")
-            for i in wanted:
+            for i in coarse:
                 key_i = F.col(f"k{widest[i]}")
                 bucket = F.when((F.col("node") == i) & (F.shiftright(key_i, shift) == prefix[i]), F.shiftright(key_i, shift - STEP_BITS)).otherwise(bucket)
             shift -= STEP_BITS
@@ -104,15 +111,15 @@ def _grow(meta: DataFrame, shards: int):
             for r in open_rows.select("node", "size", bucket.alias("b")).groupBy("node", "b").agg(F.sum("size").alias("w")).collect():
                 if r["b"] is not None:
                     hist.setdefault(r["node"], []).append((r["b"], r["w"]))
-            for i in wanted:
+            for i in coarse:
                 prefix[i], below[i] = _bucket(sorted(hist.get(i, [])), wanted[i], below[i], prefix[i] << STEP_BITS)
-            if all(dict(hist.get(i, [])).get(prefix[i], 0) * CLOSE * shards <= first["w"] for i in wanted):
-                break
+                last[i], at_shift[i] = dict(hist.get(i, [])).get(prefix[i], 0), shift
+            # a bucket of one text stays whole unless it is a good part of a shard
+            coarse = {i for i in coarse if last[i] * shards * (WHOLE if shift <= ROW_BITS else CLOSE) > first["w"]}
         for path, i in ids.items():
             # the cut goes to whichever edge of the last bucket is nearer to the wanted weight
-            w = dict(hist.get(i, [])).get(prefix[i], 0)
-            upper = abs(below[i] + w - wanted[i]) < abs(below[i] - wanted[i])
-            splits[path] = (widest[i], (prefix[i] + upper) << shift)
+            upper = abs(below[i] + last[i] - wanted[i]) < abs(below[i] - wanted[i])
+            splits[path] = (widest[i], (prefix[i] + upper) << at_shift[i])
         level = [y for path, at, k in level for y in ((path + "0", at, k // 2), (path + "1", at + k // 2, k - k // 2))]
 
     def final(path: str):
