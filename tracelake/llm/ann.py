@@ -10,7 +10,8 @@ Spark plan: codes are dealt to blocks of bounded size, queries to bounded blocks
 of blocks is one co-group task, so neither side is broadcast and memory stays bounded however
 many rows there are. Only codes travel to the scans, a byte for two components. Of a query's
 survivors in all blocks the best RERANK by scanned score meet their original vectors in a join.
-Every query meets every code: the scan's work grows with queries times rows.
+A block hands on only its likely share of those. Every query meets every code: the scan's work
+grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the fitting sample, candidates a block, queries a block.
-SAMPLE, BLOCK, QUERY_BLOCK = 8192, 16_384, 2048
+SAMPLE, BLOCK, QUERY_BLOCK = 8192, 65_536, 2048
 #: The loss treats inner products above this share of the vector's length as those that matter.
 THRESHOLD = 0.2
 SUBDIM, CODES, ROUNDS = 2, 16, 4
@@ -163,7 +164,9 @@ def _search(rows: DataFrame, n: int, is_query, k: int, rerank: int, block: int,
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.select("vec_id", "embedding", spread(q_blocks, 1).alias("qb"), every(blocks).alias("cb"))
     right = index.select("vec_id", "code", spread(blocks, 2).alias("cb"), every(q_blocks).alias("qb"))
-    want = max(rerank, k)
+    # rows are dealt to blocks by hash, so a block holds a binomial share of a query's best: six deviations above the mean are kept
+    mean = max(rerank, k) / blocks
+    want = max(k, min(max(rerank, k), int(mean + 6 * mean**0.5) + 6))
 
     def near_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -188,7 +191,7 @@ def _search(rows: DataFrame, n: int, is_query, k: int, rerank: int, block: int,
 
     near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(near_in_block, "query_id long, vec_id long, rough double")
     rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
-    best = near.withColumn("nth", rank("rough")).where(F.col("nth") <= want).select("query_id", "vec_id")
+    best = near.withColumn("nth", rank("rough")).where(F.col("nth") <= max(rerank, k)).select("query_id", "vec_id")
     pairs = best.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     # components are multiplied and added one after the other, so equal vectors have equal scores
     score = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
