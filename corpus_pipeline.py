@@ -14,7 +14,7 @@ STAGES = [
     ("best_fit_packing", stages.packing_stage),
 ]
 
-#: The classifiers of the first two stages can't be written in SQL. No test runs the stages together.
+#: The classifiers of the first two stages can't be written in SQL; tests/llm/test_pipeline.py holds run() against the stages' definitions.
 ORACLE_SQL = None
 
 
