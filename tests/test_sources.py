@@ -112,6 +112,32 @@ def test_linux_collection(spark, tmp_path):
     assert text["persistence_file"] == ["[ld_preload] ld.so.preload: "] and "[hostname] box" in text["system_identity"] and text["trash_item"] == ["deleted /home/bob/a b+c"]
 
 
+def test_a_file_of_many_splits_keeps_its_order(spark, tmp_path):
+    """An audit log and a history larger than a split: every event's lines meet, every marker dates the command after it."""
+    audit = "".join(f'type=SYSCALL msg=audit({1710403200 + i}.000:{i}): auid=1 uid=0 name="first{i}"\ntype=PATH msg=audit({1710403200 + i}.000:{i}): name="second{i}"\n' for i in range(400))
+    shell = "".join(f"#{1710403200 + i}\nrun {i}\n" for i in range(400))
+    paths = [put(f"{tmp_path}/audit.log", audit), put(f"{tmp_path}/[root]/home/bob/.bash_history", shell)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = linux_text.Paths(spark, [paths[0]])
+        assert read.ordered().rdd.getNumPartitions() > 3
+        got = {r["raw"]["serial"]: r["raw"]["name"] for r in linux_text.auditd(read, F.lit(None), F.lit(None)).collect()}
+        assert got == {str(i): f"first{i}" for i in range(400)}
+        twin = linux_text.visible(f"{tmp_path}/[root]", paths[1])
+        runs = linux_text.history(linux_text.Paths(spark, [twin]), F.lit(None), F.lit(None)).collect()
+        assert {r["raw"]["command"]: r["stamps"][0]["value"] for r in runs} == {f"run {i}": f"2024-03-14T{8 + i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}.000000Z" for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(("path", "parser"), [
+    ("[root]/home/b/.ssh/known_hosts.old", "persistence"), ("[root]/etc/known_hosts", None), ("[root]/etc/systemd/system/a.timer", "persistence"), ("[root]/home/b/egg.timer", None),
+    ("[root]/var/spool/at/a01", "persistence"), ("[root]/home/b/.local/share/Trash/info/a.trashinfo", "trash"), ("uac.log", None),
+])
+def test_paths_name_their_parser(path, parser):
+    assert linux_text.parser_for(path) == parser
+
+
 def test_tar_stays_inside(tmp_path):
     good, bad = tmp_path / "a.txt", tmp_path / "evil.tar.gz"
     good.write_text("x")
@@ -171,7 +197,8 @@ def test_store_replaces_and_ignores(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     put(str(tmp_path / "m/a"), "1")
     put(str(tmp_path / "m/b"), "2")
-    was = manifest.hash_files(spark, str(tmp_path / "m")).localCheckpoint()
+    manifest.hash_files(spark, str(tmp_path / "m")).write.parquet(str(tmp_path / "was"))
+    was = spark.read.parquet(str(tmp_path / "was"))
     put(str(tmp_path / "m/b"), "3")
     os.remove(tmp_path / "m/a")
     put(str(tmp_path / "m/c"), "4")

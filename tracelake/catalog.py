@@ -8,33 +8,18 @@ props as raw_data), ``orders`` and ``customer`` play process tables, and ``docum
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake import catalog_evidence  # noqa: F401  # registers its queries
 from tracelake import functions as fn
 from tracelake.operators import attack, cluster, correlate, ioc, store, timeline
 from tracelake.plans import rules, sigma
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _register(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from tracelake.registry import ORACLE, QUERIES  # noqa: F401  # the driver reads both here
+from tracelake.registry import register as _register
+from tracelake.registry import table as _table
 
 # --- events as artifacts -------------------------------------------------------------------------------
 

@@ -1,9 +1,9 @@
 """Linux text evidence: logs, histories and configuration files as artifact records.
 
 Readers take paths inside a collection, dispatched by glob; parsing is column expressions.
-Formats whose lines stand alone are read line by line and split freely; those in which
-neighbouring lines belong together (shell history, audit and apt logs, whole-file formats)
-are read one file a row, numbered and regrouped.
+Formats of lines are read line by line and split freely; where neighbouring lines belong
+together (shell history, audit and apt logs) they carry their place in the file. Only small
+files that mean something as a whole (units, settings) are read one file a row.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import fnmatch
 import os
 import re
 import shutil
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,7 +38,8 @@ GLOBS = [
     ("*/etc/ld.so.preload", "persistence"), ("*/etc/rc.local", "persistence"), ("*/etc/profile.d/*", "persistence"), ("*/.bashrc", "persistence"), ("*/.bash_profile", "persistence"), ("*/.profile", "persistence"),
     ("*/.zshrc", "persistence"), ("*/.xprofile", "persistence"), ("*/.xinitrc", "persistence"), ("*/.config/autostart/*", "persistence"), ("*/etc/modprobe.d/*", "persistence"), ("*/etc/modules-load.d/*", "persistence"),
     ("*/etc/modules", "persistence"), ("*/etc/init.d/*", "persistence"), ("*/etc/cron.hourly/*", "persistence"), ("*/etc/cron.daily/*", "persistence"), ("*/etc/cron.weekly/*", "persistence"), ("*/etc/cron.monthly/*", "persistence"),
-    ("*/etc/sudoers", "persistence"), ("*/etc/sudoers.d/*", "persistence"), ("*.timer", "persistence"), ("*/etc/group", "persistence"), ("*/known_hosts", "persistence"), ("*/trash/info/*.trashinfo", "trash"),
+    ("*/etc/sudoers", "persistence"), ("*/etc/sudoers.d/*", "persistence"), ("*/var/spool/at/*", "persistence"), ("*/etc/group", "persistence"), ("*/.ssh/known_hosts*", "persistence"),
+    ("*/etc/systemd/system/*.timer", "persistence"), ("*/lib/systemd/system/*.timer", "persistence"), ("*/.local/share/trash/info/*.trashinfo", "trash"),
 ]
 IGNORED = ["uac.log*", "*.sha256", "*.md5", "hash_executables/*", "live_response/hardware/*", "live_response/packages/*", "chkrootkit/*", "memory_dump/*"]
 AUTH_EVENTS = [
@@ -89,27 +91,67 @@ def visible(root: str, path: str) -> str:
     return twin
 
 
-def _read(spark: SparkSession, paths: list[str], whole: bool) -> DataFrame:
-    """(value, path, name, mtime)."""
-    df = spark.read.text(literal(paths), wholetext=whole).select("value", "_metadata.file_path", "_metadata.file_modification_time")
-    plain = F.regexp_replace("file_path", "^file:(//)?", "")
-    path = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
-    path = F.replace(F.replace(path, F.lit("%2E"), F.lit(".")), F.lit("%5F"), F.lit("_"))
-    return df.select("value", path.alias("path"), F.substring_index(path, "/", -1).alias("name"), F.col("file_modification_time").alias("mtime"))
+@dataclass(frozen=True)
+class Paths:
+    """Evidence text in files."""
 
+    spark: SparkSession
+    paths: list[str]
 
-def files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, name, mtime, text), one row a file."""
-    return _read(spark, paths, True).withColumnRenamed("value", "text")
+    def _read(self, whole: bool, *more: str) -> DataFrame:
+        """(value, path, name, mtime)."""
+        df = self.spark.read.text(literal(self.paths), wholetext=whole, lineSep=None if whole else "\n").select("value", "_metadata.file_path", "_metadata.file_modification_time", *more)
+        plain = F.regexp_replace("file_path", "^file:(//)?", "")
+        path = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+        path = F.replace(F.replace(path, F.lit("%2E"), F.lit(".")), F.lit("%5F"), F.lit("_"))
+        return df.select("value", path.alias("path"), F.substring_index(path, "/", -1).alias("name"), F.col("file_modification_time").alias("mtime"), *[m.rpartition(".")[2] for m in more])
 
+    def files(self) -> DataFrame:
+        """(path, name, mtime, text), one row a file; an empty file has none."""
+        return self._read(True).withColumnRenamed("value", "text")
 
-def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, name, mtime, line) of formats whose lines stand alone; blank lines are left out."""
-    return _read(spark, paths, False).withColumn("line", F.regexp_replace("value", r"\r$", "")).where(F.trim("line") != "").drop("value")
+    def empty(self) -> DataFrame | None:
+        """files() of the empty files."""
+        found = [(p, os.path.basename(p), datetime.fromtimestamp(os.path.getmtime(p), timezone.utc), "") for p in self.paths if os.path.isfile(p) and not os.path.getsize(p)]
+        return self.spark.createDataFrame(found, "path string, name string, mtime timestamp, text string") if found else None
+
+    def lines(self) -> DataFrame:
+        """(path, name, mtime, line) of formats whose lines stand alone; blank lines are left out."""
+        return _clean(self._read(False)).drop("value")
+
+    def ordered(self) -> DataFrame:
+        """lines() with no, which sorts as the lines of a file do: a split of a file is read in order by one task, so a file of any size is read by many."""
+        df = self._read(False, "_metadata.file_block_start").withColumn("no", F.struct("file_block_start", F.monotonically_increasing_id().alias("row")))
+        return _clean(df).select("path", "name", "mtime", "no", "line")
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Evidence text that is a table already: path, mtime, no (which sorts as the lines of a path do) and line."""
+
+    table: DataFrame
+
+    def files(self) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n")
+        return self.table.groupBy("path").agg(F.max("mtime").alias("mtime"), text.alias("text")).select("path", F.substring_index("path", "/", -1).alias("name"), "mtime", "text")
+
+    def empty(self) -> DataFrame | None:
+        """A path without a line isn't in the table."""
+        return None
+
+    def lines(self) -> DataFrame:
+        return self.ordered().drop("no")
+
+    def ordered(self) -> DataFrame:
+        return _clean(self.table.withColumn("value", F.col("line"))).select("path", F.substring_index("path", "/", -1).alias("name"), "mtime", "no", "line")
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    return df.withColumn("line", F.regexp_replace("value", r"\r$", "")).where(F.trim("line") != "")
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Lines of files() with their number, in which order can be told."""
+    """Lines of files() with their number, for formats in which the number itself counts."""
     return df.select("path", "name", "mtime", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line")).where(F.trim("line") != "")
 
 
@@ -150,19 +192,19 @@ def syslog_time(line: Column, mtime: Column, zone: Column) -> tuple[Column, Colu
     return F.when(iso, named).otherwise(F.when(line.rlike(SYSLOG), local)), rest
 
 
-# --- parsers: each takes (spark, paths, collected, zone) and yields artifact_type, stamps, description, raw ------
+# --- parsers: each takes (Paths or Rows, collected, zone) and yields artifact_type, stamps, description, raw ------
 
-def bodyfile(spark, paths, collected, zone):
+def bodyfile(src, collected, zone):
     f = F.split("line", r"\|")
-    df = lines(spark, paths).where(F.size(f) >= 11).select(*[f[i].alias(n) for i, n in enumerate(("md5", "path", "inode", "mode", "uid", "gid", "size", "a", "m", "c", "b"))])
+    df = src.lines().where(F.size(f) >= 11).select(*[f[i].alias(n) for i, n in enumerate(("md5", "path", "inode", "mode", "uid", "gid", "size", "a", "m", "c", "b"))])
     times = F.array(*[F.struct(F.lit(label).alias("label"), fn.epoch_time(F.col(c)).alias("value")) for label, c in (("accessed", "a"), ("modified", "m"), ("changed", "c"), ("created", "b"))])
     text = F.concat("path", F.lit(" ("), "size", F.lit(" bytes, "), "mode", F.lit(", uid="), "uid", F.lit(" gid="), "gid", F.lit(")"))
     return _record(df, "file_entry", times, text, _raw(path=F.col("path"), inode=F.col("inode"), mode=F.col("mode"), uid=F.col("uid"), gid=F.col("gid"), size=F.col("size"), md5=F.when(F.col("md5") != "0", F.col("md5"))))
 
 
-def authlog(spark, paths, collected, zone):
+def authlog(src, collected, zone):
     ts, rest = syslog_time(F.col("line"), F.col("mtime"), zone)
-    df = lines(spark, paths).select("name", ts.alias("ts"), rest.alias("rest"))
+    df = src.lines().select("name", ts.alias("ts"), rest.alias("rest"))
     event = F.lit(None).cast("string")
     for pattern, name in reversed(AUTH_EVENTS):
         event = F.when(F.col("rest").rlike(pattern), name).otherwise(event)
@@ -170,9 +212,9 @@ def authlog(spark, paths, collected, zone):
     return _record(df, "auth_log", _stamp("logged", F.col("ts")), F.concat(F.lit("["), "event", F.lit("] "), "rest"), _raw(event=F.col("event"), line=F.col("rest"), log=F.col("name"), tz=F.coalesce(zone, F.lit("unknown"))))
 
 
-def history(spark, paths, collected, zone):
+def history(src, collected, zone):
     """A `#epoch` line dates the command after it; a zsh line carries its own epoch."""
-    df = numbered(files(spark, paths))
+    df = src.ordered()
     marker = F.col("line").rlike(r"^#\s*\d+\s*$")
     before = F.lag("line").over(Window.partitionBy("path").orderBy("no"))
     df = df.withColumns({"before": before, "marker": marker}).where("not marker")
@@ -182,9 +224,9 @@ def history(spark, paths, collected, zone):
     return _record(df, "shell_history", _stamp("executed", F.col("ts")), F.concat(F.lit("["), "user", F.lit("] "), "command"), _raw(user=F.col("user"), command=F.col("command"), file=F.col("name")))
 
 
-def cron(spark, paths, collected, zone):
+def cron(src, collected, zone):
     """System crontabs name the user before the command; those of users don't."""
-    df = lines(spark, paths).where(~F.ltrim("line").startswith("#") & F.col("line").rlike(CRON))
+    df = src.lines().where(~F.ltrim("line").startswith("#") & F.col("line").rlike(CRON))
     system = F.col("path").contains("cron.d") | (F.col("name") == "crontab")
     whole = _at(F.col("line"), CRON, 2)
     first, rest = F.regexp_extract(whole, r"^(\S+)\s+(.*)$", 1), F.regexp_extract(whole, r"^(\S+)\s+(.*)$", 2)
@@ -194,9 +236,9 @@ def cron(spark, paths, collected, zone):
     return _record(df, "cron_job", _mtime(), F.concat(F.lit("["), who, F.lit("] "), "schedule", F.lit(" -> "), "command"), _raw(schedule=F.col("schedule"), command=F.col("command"), user=F.col("user"), file=F.col("name")))
 
 
-def unit(spark, paths, collected, zone):
+def unit(src, collected, zone):
     """The first value of each key in the first 200 lines; a unit that starts nothing is left out."""
-    df = numbered(files(spark, paths)).where("no < 200").where(F.col("line").contains("=") & ~F.ltrim("line").rlike(r"^[#;\[]"))
+    df = numbered(src.files()).where("no < 200").where(F.col("line").contains("=") & ~F.ltrim("line").rlike(r"^[#;\[]"))
     pairs = df.select("path", "name", "mtime", "no", F.trim(F.substring_index("line", "=", 1)).alias("k"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("v"))
     first = pairs.groupBy("path", "name", "mtime", "k").agg(F.min_by("v", "no").alias("v"))
     body = first.groupBy("path", "name", "mtime").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("body")).where(F.coalesce(F.col("body")["ExecStart"], F.lit("")) != "")
@@ -204,45 +246,45 @@ def unit(spark, paths, collected, zone):
     return _record(body, "systemd_unit", _mtime(), text, F.map_concat(_raw(unit=F.col("name"), exec_start=F.col("body")["ExecStart"], user=F.coalesce(F.col("body")["User"], F.lit(""))), F.map_filter("body", lambda k, v: ~k.isin("unit", "exec_start", "user"))))
 
 
-def keys(spark, paths, collected, zone):
-    df = lines(spark, paths).where(~F.ltrim("line").startswith("#")).withColumn("bits", F.split(F.trim("line"), r"\s+")).where(F.size("bits") >= 2)
+def keys(src, collected, zone):
+    df = src.lines().where(~F.ltrim("line").startswith("#")).withColumn("bits", F.split(F.trim("line"), r"\s+")).where(F.size("bits") >= 2)
     is_type = lambda b: b.startswith("ssh-") | b.startswith("ecdsa-") | b.startswith("sk-")
     kind = F.coalesce(F.get(F.filter("bits", is_type), 0), F.col("bits")[0])
     df = df.withColumns({"user": owner(F.col("path")), "key_type": kind, "comment": F.when(F.size("bits") > 2, F.element_at("bits", -1)).otherwise(""), "options": F.when(is_type(F.col("bits")[0]), "").otherwise(F.col("bits")[0])})
     return _record(df, "ssh_authorized_key", _mtime(), F.concat(F.lit("["), "user", F.lit("] "), "key_type", F.lit(" "), "comment"), _raw(user=F.col("user"), key_type=F.col("key_type"), comment=F.col("comment"), options=F.col("options"), file=F.col("path")))
 
 
-def passwd(spark, paths, collected, zone):
+def passwd(src, collected, zone):
     f = F.split("line", ":")
-    df = lines(spark, paths).where(F.size(f) >= 7).select("mtime", *[f[i].alias(n) for i, n in enumerate(("user", "x", "uid", "gid", "gecos", "home", "shell"))])
+    df = src.lines().where(F.size(f) >= 7).select("mtime", *[f[i].alias(n) for i, n in enumerate(("user", "x", "uid", "gid", "gecos", "home", "shell"))])
     text = F.concat("user", F.lit(" uid="), "uid", F.lit(" gid="), "gid", F.lit(" shell="), "shell", F.lit(" home="), "home")
     return _record(df, "user_account", _mtime(), text, _raw(**{n: F.col(n) for n in ("user", "uid", "gid", "shell", "home", "gecos")}))
 
 
-def ps(spark, paths, collected, zone):
+def ps(src, collected, zone):
     """`ps aux` (11 fields) or `ps -ef` (8 fields); processes are dated by the collection."""
     aux, ef = r"^\s*(\S+)\s+(\d+)" + r"\s+\S+" * 6 + r"\s+(\S+)\s+\S+\s+(.+)$", r"^\s*(\S+)\s+(\d+)\s+(\d+)\s+\S+\s+(\S+)\s+\S+\s+\S+\s+(.+)$"
     line, is_aux = F.col("line"), F.col("line").rlike(aux)
-    df = lines(spark, paths).where(~F.lower(F.ltrim("line")).rlike("^(user|uid|pid )") & (is_aux | line.rlike(ef)))
+    df = src.lines().where(~F.lower(F.ltrim("line")).rlike("^(user|uid|pid )") & (is_aux | line.rlike(ef)))
     pick = lambda i, j: F.when(is_aux, _at(line, aux, i)).otherwise(_at(line, ef, j))
     df = df.withColumns({"user": pick(1, 1), "pid": pick(2, 2), "ppid": F.when(is_aux, "").otherwise(_at(line, ef, 3)), "start": pick(3, 4), "command": pick(4, 5)})
     when = F.coalesce(collected, fn.canonical(F.col("mtime")))
     return _record(df, "process", _stamp("collected", when), F.concat(F.lit("["), "user", F.lit("] pid="), "pid", F.lit(" "), "command"), _raw(**{n: F.col(n) for n in ("user", "pid", "ppid", "start", "command")}))
 
 
-def network(spark, paths, collected, zone):
+def network(src, collected, zone):
     line = F.col("line")
     is_ss = line.rlike(SS)
     pick = lambda i, j: F.when(is_ss, _at(line, SS, i)).otherwise(_at(line, NETSTAT, j))
-    df = lines(spark, paths).where(is_ss | line.rlike(NETSTAT)).withColumns({"proto": pick(1, 1), "local": pick(3, 3), "remote": pick(4, 4), "process": pick(5, 5)})
+    df = src.lines().where(is_ss | line.rlike(NETSTAT)).withColumns({"proto": pick(1, 1), "local": pick(3, 2), "remote": pick(4, 3), "process": pick(5, 5)})
     df = df.where(~F.col("local").isin("Local", "Address") & ~F.col("remote").isin("Peer", "Address"))
     when = F.coalesce(collected, fn.canonical(F.col("mtime")))
     return _record(df, "network_connection", _stamp("collected", when), F.trim(F.concat("proto", F.lit(" "), "local", F.lit(" -> "), "remote", F.lit(" "), "process")), _raw(**{n: F.col(n) for n in ("proto", "local", "remote", "process")}))
 
 
-def auditd(spark, paths, collected, zone):
+def auditd(src, collected, zone):
     """Lines of one serial are one event; a key's first value counts, EXECVE arguments become the command line."""
-    df = numbered(files(spark, paths)).where(F.col("line").rlike(AUDIT))
+    df = src.ordered().where(F.col("line").rlike(AUDIT))
     line = F.col("line")
     df = df.select("path", "no", _at(line, AUDIT, 1).alias("type"), _at(line, AUDIT, 2).alias("epoch"), _at(line, AUDIT, 3).alias("serial"), _at(line, AUDIT, 4).alias("rest"))
     pair = F.regexp_extract_all("rest", F.lit(r'(\w+=(?:"(?:[^"\\]|\\.)*"|\S+))'), F.lit(1))
@@ -264,18 +306,18 @@ def auditd(spark, paths, collected, zone):
     return _record(by, "auditd", _stamp("logged", fn.epoch_time(F.col("epoch"))), F.concat(F.lit("["), kind, F.lit("] "), who, F.lit(" "), body), raw)
 
 
-def dpkg(spark, paths, collected, zone):
+def dpkg(src, collected, zone):
     pattern = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+(\S+)\s+(.*)$"
     line = F.col("line")
-    df = lines(spark, paths).where(line.rlike(pattern)).select(_at(line, pattern, 1).alias("ts"), _at(line, pattern, 2).alias("action"), _at(line, pattern, 3).alias("detail")).where(F.col("action").isin(DPKG_ACTIONS))
+    df = src.lines().where(line.rlike(pattern)).select(_at(line, pattern, 1).alias("ts"), _at(line, pattern, 2).alias("action"), _at(line, pattern, 3).alias("detail")).where(F.col("action").isin(DPKG_ACTIONS))
     bits = F.split(F.trim("detail"), r"\s+")
     text = F.concat(F.lit("[dpkg] "), "action", F.lit(" "), bits[0], F.lit(" "), F.array_join(F.slice(bits, 2, F.size(bits)), " "))
     return _record(df, "package_event", _stamp("logged", F.col("ts")), text, _raw(manager=F.lit("dpkg"), action=F.col("action"), package=bits[0], detail=F.col("detail")))
 
 
-def apt(spark, paths, collected, zone):
+def apt(src, collected, zone):
     """Blocks from one Start-Date to the next; within a block a key's last value counts."""
-    df = numbered(files(spark, paths)).where(F.col("line").contains(":"))
+    df = src.ordered().where(F.col("line").contains(":"))
     block = F.sum(F.col("line").startswith("Start-Date:").cast("int")).over(Window.partitionBy("path").orderBy("no"))
     pairs = df.withColumn("block", block).where("block > 0").select("path", "block", "no", F.trim(F.substring_index("line", ":", 1)).alias("k"), F.trim(F.regexp_replace("line", r"^[^:]*:", "")).alias("v"))
     last = pairs.groupBy("path", "block", "k").agg(F.max_by("v", "no").alias("v"))
@@ -288,31 +330,30 @@ def apt(spark, paths, collected, zone):
     return _record(by, "package_event", _stamp("logged", F.regexp_replace(get("Start-Date"), r"\s+", " ")), text, raw)
 
 
-def yum(spark, paths, collected, zone):
+def yum(src, collected, zone):
     line = F.col("line")
-    df = lines(spark, paths).where(line.rlike(YUM)).select("mtime", _at(line, YUM, 1).alias("when"), _at(line, YUM, 2).alias("action"), F.trim(_at(line, YUM, 3)).alias("package"))
-    dated = F.try_to_timestamp(F.concat_ws(" ", F.year("mtime").cast("string"), F.regexp_replace("when", r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    ts = F.when(F.col("when").contains("T"), F.col("when")).otherwise(fn.canonical(dated))
+    df = src.lines().where(line.rlike(YUM)).select("mtime", _at(line, YUM, 1).alias("when"), _at(line, YUM, 2).alias("action"), F.trim(_at(line, YUM, 3)).alias("package"))
+    ts = F.when(F.col("when").contains("T"), F.col("when")).otherwise(fn.canonical(fn.infer_year(F.col("when"), F.col("mtime"))))
     return _record(df, "package_event", _stamp("logged", ts), F.concat(F.lit("[yum] "), "action", F.lit(" "), "package"), _raw(manager=F.lit("yum"), action=F.lower("action"), package=F.col("package")))
 
 
-def journal(spark, paths, collected, zone):
+def journal(src, collected, zone):
     """JSON lines, whose time is UTC, or short lines, whose time is local and without year."""
-    df = lines(spark, paths)
+    df = src.lines()
     j = lambda k: F.get_json_object("line", f"$.{k}")
     told = df.where(F.col("line").startswith("{") & F.get_json_object("line", "$").isNotNull())
     unit_name = F.coalesce(F.nullif(j("_SYSTEMD_UNIT"), F.lit("")), F.nullif(j("SYSLOG_IDENTIFIER"), F.lit("")), F.lit("?"))
     one = _record(told, "journal", _stamp("logged", fn.unix_micros_time(j("__REALTIME_TIMESTAMP").try_cast("long"))), F.concat(F.lit("["), unit_name, F.lit("] "), F.coalesce(j("MESSAGE"), F.lit(""))), _raw(unit=unit_name, message=F.substring(j("MESSAGE"), 1, 600), pid=j("_PID"), uid=j("_UID"), exe=j("_EXE"), cmdline=j("_CMDLINE"), priority=j("PRIORITY"), tz=F.lit("utc")))
     line = F.col("line")
     short = df.where(~line.startswith("{") & line.rlike(JOURNAL))
-    dated = fn.canonical(F.try_to_timestamp(F.concat_ws(" ", F.year("mtime").cast("string"), F.regexp_replace(_at(line, JOURNAL, 1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss")))
+    dated = fn.canonical(fn.infer_year(_at(line, JOURNAL, 1), F.col("mtime")))
     name, message = F.trim(_at(line, JOURNAL, 3)), _at(line, JOURNAL, 5)
     two = _record(short, "journal", _stamp("logged", fn.local_to_utc(dated, zone)), F.concat(F.lit("["), name, F.lit("] "), message), _raw(unit=name, pid=_at(line, JOURNAL, 4), message=F.substring(message, 1, 600), hostname=_at(line, JOURNAL, 2), tz=F.coalesce(zone, F.lit("unknown"))))
     return one.unionByName(two)
 
 
 def _content(df: DataFrame, comment: str) -> DataFrame:
-    kept = F.filter(F.transform(F.split("text", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.rlike(comment))
+    kept = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(comment))
     return df.withColumn("kept", kept)
 
 
@@ -323,27 +364,26 @@ def persistence_kind(path: Column) -> Column:
     return out
 
 
-def persistence(spark, paths, collected, zone):
+def persistence(src, collected, zone):
     """Files whose place is their meaning; an empty one says nothing, but for ld.so.preload."""
-    found = files(spark, paths)
-    # Spark yields no row for an empty file
-    empty = [(p, os.path.basename(p), datetime.fromtimestamp(os.path.getmtime(p), timezone.utc), "") for p in paths if "ld.so.preload" in p and os.path.isfile(p) and not os.path.getsize(p)]
-    if empty:
-        found = found.unionByName(spark.createDataFrame(empty, "path string, name string, mtime timestamp, text string"))
+    found = src.files()
+    empty = src.empty()
+    if empty is not None:
+        found = found.unionByName(empty)
     df = _content(found, "^(#|;|//)").where((F.size("kept") > 0) | F.col("path").contains("ld.so.preload")).withColumn("kind", persistence_kind(F.col("path")))
     text = F.concat(F.lit("["), "kind", F.lit("] "), "name", F.lit(": "), F.array_join(F.slice("kept", 1, 4), " ; "))
     return _record(df, "persistence_file", _mtime(), text, _raw(kind=F.col("kind"), path=F.col("path"), name=F.col("name"), lines=F.size("kept"), content=F.substring(F.array_join(F.slice("kept", 1, 80), "\n"), 1, 3000)))
 
 
-def identity(spark, paths, collected, zone):
-    df = _content(files(spark, paths), "^#")
+def identity(src, collected, zone):
+    df = _content(src.files(), "^#")
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in IDENTITY_NAMES.items() for x in kv]), F.col("name")), F.col("name"))
     text = F.concat(F.lit("["), label, F.lit("] "), F.array_join(F.slice("kept", 1, 6), "; "))
     return _record(df, "system_identity", _mtime(), text, _raw(file=label, path=F.col("path"), content=F.substring(F.array_join(F.slice("kept", 1, 60), "\n"), 1, 2000)))
 
 
-def trash(spark, paths, collected, zone):
-    df = files(spark, paths)
+def trash(src, collected, zone):
+    df = src.files()
     get = lambda k: F.trim(F.regexp_extract("text", rf"(?m)^{k}=(.*)$", 1))
     # a plus is a plus in these paths, not a blank
     df = df.select("name", F.coalesce(F.try_url_decode(F.replace(get("Path"), F.lit("+"), F.lit("%2B"))), get("Path")).alias("original"), F.replace(get("DeletionDate"), F.lit("T"), F.lit(" ")).alias("deleted")).where("original <> ''")
@@ -375,7 +415,7 @@ def ingest_collection(spark: SparkSession, root: str, case_id: str, host: str, s
     where, when = F.lit(zone).cast("string"), F.lit(collected).cast("string")
     out = None
     for kind, paths in sorted(todo.items()):
-        rows = PARSERS[kind](spark, paths, when, where).withColumns({"case_id": F.lit(case_id), "source_id": F.lit(source_id), "host": F.lit(host), "source": F.lit(source), "enrich": F.lit(None).cast("string")})
+        rows = PARSERS[kind](Paths(spark, paths), when, where).withColumns({"case_id": F.lit(case_id), "source_id": F.lit(source_id), "host": F.lit(host), "source": F.lit(source), "enrich": F.lit(None).cast("string")})
         part = records.build(rows)
         out = part if out is None else out.unionByName(part)
     return out, unknown
