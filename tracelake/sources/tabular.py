@@ -92,31 +92,52 @@ PRELOADS = ["LD_PRELOAD", "LD_LIBRARY_PATH", "LD_AUDIT"]
 
 # --- derived values -----------------------------------------------------------------------------------------
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def _first_wins(entries: Column) -> Column:
     """A map of entries in which a key's first value counts."""
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    told = lambda es, keys: F.map_from_entries(F.filter(es, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    return _let(entries, lambda es: _let(F.transform(es, lambda e: e["key"]), lambda keys: told(es, keys)))
+
+
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def _nested(v: Column) -> Column:
+    return v.startswith("{") | v.startswith("[")
+
+
+def _pairs(m: Column) -> Column:
+    return F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def _named(m: Column) -> Column:
+    name, value = F.coalesce(m["@Name"], m["Name"]), F.coalesce(m["#text"], m["Text"], F.lit(""))
+    return F.when(name.isNotNull(), F.struct(name.alias("key"), value.alias("value")))
+
+
+def _named_data(data: Column) -> Column:
+    """Entries of a part's Data: a list of named values (the last of a name counts), one named value, an object or a text."""
+    many = F.reverse(F.array_compact(F.transform(F.from_json(data, "array<map<string,string>>"), lambda m: _named(m))))
+    plain = lambda m: _pairs(F.map_filter(m, lambda k, v: ~_nested(F.coalesce(v, F.lit("")))))
+    single = _let(F.from_json(data, "map<string,string>"), lambda m: F.when(_named(m).isNotNull(), F.array(_named(m))).otherwise(plain(m)))
+    return F.when(data.startswith("["), many).when(data.startswith("{"), single).when(data != "", F.array(F.struct(F.lit("Data").alias("key"), data.alias("value"))))
 
 
 def payload(text: Column) -> Column:
     """Flat map of an event's payload: named data first, then the scalars of each part, then those beside them."""
-    entry = "array<struct<key:string,value:string>>"
-    none = F.array().cast(entry)
-    nested = lambda v: v.startswith("{") | v.startswith("[")
-    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    named, scalars = [], []
-    for part in ("EventData", "UserData", "System"):
-        block = F.from_json(F.get_json_object(text, f"$.{part}"), "map<string,string>")
-        data = block["Data"]
-        name_of = lambda m: F.coalesce(m["@Name"], m["Name"])
-        value_of = lambda m: F.coalesce(m["#text"], m["Text"], F.lit(""))
-        many = F.transform(F.filter(F.from_json(data, "array<map<string,string>>"), lambda m: name_of(m).isNotNull()), lambda m: F.struct(name_of(m).alias("key"), value_of(m).alias("value")))
-        one = F.from_json(data, "map<string,string>")
-        single = F.when(name_of(one).isNotNull(), F.array(F.struct(name_of(one).alias("key"), value_of(one).alias("value")))).otherwise(pairs(F.map_filter(one, lambda k, v: ~nested(F.coalesce(v, F.lit(""))))))
-        named.insert(0, F.coalesce(F.when(data.startswith("["), F.reverse(many)).when(data.startswith("{"), single).when(data != "", F.array(F.struct(F.lit("Data").alias("key"), data.alias("value")))), none))
-        scalars.append(F.coalesce(pairs(F.map_filter(block, lambda k, v: (k != "Data") & v.isNotNull() & (v != "") & ~nested(v))), none))
-    beside = F.coalesce(pairs(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: ~k.isin("EventData", "UserData", "System") & v.isNotNull() & ~nested(v))), none)
-    return _first_wins(F.concat(*named, *scalars, beside))
+    none = F.array().cast(_ENTRIES)
+    parts = ("EventData", "UserData", "System")
+    scalars = lambda m, left_out: _pairs(F.map_filter(m, lambda k, v: ~k.isin(*left_out) & v.isNotNull() & ~_nested(v)))
+
+    def flat(top: Column) -> Column:
+        both = [_let(F.from_json(top[p], "map<string,string>"), lambda m: F.struct(F.coalesce(_named_data(m["Data"]), none).alias("named"), F.coalesce(F.filter(scalars(m, ["Data"]), lambda e: e["value"] != ""), none).alias("scalars"))) for p in parts]
+        return _let(F.array(*both), lambda b: F.concat(*[b[i]["named"] for i in (2, 1, 0)], *[b[i]["scalars"] for i in range(3)], F.coalesce(scalars(top, parts), none)))
+
+    return _first_wins(_let(F.from_json(text, "map<string,string>"), flat))
 
 
 def _truth(c: Column) -> Column:
