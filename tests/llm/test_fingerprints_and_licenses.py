@@ -1,6 +1,10 @@
 import hashlib
+import math
+from collections import Counter
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.helpers import assert_same
@@ -30,6 +34,72 @@ def test_edits_and_likeness(spark, tiny, per_range):
         assert by.setdefault(text[i], f) == f
 
 
+def spark_hash(values, seed=42):
+    """Spark's xxhash64 of longs, one after the other, or of a text."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def brute_terms(text):
+    return list(dict.fromkeys(spark_hash([t]) for t in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if t))
+
+
+def brute_band(texts, bits=20):
+    """The buckets that at least 2 and at most 5 % of the documents hold."""
+    n = Counter(b for t in texts for b in {h & ((1 << bits) - 1) for h in brute_terms(t)})
+    return {b for b, c in n.items() if 2 <= c <= max(2, len(texts) // 20)}
+
+
+def brute_codes(text, band, bits=20):
+    """(level, dense, sparse) from plain sets: each of the 64 subsets keeps the terms whose cell it is."""
+    every = brute_terms(text)
+    kept = [h for h in every if h & ((1 << bits) - 1) in band]
+    kept = kept if len(kept) >= 4 else every
+    level = 6 + max(0, math.ceil(math.log2(max(len(kept), 1) / 32)))
+    cell = lambda h, up: ((h & ((1 << 64) - 1)) >> bits) & ((1 << (level + up)) - 1)
+    kept = sorted(h for h in kept if cell(h, 0) < 64)
+
+    def codes(up):
+        subsets = [[h for h in kept if cell(h, up) == s] for s in range(64)]
+        return [f"{spark_hash(t) & 0xFFFF:04x}" if t else "----" for t in subsets]
+
+    return level, codes(0), codes(1)
+
+
+def brute_string(codes, text):
+    if set(codes[1]) == set(codes[2]) == {"----"}:
+        return f"text:{spark_hash([text]) & ((1 << 64) - 1):X}"
+    return f"{codes[0]:02d}:{''.join(codes[1])}:{''.join(codes[2])}"
+
+
+def brute_likeness(a, b, string_a, string_b):
+    if string_a == string_b:
+        return 1.0
+    if abs(a[0] - b[0]) > 1:
+        return 0.0
+    pairs = [(x, y) for x, y in zip(a[1 if a[0] >= b[0] else 2], b[1 if b[0] >= a[0] else 2], strict=True) if (x, y) != ("----", "----")]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+@pytest.mark.parametrize("table", ["driver", "odd"])
+def test_fingerprints_and_likeness_by_brute_force(spark, tiny, table):
+    """Every column of the operator against sets, sorted lists and the hash library, from the whole table's frequencies."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet") if table == "driver" else odd_documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs = docs.select("doc_id", "text").cache()
+    rows = sorted(((r[0], r[1] or "") for r in docs.collect()), key=lambda r: -r[0])
+    band = brute_band([t for _, t in rows])
+    want = {}
+    for i, (doc, text) in enumerate(rows):
+        after, k = rows[(i + 1) % len(rows)][1], len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        own, alt, nxt = (brute_codes(t, band) for t in (text, edited, after))
+        names = [brute_string(c, t) for c, t in ((own, text), (alt, edited), (nxt, after))]
+        want[doc] = (len(text), names[0], names[1], brute_likeness(own, alt, names[0], names[1]), brute_likeness(own, nxt, names[0], names[2]))
+    got = {r["doc_id"]: (r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprint.edited_pairs(docs).collect()}
+    assert len(got) == len(rows) and {k for k in want if got[k] != want[k]} == set()
+
+
 def test_fingerprints_of_odd_rows(spark):
     got = fingerprint.edited_pairs(odd_documents(spark)).toPandas()
     assert len(got) == len(DOCS)
