@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import langid, stages, toxicity
+from tracelake.llm import langid, stages, textbytes, toxicity
 from tests.llm.samples import DOCS, odd_documents
 
 
@@ -22,6 +24,46 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def brute_bins(text):
+    """Bins of the n-grams that hold a letter, of a lower-cased text and its end; the end and anything but letters are one character."""
+    chars = [*(c if c.isalpha() else None for c in text.lower()), None]
+    found = set()
+    for n in langid.GRAMS:
+        for i in range(len(chars) - n + 1):
+            gram = chars[i : i + n]
+            if any(gram):
+                h = n
+                for c in gram:
+                    h = (h * 0x100000001B3 + (ord(c) if c else 0)) % (1 << 64)
+                found.add(int(textbytes.mix(np.array([h], np.uint64))[0]) % langid.BINS)
+    return found
+
+
+def test_language_and_score_by_brute_force(spark, docs):
+    """Each prediction against set intersections with the landmarks, over whole texts."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    marks = [set(np.flatnonzero(model.landmarks[:, j])) for j in range(model.landmarks.shape[1])]
+    rows = [r for r in docs.select("doc_id", "text", "n_chars").collect() if r["n_chars"] and r["n_chars"] < 3000][:80]
+    want = {}
+    for r in rows:
+        own = brute_bins(r["text"] or "")
+        kernel = [len(own & m) / (len(own) * len(m)) ** 0.5 if own else 0.0 for m in marks]
+        f = np.array(kernel) @ model.weights.astype(np.float64)
+        want[r["doc_id"]] = (model.languages[int(f.argmax())], float(np.clip(f.max(), 0, 1))) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert {d for d in want if got[d][0] != want[d][0] or abs(got[d][1] - want[d][1]) > 1e-3} == set()
+
+
+def test_ridge_weights_by_the_normal_equations():
+    """Nystroem features and their regression against the same problem solved in the landmarks' own weights."""
+    rng = np.random.default_rng(1)
+    x, m, y = rng.random((90, 12)), rng.random((6, 12)), rng.integers(0, 3, 90)
+    k_mm, k_nm, ridge = m @ m.T, x @ m.T, 0.3
+    w = (1 / np.bincount(y))[y][:, None]
+    want = np.linalg.solve(k_nm.T @ (k_nm * w) + ridge / len(y) * k_mm, k_nm.T @ (np.eye(3)[y] * w))
+    assert np.allclose(langid.kernel_ridge(k_mm, k_nm, y, 3, ridge), want, atol=1e-3)
+
+
 def test_odd_rows_and_whole_texts(spark, docs):
     model = langid.fit(docs)
     german = next(r["text"] for r in docs.where("lang = 'de'").orderBy(F.desc("n_chars")).collect())
@@ -49,6 +91,28 @@ def test_toxic_documents_are_found_and_clean_ones_left_alone(spark):
     assert (got.toxic[hit] == 1).mean() > 0.95 and hit[got.toxic == 1].mean() > 0.85
 
 
+def test_chain_probabilities_by_brute_force(spark, tiny):
+    """Log odds from words and their beginnings counted in Python, category after category."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").where("n_chars < 3000").orderBy("doc_id").limit(60).collect()]
+    row, col, n, runs = toxicity.counts(texts)
+    words = ["".join(c if c.isalpha() else " " for c in t.lower()).split() for t in texts]
+    seen = Counter()
+    for i, found in enumerate(words):
+        seen[i] = len(found) + sum(len(w) >= p for w in found for p in toxicity.PREFIXES)
+    assert list(runs) == [len(w) for w in words]
+    assert [int(n[row == i].sum()) for i in range(len(texts))] == [seen[i] for i in range(len(texts))]
+    rng = np.random.default_rng(2)
+    chain = toxicity.Chain(["a", "b", "c"], [rng.normal(size=toxicity.BINS) for _ in range(3)], [rng.normal(size=1 + k) for k in range(3)])
+    got = chain.logits(row, col, n, runs)
+    for i in range(len(texts)):
+        known = []
+        for k in range(3):
+            z = chain.rest[k][0] + sum(float(c) * p for c, p in zip(chain.rest[k][1:], known, strict=True))
+            z += sum(np.log1p(m) / (1 + np.log1p(len(words[i]) / 400)) * chain.bins[k][b] for b, m in zip(col[row == i], n[row == i], strict=True))
+            assert abs(got[i, k] - z) < 1e-6
+            known.append(1 / (1 + np.exp(-min(max(z, -40), 40))))
+
+
 def test_chain_feeds_earlier_categories(spark):
     """The second category is the first one's opposite wherever a word says so; only the chain can know the rest."""
     rows = [(i, ("alpha " if i % 2 else "beta ") * 3 + f"filler{i % 7}", i % 2, i % 2) for i in range(200)]

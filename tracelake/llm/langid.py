@@ -29,7 +29,10 @@ FEW_LANGUAGES = 10_000
 
 
 def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
-    """Marks in ``out`` (rows, BINS) the n-grams of each text; returns whether a text has a letter."""
+    """Marks in ``out`` (rows, BINS) the n-grams of each text; returns whether a text has a letter.
+
+    A text's end counts as one more character that is no letter, so a last word ends like any other.
+    """
     cp, at = code_points([t.lower() for t in texts])
     is_letter = letters()[cp]
     row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(at))
