@@ -525,3 +525,6 @@ def rule_noise_report(spark, d):
     from tracelake.operators import report
 
     return report.rule_noise(artifacts(spark, d), [META["R3"]])
+
+
+from tracelake import catalog_summary  # noqa: E402, F401  # registers its queries, which stand on those above

@@ -352,6 +352,13 @@ def read_corpus(spark, folder: str) -> list[tuple[str, dict]]:
     return [(r["file_path"], doc) for r in files.orderBy("file_path").toLocalIterator() for doc in yaml.safe_load_all(r["value"]) if isinstance(doc, dict) and "detection" in doc]
 
 
+def technique_index(spark, found: list[tuple[str, dict]]) -> DataFrame:
+    """(technique, rules, with_filter, titles) of read_corpus()'s documents: how many name a technique and how many of them exclude something."""
+    rows = [(t.removeprefix("attack.").upper(), any(str(k).startswith("filter") for k in doc["detection"] or {}), str(doc.get("title") or path)) for path, doc in found for t in dict.fromkeys(str(t).lower() for t in doc.get("tags") or []) if re.fullmatch(r"attack\.t\d{4}(\.\d{3})?", t)]
+    df = spark.createDataFrame(rows, "technique string, filtered boolean, title string")
+    return df.groupBy("technique").agg(F.count(F.lit(1)).alias("rules"), F.count_if("filtered").alias("with_filter"), F.array_sort(F.collect_list("title")).alias("titles")).orderBy("technique")
+
+
 def refusal_counts(spark, refused: list[tuple[str, str]], k: int = 15) -> DataFrame:
     """(reason, n) of the ``k`` most frequent reasons."""
     return spark.createDataFrame(refused, "id string, reason string").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(k)
