@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import severity_rank
+from tracelake.operators import attack, cluster, ioc, store, summary
 from tracelake.plans import rules
 
 
@@ -62,3 +63,31 @@ def write_report(path: str, title: str, sections: dict[str, DataFrame], most: in
     body = "".join(f"<h2>{html.escape(name)}</h2>{_rows(df, most)}" for name, df in sections.items())
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}', encoding="utf-8")
+
+
+def case_sections(case_id: str, artifacts: DataFrame, detections: DataFrame, evidence: DataFrame, which: list[rules.Rule], rulesets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sections of a case's report by name, in order. Each is an aggregate, a ranking or a first part of the timeline."""
+    spark = artifacts.sparkSession
+    mine, found = (df.where(F.col("case_id") == case_id) for df in (artifacts, detections))
+    seen = store.v_detections(found, mine)
+    tactic_of = attack.pairs_frame(spark, attack.TACTICS, "technique", "tactic")
+    sections = {
+        "Case": store.case_health(artifacts, case_id),
+        "Risk": attack.risk(found, tactic_of),
+        "Alerts": alerts(seen),
+        "Triage queue": summary.triage_queue(found, mine).select("score", "rule_count", "pid", "names", "severity"),
+        "Evidence": evidence.where(F.col("case_id") == case_id).select("host", "tool", "source_path", "sha256", "size_bytes", "acquired_utc", "status"),
+        "Scope": rules.coverage(which, mine) if which else None,
+        "Outcomes": summary.outcomes(mine, which, found) if which else None,
+        "Rulesets": rulesets,
+        "Process clusters": cluster.clusters(found, mine, 2).limit(15),
+        "Indicators": ioc.summary(found, mine).select("rule_id", "severity", "score", "timestamp_utc", "host", "matched_on"),
+        "Findings": findings(found),
+        "First hits of each rule": top_per_rule(seen, 25).select("rule_id", "timestamp_utc", "host", "description", "matched_on").orderBy("rule_id", F.col("timestamp_utc").asc_nulls_last()),
+        "Attack chain": summary.chain(seen, tactic_of),
+        "Techniques": attack.techniques(found).drop("artifacts").orderBy(F.desc("hits"), "technique"),
+        "Coverage": attack.coverage_report(found, mine, attack.pairs_frame(spark, attack.COVERAGE, "prefix", "technique")),
+        "Timeline of detections": seen.select("timestamp_utc", "host", "artifact_type", "rule_id", "severity", "description").orderBy(F.col("timestamp_utc").asc_nulls_last(), "rule_id"),
+        "Artifact types": store.types_by_count(artifacts, case_id),
+    }
+    return {name: df for name, df in sections.items() if df is not None}

@@ -61,6 +61,11 @@ def clear_detections(detections: DataFrame, case_id: str, engine: str | None = N
     return detections.where(~(mine & (F.col("engine") == engine) if engine else mine))
 
 
+def escape(value: str) -> str:
+    """A partition's value as Spark spells it in a folder's name."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in value)
+
+
 class Store:
     """Parquet tables under one folder, partitioned so that a source or an engine of a case is replaced as a whole."""
 
@@ -85,6 +90,12 @@ class Store:
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (out.partitionBy(*parts) if parts else out).parquet(self.path(name))
 
+    def drop(self, name: str, **values: str) -> None:
+        """Deletes the partition of these values, if there; replace() alone keeps a partition that gets no rows."""
+        inside = "/".join(f"{k}={escape(values[k])}" for k in TABLES[name][1])
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{inside}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def rewrite_evidence(self, rows: DataFrame) -> None:
         """Evidence is small: it is written beside the old table's rows, which it was computed from, and then replaces them."""
         rows = rows.select(*model.EVIDENCE.fieldNames())

@@ -222,6 +222,12 @@ def compile_rule(rule: Rule, fields: Fields) -> tuple[Column, Column]:
     return test, reason
 
 
+def read_rules(spark, folder: str) -> list[Rule]:
+    """The rules of every YAML file below a folder that Spark can read, by path. Rules are program text: they are compiled on the driver."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yml,yaml}").select("_metadata.file_path", "value")
+    return load_rules(r["value"] for r in files.orderBy("file_path").toLocalIterator())
+
+
 def validate(rules: Iterable[Rule]) -> list[str]:
     """Compiles every rule; returns warnings (rules without a technique)."""
     rules = list(rules)
