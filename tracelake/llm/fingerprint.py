@@ -63,16 +63,24 @@ def with_codes(df: DataFrame, text: str, lex: DataFrame, name: str) -> DataFrame
     df = df.withColumn(kept, F.when(F.size(kept) >= FEW_TERMS, F.col(kept)).otherwise(F.col(h))).drop(h)
     df = df.withColumn(lev, (F.lit(6) + F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(kept), F.lit(1)) / F.lit(SUBSETS / 2))))).cast("int"))
     cell = lambda x, up: F.shiftrightunsigned(x, BUCKET_BITS).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(lev) + up) - 1)
-    df = df.withColumn(kept, F.array_sort(F.filter(kept, lambda x: cell(x, 0) < SUBSETS)))
+    df = df.withColumn(kept, F.filter(kept, lambda x: cell(x, 0) < SUBSETS))
+    # by cell and then by term, so that a subset's terms are one slice of the array
+    by, cells = [f"{name}_by{up}" for up in (0, 1)], [f"{name}_cells{up}" for up in (0, 1)]
+    sorted_by = lambda up: F.array_sort(F.transform(kept, lambda x: F.struct(cell(x, up).alias("cell"), x.alias("term"))))
+    df = df.withColumns({by[up]: sorted_by(up) for up in (0, 1)})
+    df = df.withColumns({cells[up]: F.transform(by[up], lambda s: s["cell"]) for up in (0, 1)})
 
     def codes(up: int) -> Column:
+        own = F.col(cells[up])
+
         def code(k: Column) -> Column:
-            mine = F.filter(kept, lambda x: cell(x, up) == k)
-            return F.when(F.size(mine) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(mine).bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
+            at = F.array_position(own, k)
+            mine = F.slice(by[up], at.cast("int"), F.size(own) - F.size(F.array_remove(own, k)))["term"]
+            return F.when(at == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(mine).bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), code)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), code)
 
-    return df.withColumn(name, F.struct(F.col(lev).alias("level"), codes(0).alias("dense"), codes(1).alias("sparse"))).drop(kept, lev)
+    return df.withColumn(name, F.struct(F.col(lev).alias("level"), codes(0).alias("dense"), codes(1).alias("sparse"))).drop(kept, lev, *by, *cells)
 
 
 def as_string(codes: str, text: str) -> Column:
