@@ -38,13 +38,18 @@ def _detections(df: DataFrame, rule_id: str, title: str, severity: str, score: i
     return df.select("artifact_id", "case_id", F.lit("correlation").alias("engine"), F.lit(rule_id).alias("rule_id"), F.lit(title).alias("rule_title"), F.lit(severity).alias("severity"), F.lit(score).alias("score"), techniques.alias("attack"), matched.alias("matched_on"))
 
 
+def _parsed(artifacts: DataFrame) -> DataFrame:
+    """Adds v__, the parsed raw_data that _raw() and _key() read, so that a row is parsed once however many fields are read."""
+    return artifacts.withColumn("v__", F.try_parse_json("raw_data"))
+
+
 def _raw(name: str) -> Column:
-    return field_value(f"raw_data.{name}")
+    return field_value(f"raw_data.{name}", F.col("v__"))
 
 
 def _key(*parts: str) -> Column:
     """A raw_data value by exact keys (which may hold dots, blanks or parentheses)."""
-    return F.try_variant_get(F.try_parse_json("raw_data"), "$" + "".join(f"['{p}']" for p in parts), "string")
+    return F.try_variant_get("v__", "$" + "".join(f"['{p}']" for p in parts), "string")
 
 
 def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes: int, condition: Column) -> DataFrame:
@@ -64,7 +69,7 @@ def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes:
 
 def download_then_execute(artifacts: DataFrame, minutes: int = 60) -> DataFrame:
     """C001: an execution on the same host whose description names a file downloaded at most ``minutes`` before."""
-    timed = artifacts.where(F.col("timestamp_utc").isNotNull()).withColumn("ts", F.to_timestamp("timestamp_utc"))
+    timed = _parsed(artifacts.where(F.col("timestamp_utc").isNotNull())).withColumn("ts", F.to_timestamp("timestamp_utc"))
     target = F.lower(basename(F.coalesce(_key("path"), F.lit(""))))
     name = F.regexp_replace(F.regexp_replace(target, r"\.crdownload$", ""), r"\.part$", "")
     downloads = timed.where(F.col("artifact_type") == "browser_download").select("case_id", "host", "ts", F.col("artifact_id").alias("id"), "timestamp_utc", name.alias("name")).where(F.length("name") > 4)
@@ -76,7 +81,7 @@ def download_then_execute(artifacts: DataFrame, minutes: int = 60) -> DataFrame:
 
 
 def _processes(artifacts: DataFrame, kind: str = "memory_process") -> DataFrame:
-    mine = artifacts.where(F.col("artifact_type") == kind)
+    mine = _parsed(artifacts.where(F.col("artifact_type") == kind))
     return mine.select("artifact_id", "case_id", "host", F.coalesce(_raw("PID"), F.lit("")).alias("pid"), F.coalesce(_raw("PPID"), F.lit("")).alias("ppid"), F.lower(F.trim(F.coalesce(_raw("ImageFileName"), _raw("COMM"), F.lit("")))).alias("name"))
 
 
@@ -89,7 +94,7 @@ def unlinked_process(artifacts: DataFrame) -> DataFrame:
 
 def rewritten_creation_time(artifacts: DataFrame) -> DataFrame:
     """C003: a creation time moved back by a script host, or in a protected place, and not by a program whose work that is."""
-    logs = artifacts.where((F.col("artifact_type") == "event_log") & F.lower(F.coalesce(_raw("Channel"), F.lit(""))).contains("sysmon") & (_raw("EventId") == "2"))
+    logs = _parsed(artifacts.where(F.col("artifact_type") == "event_log")).where(F.lower(F.coalesce(_raw("Channel"), F.lit(""))).contains("sysmon") & (_raw("EventId") == "2"))
     get = lambda k: F.coalesce(_key("_enrich", "payload", k), F.lit(""))
     rows = logs.select("artifact_id", "case_id", get("CreationUtcTime").alias("new"), get("PreviousCreationUtcTime").alias("old"), get("Image").alias("image"), get("TargetFilename").alias("target"))
     image, target = F.lower("image"), F.lower("target")
@@ -101,7 +106,7 @@ def rewritten_creation_time(artifacts: DataFrame) -> DataFrame:
 
 def child_of_flagged(artifacts: DataFrame, detections: DataFrame) -> DataFrame:
     """C004: a process started by one that a critical or high rule flagged."""
-    starts = artifacts.where((F.col("artifact_type") == "event_log") & (_raw("EventId") == "1"))
+    starts = _parsed(artifacts.where(F.col("artifact_type") == "event_log")).where(_raw("EventId") == "1")
     get = lambda k: _key("_enrich", "payload", k)
     starts = starts.select("artifact_id", "case_id", F.coalesce(_raw("Channel"), F.lit("")).alias("channel"), get("ProcessGuid").alias("guid"), get("ParentProcessGuid").alias("parent"), F.coalesce(get("Image"), F.lit("None")).alias("image"), F.coalesce(get("CommandLine"), F.lit("None")).alias("command"))
     bad = detections.where(F.col("severity").isin("critical", "high") & (F.col("engine") != "correlation")).select("artifact_id", "rule_id")
@@ -137,7 +142,7 @@ def orphans(artifacts: DataFrame) -> DataFrame:
 
 def service_binary_mismatch(artifacts: DataFrame) -> DataFrame:
     """C008: a service that runs another program than its configuration names."""
-    rows = artifacts.where(F.col("artifact_type") == "memory_service").select("artifact_id", "case_id", F.coalesce(_key("Name"), F.lit("None")).alias("name"), _key("Binary").alias("running"), _key("Binary (Registry)").alias("configured"))
+    rows = _parsed(artifacts.where(F.col("artifact_type") == "memory_service")).select("artifact_id", "case_id", F.coalesce(_key("Name"), F.lit("None")).alias("name"), _key("Binary").alias("running"), _key("Binary (Registry)").alias("configured"))
     a, b = F.lower(F.trim("running")), F.lower(F.trim("configured"))
     rows = rows.where((a != "") & (b != "") & ~a.startswith("\\driver\\") & ~a.startswith("\\filesystem\\") & ~(a.contains("svchost.exe") & b.contains("svchost.exe")) & (binary_leaf(a) != binary_leaf(b)))
     return _detections(rows, "C008", "Service binary differs from its registry configuration", "critical", 80, ["T1543.003", "T1036.005"], F.concat(F.col("name"), F.lit(": running "), F.col("running"), F.lit(" but registry says "), F.col("configured")))
