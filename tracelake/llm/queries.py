@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, jaccard, langid, licenses, mixing, packing, sharding, toxicity
+from . import ann, bpe, chat, fingerprint, jaccard, langid, licenses, merkle, mixing, negatives, packing, sharding, toxicity
 from .common import table
 
 #: What conversation -1 says, in both of its rows.
@@ -56,6 +56,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(told.unionByName(own))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.quantised(F.col("embedding")).alias("embedding"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_check(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
@@ -67,12 +81,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
 _RUNS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 _SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
 
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    told = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in told) + ")"
+
+
 _ESCAPED = "replace(replace({0}, '%', '%25'), '<|', '%3C|')"
 
 ORACLE: dict[str, str] = {
@@ -98,6 +121,51 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(24 + length(replace({_ESCAPED.format('role')}, chr(10), '%0A')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM told GROUP BY conv_id""",
+    "op11_hard_negatives": """
+WITH told AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+    FROM told a JOIN told r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+best AS (SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id) AS INT) AS rank,
+    row_id AS negative_id, positive_score, score AS negative_score
+FROM best JOIN met USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE bits AS (
+    SELECT n, CAST(n AS BIGINT) AS v, 0 AS k FROM range(256) t(n)
+    UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+bytes AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+sums AS (
+    SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS i, 4294967295 AS c FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id
+    UNION ALL SELECT doc_id, s, i + 1, xor(c >> 8, t[(xor(c, CAST(ascii(s[i + 1]) AS BIGINT)) & 255) + 1]) FROM sums, bytes WHERE i < length(s)),
+forged AS (SELECT doc_id FROM sums WHERE i = length(s) AND xor(c, 4294967295) % 7 = 0),
+hashed AS (
+    SELECT d.doc_id, lang, {_leaf()} AS h, CASE WHEN f.id IS NOT NULL AND n_chars IS NOT NULL THEN {_leaf("n_chars + 1")} ELSE {_leaf()} END AS shown
+    FROM documents d LEFT JOIN (SELECT doc_id AS id FROM forged) f ON f.id = d.doc_id),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, shown) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (
+    SELECT lang, pos, n, h, 0 AS k FROM leaves
+    UNION ALL SELECT lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)), k + 1 FROM nodes WHERE n > 1 GROUP BY lang, pos // 2, n, k),
+tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+    SELECT pos, n, subroot AS h, 0 AS k FROM tops
+    UNION ALL SELECT pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)), k + 1 FROM upper WHERE n > 1 GROUP BY pos // 2, n, k),
+walk AS (
+    SELECT doc_id, lang, h AS leaf, pos, n, 0 AS k, '' AS proof, shown AS f FROM leaves
+    UNION ALL SELECT w.doc_id, w.lang, w.leaf, w.pos // 2, (w.n + 1) // 2, w.k + 1, w.proof || coalesce(s.h, ''),
+        CASE WHEN s.h IS NULL THEN sha256(w.f) WHEN w.pos % 2 = 0 THEN sha256(w.f || s.h) ELSE sha256(s.h || w.f) END
+    FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.k = w.k AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+climb AS (
+    SELECT w.doc_id, w.leaf, t.subroot, t.pos, t.n, 0 AS k, w.proof, w.f FROM walk w JOIN tops t ON t.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+    UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.pos // 2, (w.n + 1) // 2, w.k + 1, w.proof || coalesce(s.h, ''),
+        CASE WHEN s.h IS NULL THEN sha256(w.f) WHEN w.pos % 2 = 0 THEN sha256(w.f || s.h) ELSE sha256(s.h || w.f) END
+    FROM climb w LEFT JOIN upper s ON s.k = w.k AND s.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM climb WHERE n = 1""",
     "op8_signature_tree_join": r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
