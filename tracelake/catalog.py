@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake import catalog_evidence  # noqa: F401  # registers its queries
+from tracelake import catalog_evidence, catalog_sigma  # noqa: F401  # register their queries
 from tracelake import functions as fn
 from tracelake.operators import attack, cluster, correlate, ioc, store, timeline
 from tracelake.plans import rules, sigma
@@ -143,7 +143,7 @@ def sigma_boolean_condition(spark, d):
     return sigma.matching(artifacts(spark, d), rule).select("artifact_id")
 
 
-#: Sigma documents over orders as Sysmon and security events; the last two are refused.
+#: Sigma documents over orders as Sysmon and security events; the last two find nothing: one's log source isn't collected, and no order is a sudo log.
 _CORPUS = [
     {"title": "tools by name", "id": "u-1", "level": "high", "tags": ["attack.t1059.001"], "logsource": {"product": "windows", "category": "process_creation"}, "detection": {"a": {"Image|endswith": ["\\p1.exe", "\\p2.exe"]}, "b": {"CommandLine|contains": "urgent"}, "f": {"User": "u3"}, "condition": "(a or b) and not f"}},
     {"title": "dropped files", "id": "u-2", "level": "low", "logsource": {"product": "windows", "category": "file_event"}, "detection": {"s": {"Image|startswith": "C:\\x", "User": ["u1", "u5"]}, "condition": "s"}},
@@ -176,11 +176,6 @@ def sigma_corpus_detect(spark, d):
     return sigma.detect(_logged(spark, d), found).select("artifact_id", "rule_title", "severity", "score", F.array_join("attack", ",").alias("attack"), "matched_on")
 
 
-@_register("sigma_refusals", """SELECT reason, count(*) AS n FROM (VALUES ('log source mars/rover isn''t collected'), ('modifier base64')) v(reason) GROUP BY reason""")
-def sigma_refusals(spark, d):
-    return sigma.refusal_counts(spark, sigma.assemble(_CORPUS)[1])
-
-
 @_register("sigma_count_by_window", f"""WITH {EV}, e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM ev WHERE artifact_type = 'error')
 SELECT user_id, day, count(*) AS n FROM e GROUP BY user_id, day HAVING count(*) > 2""")
 def sigma_count_by_window(spark, d):

@@ -42,14 +42,13 @@ def blocked_by_types(coverage: DataFrame) -> DataFrame:
 def rule_noise(artifacts: DataFrame, which: list[rules.Rule]) -> DataFrame:
     """rule_id, rows its match block takes, rows of those that exclude drops, rows in scope: one conditional aggregation."""
     fields = rules.Fields(n for r in which for n in rules.fields_of(r))
-    base = fields.project(artifacts)
     one = []
     for r in which:
         scope = rules.in_scope(r, F.col("artifact_type"))
         test = rules.compile_block(r.match, fields)[0]
         out = rules.any_of([rules.compile_block(x, fields)[0] for x in r.exclude])
         one.append(F.struct(F.lit(r.id).alias("rule_id"), F.count_if(scope & test).alias("matched"), F.count_if(scope & test & out).alias("excluded"), F.count_if(scope).alias("seen")))
-    return base.agg(F.array(*one).alias("all")).select(F.inline("all"))
+    return fields.project(artifacts).agg(F.array(*one).alias("all")).select(F.inline("all"))
 
 
 def _rows(df: DataFrame, most: int) -> str:

@@ -22,11 +22,17 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import all_of, any_of
 from tracelake.model import DEFAULT_SCORE, SEVERITIES
+from tracelake.plans.literals import MANY, Literals
 
 TOP_LEVEL = ("description", "artifact_type", "host", "timestamp_utc", "primary_ts_type", "source")
+#: The field that stands for all text of an artifact: its description and raw data.
+ALL_TEXT = "*"
 OPERATORS = ("equals", "equals_any", "contains", "contains_any", "contains_all", "startswith_any", "endswith_any", "regex", "exists", "is_true", "gt", "lt")
 DEEPEST = 6
-GUARDS = ("raw_data.EventId", "raw_data.Channel")
+#: Fields whose value picks a rule's group.
+GUARDS = ("raw_data.EventId", "raw_data.Channel", "artifact_type")
+#: Rules whose hits are one array of a row's expressions; more would outgrow generated code.
+CHUNK = 64
 
 
 class RuleError(ValueError):
@@ -127,20 +133,47 @@ class Fields:
 
     def __init__(self, names: Iterable[str]):
         self.at = {n: i for i, n in enumerate(dict.fromkeys(names))}
+        self.searches: dict[str, Literals] = {}
+        self.columns: dict[str, Column] = {}
+
+    def _column(self, name: str) -> Column:
+        """A column by name, made once: thousands of conditions refer to it."""
+        if name not in self.columns:
+            self.columns[name] = F.col(name)
+        return self.columns[name]
 
     def raw(self, name: str) -> Column:
-        return F.col(f"f{self.at[name]}__")
+        return self._column(f"f{self.at[name]}__")
 
     def low(self, name: str) -> Column:
-        return F.col(f"l{self.at[name]}__")
+        return self._column(f"l{self.at[name]}__")
+
+    def said(self, name: str) -> Column:
+        """What to say about a field that matched: its name and the text's first 200 characters."""
+        if f"{name}=" not in self.columns:
+            self.columns[f"{name}="] = F.concat(F.lit(f"{name}="), F.substring(self.raw(name), 1, 200))
+        return self.columns[f"{name}="]
+
+    def found(self, name: str) -> Column:
+        """What literals.FOUND says of the field's lower-cased text."""
+        return F.col(f"h{self.at[name]}__")
+
+    def holds(self, name: str, texts: list[str], every: bool = False) -> Column:
+        """Whether any, or every one, of ``texts`` occurs in the field: asked of its automaton, which project() runs over all that was asked before."""
+        group = self.searches.setdefault(name, Literals()).group(texts, every)
+        return F.array_contains(self.found(name)["groups"], group)
 
     def project(self, df: DataFrame, values: dict[str, Column] | None = None) -> DataFrame:
-        """Adds both columns of each field; ``values`` overrides how a field is read."""
-        values = values or {}
+        """Adds both columns of each field, and of searched fields what is found; ``values`` overrides how a field is read."""
+        values = dict(values or {})
+        if ALL_TEXT in self.at:
+            values.setdefault(ALL_TEXT, F.concat_ws("\n", *[c for c in ("description", "raw_data") if c in df.columns]))
         if any(n not in values and n not in TOP_LEVEL for n in self.at):
             df = df.withColumn("raw__", F.try_parse_json("raw_data"))
         df = df.withColumns({f"f{i}__": F.coalesce(values.get(n, field_value(n, F.col("raw__") if "raw__" in df.columns else None)).cast("string"), F.lit("")) for n, i in self.at.items()})
-        return df.withColumns({f"l{i}__": F.lower(F.col(f"f{i}__")) for i in self.at.values()})
+        df = df.withColumns({f"l{i}__": F.lower(F.col(f"f{i}__")) for i in self.at.values()})
+        searched = {f"h{self.at[n]}__": one.column(self.low(n)) for n, one in self.searches.items()}
+        return df.withColumns(searched) if searched else df
 
 
 # --- compiler --------------------------------------------------------------------------------------------
@@ -190,7 +223,8 @@ def compile_condition(condition: dict, fields: Fields) -> tuple[Column, Column]:
     if not ops:
         raise RuleError(f"condition without an operator: {condition}")
     raw, low = fields.raw(name), fields.low(name)
-    return all_of([operator(op, raw, low, a) for op, a in ops.items()]), F.concat(F.lit(f"{name}="), F.substring(raw, 1, 200))
+    tests = [fields.holds(name, _many(a), op == "contains_all") if op in ("contains_any", "contains_all") and len(_many(a)) >= MANY else operator(op, raw, low, a) for op, a in ops.items()]
+    return all_of(tests), fields.said(name)
 
 
 def compile_block(block, fields: Fields, depth: int = 0) -> tuple[Column, Column]:
@@ -207,7 +241,9 @@ def compile_block(block, fields: Fields, depth: int = 0) -> tuple[Column, Column
     some = [compile_block(b, fields, depth + 1) for b in block.get("any") or []]
     if not every and not some:
         raise RuleError("empty block")
-    test = all_of([p for p, _ in every])
+    if not some and len(every) == 1:
+        return every[0]
+    test = all_of([p for p, _ in every]) if every else None
     reasons = [r for _, r in every]
     if some:
         test = test & any_of([p for p, _ in some]) if every else any_of([p for p, _ in some])
@@ -254,23 +290,34 @@ def _guard(rule: Rule) -> tuple[str, tuple[str, ...]] | None:
     return None
 
 
+def _dispatch(guard: Column, values: list[str], groups: dict[str, Column], other: Column) -> Column:
+    """The group of the guard's value, else ``other``: values are halved by a comparison at a time, so a row passes log2(values) tests and then its own group's rules."""
+    if len(values) == 1:
+        return F.when(guard == values[0], groups[values[0]]).otherwise(other)
+    half = len(values) // 2
+    return F.when(guard < values[half], _dispatch(guard, values[:half], groups, other)).otherwise(_dispatch(guard, values[half:], groups, other))
+
+
 def matches(df: DataFrame, rules: list[Rule], keep: list[str], values: dict[str, Column] | None = None, type_column: str = "artifact_type") -> DataFrame:
     """One row for each (row, matching rule): ``keep`` columns, rule_id and matched_on.
 
     A single scan: matching rules are collected in an array a row and exploded.
     """
     fields = Fields(n for r in rules for n in fields_of(r))
-    base = fields.project(df, values)
-    buckets: dict[tuple, list[Column]] = {}
+    free: list[Column] = []
+    guarded: dict[str, dict[str, list[Column]]] = {}
     for r in rules:
         test, reason = compile_rule(r, fields)
-        hit = F.when(in_scope(r, F.col(type_column)) & test, F.struct(F.lit(r.id).alias("rule_id"), reason.alias("matched_on")))
-        buckets.setdefault(_guard(r) or (), []).append(hit)
+        hit = F.when(in_scope(r, F.col(type_column)) & test if r.types else test, F.struct(F.lit(r.id).alias("rule_id"), reason.alias("matched_on")))
+        guard = _guard(r)
+        if guard is None:
+            free.append(hit)
+        for value in dict.fromkeys(guard[1]) if guard else ():
+            guarded.setdefault(guard[0], {}).setdefault(value, []).append(hit)
+    base = fields.project(df, values)
     empty = F.array().cast("array<struct<rule_id:string,matched_on:string>>")
-    parts = []
-    for guard, hits in buckets.items():
-        hit = F.array_compact(F.array(*hits))
-        parts.append(F.when(fields.low(guard[0]).isin(*guard[1]), hit).otherwise(empty) if guard else hit)
+    parts = [F.array_compact(F.array(*free[k : k + CHUNK])) for k in range(0, len(free), CHUNK)]
+    parts += [_dispatch(fields.low(name), sorted(by), {v: F.array_compact(F.array(*hits)) for v, hits in by.items()}, empty) for name, by in guarded.items()]
     found = base.select(*keep, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("hit__")) if parts else base.select(*keep, F.explode(empty).alias("hit__"))
     return found.select(*keep, "hit__.rule_id", "hit__.matched_on")
 
@@ -309,7 +356,7 @@ def coverage(rules: list[Rule], types: DataFrame, applies=None) -> DataFrame:
 
 def unseen_fields(artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule_id, field) pairs that no artifact in the rule's scope has, so the condition can never hold."""
-    return unseen_paths(artifacts, [(r.id, f, t, r.exact) for r in rules for f in fields_of(r) if f not in TOP_LEVEL for t in (r.types or ("",))])
+    return unseen_paths(artifacts, [(r.id, f, t, r.exact) for r in rules for f in fields_of(r) if f not in (*TOP_LEVEL, ALL_TEXT) for t in (r.types or ("",))])
 
 
 def unseen_paths(artifacts: DataFrame, asked: list[tuple[str, str, str, bool]]) -> DataFrame:

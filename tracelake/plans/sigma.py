@@ -1,13 +1,16 @@
 """Sigma documents compiled straight to Catalyst predicates.
 
 The whole boolean grammar of conditions is supported: and, or, not, parentheses, `N of` and
-`all of` with patterns or `them`. Values may hold * and ? wildcards. What can't be expressed
-without data of its own is refused with a reason: base64 and UTF-16 encodings, CIDR ranges,
-placeholders, field references, and condition pipes (count_over() covers counting).
+`all of` with patterns or `them`. Values may hold * and ? wildcards, be encoded (base64,
+base64offset, UTF-16), name another field, a placeholder or an address range. Keyword
+selections search all text of an artifact, those of all documents by one automaton. What stands behind a
+condition's pipe (aggregation and `near`) is compiled by plans/timed.py. What can't be
+expressed is refused with a reason.
 """
 
 from __future__ import annotations
 
+import base64
 import fnmatch
 import hashlib
 import re
@@ -16,10 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import all_of, any_of
-from tracelake.plans.rules import TOP_LEVEL, Fields, Rule, in_scope, rules_frame, unseen_paths
+from tracelake.functions import all_of, any_of, net
+from tracelake.plans import timed
+from tracelake.plans.literals import MANY
+from tracelake.plans.rules import ALL_TEXT, TOP_LEVEL, Fields, Rule, in_scope, rules_frame, unseen_paths
 
-REFUSED = ("base64", "base64offset", "utf16", "utf16le", "utf16be", "wide", "cidr", "expand", "fieldref", "cased")
+#: Modifiers that spell a value in UTF-16, and how.
+UTF16 = {"wide": "utf-16-le", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "utf16": "utf-16"}
 LEVELS = {"informational": ("info", 5), "low": ("low", 10), "medium": ("medium", 25), "high": ("high", 40), "critical": ("critical", 70)}
 LEVEL_ORDER = list(LEVELS)
 DASHES = "-/\u2013\u2014\u2015"
@@ -85,8 +91,6 @@ class Refused(ValueError):
 
 def parse_condition(text: str, names: list[str]):
     """("name", x), ("not", t), ("and"|"or", [t..]), ("of", least, [names])."""
-    if "|" in text or re.search(r"\b(near|timeframe)\b", text):
-        raise Refused("aggregation in the condition")
     tokens = re.findall(r"\(|\)|[^\s()]+", text)
     at = 0
 
@@ -164,7 +168,7 @@ def _wild(value: str) -> str | None:
     return "".join(out) if wild else None
 
 
-def _one(kind: str, raw: Column, low: Column, value, ignore_case: bool) -> Column:
+def _one(kind: str, raw: Column, low: Column, value, ignore_case: bool, cased: bool = False) -> Column:
     if value is None:
         return raw == ""
     if kind == "re":
@@ -175,48 +179,143 @@ def _one(kind: str, raw: Column, low: Column, value, ignore_case: bool) -> Colum
         return F.coalesce(test, F.lit(False))
     if kind == "exists":
         return (raw != "") == F.lit(bool(value))
-    v = str(value).lower()
+    text, v = (raw, str(value)) if cased else (low, str(value).lower())
     if pattern := _wild(v):
         before, after = (".*" if kind in ("contains", "endswith") else ""), (".*" if kind in ("contains", "startswith") else "")
-        return low.rlike(f"(?s)^{before}{pattern}{after}$")
-    v = v.replace("\\*", "*").replace("\\?", "?")
-    return {"equals": low == v, "contains": low.contains(v), "startswith": low.startswith(v), "endswith": low.endswith(v)}[kind]
+        return text.rlike(f"(?s)^{before}{pattern}{after}$")
+    v = _plain(v)
+    return {"equals": text == v, "contains": text.contains(v), "startswith": text.startswith(v), "endswith": text.endswith(v)}[kind]
 
 
-def _field(key: str, values, fields: Fields, names: dict[str, str]) -> Column:
+def _plain(value: str) -> str:
+    """A value without wildcards, its escaped ones unescaped."""
+    return value.replace("\\*", "*").replace("\\?", "?")
+
+
+def _encoded(value: str, how: list[str]) -> list[str]:
+    """The spellings of a value after its encodings, in order; base64offset has one for each place of its first byte in a group of three."""
+    forms = [_plain(value).encode("utf-8")]
+    for m in how:
+        if m in UTF16:
+            forms = [f.decode("utf-8").encode(UTF16[m]) for f in forms]
+        elif m == "base64":
+            forms = [base64.b64encode(f) for f in forms]
+        else:
+            # the characters that also depend on neighbouring bytes are cut off at both ends
+            forms = [base64.b64encode(b" " * k + f)[(0, 2, 3)[k] : (None, -3, -2)[(len(f) + k) % 3]] for f in forms for k in range(3)]
+    return [f.decode("utf-8", "strict") for f in forms]
+
+
+#: Modifiers that compare, and those that spell a value.
+COMPARES = ("contains", "startswith", "endswith", "re", "lt", "lte", "gt", "gte", "exists", "cidr", "fieldref")
+ENCODES = ("base64", "base64offset", *UTF16)
+
+
+def _expand(values: list, placeholders: dict[str, list[str]]) -> list:
+    """Values with each %name% replaced by all that the placeholder stands for."""
+    out = []
+    for v in values:
+        forms = [str(v)]
+        for name in dict.fromkeys(re.findall(r"%(\w+)%", str(v))):
+            if name not in placeholders:
+                raise Refused(f"placeholder {name}")
+            forms = [f.replace(f"%{name}%", p) for f in forms for p in placeholders[name]]
+        out += forms
+    return out
+
+
+def _field(key: str, values, fields: Fields, names: dict[str, str], placeholders: dict[str, list[str]]) -> Column:
     name, *modifiers = key.split("|")
-    kind, every, dash, ignore = "equals", False, False, False
+    kind, every, dash, ignore, cased, how = "equals", False, False, False, False, []
+    values = values if isinstance(values, list) else [values]
     for m in modifiers:
-        if m in REFUSED:
-            raise Refused(f"modifier {m}")
         if m == "all":
             every = True
         elif m == "windash":
             dash = True
         elif m == "i":
             ignore = True
-        elif m in ("contains", "startswith", "endswith", "re", "lt", "lte", "gt", "gte", "exists"):
-            kind = m
+        elif m == "cased":
+            cased = True
+        elif m == "expand":
+            values = _expand(values, placeholders)
+        elif m in ENCODES:
+            how.append(m)
+        elif m in COMPARES:
+            kind = m if m != "fieldref" or kind == "equals" else f"{kind} {m}"
         else:
             raise Refused(f"modifier {m}")
     raw, low = fields.raw(names.get(name, name)), fields.low(names.get(name, name))
+    if kind == "cidr":
+        try:
+            return (all_of if every else any_of)([net.in_ranges(raw, [str(v) for v in part]) for part in ([[v] for v in values] if every else [values])])
+        except ValueError as e:
+            raise Refused(f"range {e}") from e
+    if kind.endswith("fieldref"):
+        tests = []
+        for other in values:
+            a, b = (f(names.get(str(other), str(other))) for f in ((fields.raw, fields.raw) if cased else (fields.low, fields.low)))
+            mine = raw if cased else low
+            own = {"": mine == a, "contains": mine.contains(a), "startswith": mine.startswith(a), "endswith": mine.endswith(a)}.get(kind.removesuffix("fieldref").strip())
+            if own is None:
+                raise Refused(f"field reference with {kind}")
+            tests.append(own & (a != ""))
+        return (all_of if every else any_of)(tests)
+    if how:
+        if any(v is None or _wild(str(v)) for v in values):
+            raise Refused("encoding of a wildcard or null")
+        try:
+            spelled = [_encoded(str(v), how) for v in values]
+        except UnicodeDecodeError as e:
+            raise Refused("encoding that isn't text") from e
+        # encoded text is compared as it stands
+        inside = kind if kind != "equals" or "base64offset" not in how else "contains"
+        tests = [any_of([{"equals": raw == s, "contains": raw.contains(s), "startswith": raw.startswith(s), "endswith": raw.endswith(s)}[inside] for s in forms]) for forms in spelled]
+        return all_of(tests) if every else any_of(tests)
+    if kind == "contains" and len(values) >= MANY and not (dash or cased) and not any(v is None or _wild(str(v)) for v in values):
+        return fields.holds(names.get(name, name), [_plain(str(v)) for v in values], every)
     tests = []
-    for v in values if isinstance(values, list) else [values]:
+    for v in values:
         spelled = [v] if not dash else list(dict.fromkeys(re.sub(r"(^|\s)[-/](?=\w)", lambda m, d=d: m[1] + d, str(v)) for d in DASHES))
-        tests.append(any_of([_one(kind, raw, low, s, ignore) for s in spelled]))
+        tests.append(any_of([_one(kind, raw, low, s, ignore, cased) for s in spelled]))
     return all_of(tests) if every else any_of(tests)
 
 
-def _selection(selection, fields: Fields, names: dict[str, str]) -> Column:
+def _keywords(selection) -> tuple[list[str], bool] | None:
+    """(values, whether all must occur) of a keyword selection: a list of values, or values under the key ``|all`` or an empty key; else None."""
+    if isinstance(selection, dict) and len(selection) == 1 and next(iter(selection)) in ("", "|all"):
+        key, values = next(iter(selection.items()))
+        return [str(v) for v in (values if isinstance(values, list) else [values])], key == "|all"
+    if isinstance(selection, list) and selection and not any(isinstance(s, (dict, list)) or s is None for s in selection):
+        return [str(s) for s in selection], False
+    return (([str(selection)], False) if isinstance(selection, (str, int, float)) else None)
+
+
+def _selection(selection, fields: Fields, names: dict[str, str], placeholders: dict[str, list[str]]) -> Column:
+    if (words := _keywords(selection)) is not None:
+        plain = [_plain(w) for w in words[0] if not _wild(w)]
+        tests = [_one("contains", fields.raw(ALL_TEXT), fields.low(ALL_TEXT), w, False) for w in words[0] if _wild(w)]
+        if plain:
+            tests.append(fields.holds(ALL_TEXT, plain, words[1]))
+        return all_of(tests) if words[1] else any_of(tests)
     if isinstance(selection, dict):
-        return all_of([_field(k, v, fields, names) for k, v in selection.items()])
+        return all_of([_field(k, v, fields, names, placeholders) for k, v in selection.items()])
     if isinstance(selection, list) and all(isinstance(s, dict) for s in selection):
-        return any_of([_selection(s, fields, names) for s in selection])
-    raise Refused("keyword search without a field")
+        return any_of([_selection(s, fields, names, placeholders) for s in selection])
+    raise Refused("selection that is no mapping")
 
 
 def _names(selection) -> list[str]:
-    return [k.split("|")[0] for s in (selection if isinstance(selection, list) else [selection]) if isinstance(s, dict) for k in s]
+    """The fields that a selection reads."""
+    if _keywords(selection) is not None:
+        return [ALL_TEXT]
+    out = []
+    for s in selection if isinstance(selection, list) else [selection]:
+        for k, v in s.items() if isinstance(s, dict) else ():
+            out.append(k.split("|")[0])
+            if "fieldref" in k.split("|"):
+                out += [str(x) for x in (v if isinstance(v, list) else [v])]
+    return out
 
 
 @dataclass
@@ -228,6 +327,10 @@ class SigmaRule:
     reads: tuple[str, ...] = ()
     #: The fields that its log source's guards read.
     guarded: tuple[str, ...] = ()
+    #: The group of literals.Literals that alone decides, if the condition is one keyword selection without guards.
+    group: int | None = None
+    #: What stands behind the condition's pipe.
+    timed: timed.Timed | None = None
 
 
 def stable_id(uuid: str) -> str:
@@ -247,34 +350,48 @@ def log_source(doc: dict) -> LogSource:
 def _own_names(doc: dict, names: dict[str, str], prefix: str) -> dict[str, str]:
     """Our names of the fields that a document's selections read."""
     selections = {k: v for k, v in (doc.get("detection") or {}).items() if k not in ("condition", "timeframe")}
-    return {n: names.get(n, prefix + n) for s in selections.values() for n in _names(s)}
+    own = {n: ALL_TEXT if n == ALL_TEXT else names.get(n, prefix + n) for s in selections.values() for n in _names(s)}
+    try:
+        more = [f for c in _conditions(doc) for f in timed.fields_behind_pipe(c)]
+    except timed.Unsupported as e:
+        raise Refused(str(e)) from e
+    return own | {n: names.get(n, prefix + n) for n in more}
 
 
-def compile_sigma(doc: dict, names: dict[str, str], prefix: str = "raw_data.", types: tuple[str, ...] = (), guards: dict[str, list[str]] | None = None, fields: Fields | None = None) -> SigmaRule:
-    """A predicate from a document. ``names`` maps its fields to ours, others get ``prefix``; guards are values that fields must have.
+def _conditions(doc: dict) -> list[str]:
+    told = (doc.get("detection") or {}).get("condition")
+    return [str(c) for c in (told if isinstance(told, list) else [told] if told else [])]
+
+
+def compile_sigma(doc: dict, names: dict[str, str], prefix: str = "raw_data.", types: tuple[str, ...] = (), guards: dict[str, list[str]] | None = None, fields: Fields | None = None, placeholders: dict[str, list[str]] | None = None) -> SigmaRule:
+    """A predicate from a document. ``names`` maps its fields to ours, others get ``prefix``; guards are values that fields must have; ``placeholders`` are the values of %names%.
 
     Documents that are compiled over one ``fields`` share its columns.
     """
     detection = dict(doc.get("detection") or {})
-    if "timeframe" in detection:
-        raise Refused("timeframe")
-    condition = detection.pop("condition", None)
-    if isinstance(condition, list):
-        condition = " or ".join(f"({c})" for c in condition)
-    if not condition:
+    frame = detection.pop("timeframe", None)
+    detection.pop("condition", None)
+    conditions, placeholders = _conditions(doc), placeholders or {}
+    if not conditions:
         raise Refused("no condition")
-    tree = parse_condition(str(condition), list(detection))
+    behind = [c.partition("|")[2].strip() for c in conditions]
+    if any(behind) and len(conditions) > 1:
+        raise Refused("several conditions with a pipe")
+    if frame is not None and not any(behind):
+        raise Refused("timeframe without aggregation")
+    condition = " or ".join(f"({c})" for c in conditions) if len(conditions) > 1 else conditions[0].partition("|")[0].strip()
+    tree = parse_condition(condition, list(detection))
     own = _own_names(doc, names, prefix)
     fields = fields or Fields([*own.values(), *(guards or {})])
 
     def column(t) -> Column:
         if t[0] == "name":
-            return _selection(detection[t[1]], fields, own)
+            return _selection(detection[t[1]], fields, own, placeholders)
         if t[0] == "not":
             return ~column(t[1])
         if t[0] in ("and", "or"):
             return (all_of if t[0] == "and" else any_of)([column(x) for x in t[1]])
-        tests = [_selection(detection[n], fields, own) for n in t[2]]
+        tests = [_selection(detection[n], fields, own, placeholders) for n in t[2]]
         if t[1] == 1:
             return any_of(tests)
         if t[1] == len(tests):
@@ -285,53 +402,90 @@ def compile_sigma(doc: dict, names: dict[str, str], prefix: str = "raw_data.", t
         return total >= t[1]
 
     test = column(tree)
-    for name, values in (guards or {}).items():
-        test = test & fields.low(name).isin([v.lower() for v in values])
+    test = _within_guards(test, fields, guards)
     severity, score = LEVELS.get(doc.get("level", "medium"), LEVELS["medium"])
     techniques = tuple(t.removeprefix("attack.").upper() for t in doc.get("tags") or [] if re.fullmatch(r"attack\.t\d{4}(\.\d{3})?", t.lower()))
     rule = Rule(stable_id(str(doc.get("id") or doc.get("title"))), str(doc.get("title")), {}, severity, score, techniques, types)
-    return SigmaRule(rule, fields, test, tuple(dict.fromkeys(own.values())), tuple(guards or {}))
+    group = None
+    alone = detection[tree[1]] if tree[0] == "name" else detection[tree[2][0]] if tree[0] == "of" and len(tree[2]) == 1 else None
+    if alone is not None and not guards and (words := _keywords(alone)) is not None and not any(_wild(w) for w in words[0]):
+        group = fields.searches[ALL_TEXT].group([_plain(w) for w in words[0]], words[1])
+    try:
+        later = timed.compile_timed(behind[0], frame, own, lambda n: _within_guards(column(("name", n)), fields, guards), list(detection)) if behind[0] else None
+    except timed.Unsupported as e:
+        raise Refused(str(e)) from e
+    return SigmaRule(rule, fields, test, tuple(dict.fromkeys(own.values())), tuple(guards or {}), group if later is None else None, later)
+
 
+def _within_guards(test: Column, fields: Fields, guards: dict[str, list[str]] | None) -> Column:
+    return all_of([test, *[fields.low(name).isin([v.lower() for v in values]) for name, values in (guards or {}).items()]])
 
-def assemble(docs: list[dict], names: dict[str, str] | None = None) -> tuple[list[SigmaRule], list[tuple[str, str]]]:
+
+def assemble(docs: list[dict], names: dict[str, str] | None = None, placeholders: dict[str, list[str]] | None = None) -> tuple[list[SigmaRule], list[tuple[str, str]]]:
     """(rules over one set of fields, refused (id, reason)) of documents, each in the scope and under the guards of its log source."""
     names, told, refused = names or {}, [], []
     for doc in docs:
         try:
             source = log_source(doc)
-            compile_sigma(doc, names, source.prefix, source.types, dict(source.guards))
+            compile_sigma(doc, names, source.prefix, source.types, dict(source.guards), placeholders=placeholders)
             told.append((doc, source))
         except Refused as e:
             refused.append((str(doc.get("id") or doc.get("title")), str(e)))
     fields = Fields(n for doc, source in told for n in [*_own_names(doc, names, source.prefix).values(), *(g for g, _ in source.guards)])
-    return [compile_sigma(doc, names, source.prefix, source.types, dict(source.guards), fields) for doc, source in told], refused
+    return [compile_sigma(doc, names, source.prefix, source.types, dict(source.guards), fields, placeholders) for doc, source in told], refused
+
+
+DETECTED = "artifact_id string, case_id string, engine string, rule_id string, rule_title string, severity string, score int, attack array<string>, matched_on string"
 
 
 def detect(artifacts: DataFrame, found: list[SigmaRule], engine: str = "sigma") -> DataFrame:
-    """Detections of all rules of assemble() in one scan, one for each (artifact, rule), in the columns of rules.detect().
+    """Detections of all rules of assemble(), one for each (artifact, rule), in the columns of rules.detect(); one scan for those without a pipe, one for those with.
 
-    matched_on names the rule's fields that the artifact fills, with their values.
+    matched_on names the rule's fields that the artifact fills, with their values; of a keyword
+    selection, the keywords found; behind a pipe, what was counted or what stood near.
     """
+    now, later = [r for r in found if r.timed is None], [r for r in found if r.timed is not None]
+    spark = artifacts.sparkSession
     if not found:
-        empty = "artifact_id string, case_id string, engine string, rule_id string, rule_title string, severity string, score int, attack array<string>, matched_on string"
-        return artifacts.sparkSession.createDataFrame([], empty)
+        return spark.createDataFrame([], DETECTED)
     fields = found[0].fields
-    scope = any_of([in_scope(r.rule, F.col("artifact_type")) for r in {r.rule.types: r for r in found}.values()])
-
+    told = rules_frame(spark, [r.rule for r in found])  # as many rows as rules
+    parts = []
+    if now:
+        scope = any_of([in_scope(r.rule, F.col("artifact_type")) for r in {r.rule.types: r for r in now}.values()])
+        parts.append(_scan(fields.project(artifacts.where(scope)), now, fields))
+    if later:
+        parts.append(timed.detect(artifacts, [(r.rule.id, r.rule.types, r.predicate, r.timed) for r in later], fields))
+    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return hits.join(told, "rule_id").select("artifact_id", "case_id", F.lit(engine).alias("engine"), "rule_id", "rule_title", "severity", "score", "attack", "matched_on")
+
+
+def _scan(base: DataFrame, found: list[SigmaRule], fields: Fields) -> DataFrame:
+    """(artifact_id, case_id, rule_id, matched_on) of rules without a pipe: keyword rules by the groups that hold, the others by their predicates."""
     def hit(r: SigmaRule) -> Column:
         said = F.concat_ws(" | ", *[F.when(fields.raw(n) != "", F.concat(F.lit(f"{n}="), F.substring(fields.raw(n), 1, 200))) for n in r.reads])
         return F.when(in_scope(r.rule, F.col("artifact_type")) & r.predicate, F.struct(F.lit(r.rule.id).alias("rule_id"), said.alias("matched_on")))
 
-    chunks = [F.array_compact(F.array(*[hit(r) for r in found[k : k + CHUNK]])) for k in range(0, len(found), CHUNK)]
-    hits = fields.project(artifacts.where(scope)).select("artifact_id", "case_id", F.explode(F.concat(*chunks) if len(chunks) > 1 else chunks[0]).alias("hit"))
-    told = rules_frame(artifacts.sparkSession, [r.rule for r in found])  # as many rows as rules
-    return hits.select("artifact_id", "case_id", "hit.*").join(told, "rule_id").select("artifact_id", "case_id", F.lit(engine).alias("engine"), "rule_id", "rule_title", "severity", "score", "attack", "matched_on")
+    tried, keyed, parts = [r for r in found if r.group is None], [r for r in found if r.group is not None], []
+    if tried:
+        chunks = [F.array_compact(F.array(*[hit(r) for r in tried[k : k + CHUNK]])) for k in range(0, len(tried), CHUNK)]
+        parts.append(base.select("artifact_id", "case_id", F.explode(F.concat(*chunks) if len(chunks) > 1 else chunks[0]).alias("hit")).select("artifact_id", "case_id", "hit.*"))
+    if keyed:
+        literals = fields.searches[ALL_TEXT]
+        rows = [(r.group, r.rule.id, list(r.rule.types), [{"n": n, "text": t} for n, t in literals.members(r.group)]) for r in keyed]
+        table = base.sparkSession.createDataFrame(rows, "group int, rule_id string, types array<string>, words array<struct<n:int,text:string>>")  # as many rows as rules
+        searched = base.select("artifact_id", "case_id", "artifact_type", fields.found(ALL_TEXT).alias("h"))
+        met = searched.select("artifact_id", "case_id", "artifact_type", "h.found", F.explode("h.groups").alias("group")).join(table, "group")
+        met = met.where((F.size("types") == 0) | F.exists("types", lambda t: F.col("artifact_type").startswith(t)))
+        words = F.filter("words", lambda w: F.array_contains(F.col("found"), w["n"]))
+        parts.append(met.select("artifact_id", "case_id", "rule_id", F.array_join(F.transform(words, lambda w: w["text"]), " | ").alias("matched_on")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def verify(artifacts: DataFrame, found: list[SigmaRule]) -> DataFrame:
     """(rule_id, state, missing): `unverified` if the evidence has nothing in a rule's scope, `absent` with the fields that nothing there has, else `verified`."""
     spark = artifacts.sparkSession
-    asked = [(r.rule.id, f, t, False) for r in found for f in [*r.reads, *r.guarded] if f not in TOP_LEVEL for t in r.rule.types]
+    asked = [(r.rule.id, f, t, False) for r in found for f in [*r.reads, *r.guarded] if f not in (*TOP_LEVEL, ALL_TEXT) for t in r.rule.types]
     absent = unseen_paths(artifacts, asked).groupBy("rule_id").agg(F.array_sort(F.collect_set("field")).alias("missing"))
     scopes = spark.createDataFrame([(r.rule.id, t) for r in found for t in r.rule.types], "rule_id string, scope string")
     types = artifacts.select("artifact_type").distinct()
