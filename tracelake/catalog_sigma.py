@@ -1,4 +1,4 @@
-"""Queries of Sigma documents with keywords, encodings, ranges and time frames, and their SQL twins.
+"""Queries of content rules and of Sigma documents with keywords, encodings, ranges and time frames, and their SQL twins.
 
 Where a query needs many documents or ranges, it makes them from rows of the driver's tables, so they
 grow with the tables. Documents are program text and are compiled on the driver.
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import net
 from tracelake.plans import rules, sigma
 from tracelake.registry import register, table
+from tracelake.sources import yara
 
 SYSLOG = {"product": "linux", "service": "syslog"}
 
@@ -243,3 +244,27 @@ def rule_dispatch_by_value(spark, d):
     number = 10 * F.get_json_object("props", "$.k").cast("int") + F.col("user_id") % 10
     rows = e.select(F.col("event_id").cast("string").alias("artifact_id"), F.lit("event_log").alias("artifact_type"), F.concat(F.lit("user "), F.floor(F.col("user_id") / 10).cast("string")).alias("description"), F.to_json(F.struct(number.cast("string").alias("EventId"))).alias("raw_data"))
     return rules.matches(rows, guarded_rules(1000), ["artifact_id"])
+
+
+# --- file content --------------------------------------------------------------------------------------------------
+
+def passage_rules(rows) -> str:
+    """A YARA rule for each (item_id, text): its first and last three words in any case, and none of its middle ones."""
+    out = []
+    for item, text in rows:
+        words = "".join(c if c.isalnum() and c.isascii() else " " for c in text or "").split()
+        if len(words) > 8:
+            middle = len(words) // 2
+            first, last, other = (" ".join(words[i : i + 3]) for i in (0, len(words) - 3, middle - 1))
+            out.append(f'rule P{item} {{ meta: severity = "medium" strings: $a = "{first}" nocase $b = "{last}" nocase $c = "{other}" condition: any of ($a, $b) and not $c }}')
+    return "\n".join(out)
+
+
+@register("yara_documents", r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '[^0-9A-Za-z]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT item_id, array_to_string(w[1:3], ' ') AS a, array_to_string(w[-3:], ' ') AS b, array_to_string(w[len(w) // 2 : len(w) // 2 + 2], ' ') AS c FROM w WHERE len(w) > 8),
+hits AS (SELECT doc_id, item_id, contains(lower(text), lower(a)) AS x, contains(lower(text), lower(b)) AS y FROM documents, p WHERE NOT contains(text, c))
+SELECT doc_id, 'P' || item_id AS rule, CASE WHEN x AND y THEN '$a, $b' WHEN x THEN '$a' ELSE '$b' END AS matched_on FROM hits WHERE x OR y""")
+def yara_documents(spark, d):
+    """Content rules made from every benchmark passage over whole texts."""
+    text = passage_rules((r["item_id"], r["text"]) for r in table(spark, d, "benchmark").toLocalIterator())
+    return yara.scan_rows(table(spark, d, "documents"), "text", ["doc_id"], text).select("doc_id", "rule", "matched_on")
