@@ -100,3 +100,106 @@ def test_ruleset_triage(spark, tmp_path, run):
     assert [r["name"] for r in yara.first_rules(found, "memory", 1).collect()] == ["Top"]
     assert found.where(F.col("refused").isNotNull() & (F.col("name") == "Modules")).count() == 1
     commands.main(["--store", str(tmp_path), "rules", "--yara", f"{tmp_path}/y"])
+
+
+# --- the store's commits ---------------------------------------------------------------------------------------
+
+def artifact(key, source, host="h", case="c 1"):
+    return (key, source, case, host, "s", "event_log", f"d{key}", "2024-03-14T10:00:00.000000Z", "seen", False, key, "{}", [])
+
+
+def detection(key, engine="rules", case="c 1"):
+    return (key, case, engine, "R", "t", "low", 1, ["T1"], "m")
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    return store.Store(spark, str(tmp_path / "st"))
+
+
+def made(spark, rows, schema=store.model.ARTIFACT):
+    return spark.createDataFrame(rows, schema)
+
+
+def held(tables, name="artifacts"):
+    return sorted((r.artifact_id, r.source_id if name == "artifacts" else r.engine) for r in tables.read(name).collect())
+
+
+def test_an_artifact_of_two_sources_is_stored_once(spark, tables):
+    tables.put_source("c 1", "a", made(spark, [artifact("1", "a"), artifact("2", "a"), artifact("2", "a")]))
+    tables.put_source("c 1", "b", made(spark, [artifact("2", "b"), artifact("3", "b")]))
+    tables.put_source("c 2", "b", made(spark, [artifact("2", "b", case="c 2")]))
+    assert held(tables) == [("1", "a"), ("2", "a"), ("2", "b"), ("3", "b")]
+    assert tables.read("artifacts").where("case_id = 'c 1' and artifact_id = '2'").count() == 1
+
+
+def test_a_source_read_again_takes_its_detections_along(spark, tables):
+    tables.put_source("c 1", "a", made(spark, [artifact("1", "a"), artifact("2", "a")]))
+    tables.put_source("c 1", "b", made(spark, [artifact("3", "b")]))
+    tables.put_detections("c 1", "rules", made(spark, [detection("1"), detection("3")], store.model.DETECTION))
+    tables.put_detections("c 1", "ioc", made(spark, [detection("2", "ioc")], store.model.DETECTION))
+    tables.put_source("c 1", "a", made(spark, [artifact("1", "a")]))
+    assert held(tables) == [("1", "a"), ("3", "b")] and held(tables, "detections") == [("3", "rules")]
+    tables.put_source("c 1", "b", None)
+    assert held(tables) == [("1", "a")] and held(tables, "detections") == []
+
+
+def test_detecting_on_a_host_leaves_the_others(spark, tables):
+    tables.put_source("c 1", "a", made(spark, [artifact("1", "a", "x"), artifact("2", "a", "y")]))
+    tables.put_detections("c 1", "rules", made(spark, [detection("1"), detection("2")], store.model.DETECTION))
+    tables.put_detections("c 1", "rules", made(spark, [], store.model.DETECTION), host="x")
+    assert held(tables, "detections") == [("2", "rules")]
+
+
+@pytest.mark.parametrize("steps", range(7))
+def test_a_job_that_dies_leaves_old_or_new_rows(spark, tables, monkeypatch, steps):
+    """The commit is interrupted after some of its deletions and moves; the next reader finishes or never sees it."""
+    tables.put_source("c 1", "a", made(spark, [artifact("1", "a")]))
+    tables.put_detections("c 1", "rules", made(spark, [detection("1")], store.model.DETECTION))
+    done = []
+
+    def dying(method):
+        def step(self, *args):
+            if len(done) >= steps:
+                raise KeyboardInterrupt
+            done.append(args)
+            return method(self, *args)
+
+        return step
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_move", dying(store.Store._move))
+        m.setattr(store.Store, "_delete", dying(store.Store._delete))
+        try:
+            tables.put_source("c 1", "a", made(spark, [artifact("1", "a"), artifact("9", "a")]))
+        except KeyboardInterrupt:
+            pass
+    again = store.Store(spark, tables.root)
+    if steps == 0:  # before the rename that commits
+        assert held(again) == [("1", "a")] and held(again, "detections") == [("1", "rules")]
+    else:
+        assert held(again) == [("1", "a"), ("9", "a")] and held(again, "detections") == []
+    assert not [n for n in os.listdir(tables.root) if n.startswith("_ready-")]
+
+
+def test_content_rules_and_memory_results_by_command(spark, tmp_path, run):
+    put(f"{tmp_path}/y/a.yar", 'rule Evil { meta: severity = "critical" attack = "T1027" strings: $a = "evil" condition: $a }')
+    put(f"{tmp_path}/files/x/one.txt", "so evil")
+    put(f"{tmp_path}/files/two.txt", "fine")
+    put(f"{tmp_path}/mem/windows.pslist.json", "[]")
+    commands.main(["--store", f"{tmp_path}/store", "init"])
+    for _ in range(2):
+        assert "Evil" in run("detect", "--host", "h", "--yara", f"{tmp_path}/y", "--files", f"{tmp_path}/files")
+    tables = store.Store(spark, f"{tmp_path}/store")
+    assert [(r.rule_id, r.severity, r.attack) for r in tables.read("detections").where("engine = 'yara'").collect()] == [("Evil", "critical", ["T1027"])]
+    assert [r.artifact_type for r in tables.read("artifacts").collect()] == ["yara_file_hit"]
+    out = run("pipeline", f"{tmp_path}/in", "--kind", "tables", "--host", "h", "--rules", f"{tmp_path}/rules", "--out", f"{tmp_path}/out")
+    assert "a start" in out and (tmp_path / "out" / "report.html").exists()
+
+
+def test_a_report_says_what_it_leaves_out(spark, tmp_path):
+    from tracelake.operators import report
+
+    report.write_report(f"{tmp_path}/r.html", "t", {"All": spark.range(5), "More": spark.range(9)}, most=5)
+    page = (tmp_path / "r.html").read_text()
+    assert page.count("rows are shown") == 1 and "5 of 9 rows are shown" in page

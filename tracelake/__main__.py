@@ -18,27 +18,55 @@ from tracelake.plans import rules, sigma
 from tracelake.sources import containers, linux_text, tabular, yara
 
 
-def ingest(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
-    """Parses a folder of exported tables or an extracted collection, and registers it as a source of the case."""
-    given = spark.createDataFrame([(a.case, a.host, a.path, a.kind, "ok")], "case_id string, host string, source_path string, tool string, status string")
+def init(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
+    """Makes the store's tables where there are none."""
+    tables.init()
+
+
+def _register(spark: SparkSession, tables: store.Store, case: str, host: str, path: str, tool: str) -> str:
+    """The source_id of a source that is registered as evidence of the case."""
+    given = spark.createDataFrame([(case, host, path, tool, "ok")], "case_id string, host string, source_path string, tool string, status string")
     fresh = given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in store.model.EVIDENCE])
-    known = store.register_evidence(tables.read("evidence"), fresh)
-    tables.rewrite_evidence(known)
-    at = (F.col("case_id") == a.case) & (F.col("host") == a.host) & (F.col("source_path") == a.path)
-    source_id = tables.read("evidence").where(at).first()["source_id"]
+    tables.rewrite_evidence(store.register_evidence(tables.read("evidence"), fresh))
+    at = (F.col("case_id") == case) & (F.col("host") == host) & (F.col("source_path") == path)
+    return tables.read("evidence").where(at).first()["source_id"]
+
+
+def ingest(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
+    """Parses exported tables, memory results, browser databases or an extracted collection, and registers the folder as a source of the case."""
+    source_id = _register(spark, tables, a.case, a.host, a.path, a.kind)
     if a.kind == "tables":
         found = tabular.ingest_csv_folder(spark, a.path, a.case, a.host, source_id, a.include_mft)
+    elif a.kind == "memory":
+        paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(a.path).select("path")
+        plugins = {r["path"].rsplit("/", 1)[1].removesuffix(".json"): r["path"] for r in paths.collect()}  # a file for each plugin
+        found = tabular.ingest_memory(spark, plugins, a.case, a.host, source_id, a.acquired)
+    elif a.kind == "browsers":
+        found = containers.ingest_browsers(spark, a.path, a.case, a.host, source_id)
     else:
         found, unknown = linux_text.ingest_collection(spark, a.path, a.case, a.host, source_id)
         print(f"{len(unknown)} files that no parser knows")
-    tables.drop("artifacts", case_id=a.case, source_id=source_id)
-    if found is not None:
-        tables.replace("artifacts", store.first_writer(found, ["dedup_key"], "artifact_id"))
+    tables.put_source(a.case, source_id, found)
     stats(spark, tables, a)
 
 
+def _scan(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> DataFrame:
+    """Stores the files that YARA rules match as artifacts; returns their detections."""
+    text = "\n".join(r["value"] for r in spark.read.text(a.yara, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yar,yara}").toLocalIterator())  # rules are program text
+    source_id = _register(spark, tables, a.case, a.host or "", a.files, "yara")
+    scanned = yara.scan_files(spark, a.files, text, a.case, a.host or "", seconds=a.seconds).cache()
+    _show(scanned.groupBy("state").agg(F.count(F.lit(1)).alias("n")).orderBy("state"))
+    hits = scanned.where("state = 'matched'").withColumns({"source_id": F.lit(source_id), "source": F.lit("yara"), "description": F.concat("rule", F.lit(" matches "), "path"), "dedup_key": F.col("artifact_id"), "raw_data": F.to_json(F.struct("path", "sha256", "rule", "matched_on")), "is_noise": F.lit(False)})
+    held = hits.select(*[(F.col(f.name) if f.name in hits.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in store.model.ARTIFACT])
+    tables.put_source(a.case, source_id, held)
+    score = F.coalesce(*[F.when(F.col("severity") == s, n) for s, n in store.model.DEFAULT_SCORE.items()], F.lit(store.model.DEFAULT_SCORE["high"]))
+    return hits.select("artifact_id", "case_id", F.lit("yara").alias("engine"), F.col("rule").alias("rule_id"), F.col("rule").alias("rule_title"), "severity", score.alias("score"), "attack", "matched_on")
+
+
 def detect(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
-    """Runs rules, Sigma documents, correlations and indicators over the case; each engine's earlier detections go."""
+    """Runs rules, Sigma documents, correlations, indicators and content rules over the case, or one host of it; what each engine had found there before goes."""
+    if a.yara:
+        tables.put_detections(a.case, "yara", _scan(spark, tables, a), a.host)
     mine = _case(tables, "artifacts", a)
     found = {}
     if a.rules:
@@ -51,17 +79,20 @@ def detect(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> N
         feeds = containers.load_feeds(spark, a.feeds)
         if feeds is not None:
             found["ioc"] = ioc.match(mine, ioc.merge_feeds(feeds))
-
-    def put(engine: str, rows: DataFrame) -> None:
-        tables.drop("detections", case_id=a.case, engine=engine)
-        tables.replace("detections", rows)
-
     for engine, rows in found.items():
-        put(engine, rows)
-    put("correlation", correlate.run_all(mine, _case(tables, "detections", a).where(F.col("engine") != "correlation"), a.window))
+        tables.put_detections(a.case, engine, rows, a.host)
+    tables.put_detections(a.case, "correlation", correlate.run_all(mine, _case(tables, "detections", a).where(F.col("engine") != "correlation"), a.window), a.host)
     _show(report.findings(_case(tables, "detections", a)))
 
 
+def pipeline(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
+    """Ingests a source, detects in the case and writes its report."""
+    ingest(spark, tables, a)
+    a.host = None  # rules and correlations see the whole case
+    detect(spark, tables, a)
+    write_report(spark, tables, a)
+
+
 def clusters(spark: SparkSession, tables: store.Store, a: argparse.Namespace) -> None:
     found = cluster.clusters(_case(tables, "detections", a), _case(tables, "artifacts", a), a.min_rules)
     _show(found.select("score", "rule_count", "host", "key", "names", "severity"), a.top)
@@ -124,15 +155,31 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=run)
         return c
 
-    c = command("ingest", ingest, host=True)
-    c.add_argument("path")
-    c.add_argument("--kind", choices=["tables", "collection"], required=True)
-    c.add_argument("--include-mft", action="store_true")
-    c = command("detect", detect)
-    c.add_argument("--rules")
-    c.add_argument("--sigma")
-    c.add_argument("--feeds")
-    c.add_argument("--window", type=int, default=60, help="minutes from a download to its execution")
+    def ingesting(c: argparse.ArgumentParser) -> None:
+        c.add_argument("path")
+        c.add_argument("--kind", choices=["tables", "collection", "memory", "browsers"], required=True)
+        c.add_argument("--include-mft", action="store_true")
+        c.add_argument("--acquired", help="time of a memory capture")
+
+    def detecting(c: argparse.ArgumentParser) -> None:
+        for name in ("--rules", "--sigma", "--feeds", "--yara"):
+            c.add_argument(name)
+        c.add_argument("--files", default=".", help="folder that --yara rules are run over")
+        c.add_argument("--seconds", type=float, default=yara.SECONDS, help="time limit of a file's scan")
+        c.add_argument("--window", type=int, default=60, help="minutes from a download to its execution")
+
+    def reporting(c: argparse.ArgumentParser) -> None:
+        c.add_argument("--out", required=True)
+        c.add_argument("--analyst", default="unspecified")
+        c.add_argument("--include-noise", action="store_true")
+
+    c = commands.add_parser("init", help=init.__doc__)
+    c.set_defaults(run=init)
+    ingesting(command("ingest", ingest, host=True))
+    detecting(command("detect", detect))
+    c = command("pipeline", pipeline, host=True)
+    for add in (ingesting, detecting, reporting):
+        add(c)
     c = command("clusters", clusters)
     c.add_argument("--top", type=int, default=15)
     c.add_argument("--min-rules", type=int, default=2)
@@ -144,10 +191,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--flagged", action="store_true")
     c.add_argument("--limit", type=int, default=100)
     c = command("report", write_report)
-    c.add_argument("--out", required=True)
+    reporting(c)
     c.add_argument("--rules")
-    c.add_argument("--analyst", default="unspecified")
-    c.add_argument("--include-noise", action="store_true")
     command("compare", compare).add_argument("--baseline", required=True)
     c = commands.add_parser("rules", help=rulesets.__doc__)
     c.add_argument("--yara", required=True)

@@ -52,13 +52,16 @@ def rule_noise(artifacts: DataFrame, which: list[rules.Rule]) -> DataFrame:
 
 
 def _rows(df: DataFrame, most: int) -> str:
+    """A table of the first ``most`` rows; of longer ones it says how many rows there are."""
     cell = lambda v: html.escape(", ".join(map(str, v)) if isinstance(v, list) else "" if v is None else str(v))
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in df.limit(most).collect()) + "</table>"
+    shown = df.limit(most + 1).collect()
+    told = f"<p>{most} of {df.count()} rows are shown.</p>" if len(shown) > most else ""
+    return f"{told}<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in shown[:most]) + "</table>"
 
 
 def write_report(path: str, title: str, sections: dict[str, DataFrame], most: int = 500) -> None:
-    """One page with a table for each section; at most ``most`` rows of each reach the driver."""
+    """One page with a table for each section; at most ``most`` rows of each reach the driver, and a longer section says how many it has."""
     body = "".join(f"<h2>{html.escape(name)}</h2>{_rows(df, most)}" for name, df in sections.items())
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}', encoding="utf-8")

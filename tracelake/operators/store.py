@@ -1,7 +1,16 @@
-"""The four tables as DataFrames: upserts, first-writer-wins inserts, replacement, views."""
+"""The four tables as DataFrames: upserts, first-writer-wins inserts, replacement, views.
+
+A Store changes several partitions of several tables as one step: new partitions are written to a
+folder of their own, which one rename marks as ready; ready folders are then moved into place. A job
+that dies before the rename has changed nothing; after it, whoever opens the store next finishes the
+moves. Readers of other processes may miss a partition for the moment in which it is moved.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +28,13 @@ def first_writer(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Rows of ``new`` whose key isn't stored yet, one a key: an insert that ignores conflicts."""
-    return first_writer(new, keys, *order).join(stored.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``new`` whose key isn't stored yet, one a key: an insert that ignores conflicts.
+
+    Stored rows are reduced to the keys that are also new before anything else is done with them: where the new
+    keys are few, Spark broadcasts them and shuffles no stored row.
+    """
+    again = stored.select(*keys).join(new.select(*keys).distinct(), keys, "left_semi").distinct()
+    return first_writer(new, keys, *order).join(again, keys, "left_anti")
 
 
 def insert_artifacts(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,7 +89,18 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _fs(self, path: str):
+        """(Hadoop path, its file system)."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, path: str, only: str = "") -> list[str]:
+        """Names of the folders in a folder, in order; none if it isn't there."""
+        p, fs = self._fs(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith(only)) if fs.exists(p) else []
+
     def read(self, name: str) -> DataFrame:
+        self.recover()
         schema, _ = TABLES[name]
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
@@ -84,6 +109,85 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def init(self) -> None:
+        """Empty tables where there are none yet."""
+        for name, (schema, _) in TABLES.items():
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+
+    # --- several partitions as one step
+
+    def commit(self, changes: dict[str, DataFrame], gone: list[tuple[str, dict[str, str]]]) -> None:
+        """Removes the partitions of ``gone`` (table and values) and puts ``changes``' rows in their tables' partitions, replacing those that they fall into: all or nothing."""
+        staged = f"{self.root}/_tmp-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        for name, rows in changes.items():
+            schema, parts = TABLES[name]
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.partitionBy(*parts).parquet(f"{staged}/{name}")
+        self.spark.createDataFrame([(f"{name}/{self._inside(name, values)}",) for name, values in gone], "path string").coalesce(1).write.text(f"{staged}/_gone")
+        self._move(staged, staged.replace("/_tmp-", "/_ready-"))
+        self.recover()
+
+    def recover(self) -> None:
+        """Moves what commits have made ready into place, in their order; a step that was done before an interruption isn't done again."""
+        for name in self._listed(self.root, "_ready-"):
+            ready = f"{self.root}/{name}"
+            if "_gone" in self._listed(ready):
+                for row in self.spark.read.text(f"{ready}/_gone").toLocalIterator():
+                    self._delete(f"{self.root}/{row['value']}")
+                self._move(f"{ready}/_gone", f"{ready}/_done")
+            for table in self._listed(ready):
+                inner = [table] if table in TABLES else []
+                for _ in TABLES[table][1] if inner else ():
+                    inner = [f"{d}/{x}" for d in inner for x in self._listed(f"{ready}/{d}") if "=" in x]
+                for part in inner:
+                    self._delete(f"{self.root}/{part}")
+                    self._move(f"{ready}/{part}", f"{self.root}/{part}")
+            self._delete(ready)
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._fs(path)
+        fs.delete(p, True)
+
+    def _move(self, old: str, new: str) -> None:
+        (p, fs), (q, _) = self._fs(old), self._fs(new)
+        fs.mkdirs(q.getParent())
+        if not fs.rename(p, q):
+            raise OSError(f"can't move {old} to {new}")
+
+    def _inside(self, name: str, values: dict[str, str]) -> str:
+        return "/".join(f"{k}={escape(values[k])}" for k in TABLES[name][1])
+
+    def put_source(self, case_id: str, source_id: str, found: DataFrame | None) -> None:
+        """A source's artifacts, in place of those it had; what was detected on those goes.
+
+        An artifact that another source of the case has already is not stored again.
+        """
+        stored = self.read("artifacts").where(F.col("case_id") == case_id)
+        mine = F.col("source_id") == source_id
+        changes, gone = {}, [("artifacts", {"case_id": case_id, "source_id": source_id})]
+        if found is not None:
+            # parsed once: keys are compared and rows kept from what was written
+            parsed = f"{self.root}/_parsed-{uuid.uuid4().hex}"
+            found.write.parquet(parsed)
+            changes["artifacts"] = insert_artifacts(stored.where(~mine), self.spark.read.schema(model.ARTIFACT).parquet(parsed))
+        detections = self.read("detections").where(F.col("case_id") == case_id)
+        old = stored.where(mine).select("artifact_id")
+        engines = [r["engine"] for r in detections.join(old, "artifact_id", "left_semi").select("engine").distinct().collect()]  # one row an engine
+        if engines:
+            changes["detections"] = detections.where(F.col("engine").isin(engines)).join(old, "artifact_id", "left_anti")
+            gone += [("detections", {"case_id": case_id, "engine": e}) for e in engines]
+        self.commit(changes, gone)
+        if found is not None:
+            self._delete(parsed)
+
+    def put_detections(self, case_id: str, engine: str, rows: DataFrame, host: str | None = None) -> None:
+        """An engine's detections in a case, in place of those it had: all of them, or with ``host`` those on the host's artifacts."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in model.DETECTION])
+        if host is not None:
+            own = self.read("artifacts").where((F.col("case_id") == case_id) & (F.col("host") == host)).select("artifact_id")
+            before = self.read("detections").where((F.col("case_id") == case_id) & (F.col("engine") == engine))
+            rows = rows.unionByName(before.join(own, "artifact_id", "left_anti"))
+        self.commit({"detections": rows}, [("detections", {"case_id": case_id, "engine": engine})])
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes rows over the partitions that they fall into; others stay."""
         schema, parts = TABLES[name]
@@ -92,9 +196,7 @@ class Store:
 
     def drop(self, name: str, **values: str) -> None:
         """Deletes the partition of these values, if there; replace() alone keeps a partition that gets no rows."""
-        inside = "/".join(f"{k}={escape(values[k])}" for k in TABLES[name][1])
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{inside}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.path(name)}/{self._inside(name, values)}")
 
     def rewrite_evidence(self, rows: DataFrame) -> None:
         """Evidence is small: it is written beside the old table's rows, which it was computed from, and then replaces them."""
