@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -48,3 +49,14 @@ def test_run_equals_its_stages_one_by_one(spark, tiny):
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.iloc[0] == 0 and (g.offset.iloc[1:].to_numpy() == (g.offset + g.length).iloc[:-1].to_numpy()).all() and g.length.sum() <= packing.LIMIT
+
+
+@pytest.mark.parametrize("stage", [stages.language_stage, stages.toxicity_stage, stages.dedup_stage, stages.mixing_stage])
+def test_columns_of_any_name_are_handed_on(spark, tiny, stage):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    plain = stage(spark, docs, tiny).orderBy("doc_id").collect()
+    odd = docs.withColumns({"x0": F.col("doc_id") * 2, "x1": F.lit("b"), "x2": F.upper("text"), "x3": F.lit(None).cast("string")}).toDF(*docs.columns, "a.b", "a`b", "Text", "score")
+    got = stage(spark, odd, tiny)
+    assert got.columns == odd.columns
+    rows = sorted(tuple(r) for r in got.select("doc_id", F.col("`a.b`")).collect())
+    assert rows == sorted((r.doc_id, 2 * r.doc_id) for r in plain)

@@ -2,10 +2,15 @@
 
 Each takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents that
 it was given. Stages read everything their predecessor kept.
+
+Columns beside OWN may have any name, with dots, backticks, or one that differs from another in case
+only: a stage works under plain names and hands the columns on under their own. run_stages() writes
+Parquet in between, and Spark refuses to write two names that differ in case only.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -18,8 +23,28 @@ from .common import WORD, fresh, release, shared_folder, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A text is rejected as no language if no language reaches this score.
 LEAST_SCORE = 0.15
+#: The columns of documents that stages know.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage: Stage) -> Stage:
+    """``stage`` over columns whose names can't be misread; of names that differ in case only the one spelled as in OWN is meant, else the first."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        meant = {}
+        for own in OWN:
+            at = [i for i, c in enumerate(names) if c == own] or [i for i, c in enumerate(names) if c.lower() == own]
+            meant |= {at[0]: own} if at else {}
+        plain = [meant.get(i, f"other{i}__") for i in range(len(names))]
+        if all(c.isidentifier() and c.isascii() for c in names) and len({c.lower() for c in names}) == len(names):
+            return stage(spark, docs, sf_dir)
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*names)
+
+    return run
 
 
+@plain_names
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those that are ``und`` or score below LEAST_SCORE go.
 
@@ -33,6 +58,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
+@plain_names
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic; it learns from the labels table.
 
@@ -44,6 +70,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.predict(docs, chain, docs.columns, names).where(F.col(names[1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
+@plain_names
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
@@ -65,6 +92,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.where(~worded))
 
 
+@plain_names
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs, carry=docs.columns)
