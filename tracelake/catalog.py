@@ -252,13 +252,15 @@ def orphan_processes(spark, d):
 
 @_register("field_vs_field", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' GROUP BY 1""")
 def field_vs_field(spark, d):
-    """Two fields of one record compared, over every row of lineitem."""
-    return _below_tax(_table(spark, d, "lineitem"))
+    """Two typed fields of one record compared, over every row of lineitem."""
+    name = F.concat(*[x for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") for x in (F.lit("-"), F.col(c).cast("string"))][1:])
+    rows = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(name.alias("artifact_id"), F.lit("case-a").alias("case_id"), F.col("l_discount").alias("new"), F.col("l_tax").alias("old"), F.lit("C:\\x\\PowerShell.exe").alias("image"), F.lit("C:\\x\\a.txt").alias("target"))
+    return correlate.moved_back(rows).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("field_vs_field_all", """SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS artifact_id, count(*) AS n FROM lineitem WHERE l_discount < l_tax AND l_returnflag = 'R' GROUP BY 1""")
 def field_vs_field_all(spark, d):
-    """field_vs_field over every row of lineitem."""
+    """Two fields of one record compared as texts of its raw data, over every row of lineitem."""
     return _below_tax(_table(spark, d, "lineitem"))
 
 
@@ -278,13 +280,16 @@ def _below_tax(lines):
 
 @_register("timestomp_c003", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2""")
 def timestomp_c003(spark, d):
-    """Creation times moved back, over every order."""
-    return _moved_back(_table(spark, d, "orders"))
+    """Creation times moved back, in typed columns, over every order."""
+    kind = F.col("o_orderkey") % 3
+    image = F.when(kind == 0, "C:\\x\\PowerShell.exe").when(kind == 2, "C:\\x\\Explorer.exe").otherwise("C:\\x\\tool.exe")
+    rows = _table(spark, d, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("artifact_id"), F.lit("case-a").alias("case_id"), F.col("o_custkey").alias("new"), F.col("o_orderkey").alias("old"), image.alias("image"), F.lit("C:\\Windows\\Temp\\a.txt").alias("target"))
+    return correlate.moved_back(rows).select("artifact_id", F.regexp_extract("matched_on", r"\[([^\]]+)\]$", 1).alias("why"))
 
 
 @_register("timestomp_c003_all", """SELECT 'e' || o_orderkey AS artifact_id, CASE WHEN o_orderkey % 3 = 0 THEN 'script interpreter' ELSE 'protected path' END AS why FROM orders WHERE o_custkey < o_orderkey AND o_orderkey % 3 <> 2""")
 def timestomp_c003_all(spark, d):
-    """timestomp_c003 over every order."""
+    """Creation times moved back, as texts of raw data, over every order."""
     return _moved_back(_table(spark, d, "orders"))
 
 
@@ -522,4 +527,29 @@ def rule_noise_report(spark, d):
     return report.rule_noise(artifacts(spark, d), [META["R3"]])
 
 
+#: (rule, nth, part, holds, matched, without) of every condition of R2 to R4 in SQL: the rule as it is, and without the condition.
+def _noise_sql() -> str:
+    view, low_k, host3 = "contains(lower(description), 'view') AND contains(lower(description), 'user')", "coalesce(k < 3, false)", "host = 'host-3'"
+    kind, user1, seven = "lower(artifact_type) IN ('purchase', 'signup')", "regexp_matches(description, 'user 1\\d$')", "coalesce(k = 7, false)"
+    ends, fifty, fifty1, click14, low10 = "(host LIKE '%-1' OR host LIKE '%-2')", "coalesce(k = 50, false)", "coalesce(k = 51, false)", "starts_with(lower(description), 'click by user 14')", "coalesce(k < 10, false)"
+    told = [
+        ("R2", 0, "match", kind, f"({user1} OR {seven})"), ("R2", 1, "match", user1, f"({kind} AND {seven})"), ("R2", 2, "match", seven, f"({kind} AND {user1})"),
+        ("R3", 0, "match", view, f"({low_k} AND NOT {host3})"), ("R3", 1, "match", low_k, f"({view} AND NOT {host3})"), ("R3", 2, "exclude", host3, f"({view} AND {low_k})"),
+        ("R4", 0, "match", ends, f"(({fifty} OR {fifty1}) OR ({click14} AND {low10}))"), ("R4", 1, "match", fifty, f"(({ends} AND {fifty1}) OR ({click14} AND {low10}))"), ("R4", 2, "match", fifty1, f"(({ends} AND {fifty}) OR ({click14} AND {low10}))"),
+        ("R4", 3, "match", click14, f"(({ends} AND ({fifty} OR {fifty1})) OR {low10})"), ("R4", 4, "match", low10, f"(({ends} AND ({fifty} OR {fifty1})) OR {click14})"),
+    ]
+    whole = {"R2": f"({kind} AND ({user1} OR {seven}))", "R3": f"({view} AND {low_k} AND NOT {host3})", "R4": f"(({ends} AND ({fifty} OR {fifty1})) OR ({click14} AND {low10}))"}
+    scope = {"R2": "true", "R3": "true", "R4": "(artifact_type LIKE 'click%' OR artifact_type LIKE 'err%')"}
+    field = {"k": "k IS NOT NULL"}
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule_id, {n} AS nth, '{part}' AS part, count(*) FILTER ({test}) AS holds, count(*) FILTER ({field['k'] if test.startswith('coalesce(k') else 'true'}) AS filled, count(*) AS seen, count(*) FILTER ({whole[r]}) AS matched, count(*) FILTER ({without}) AS without FROM ev WHERE {scope[r]}" for r, n, part, test, without in told)
+
+
+@_register("rule_noise_conditions", f"WITH {EV} {_noise_sql()}")
+def rule_noise_conditions(spark, d):
+    """What each condition of a rule takes, and what the rule would without it."""
+    from tracelake.operators import noise
+
+    return noise.conditions(artifacts(spark, d), [META[r] for r in ("R2", "R3", "R4")]).drop("condition")
+
+
 from tracelake import catalog_summary  # noqa: E402, F401  # registers its queries, which stand on those above

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import net
-from tracelake.plans import rules, sigma
+from tracelake.plans import rules, sigma, stored
 from tracelake.registry import register, table
 from tracelake.sources import yara
 
@@ -268,3 +268,33 @@ def yara_documents(spark, d):
     """Content rules made from every benchmark passage over whole texts."""
     text = passage_rules((r["item_id"], r["text"]) for r in table(spark, d, "benchmark").toLocalIterator())
     return yara.scan_rows(table(spark, d, "documents"), "text", ["doc_id"], text).select("doc_id", "rule", "matched_on")
+
+
+# --- Sigma as stored rules ------------------------------------------------------------------------------------------
+
+BRANCHED = """
+title: negated alternatives
+id: b-1
+level: high
+logsource: {product: linux, service: syslog}
+detection: {a: {kind: error}, b: {k|lt: 30}, c: {user|endswith: ['1', '2']}, condition: (a or b) and not (c and b)}
+---
+title: most of them
+id: b-2
+level: low
+logsource: {product: linux, service: syslog}
+detection: {s1: {kind|contains: [c, w]}, s2: {k|gt: 60}, s3: {user: '1?'}, filter: {value: null}, condition: 2 of s* and not filter}
+"""
+
+
+@register("sigma_stored_rules", r"""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS artifact_id, event_type AS kind, CAST(user_id AS VARCHAR) AS u, CAST(json_extract_string(props, '$.k') AS INT) AS k, value FROM events),
+t AS (SELECT *, kind = 'error' AS a, coalesce(k < 30, false) AS b, u LIKE '%1' OR u LIKE '%2' AS c, contains(kind, 'c') OR contains(kind, 'w') AS s1, coalesce(k > 60, false) AS s2, regexp_full_match(u, '1.') AS s3 FROM e)
+SELECT artifact_id, 'negated alternatives' AS rule_title FROM t WHERE (a OR b) AND NOT (c AND b)
+UNION ALL SELECT artifact_id, 'most of them' FROM t WHERE s1::INT + s2::INT + s3::INT >= 2 AND value IS NOT NULL""")
+def sigma_stored_rules(spark, d):
+    """Sigma documents as rules of our own language: alternatives with exclusions, over every event."""
+    import yaml
+
+    written, _ = stored.translate([("b.yml", doc) for doc in yaml.safe_load_all(BRANCHED)])
+    which = [rules.rule_from(r) for r in written]
+    return rules.detect(_lines(spark, d), which).select("artifact_id", "rule_title").distinct()

@@ -33,6 +33,10 @@ PROTECTED_PATHS = ["\\windows\\system32\\", "\\windows\\syswow64\\", "\\windows\
 BURST = 25
 
 
+#: Process ids that C005 names of each group.
+FIRST_PIDS = 20
+
+
 def _detections(df: DataFrame, rule_id: str, title: str, severity: str, score: int, attack: list[str], matched: Column) -> DataFrame:
     techniques = F.array(*[F.lit(t) for t in attack]) if attack else F.array().cast("array<string>")
     return df.select("artifact_id", "case_id", F.lit("correlation").alias("engine"), F.lit(rule_id).alias("rule_id"), F.lit(title).alias("rule_title"), F.lit(severity).alias("severity"), F.lit(score).alias("score"), techniques.alias("attack"), matched.alias("matched_on"))
@@ -97,11 +101,17 @@ def rewritten_creation_time(artifacts: DataFrame) -> DataFrame:
     logs = _parsed(artifacts.where(F.col("artifact_type") == "event_log")).where(F.lower(F.coalesce(_raw("Channel"), F.lit(""))).contains("sysmon") & (_raw("EventId") == "2"))
     get = lambda k: F.coalesce(_key("_enrich", "payload", k), F.lit(""))
     rows = logs.select("artifact_id", "case_id", get("CreationUtcTime").alias("new"), get("PreviousCreationUtcTime").alias("old"), get("Image").alias("image"), get("TargetFilename").alias("target"))
+    return moved_back(rows.where((F.col("new") != "") & (F.col("old") != "")))
+
+
+def moved_back(rows: DataFrame) -> DataFrame:
+    """C003 over rows of artifact_id, case_id, image, target and a new and an old time of any type that has an order; a null time is never moved back."""
     image, target = F.lower("image"), F.lower("target")
     script = any_of([image.contains(x) for x in SCRIPT_HOSTS])
-    rows = rows.where((F.col("new") != "") & (F.col("old") != "") & (F.col("new") < F.col("old")) & ~any_of([image.contains(x) for x in TIME_KEEPERS]) & (script | any_of([target.contains(x) for x in PROTECTED_PATHS])))
+    rows = rows.where((F.col("new") < F.col("old")) & ~any_of([image.contains(x) for x in TIME_KEEPERS]) & (script | any_of([target.contains(x) for x in PROTECTED_PATHS])))
     why = F.when(script, "script interpreter").otherwise("protected path")
-    return _detections(rows, "C003", "File creation time rewritten by an unexpected process", "high", 60, ["T1070.006"], F.concat(F.col("target"), F.lit(": creation time moved back from "), F.col("old"), F.lit(" to "), F.col("new"), F.lit(" by "), F.col("image"), F.lit(" ["), why, F.lit("]")))
+    said = F.concat(F.col("target"), F.lit(": creation time moved back from "), F.col("old").cast("string"), F.lit(" to "), F.col("new").cast("string"), F.lit(" by "), F.col("image"), F.lit(" ["), why, F.lit("]"))
+    return _detections(rows, "C003", "File creation time rewritten by an unexpected process", "high", 60, ["T1070.006"], said)
 
 
 def child_of_flagged(artifacts: DataFrame, detections: DataFrame) -> DataFrame:
@@ -119,9 +129,15 @@ def duplicate_singletons(artifacts: DataFrame) -> DataFrame:
     """C005: more instances of a core process than a system starts; every instance is reported."""
     limit = F.create_map(*[F.lit(x) for kv in SINGLETONS.items() for x in kv])
     rows = _processes(artifacts).where(F.col("name").isin(*SINGLETONS))
-    over = rows.groupBy("case_id", "host", "name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("pid")), ", ").alias("pids")).where(F.col("n") > limit[F.col("name")])
-    met = rows.join(over, ["case_id", "host", "name"])
-    return _detections(met, "C005", "More instances of a core process than expected", "critical", 80, ["T1036.005", "T1055"], F.concat(F.col("n").cast("string"), F.lit(" instances of "), F.col("name"), F.lit(" (pids "), F.col("pids"), F.lit(")")))
+    key = ["case_id", "host", "name"]
+    over = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit[F.col("name")])
+    # every instance is told the first pids only: a text of all would grow with the square of their number
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("pid"))).where(F.col("nth") <= FIRST_PIDS)
+    named = first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("pid")), ", ").alias("pids"))
+    met = rows.join(over.join(named, key), key)
+    more = F.when(F.col("n") > FIRST_PIDS, F.concat(F.lit(" and "), (F.col("n") - FIRST_PIDS).cast("string"), F.lit(" more"))).otherwise("")
+    said = F.concat(F.col("n").cast("string"), F.lit(" instances of "), F.col("name"), F.lit(" (pids "), F.col("pids"), more, F.lit(")"))
+    return _detections(met, "C005", "More instances of a core process than expected", "critical", 80, ["T1036.005", "T1055"], said)
 
 
 def unexpected_parents(artifacts: DataFrame) -> DataFrame:
