@@ -14,13 +14,14 @@ from tracelake.operators import noise
 from tracelake.plans import rules, sigma, stored
 
 
-@pytest.mark.parametrize("name", ["rule_noise_conditions", "sigma_stored_rules"])
+@pytest.mark.parametrize("name", ["rule_noise_conditions", "sigma_stored_rules", "json_path_inventory", "rule_unseen_fields"])
 def test_query_equals_its_sql(spark, tiny, name):
     assert_same(catalog.QUERIES[name](spark, tiny), catalog.ORACLE[name], tiny)
 
 
-def test_noise_is_one_scan(spark, tiny):
-    plan = catalog.QUERIES["rule_noise_conditions"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["rule_noise_conditions", "json_path_inventory", "rule_unseen_fields"])
+def test_one_scan(spark, tiny, name):
+    plan = catalog.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
 
 
@@ -78,3 +79,30 @@ def test_stored_rules_find_the_same_rows_after_reading_them_back(spark, tiny, tm
     assert spark.read.csv(f"{tmp_path}/refused", header=True).count() == 4 and spark.read.csv(f"{tmp_path}/worksheet", header=True).count() == len(written)
     told = spark.read.json(f"{tmp_path}/manifest").first()
     assert (told.rules, told.refused, told.by_severity.critical) == (len(written), 4, 1)
+
+
+def keys(value, prefix=""):
+    return {p for k, v in value.items() for p in {prefix + k} | keys(v, f"{prefix}{k}.")} if isinstance(value, dict) else set()
+
+
+objects = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 9), st.floats(-5, 5).map(lambda x: round(x, 2)), st.text("ab`<>,:. (é", max_size=4)), lambda v: st.one_of(st.lists(v, max_size=3), st.dictionaries(st.text("ab`<>,:. (é", max_size=3), v, max_size=3)), max_leaves=12)
+
+
+def test_paths_are_all_keys_of_nested_objects(spark):
+    import json
+
+    told: list = [{"a": {"b": 1, "c d": None, "e.f": {"g": [{"h": 1}, {"i": {"j": 2}}]}}, "z`q": "x"}, {"a": "s"}, [1, {"x": 1}], {}, "x", {"m": [{"p": 1}, 3], "A": 2.5, "": {"": 1}}]
+
+    @settings(max_examples=60, deadline=None)
+    @given(objects)
+    def collect(value):
+        told.append(value)
+
+    collect()
+    rows = [(str(i), json.dumps(v)) for i, v in enumerate(told)] + [("bad", "{"), ("none", None)]
+    df = spark.createDataFrame(rows, "artifact_type string, raw_data string")
+    got: dict = {}
+    for r in rules.path_inventory(df).collect():
+        assert r.rows == 1
+        got.setdefault(r.artifact_type, set()).add(r.path)
+    assert got == {str(i): keys(v) for i, v in enumerate(told) if isinstance(v, dict) and v}

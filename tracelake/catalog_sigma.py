@@ -298,3 +298,18 @@ def sigma_stored_rules(spark, d):
     written, _ = stored.translate([("b.yml", doc) for doc in yaml.safe_load_all(BRANCHED)])
     which = [rules.rule_from(r) for r in written]
     return rules.detect(_lines(spark, d), which).select("artifact_id", "rule_title").distinct()
+
+
+# --- what raw data holds ------------------------------------------------------------------------------------------------
+
+@register("json_path_inventory", """WITH o AS (SELECT 'type-' || (o_custkey % 2) AS artifact_type, o_orderkey AS k FROM orders),
+p AS (SELECT artifact_type, 'a' AS path FROM o WHERE k % 5 <> 0 UNION ALL SELECT artifact_type, 'a.b' FROM o WHERE k % 5 <> 0 AND k % 2 = 0 UNION ALL SELECT artifact_type, 'a.c' FROM o WHERE k % 5 <> 0 AND k % 3 = 0
+UNION ALL SELECT artifact_type, 'a.c.d' FROM o WHERE k % 5 <> 0 AND k % 3 = 0 UNION ALL SELECT artifact_type, 'a.c.d.e' FROM o WHERE k % 5 <> 0 AND k % 3 = 0 UNION ALL SELECT artifact_type, 'a.c.d.e.odd key' FROM o WHERE k % 5 <> 0 AND k % 3 = 0 AND k % 7 = 0
+UNION ALL SELECT artifact_type, 'list' FROM o) SELECT artifact_type, path, count(*) AS "rows" FROM p GROUP BY ALL""")
+def json_path_inventory(spark, d):
+    """Every path in nested raw data made of orders, five objects deep, with the number of rows that have it."""
+    k = F.col("o_orderkey")
+    deep = F.struct(F.struct(F.struct(F.when(k % 7 == 0, "x").alias("odd key")).alias("e")).alias("d"))
+    a = F.struct(F.when(k % 2 == 0, k).alias("b"), F.when(k % 3 == 0, deep).alias("c"))
+    raw = F.to_json(F.struct(F.when(k % 5 != 0, a).alias("a"), F.array(F.struct(k.alias("inside"))).alias("list")))
+    return rules.path_inventory(table(spark, d, "orders").select(F.concat(F.lit("type-"), (F.col("o_custkey") % 2).cast("string")).alias("artifact_type"), raw.alias("raw_data")))

@@ -359,16 +359,65 @@ def unseen_fields(artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
     return unseen_paths(artifacts, [(r.id, f, t, r.exact) for r in rules for f in fields_of(r) if f not in (*TOP_LEVEL, ALL_TEXT) for t in (r.types or ("",))])
 
 
+def paths_of(schema: str) -> list[str]:
+    """The dotted paths of all keys of nested objects in a schema as Spark writes that of a variant; what stands in arrays has none."""
+    out: list[str] = []
+
+    def kind(at: int, prefix: tuple[str, ...] | None) -> int:
+        """Reads a type; returns the place behind it. ``prefix`` is None within an array."""
+        if schema.startswith("OBJECT<", at):
+            at += 7
+            while schema[at] != ">":
+                at = key(at + 2 if schema.startswith(", ", at) else at, prefix)
+            return at + 1
+        if schema.startswith("ARRAY<", at):
+            return kind(at + 6, None) + 1
+        depth = 0
+        while at < len(schema) and (depth or schema[at] not in ",>"):
+            depth += {"(": 1, ")": -1}.get(schema[at], 0)
+            at += 1
+        return at
+
+    def key(at: int, prefix: tuple[str, ...] | None) -> int:
+        if schema[at] == "`":
+            end = at + 1
+            while schema[end] != "`" or schema.startswith("``", end):
+                end += 2 if schema[end] == "`" else 1
+            name, at = schema[at + 1 : end].replace("``", "`"), end + 1
+        else:
+            end = schema.index(":", at)
+            name, at = schema[at:end], end
+        path = None if prefix is None else (*prefix, name)
+        if path is not None:
+            out.append(".".join(path))
+        return kind(at + 2, path)
+
+    kind(0, ())
+    return out
+
+
+def path_inventory(artifacts: DataFrame) -> DataFrame:
+    """(artifact_type, path, rows): how many artifacts of a type have a key, at any depth of their raw data's objects.
+
+    One scan: rows are counted by the schema of their raw data, and the few schemas are then read
+    as paths. Raw data that can't be parsed, or isn't an object, has no paths.
+    """
+    shape = F.schema_of_variant(F.try_parse_json("raw_data"))
+    shapes = artifacts.groupBy("artifact_type", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n")).where(F.col("shape").startswith("OBJECT<"))
+
+    def read(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            rows = [(t, p, n) for t, shape, n in zip(pdf["artifact_type"], pdf["shape"], pdf["n"], strict=True) for p in set(paths_of(shape))]
+            yield pd.DataFrame(rows, columns=["artifact_type", "path", "n"])
+
+    return shapes.mapInPandas(read, "artifact_type string, path string, n long").groupBy("artifact_type", "path").agg(F.sum("n").alias("rows"))
+
+
 def unseen_paths(artifacts: DataFrame, asked: list[tuple[str, str, str, bool]]) -> DataFrame:
-    """unseen_fields() for (rule_id, field, scope, whether the scope is exact) entries; keys are seen three levels deep."""
-    one = artifacts.select("artifact_type", F.try_parse_json("raw_data").cast("string").alias("j"))
-    keys = one.select("artifact_type", "j", F.explode(F.coalesce(F.json_object_keys("j"), F.array().cast("array<string>"))).alias("k"))
-    inner = F.expr("try_variant_get(try_parse_json(j), '$', 'map<string,variant>')[k]").cast("string")
-    deeper = keys.select("artifact_type", F.col("k").alias("p"), inner.alias("j"))
-    second = deeper.select("artifact_type", F.col("p").alias("q"), "j", F.explode(F.coalesce(F.json_object_keys("j"), F.array().cast("array<string>"))).alias("k"))
-    third = second.select("artifact_type", F.concat_ws(".", "q", "k").alias("p"), inner.alias("j"))
-    last = third.select("artifact_type", F.col("p").alias("q"), F.explode(F.coalesce(F.json_object_keys("j"), F.array().cast("array<string>"))).alias("k")).select("artifact_type", F.concat_ws(".", "q", "k").alias("p"))
-    seen = deeper.select("artifact_type", "p").unionByName(third.select("artifact_type", "p")).unionByName(last).distinct()
+    """unseen_fields() for (rule_id, field, scope, whether the scope is exact) entries."""
+    seen = path_inventory(artifacts).select("artifact_type", F.col("path").alias("p"))
     rows = [(i, f, f.removeprefix("raw_data."), t, exact) for i, f, t, exact in asked]
     asked = artifacts.sparkSession.createDataFrame(rows, "rule_id string, field string, path string, scope string, exact boolean")
     fits = F.when(F.col("exact"), F.col("artifact_type") == F.col("scope")).otherwise(F.col("artifact_type").startswith(F.col("scope")))

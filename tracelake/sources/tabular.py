@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass, field
 
@@ -214,18 +213,29 @@ def _with_raw(df: DataFrame, case_id: str, source_id: str, host: str, source: st
     return df.select(F.lit(case_id).alias("case_id"), F.lit(source_id).alias("source_id"), F.lit(host).alias("host"), F.lit(source).alias("source"), raw.alias("raw"))
 
 
+def literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files below a folder on any file system that Spark reads, in path order; their content isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").load(literal(folder))
+    return sorted(r["path"] for r in files.select("path").toLocalIterator())  # one row a file
+
+
 def ingest_csv_folder(spark: SparkSession, folder: str, case_id: str, host: str, source_id: str, include_mft: bool = False, source: str = "tables") -> DataFrame:
     """Artifacts of every CSV file below a folder; files of skipped families are left out."""
     out = None
-    for top, _, names in sorted(os.walk(folder)):
-        for name in sorted(n for n in names if n.lower().endswith(".csv")):
-            spec = spec_for(name, include_mft)
-            if spec == "skip":
-                continue
-            df = read_csv(spark, os.path.join(top, name))
-            rows = _with_raw(df, case_id, source_id, host, source)
-            part = records.build(generic(rows, name, df.columns) if spec == "generic" else by_spec(rows, spec))
-            out = part if out is None else out.unionByName(part)
+    for path in csv_files(spark, folder):
+        name = path.rpartition("/")[2]
+        spec = spec_for(name, include_mft)
+        if spec == "skip":
+            continue
+        df = read_csv(spark, literal(path))
+        rows = _with_raw(df, case_id, source_id, host, source)
+        part = records.build(generic(rows, name, df.columns) if spec == "generic" else by_spec(rows, spec))
+        out = part if out is None else out.unionByName(part)
     return out if out is not None else records.build(_with_raw(spark.createDataFrame([("",)], "x string").where("false"), case_id, source_id, host, source).withColumns({"enrich": F.lit(None).cast("string"), "artifact_type": F.lit(""), "description": F.lit(""), "stamps": records.stamps([])}))
 
 
