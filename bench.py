@@ -16,7 +16,7 @@ from tracelake.session import configure
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["rule_multi_scan", "sigma_boolean_condition", "v_timeline", "timeline_flagged", "interval_join_first", "anti_join_hidden", "expected_parent", "burst_hours", "cluster_two_level_score", "techniques", "compare_cases", "topk_per_rule", "ioc_address_extract", "ioc_multi_feed_score", "dedup_key_sha1", "first_writer_wins", "upsert_coalesce", "manifest_diff"]
+HEADLINE = ["rule_multi_scan", "sigma_boolean_condition", "v_timeline", "timeline_flagged", "interval_join_first", "anti_join_hidden", "expected_parent", "burst_hours", "cluster_two_level_score", "techniques", "compare_cases", "topk_per_rule", "ioc_address_extract", "ioc_multi_feed_score", "dedup_key_sha1", "first_writer_wins", "upsert_coalesce", "manifest_diff", "sigma_keyword_corpus", "sigma_aggregations", "sigma_near", "cidr_longest_match", "yara_documents"]
 
 
 def main() -> None:
