@@ -17,7 +17,6 @@ from tracelake.functions import any_of
 
 _V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 _GROUP = r"^[0-9a-f]{1,4}$"
-ADDRESS = "struct<family:int,hi:bigint,lo:bigint>"
 
 
 def _v4(text: Column) -> Column:
