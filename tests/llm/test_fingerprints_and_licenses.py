@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -52,25 +53,26 @@ def brute_band(texts, bits=20):
 
 
 def brute_codes(text, band, bits=20):
-    """(level, dense, sparse) from plain sets: each of the 64 subsets keeps the terms whose cell it is."""
+    """(level, dense, sparse, whole) from plain sets: each of the 64 subsets keeps the terms whose cell it is, the last one all."""
     every = brute_terms(text)
     kept = [h for h in every if h & ((1 << bits) - 1) in band]
     kept = kept if len(kept) >= 4 else every
     level = 6 + max(0, math.ceil(math.log2(max(len(kept), 1) / 32)))
     cell = lambda h, up: ((h & ((1 << 64) - 1)) >> bits) & ((1 << (level + up)) - 1)
+    whole = f"{spark_hash(sorted(kept)) & ((1 << 64) - 1):016x}" if kept else "----"
     kept = sorted(h for h in kept if cell(h, 0) < 64)
 
     def codes(up):
         subsets = [[h for h in kept if cell(h, up) == s] for s in range(64)]
         return [f"{spark_hash(t) & 0xFFFF:04x}" if t else "----" for t in subsets]
 
-    return level, codes(0), codes(1)
+    return level, codes(0), codes(1), whole
 
 
 def brute_string(codes, text):
-    if set(codes[1]) == set(codes[2]) == {"----"}:
+    if codes[3] == "----":
         return f"text:{spark_hash([text]) & ((1 << 64) - 1):X}"
-    return f"{codes[0]:02d}:{''.join(codes[1])}:{''.join(codes[2])}"
+    return f"{codes[0]:02d}:{codes[3]}:{''.join(codes[1])}:{''.join(codes[2])}"
 
 
 def brute_likeness(a, b, string_a, string_b):
@@ -78,7 +80,8 @@ def brute_likeness(a, b, string_a, string_b):
         return 1.0
     if abs(a[0] - b[0]) > 1:
         return 0.0
-    pairs = [(x, y) for x, y in zip(a[1 if a[0] >= b[0] else 2], b[1 if b[0] >= a[0] else 2], strict=True) if (x, y) != ("----", "----")]
+    pairs = zip([*a[1 if a[0] >= b[0] else 2], a[3]], [*b[1 if b[0] >= a[0] else 2], b[3]], strict=True)
+    pairs = [(x, y) for x, y in pairs if (x, y) != ("----", "----")]
     return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
 
@@ -110,6 +113,25 @@ def test_fingerprints_of_odd_rows(spark):
     assert one["near_next"] == 1.0
 
 
+def test_long_texts_with_a_few_words_replaced_differ(spark):
+    """90 of 9,000 words replaced: other fingerprints and a likeness below 1, for every pair."""
+    rng = random.Random(5)
+    rows = []
+    for pair in range(6):
+        words = [f"w{rng.randrange(40_000)}" for _ in range(9000)]
+        other = list(words)
+        for at in rng.sample(range(9000), 90):
+            other[at] = f"w{rng.randrange(40_000)}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    rows += [(100 + i, f"filler text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.edited_pairs(docs).where("doc_id < 12").collect()}
+    for pair in range(6):
+        # the next document of an odd id is its pair's other text
+        first, second = got[2 * pair], got[2 * pair + 1]
+        assert first["fingerprint"] != second["fingerprint"] and 0.5 < second["near_next"] < 1
+
+
 def test_no_python_in_the_plan(spark, tiny):
     for df in (fingerprint.edited_pairs(spark.read.parquet(f"{tiny}/documents.parquet")), licenses.scan(spark.read.parquet(f"{tiny}/documents.parquet"))):
         assert "Python" not in df._jdf.queryExecution().toString() and "Pandas" not in df._jdf.queryExecution().toString()

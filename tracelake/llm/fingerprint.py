@@ -6,7 +6,8 @@ bitmap of 128 kB however many terms the corpus has. A document's distinct terms
 are sorted and hashed once for each of 64 random lexicon subsets. At level L a subset holds
 the share 2**-L of the lexicon; a document uses the level at which some 16 to 32 of its
 terms fall into the subsets, and the next sparser one, so that texts of similar length share
-a level.
+a level. The whole lexicon is one more subset: every term in the band counts in its hash, so
+texts of any length that differ in one such term differ in their fingerprints.
 
 Spark plan: one pass counts frequencies (map-side combined on bucket numbers); one exchange
 by ranges of doc_id brings each text beside the next document's. Both fingerprints, the next
@@ -52,17 +53,18 @@ def lexicon(docs: DataFrame, common: float = COMMON, rare: int = RARE) -> DataFr
 
 
 def with_codes(df: DataFrame, text: str, lex: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``: struct(level, dense, sparse), the subset hashes of the text at its level and the next.
+    """Adds ``name``: struct(level, whole, dense, sparse), the hash of all terms and the subset hashes at the text's level and the next.
 
     Steps are columns of their own, so that each is evaluated once a row.
     """
-    h, kept, lev = f"{name}_h", f"{name}_kept", f"{name}_level"
+    h, kept, lev, whole = f"{name}_h", f"{name}_kept", f"{name}_level", f"{name}_whole"
     df = df.withColumns({h: term_hashes(F.col(text)), "lex": lex.scalar()})
     inside = lambda x: F.getbit(F.element_at("lex", (F.shiftright(x.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)), 6) + 1).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
     df = df.withColumn(kept, F.filter(h, inside)).drop("lex")
     df = df.withColumn(kept, F.when(F.size(kept) >= FEW_TERMS, F.col(kept)).otherwise(F.col(h))).drop(h)
     df = df.withColumn(lev, (F.lit(6) + F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(kept), F.lit(1)) / F.lit(SUBSETS / 2))))).cast("int"))
     cell = lambda x, up: F.shiftrightunsigned(x, BUCKET_BITS).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(lev) + up) - 1)
+    df = df.withColumn(whole, F.when(F.size(kept) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(F.sort_array(kept)))), 16, "0")))
     df = df.withColumn(kept, F.filter(kept, lambda x: cell(x, 0) < SUBSETS))
     # by cell and then by term, so that a subset's terms are one slice of the array
     by, cells = [f"{name}_by{up}" for up in (0, 1)], [f"{name}_cells{up}" for up in (0, 1)]
@@ -80,24 +82,26 @@ def with_codes(df: DataFrame, text: str, lex: DataFrame, name: str) -> DataFrame
 
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), code)
 
-    return df.withColumn(name, F.struct(F.col(lev).alias("level"), codes(0).alias("dense"), codes(1).alias("sparse"))).drop(kept, lev, *by, *cells)
+    return df.withColumn(name, F.struct(F.col(lev).alias("level"), F.col(whole).alias("whole"), codes(0).alias("dense"), codes(1).alias("sparse"))).drop(kept, lev, whole, *by, *cells)
 
 
 def as_string(codes: str, text: str) -> Column:
-    """The fingerprint: level and subset hashes; a text without terms has a hash of itself instead."""
-    none = F.array_max(F.col(f"{codes}.dense")) == EMPTY
-    whole = F.concat(F.lpad(F.col(f"{codes}.level").cast("string"), 2, "0"), F.lit(":"), F.array_join(f"{codes}.dense", ""), F.lit(":"), F.array_join(f"{codes}.sparse", ""))
-    return F.when(none & (F.array_max(F.col(f"{codes}.sparse")) == EMPTY), F.concat(F.lit("text:"), F.hex(F.xxhash64(text)))).otherwise(whole)
+    """The fingerprint: level, hash of all terms and subset hashes; a text without terms has a hash of itself instead."""
+    level, whole = F.lpad(F.col(f"{codes}.level").cast("string"), 2, "0"), F.col(f"{codes}.whole")
+    told = F.concat_ws(":", level, whole, F.array_join(f"{codes}.dense", ""), F.array_join(f"{codes}.sparse", ""))
+    return F.when(whole == EMPTY, F.concat(F.lit("text:"), F.hex(F.xxhash64(text)))).otherwise(told)
 
 
 def likeness(a: str, b: str, string_a: Column, string_b: Column) -> Column:
-    """Share of equal subset hashes among the subsets in which either text has terms; 1 for equal fingerprints."""
+    """Share of equal hashes among the subsets, the whole lexicon included, in which either text has terms; 1 for equal fingerprints."""
     la, lb = F.col(f"{a}.level"), F.col(f"{b}.level")
     left = F.when(la >= lb, F.col(f"{a}.dense")).otherwise(F.col(f"{a}.sparse"))
     right = F.when(lb >= la, F.col(f"{b}.dense")).otherwise(F.col(f"{b}.sparse"))
-    # 65 a subset with terms, and 1 more where the hashes agree, added up in one pass
-    votes = F.aggregate(F.zip_with(left, right, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, SUBSETS + 2).otherwise(SUBSETS + 1)), F.lit(0), lambda s, v: s + v)
-    told, same = F.floor(votes / (SUBSETS + 1)), votes % (SUBSETS + 1)
+    left, right = F.array_append(left, F.col(f"{a}.whole")), F.array_append(right, F.col(f"{b}.whole"))
+    # 66 a subset with terms, and 1 more where the hashes agree, added up in one pass
+    unit = SUBSETS + 2
+    votes = F.aggregate(F.zip_with(left, right, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, unit + 1).otherwise(unit)), F.lit(0), lambda s, v: s + v)
+    told, same = F.floor(votes / unit), votes % unit
     score = F.when(F.abs(la - lb) > 1, 0.0).otherwise(F.coalesce(same / F.nullif(told, F.lit(0)), F.lit(0.0)))
     return F.when(string_a == string_b, 1.0).otherwise(score).cast("double")
 
