@@ -25,6 +25,8 @@ component are therefore not enumerated. Sets, tokens and texts are named by 64-b
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -41,8 +43,8 @@ SKETCH_BITS, SLICE_BITS, FAN_IN = 20, 14, 64
 ENTRIES_PER_PART, HOT_ENTRIES = 250_000, 100_000
 #: Members of a tree that one task searches, and rows of a task call that takes several.
 GROUP_ROWS, BUNDLE_ROWS = 2000, 4000
-#: Tokens of the sets that one task call checks exactly.
-BLOCK_TOKENS = 4_000_000
+#: Tokens of a cluster that one task checks exactly, and of the clusters of a task call that takes several.
+BLOCK_TOKENS, BUNDLE_TOKENS = 4_000_000, 1_000_000
 #: Bits of the table that tells which texts are fetched.
 WANTED_BITS = 23
 LEAF = 8
@@ -60,6 +62,17 @@ def set_name(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def give_back() -> None:
+    """Hands this Python worker's unused memory to the system; Spark keeps workers, with all they have ever held, from stage to stage."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _sets(batch):
     """For each chunk of an Arrow batch with a text column: its first row number and its token sets."""
     raw, at = flat(batch.column("text"))
@@ -95,6 +108,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         seen = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["kind", "doc_id", "th", "n", "name", "blob"]
         for batch in batches:
@@ -109,6 +123,8 @@ def _describe(docs: DataFrame) -> DataFrame:
         if told:
             none = pa.array(np.zeros(len(told), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(told), np.int32)), pa.array([k for k, _ in told], pa.int64()), none, none, none, pa.array([c for _, c in told], pa.binary())], names=names)
+        del seen, told
+        give_back()
 
     th, text = _texts(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), th, text).mapInArrow(run, "kind int, doc_id long, th long, n long, name long, blob binary")
@@ -152,6 +168,7 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], parts: int)
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         classes, splits = shared.value
         done: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
@@ -188,6 +205,8 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], parts: int)
                         held, size = [], 0
         if held:
             yield flush()
+        done, held = set(), []
+        give_back()
 
     return docs.select(_texts(docs)[1]).mapInArrow(run, "part int, entries binary")
 
@@ -230,12 +249,14 @@ def _groups(prefixes: DataFrame, most: int) -> DataFrame:
             pairs.append(np.frombuffer(raw, np.int64, 2 * k).reshape(k, 2))
             rest.append(np.frombuffer(raw, np.uint32, 2 * k, 16 * k).reshape(k, 2))
         t, r = np.concatenate(pairs), np.concatenate(rest)
+        del pairs, rest
         # tokens of one entry go first, cheaply
         _, inverse, count = np.unique(t[:, 0], return_inverse=True, return_counts=True)
         keep = (count[inverse] > 1) | (r[:, 1] > 0)
         t, r = t[keep], r[keep]
         got = holders(t[:, 0], t[:, 1], r[:, 0].astype(np.int64), r[:, 1], most)
         offsets = np.concatenate(([0], np.cumsum([len(g[3]) for g in got]))).astype(np.int32)
+        del t, r, inverse, count, keep
         lists = [pa.ListArray.from_arrays(offsets, np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64)) for c in (3, 4)]
         return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_()), *lists], names=["gid", "block", "divided", "names", "sizes"])
 
@@ -388,6 +409,8 @@ def _candidates(members: DataFrame, maps: DataFrame, rows: int) -> DataFrame:
             for i, j in search(n[lo:hi], maps_[lo:hi], labels):
                 a, b = int(name[lo + i]), int(name[lo + j])
                 found.add((min(a, b), max(a, b)))
+        del order, maps_
+        give_back()
         return _edges(sorted(found))
 
     # a task call takes several whole blocks
@@ -500,6 +523,8 @@ def _exact(placed: DataFrame, texts: DataFrame) -> DataFrame:
                 return bool(_linked(int((y[at] == x).sum()), len(x), len(y)))
 
             found += [(int(name[lo + i]), int(name[lo + j])) for i, j in search(n, [bitmap(s) for s in own], labels, check)]
+        del order, sets, own, check
+        give_back()
         return _edges(found)
 
     return placed.join(texts, "th").select("key", "bundle", "name", "label", "text").groupBy("bundle").applyInArrow(run, "a long, b long").distinct()
@@ -509,7 +534,7 @@ def _dealt(members: DataFrame, tokens: int, seed: int) -> DataFrame:
     """``members`` (root, name, n, blocks, ..) with the task key of their cluster's block and a bundle of keys for a task call."""
     block = F.pmod(F.xxhash64("name", F.lit(seed)), F.col("blocks"))
     keyed = members.withColumn("block", block).withColumn("key", F.xxhash64("root", "block"))
-    return keyed.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-tokens // BLOCK_TOKENS)))).cast("int"))
+    return keyed.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-tokens // BUNDLE_TOKENS)))).cast("int"))
 
 
 def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_tokens: int) -> DataFrame:
