@@ -9,17 +9,14 @@ files that mean something as a whole (units, settings) are read one file a row.
 from __future__ import annotations
 
 import fnmatch
-import os
 import re
-import shutil
 from dataclasses import dataclass
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake import functions as fn
-from tracelake.sources import records
+from tracelake.sources import files, records
 
 # --- fixed values: first matching glob (on the lower-cased path inside the collection) names the parser -----
 
@@ -80,17 +77,6 @@ def literal(paths: list[str]) -> list[str]:
     return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
 
 
-def visible(root: str, path: str) -> str:
-    """A path that Spark lists: it skips names that start with a dot, so such a file is copied beside the collection, its dot spelled %2E."""
-    folder, name = os.path.split(path)
-    if not name.startswith((".", "_")):
-        return path
-    twin = os.path.join(root.rstrip("/") + ".visible", os.path.relpath(folder, root), f"%{ord(name[0]):02X}{name[1:]}")
-    os.makedirs(os.path.dirname(twin), exist_ok=True)
-    shutil.copy2(path, twin)
-    return twin
-
-
 @dataclass(frozen=True)
 class Paths:
     """Evidence text in files."""
@@ -99,12 +85,21 @@ class Paths:
     paths: list[str]
 
     def _read(self, whole: bool, *more: str) -> DataFrame:
-        """(value, path, name, mtime)."""
-        df = self.spark.read.text(literal(self.paths), wholetext=whole, lineSep=None if whole else "\n").select("value", "_metadata.file_path", "_metadata.file_modification_time", *more)
-        plain = F.regexp_replace("file_path", "^file:(//)?", "")
-        path = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
-        path = F.replace(F.replace(path, F.lit("%2E"), F.lit(".")), F.lit("%5F"), F.lit("_"))
-        return df.select("value", path.alias("path"), F.substring_index(path, "/", -1).alias("name"), F.col("file_modification_time").alias("mtime"), *[m.rpartition(".")[2] for m in more])
+        """(value, path, name, mtime). Spark doesn't list names that start with a dot or an underscore: tasks read those files by path."""
+        hidden = [p for p in self.paths if p.rpartition("/")[2].startswith((".", "_"))]
+        shown = [p for p in self.paths if p not in set(hidden)]
+        parts = []
+        if shown:
+            df = self.spark.read.text(literal(shown), wholetext=whole, lineSep=None if whole else "\n").select("value", "_metadata.file_path", "_metadata.file_modification_time", *more)
+            plain = F.regexp_replace("file_path", "^file:(//)?", "")
+            path = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+            parts.append(df.select("value", path.alias("path"), F.col("file_modification_time").alias("mtime"), *[m.rpartition(".")[2] for m in more]))
+        if hidden:
+            found = files.at(self.spark, hidden)
+            read = files.texts(found.where("size > 0")).withColumn("offset", F.lit(0).cast("long")) if whole else files.lines(found)
+            parts.append(read.select("value", "path", F.col("modified").alias("mtime"), *[F.col("offset").alias(m.rpartition(".")[2]) for m in more]))
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return df.withColumn("name", F.substring_index("path", "/", -1)).select("value", "path", "name", "mtime", *[m.rpartition(".")[2] for m in more])
 
     def files(self) -> DataFrame:
         """(path, name, mtime, text), one row a file; an empty file has none."""
@@ -112,8 +107,7 @@ class Paths:
 
     def empty(self) -> DataFrame | None:
         """files() of the empty files."""
-        found = [(p, os.path.basename(p), datetime.fromtimestamp(os.path.getmtime(p), timezone.utc), "") for p in self.paths if os.path.isfile(p) and not os.path.getsize(p)]
-        return self.spark.createDataFrame(found, "path string, name string, mtime timestamp, text string") if found else None
+        return files.at(self.spark, self.paths).where("size = 0").select("path", F.substring_index("path", "/", -1).alias("name"), F.col("modified").alias("mtime"), F.lit("").alias("text"))
 
     def lines(self) -> DataFrame:
         """(path, name, mtime, line) of formats whose lines stand alone; blank lines are left out."""
@@ -400,18 +394,18 @@ def ingest_collection(spark: SparkSession, root: str, case_id: str, host: str, s
     """
     todo: dict[str, list[str]] = {}
     unknown = []
-    for top, _, names in sorted(os.walk(root)):
-        for name in sorted(names):
-            path = os.path.join(top, name)
-            inside = os.path.relpath(path, root)
-            kind = parser_for(inside)
-            if kind:
-                todo.setdefault(kind, []).append(visible(root, path))
-            elif not any(fnmatch.fnmatch(inside.lower(), p) for p in IGNORED):
-                unknown.append(inside)
-            if zone is None and inside.endswith("etc/timezone"):
-                with open(path, encoding="utf-8", errors="replace") as f:
-                    zone = f.readline().strip() or None
+    base = root.rstrip("/") if "://" in root else files.place(root)[1].rstrip("/")
+    # one row a file, as for Spark's own list of files
+    for path in sorted(r["path"] for r in files.listing(spark, root).select("path").toLocalIterator()):
+        inside = path[len(base) + 1 :]
+        kind = parser_for(inside)
+        if kind:
+            todo.setdefault(kind, []).append(path)
+        elif not any(fnmatch.fnmatch(inside.lower(), p) for p in IGNORED):
+            unknown.append(inside)
+        if zone is None and inside.endswith("etc/timezone"):
+            told = files.texts(files.at(spark, [path])).first()
+            zone = told["value"].partition("\n")[0].strip() or None
     where, when = F.lit(zone).cast("string"), F.lit(collected).cast("string")
     out = None
     for kind, paths in sorted(todo.items()):

@@ -7,20 +7,21 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources import files
+
 #: Runs are folders that are named by their time.
 STAMP = re.compile(r"\d{8}T\d{6}Z")
 
 
 def hash_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, sha256) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.col("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of every file below a folder, of any size and name; a file is streamed by a task."""
+    return files.digests(files.listing(spark, folder))
 
 
-def manifest_digest(files: DataFrame) -> DataFrame:
+def manifest_digest(manifest: DataFrame) -> DataFrame:
     """One row: digest over all files in path order. The list has one short entry a file."""
     entries = F.array_sort(F.collect_list(F.struct("path", "size", "sha256")))
-    return files.agg(F.sha2(F.to_json(entries), 256).alias("manifest_sha256"), F.count(F.lit(1)).alias("files"))
+    return manifest.agg(F.sha2(F.to_json(entries), 256).alias("manifest_sha256"), F.count(F.lit(1)).alias("files"))
 
 
 def compare(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import functions as fn
+from tracelake.sources import files as files_
 from tracelake.sources import records
 
 
@@ -240,14 +241,14 @@ def ingest_csv_folder(spark: SparkSession, folder: str, case_id: str, host: str,
 
 
 def ingest_memory(spark: SparkSession, files: dict[str, str], case_id: str, host: str, source_id: str, acquired: str | None = None, source: str = "memory") -> DataFrame:
-    """Artifacts of plugin results: ``files`` maps plugin names to files that each hold one JSON array of objects."""
+    """Artifacts of plugin results: ``files`` maps plugin names to files that each hold one JSON array of objects, or objects one after another; a large file is read by ranges."""
     out = None
     for plugin, path in sorted(files.items()):
         spec = MEMORY_SPECS.get(plugin)
         if spec is None:
             continue
-        text = spark.read.text(path, wholetext=True)
-        rows = text.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("raw"))
+        objects = files_.json_objects(files_.at(spark, [path]))
+        rows = objects.select(F.from_json("value", "map<string,string>").alias("raw")).where("raw is not null")
         rows = rows.select(F.lit(case_id).alias("case_id"), F.lit(source_id).alias("source_id"), F.lit(host).alias("host"), F.lit(source).alias("source"), "raw")
         made = by_spec(rows, spec, missing="" if plugin.startswith("linux_") else "None")
         when = F.array(F.struct(F.lit("acquired").alias("label"), F.lit(acquired).cast("string").alias("value")))
