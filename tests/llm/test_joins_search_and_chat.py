@@ -126,6 +126,34 @@ def test_components_of_a_long_chain(spark):
     assert set(got) == {*range(300), 1000, 1001} and {got[i] for i in range(300)} == {0} and got[1001] == 1000
 
 
+def test_components_spread_a_hub(spark):
+    """Hubs beyond the limit, a chain and pairs beside them: the same components as without a limit."""
+    links = [(7, x) for x in range(100, 160)] + [(500, x) for x in range(120, 180)] + [(x, x + 1) for x in range(1000, 1006)] + [(5000, 5000), (1006, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = dict(jaccard.components(frame).collect())
+    assert {want[x] for x in (100, 179, 500, 1000, 7)} == {7} and 5000 not in want
+    assert dict(jaccard.components(frame, hot=10).collect()) == want
+    rows = frame.select(F.col("a").alias("k"), F.col("b").alias("v"))
+    every = sorted((a, b, min(y for x, y in links if x == a)) for a, b in links)
+    for hot in (5, 10**6):
+        assert sorted(tuple(r) for r in jaccard.with_least(rows, "k", F.col("v"), "m", len(links), hot).select("k", "v", "m").collect()) == every
+
+
+def test_spanning_links_are_links_of_every_component(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words[:i] + [f"x{i}"] + words[i + 1 :]) for i in range(0, 60, 12)} | {100: " ".join(words), 101: " ".join(words), 102: "one two", 103: "", 104: "ONE two"}
+    docs = spark.createDataFrame([*texts.items(), (None, "one two"), (105, None)], "doc_id long, text string")
+    found = jaccard.spanning_links(docs).collect()
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    assert all(100 * len(sets[r["a"]] & sets[r["b"]]) >= 75 * len(sets[r["a"]] | sets[r["b"]]) and (r["n_a"], r["n_b"]) == (len(sets[r["a"]]), len(sets[r["b"]])) for r in found)
+    roots = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect() if r["doc_id"] is not None}
+    parent = {i: i for i in roots}
+    for r in found:
+        x, y = sorted((parent[r["a"]], parent[r["b"]]))
+        parent = {k: x if v == y else v for k, v in parent.items()}
+    assert {k for k in texts if roots[k] == 0} == {0, 12, 24, 36, 48, 100, 101} and roots[104] == 102 and len({parent[k] for k in (0, 12, 24, 36, 48, 100)}) == 1 and len(found) == 5
+
+
 # --- search -------------------------------------------------------------------------------------------------------------
 
 def test_recall_and_exact_scores(spark, tiny):

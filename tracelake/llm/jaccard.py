@@ -47,6 +47,8 @@ GROUP_ROWS, BUNDLE_ROWS = 2000, 4000
 BLOCK_TOKENS, BUNDLE_TOKENS = 4_000_000, 1_000_000
 #: Bits of the table that tells which texts are fetched.
 WANTED_BITS = 23
+#: Rows of one name that may meet in a task, and names that are broadcast at most.
+HOT_ROWS, MOST_HOT = 1_000_000, 100_000
 LEAF = 8
 #: Bits of a bitmap for each token, at least.
 BITS_A_TOKEN = 2
@@ -263,25 +265,39 @@ def _groups(prefixes: DataFrame, most: int) -> DataFrame:
     return prefixes.groupBy("part").applyInArrow(run, "gid long, block long, divided boolean, names array<long>, sizes array<long>").dropDuplicates(["gid", "block"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def with_least(rows: DataFrame, key: str, value, name: str, n: int, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` (``n`` of them) with the least ``value`` of their key's rows as ``name``.
+
+    The least comes from a combined aggregate. Rows of a key with more than ``hot`` rows (more, where there are so many
+    rows that over MOST_HOT keys could have that) aren't gathered in a task: at most MOST_HOT keys are broadcast to them.
+    """
+    low = rows.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("rows__"))
+    limit = max(hot, n // MOST_HOT)
+    if n <= limit:
+        return rows.join(low.drop("rows__"), key)
+    busy = F.broadcast(low.where(F.col("rows__") > limit).drop("rows__"))
+    quiet = rows.join(busy.select(key), key, "left_anti").join(low.where(F.col("rows__") <= limit).drop("rows__"), key)
+    return quiet.unionByName(rows.join(busy, key))
+
+
+def components(links: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(name, root): the smallest name reachable over (a, b) links, for every name with a link.
 
     Alternating large and small stars: each round reattaches neighbours to the smallest known
-    neighbour, by aggregation and join; rounds grow with the logarithm of a component's size.
+    neighbour; rounds grow with the logarithm of a component's size. The links of a name with very
+    many are spread over tasks, see ``with_least``.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
+    last, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        large = with_least(both, "u", F.col("v"), "m", 2 * n, hot).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large, "u", F.col("v"), "m", n, hot)
         edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     root = edges.select(F.col("u").alias("name"), F.col("v").alias("root"))
     return cut(root.unionByName(root.select(F.col("root").alias("name"), "root")).distinct())
 
@@ -349,12 +365,20 @@ def search(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, check=
     copies need no visit. ``labels`` are merged in place.
     """
     links: list[tuple[int, int]] = []
+    held: dict[int, list[int]] = {}
+    for i, label in enumerate(labels.tolist()):
+        held.setdefault(label, []).append(i)
 
     def visit(a: np.ndarray, b: np.ndarray) -> None:
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            if labels[i] != labels[j] and (check is None or check(i, j)):
+            x, y = int(labels[i]), int(labels[j])
+            if x != y and (check is None or check(i, j)):
                 links.append((i, j))
-                labels[labels == labels[j]] = labels[i]
+                if len(held[x]) < len(held[y]):
+                    x, y = y, x
+                fewer = held.pop(y)  # the smaller side is renamed, so a set is renamed some log2(n) times
+                labels[fewer] = x
+                held[x] += fewer
 
     kinds = np.array([size_class(int(n)) for n in sizes])
     for k in np.unique(kinds):
@@ -565,7 +589,7 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_tokens:
 
 
 def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(described documents with doc_id, th, n, name; (name, root) of the sets that have a link to another set)."""
+    """(described documents with doc_id, th, n, name; (a, b): checked links between different sets' names, a spanning forest of each component)."""
     described = cut(_describe(docs))
     rows = described.where("kind = 0").select("doc_id", "th", "n", "name")
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).first()[0] or 0
@@ -578,7 +602,14 @@ def similarity_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens
     clusters = _clusters(groups, maps, group_rows)
     del groups, used, maps
     release(docs.sparkSession)
-    roots = components(_links(docs, sets, clusters, block_tokens))
+    return rows, _links(docs, sets, clusters, block_tokens)
+
+
+def _rooted_rows(docs: DataFrame, group_rows: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(described documents, (name, root) of the sets that have a link)."""
+    rows, links = similarity_links(docs, group_rows, block_tokens)
+    roots = components(links)
+    del links
     release(docs.sparkSession)
     return rows, roots
 
@@ -596,11 +627,23 @@ def representatives(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens:
 
     Returns absent (whether the id is null), id (0 if null), th (xxhash64 of the text).
     """
-    rows, roots = similarity_links(docs, group_rows, block_tokens)
+    rows, roots = _rooted_rows(docs, group_rows, block_tokens)
     key = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
     return _classes(rows, roots, key).groupBy("root").agg(F.min("least").alias("head")).select("head.*")
 
 
+def spanning_links(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Checked links between representatives of equal sets, a spanning forest of every component: with join() as the membership, what tells why documents are together.
+
+    Returns a, b (the smallest doc_ids of the two sets; null if a set's rows have none), n_a, n_b (shingles).
+    The same defined cases as join(); documents with equal sets are one representative.
+    """
+    rows, links = similarity_links(docs, group_rows, block_tokens)
+    one = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
+    side = lambda c: one.select(F.col("name").alias(c), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b")
+
+
 def join(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Shingle count and component of every document.
 
@@ -614,9 +657,8 @@ def join(docs: DataFrame, group_rows: int = GROUP_ROWS, block_tokens: int = BLOC
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable).
     """
-    rows, roots = similarity_links(docs, group_rows, block_tokens)
-    placed = _classes(rows, roots, F.col("doc_id"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("name").alias("c"), "component_id")
+    rows, roots = _rooted_rows(docs, group_rows, block_tokens)
+    placed = with_least(_classes(rows, roots, F.col("doc_id")), "root", F.col("least"), "component_id", rows.count())
+    named = placed.select(F.col("name").alias("c"), "component_id")
     out = rows.join(named, (F.col("name") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
