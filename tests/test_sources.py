@@ -204,6 +204,8 @@ def test_manifest(spark, tmp_path):
     os.remove(tmp_path / "m/a")
     put(str(tmp_path / "m/c"), "4")
     state = {r["path"].rsplit("/", 1)[1]: r["state"] for r in manifest.compare(was, manifest.hash_files(spark, str(tmp_path / "m"))).collect()}
+    old = was.withColumn("path", F.concat(F.lit("file:"), "path"))
+    assert {r["path"].rsplit("/", 1)[1]: r["state"] for r in manifest.compare(old, manifest.hash_files(spark, str(tmp_path / "m"))).collect()} == state
     assert state == {"a": "missing", "b": "changed", "c": "added"} and manifest.manifest_digest(was).first()["files"] == 2
 
 

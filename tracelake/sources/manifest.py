@@ -25,8 +25,9 @@ def manifest_digest(manifest: DataFrame) -> DataFrame:
 
 
 def compare(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, state): changed, missing or added files; unchanged ones are left out."""
-    a, b = manifest.select("path", F.col("sha256").alias("was")), found.select("path", F.col("sha256").alias("is"))
+    """(path, state): changed, missing or added files; unchanged ones are left out. Local paths are alike with and without ``file:``."""
+    path = F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path")
+    a, b = manifest.select(path, F.col("sha256").alias("was")), found.select(path, F.col("sha256").alias("is"))
     state = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "added").when(F.col("was") != F.col("is"), "changed")
     return a.join(b, "path", "full_outer").select("path", state.alias("state")).where("state is not null")
 
