@@ -173,6 +173,34 @@ def test_recall_and_exact_scores(spark, tiny):
     assert hit / n >= 0.9
 
 
+def hard_rows(kind):
+    """1,500 rows on which codes tell few rows apart."""
+    rng = np.random.default_rng(5)
+    if kind == "near copies":  # more of each than are scored first
+        return rng.normal(size=(3, 32))[rng.integers(0, 3, 1500)] + 1e-3 * rng.normal(size=(1500, 32))
+    if kind == "common offset":
+        return 50 + 0.1 * rng.normal(size=(1500, 32))
+    if kind == "lengths":
+        return rng.normal(size=(1500, 32)) * np.exp(4 * rng.normal(size=(1500, 1)))
+    return 1e25 * rng.normal(size=(1500, 32))
+
+
+@pytest.mark.parametrize("kind", ["near copies", "common offset", "lengths", "large components"])
+def test_all_of_the_nearest_are_found(spark, kind):
+    """On rows that share codes too; over one block and several."""
+    x = hard_rows(kind).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    y, ids = x.astype(float), np.arange(1500)
+    for block, query_block in ((65_536, 2048), (600, 40)):
+        got = ann.search(v, F.col("vec_id") % 20 == 0, block=block, query_block=query_block).toPandas()
+        for q in range(0, 1500, 20):
+            s = np.cumsum(y * y[q], 1)[:, -1]
+            s[q] = -np.inf
+            best = np.lexsort((ids, -s))[:20]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert mine.vec_id.tolist() == best.tolist() and mine.score.tolist() == s[best].tolist()
+
+
 def test_search_of_odd_rows(spark):
     e = [1.0, 2.0, 0.5]
     rows = [(0, e), (1, e), (2, e), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 1.0]), (6, [float("nan"), 1.0, 1.0]), (7, [-1.0, 0.0, 0.0]), (1, e), (None, e)]

@@ -3,15 +3,18 @@
 Vectors are coded as four-bit codewords, two dimensions a codeword. Codewords and codes
 minimise a loss that weighs the part of the residual parallel to the vector more than the
 rest, because that part is what moves large inner products. A query scans a block of codes by
-table lookups (two codewords a byte-wide table) and the best survivors are scored again on
-the original vectors in double precision.
-
-Spark plan: codes are dealt to blocks of bounded size, queries to bounded blocks too; each pair
-of blocks is one co-group task, so neither side is broadcast and memory stays bounded however
-many rows there are. Only codes travel to the scans, a byte for two components. Of a query's
-survivors in all blocks the best RERANK by scanned score meet their original vectors in a join.
-A block hands on only its likely share of those. Every query meets every code: the scan's work
-grows with queries times rows.
+table lookups (two codewords a byte-wide table). The RERANK best of the scan are scored on their
+vectors, which gives a line that the block's k best reach. What a code leaves out of a row is a
+residual of known length, so a row's score exceeds its scanned one by at most that length times
+the query's: every row that could reach the line is scored on its vector, in single precision
+with its error bounded, and those that may be among the k best once more in double precision.
+So the result is exact on any vectors, also where many share a code; codes that tell rows apart
+badly cost time, not rows.
+
+Spark plan: codes and vectors are dealt to blocks of bounded size, queries to bounded blocks too;
+each pair of blocks is one co-group task, so neither side is broadcast and memory stays bounded
+however many rows there are. A block hands on a query's k best rows. Every query meets every code:
+the scan's work grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ SAMPLE, BLOCK, QUERY_BLOCK = 8192, 65_536, 2048
 #: The loss treats inner products above this share of the vector's length as those that matter.
 THRESHOLD = 0.2
 SUBDIM, CODES, ROUNDS = 2, 16, 4
-#: Candidates that are scored exactly for each query.
+#: Candidates of a block that are scored first for each query, best scanned scores first.
 RERANK = 320
+#: Beyond what float32 loses of products near zero, for vectors of components below 1.
+TINY = 1e-30
 
 
 @dataclass
@@ -61,6 +66,21 @@ class Codebook:
         return codes.astype(np.uint8)
 
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.centers[np.arange(len(self.centers)), codes].reshape(len(codes), -1)
+
+    def reach(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each row, by how much its inner product with a query of length 1 may exceed what scan() gives, float32 sums included."""
+        back = self.decode(codes)
+        rest = self.parts(x).reshape(len(x), -1) - back
+        return np.sqrt((rest**2).sum(1)) * (1 + 1e-5) + single(len(self.centers)) * np.sqrt((back**2).sum(1)) + TINY
+
+
+def single(terms: int) -> float:
+    """Error bound of an inner product of so many terms in float32, as a share of the product of lengths."""
+    return (terms + 16) * 2.0**-23
+
+
 def fit_codebook(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> Codebook:
     """Codewords for a sample: k-means a subspace, then alternating codes and least squares under the anisotropic loss."""
     n, d = x.shape
@@ -134,8 +154,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK, bloc
     Returns query_id, rank, vec_id, score.
     """
     rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("d", F.size("embedding"))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}  # one row a length
-    out = [_search(rows.where(F.col("d") == d).drop("d"), n, is_query, k, rerank, block, query_block) for d, n in sizes.items()]
+    largest = F.max(F.array_max(F.transform("embedding", F.abs)))
+    sizes = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), largest.alias("largest")).orderBy(F.desc("n")).collect()  # one row a length
+    single_ = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    out = [_search(rows.where(F.col("d") == r["d"]).drop("d"), r["n"], r["largest"], single_, is_query, k, rerank, block, query_block) for r in sizes]
     if not out:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     whole = out[0]
@@ -144,56 +166,76 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK, bloc
     return whole
 
 
-def _search(rows: DataFrame, n: int, is_query, k: int, rerank: int, block: int, query_block: int) -> DataFrame:
+def _kth(x: np.ndarray, k: int) -> np.float32:
+    """The k-th largest value, a float32 step lower; minus infinity if there are fewer."""
+    return np.nextafter(np.partition(x, len(x) - k)[len(x) - k].astype(np.float32), np.float32(-np.inf)) if len(x) >= k else np.float32(-np.inf)
+
+
+def _search(rows: DataFrame, n: int, largest: float, single_: bool, is_query, k: int, rerank: int, block: int, query_block: int) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     key = F.xxhash64("vec_id")
+    # rows are coded and scanned as multiples of a power of two beyond all components, so that float32 holds their products
+    power = -int(np.frexp(largest)[1])
+    kind = np.float32 if single_ else np.float64  # vectors travel as they were given
     near = rows.where((key / F.lit(2.0**64) + 0.5) <= 1.2 * SAMPLE / n).orderBy(key).limit(SAMPLE)
     sample = _matrix([r["embedding"] for r in near.collect()] or [rows.first()["embedding"]])  # at most SAMPLE vectors
-    book = sc.broadcast(fit_codebook(sample))  # bounded: dimensions x CODES doubles
+    book = sc.broadcast(fit_codebook(np.ldexp(sample, power)))  # bounded: dimensions x CODES doubles
 
     def encode(parts):
         for pdf in parts:
             if len(pdf):
-                yield pdf[["vec_id"]].assign(code=[c.tobytes() for c in book.value.encode(_matrix(pdf["embedding"]))])
+                x = _matrix(pdf["embedding"])
+                low = np.ldexp(x, power)
+                codes = book.value.encode(low)
+                yield pdf[["vec_id"]].assign(code=[c.tobytes() for c in codes], vector=[v.tobytes() for v in x.astype(kind)], reach=book.value.reach(low, codes))
 
-    index = rows.mapInPandas(encode, "vec_id long, code binary")
+    index = rows.mapInPandas(encode, "vec_id long, code binary, vector binary, reach double")
     queries = rows.where(is_query)
     n_queries = queries.count()
     blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
     spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.select("vec_id", "embedding", spread(q_blocks, 1).alias("qb"), every(blocks).alias("cb"))
-    right = index.select("vec_id", "code", spread(blocks, 2).alias("cb"), every(q_blocks).alias("qb"))
-    # rows are dealt to blocks by hash, so a block holds a binomial share of a query's best: six deviations above the mean are kept
-    mean = max(rerank, k) / blocks
-    want = max(k, min(max(rerank, k), int(mean + 6 * mean**0.5) + 6))
+    right = index.select("vec_id", "code", "vector", "reach", spread(blocks, 2).alias("cb"), every(q_blocks).alias("qb"))
 
     def near_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "rough": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         c = c.sort_values("vec_id")
-        ids = c["vec_id"].to_numpy()
+        ids, reach = c["vec_id"].to_numpy(), c["reach"].to_numpy().astype(np.float32)
         codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
+        x = np.frombuffer(b"".join(c["vector"]), kind).reshape(len(c), -1)
+        low = np.ldexp(x.astype(float), power)
+        unsure = (single(x.shape[1]) * np.sqrt((low**2).sum(1)) + TINY).astype(np.float32)
+        low = low.astype(np.float32)
         q_ids, y = q["vec_id"].to_numpy(), _matrix(q["embedding"])
-        found = []
-        for lo in range(0, len(q), 64):
-            rough = scan(book.value, codes, y[lo : lo + 64])
-            for i in range(len(rough)):
-                at = np.flatnonzero(ids == q_ids[lo + i])
-                rough[i, at] = -np.inf
-                most = min(want + len(at), len(c))
-                line = np.partition(rough[i], len(c) - most)[len(c) - most]
-                # all above the line, then those on it with the smallest ids
-                pick = np.concatenate([np.flatnonzero(rough[i] > line), np.flatnonzero(rough[i] == line)])[:most]
-                pick = pick[~np.isin(pick, at)]
-                found.append(pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": ids[pick], "rough": rough[i, pick].astype(float)}))
-        return pd.concat(found)
-
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(near_in_block, "query_id long, vec_id long, rough double")
-    rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
-    best = near.withColumn("nth", rank("rough")).where(F.col("nth") <= max(rerank, k)).select("query_id", "vec_id")
-    pairs = best.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    # components are multiplied and added one after the other, so equal vectors have equal scores
-    score = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    scored = pairs.select("query_id", "vec_id", score.alias("score"))
-    return scored.withColumn("rank", rank("score")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # a query's own scale doesn't change its order
+        wanted = np.ldexp(y, -np.frexp(np.abs(y).max(1, keepdims=True))[1])
+        lengths = np.sqrt((wanted**2).sum(1)).astype(np.float32)
+        own = np.searchsorted(ids, q_ids)
+        own[own == len(ids)] = 0
+        own[ids[own] != q_ids] = -1
+        most, found = min(max(rerank, k), len(c)), []
+        for at in range(0, len(q), 64):
+            rough = scan(book.value, codes, wanted[at : at + 64])
+            for i, scanned in enumerate(rough, at):
+                query = wanted[i].astype(np.float32)
+
+                def within(some, query=query, i=i):
+                    some = some[some != own[i]]
+                    return some, low[some] @ query, lengths[i] * unsure[some]
+
+                if own[i] >= 0:
+                    scanned[own[i]] = -np.inf
+                _, score, error = within(np.argpartition(scanned, len(c) - most)[len(c) - most :])
+                some, score, error = within(np.flatnonzero(scanned + lengths[i] * reach >= _kth(score - error, k)))
+                some = some[score + error >= _kth(score - error, k)]
+                # components are multiplied and added one after the other, so equal vectors have equal scores
+                exact = np.cumsum(x[some].astype(float) * y[i], 1)[:, -1] + 0.0
+                best = np.lexsort((ids[some], -exact))[:k]
+                found.append((np.full(len(best), q_ids[i]), ids[some[best]], exact[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(near_in_block, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
