@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,6 +155,21 @@ def test_spanning_links_are_links_of_every_component(spark):
     assert {k for k in texts if roots[k] == 0} == {0, 12, 24, 36, 48, 100, 101} and roots[104] == 102 and len({parent[k] for k in (0, 12, 24, 36, 48, 100)}) == 1 and len(found) == 5
 
 
+def test_prefix_entries_are_short():
+    """Whole tokens travel by their low bytes and compress below 15 bytes an entry; divided ones keep all bytes."""
+    rng = np.random.default_rng(2)
+    token, name = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2), rng.integers(-(1 << 63), 1 << 63, 20_000)
+    n, block = np.sort(rng.integers(20, 400, 20_000)).astype(np.uint32), np.zeros(20_000, np.uint32)
+    raw = jaccard.packed(token, name, n, block)
+    assert len(pa.compress(raw, "lz4_raw", asbytes=True)) < 15 * 20_000
+    low = np.uint64((1 << 8 * jaccard.TOKEN_BYTES) - 1)
+    got = jaccard.unpacked(raw)
+    assert all(np.array_equal(a, b) for a, b in zip(got, ((token & low).view(np.int64), name, n, block), strict=True))
+    block[7:9] = 3
+    got = jaccard.unpacked(jaccard.packed(token, name, n, block))
+    assert np.array_equal(got[0][7:9].view(np.uint64), token[7:9]) and np.array_equal(got[0][9:].view(np.uint64), token[9:] & low) and np.array_equal(got[3], block)
+
+
 # --- search -------------------------------------------------------------------------------------------------------------
 
 def test_recall_and_exact_scores(spark, tiny):

@@ -50,6 +50,8 @@ WANTED_BITS = 23
 #: Rows of one name that may meet in a task, and names that are broadcast at most.
 HOT_ROWS, MOST_HOT = 1_000_000, 100_000
 LEAF = 8
+#: Bytes of a whole token that are shuffled; a part has some ENTRIES_PER_PART of them.
+TOKEN_BYTES = 5
 #: Bits of a bitmap for each token, at least.
 BITS_A_TOKEN = 2
 
@@ -163,6 +165,26 @@ def _order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return classes, np.minimum(65_535, -(-counts // HOT_ENTRIES)).astype(np.uint16)
 
 
+def packed(token: np.ndarray, name: np.ndarray, n: np.ndarray, block: np.ndarray) -> bytes:
+    """A part's entries, column by column so that they compress: a whole token by TOKEN_BYTES of its bytes only.
+
+    Two whole tokens of a part that these don't tell apart share their holders, which adds candidates and loses none;
+    a divided token names its group in all parts and keeps all bytes.
+    """
+    raw = token.astype("<u8").view(np.uint8).reshape(-1, 8)
+    rest = np.where(block[:, None] > 0, raw[:, TOKEN_BYTES:], np.uint8(0))
+    return raw[:, :TOKEN_BYTES].tobytes() + rest.tobytes() + name.astype("<i8").tobytes() + n.astype("<u4").tobytes() + block.astype("<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, name, n, block) of packed entries; tokens as signed integers."""
+    k = len(raw) // 24
+    low = np.frombuffer(raw, np.uint8, k * TOKEN_BYTES).reshape(k, TOKEN_BYTES)
+    rest = np.frombuffer(raw, np.uint8, k * (8 - TOKEN_BYTES), k * TOKEN_BYTES).reshape(k, 8 - TOKEN_BYTES)
+    token = np.ascontiguousarray(np.concatenate([low, rest], 1)).view("<i8")[:, 0]
+    return token, np.frombuffer(raw, "<i8", k, 8 * k), np.frombuffer(raw, "<u4", k, 16 * k), np.frombuffer(raw, "<u4", k, 20 * k)
+
+
 def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
     """(part, entries): each task's prefix tokens for a part as bytes, (token, set name, set size, block of the token) each; equal sets of a task count once."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # bounded: 3 MB
@@ -185,10 +207,10 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], parts: int)
             # 0: the token is whole; else 1 + the block that the name falls in
             block = np.where(split > 1, 1 + mix(name.view(np.uint64) + np.uint64(1)) % np.maximum(split, np.uint64(1)), 0).astype(np.uint32)
             part = (mix(token + block) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            where = np.concatenate(([0], np.flatnonzero(np.diff(part[by])) + 1, [len(by)]))
-            pairs, rest = np.stack([token.view(np.int64), name], 1)[by], np.stack([n, block], 1)[by]
-            return pa.RecordBatch.from_arrays([pa.array(part[by][where[:-1]].astype(np.int32)), pa.array([pairs[a:b].tobytes() + rest[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["part", "entries"])
+            by = np.lexsort((n, part))
+            where = np.concatenate(([0], np.flatnonzero(np.diff(part[by])) + 1, [len(by)])).tolist()
+            token, name, n, block = token[by], name[by], n[by], block[by]
+            return pa.RecordBatch.from_arrays([pa.array(part[by][where[:-1]].astype(np.int32)), pa.array([packed(token[a:b], name[a:b], n[a:b], block[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["part", "entries"])
 
         for batch in batches:
             for _, sets in _sets(batch):
@@ -244,21 +266,14 @@ def _groups(prefixes: DataFrame, most: int) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        pairs, rest = [], []
-        for blob in table.column("entries"):
-            raw = blob.as_py()
-            k = len(raw) // 24
-            pairs.append(np.frombuffer(raw, np.int64, 2 * k).reshape(k, 2))
-            rest.append(np.frombuffer(raw, np.uint32, 2 * k, 16 * k).reshape(k, 2))
-        t, r = np.concatenate(pairs), np.concatenate(rest)
-        del pairs, rest
+        token, name, n, block = (np.concatenate(x) for x in zip(*[unpacked(blob.as_py()) for blob in table.column("entries")], strict=True))
         # tokens of one entry go first, cheaply
-        _, inverse, count = np.unique(t[:, 0], return_inverse=True, return_counts=True)
-        keep = (count[inverse] > 1) | (r[:, 1] > 0)
-        t, r = t[keep], r[keep]
-        got = holders(t[:, 0], t[:, 1], r[:, 0].astype(np.int64), r[:, 1], most)
+        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+        keep = (count[inverse] > 1) | (block > 0)
+        token, name, n, block = token[keep], name[keep], n[keep], block[keep]
+        got = holders(token, name, n.astype(np.int64), block, most)
         offsets = np.concatenate(([0], np.cumsum([len(g[3]) for g in got]))).astype(np.int32)
-        del t, r, inverse, count, keep
+        del token, name, n, block, inverse, count, keep
         lists = [pa.ListArray.from_arrays(offsets, np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64)) for c in (3, 4)]
         return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_()), *lists], names=["gid", "block", "divided", "names", "sizes"])
 
@@ -521,12 +536,28 @@ def _clusters(groups: DataFrame, maps: DataFrame, most: int) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, ths: DataFrame) -> DataFrame:
-    """(th, text): each wanted text once. A table of 2**WANTED_BITS bits keeps most others out before any text is shuffled; beyond that many the join does."""
+    """(th, text): each wanted text once, compressed as it is shuffled twice. A table of 2**WANTED_BITS bits keeps most others out before any text is shuffled; beyond that many the join does."""
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), low("th").bitwiseAND(F.lit(63)).cast("int"))
     bits = cut(ths.groupBy(F.shiftright(low("th"), 6).alias("w")).agg(F.bit_or(bit).alias("b")))  # at most 2**17 rows
     some = docs.select(*_texts(docs)).withColumns({"w": F.shiftright(low("th"), 6), "bit": bit}).join(F.broadcast(bits), "w").where("b & bit <> 0")
-    return some.groupBy("th").agg(F.first("text").alias("text"))
+
+    def shorten(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, at = flat(batch.column("text"))
+            told = memoryview(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array([zlib.compress(told[a:b], 1) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["th", "text"])
+
+    return some.select("th", "text").mapInArrow(shorten, "th long, text binary").groupBy("th").agg(F.first("text").alias("text"))
+
+
+def _unzipped(blobs: list[bytes]) -> list[np.ndarray]:
+    """The token sets of compressed texts."""
+    texts = [zlib.decompress(b) for b in blobs]
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return [s for lo, hi in chunks(at) for s in shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])]
 
 
 def _exact(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -534,7 +565,7 @@ def _exact(placed: DataFrame, texts: DataFrame) -> DataFrame:
     def run(table):
         order = table.sort_by([("key", "ascending"), ("name", "ascending")])
         key, name, label = (order.column(c).to_numpy() for c in ("key", "name", "label"))
-        sets = [s for _, some in _sets(order) for s in some]
+        sets = _unzipped([blob.as_py() for blob in order.column("text")])
         found = []
         for lo, hi in _spans(key):
             own, n = sets[lo:hi], np.array([len(s) for s in sets[lo:hi]])
