@@ -109,6 +109,22 @@ def test_rates_are_tilted_exponentials_that_solve_the_constraint(spark):
         assert taken == pytest.approx(r["target"], rel=1e-5)
 
 
+def test_all_newton_steps_are_one_query(spark, monkeypatch):
+    """However many steps a source needs, the driver plans one query for them, and every source is solved."""
+    rows = [("a", k, 40 - k % 7) for k in range(1, 400)] + [(None, 3 * k, k) for k in range(1, 90)] + [("b", 0, 5), ("c", 9, 4)]
+    hist = spark.createDataFrame(rows, "source string, size long, n long")
+    words = {s: sum(z * n for t, z, n in rows if t == s) for s in ("a", None, "b", "c")}
+    wanted = {"a": 0.02, None: 2.9, "b": 1.0, "c": 3.0}
+    goals = spark.createDataFrame([(s, w, 1, w * wanted[s]) for s, w in words.items()], "source string, source_size long, source_rows long, target double")
+    queries = []
+    monkeypatch.setattr(mixing, "cut", lambda df, own=mixing.cut: queries.append(1) or own(df))
+    lam = {r["source"]: r["lam"] for r in mixing.tilt(hist, goals).collect()}
+    assert len(queries) == 1 and lam["b"] is None and lam["c"] is None
+    for s in ("a", None):
+        got = sum(n * z * min(3, np.exp(lam[s] * z)) for t, z, n in rows if t == s)
+        assert abs(got / (words[s] * wanted[s]) - 1) < 1e-6
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mix(odd_documents(spark)).toPandas()
     assert len(got) == len(DOCS) and (got[got["size"] == 0].taken == 0).all() and (got.taken <= 3 * got["size"]).all()

@@ -3,7 +3,7 @@
 Spark plan: the text is read once to count words; everything after works on a
 (doc_id, source, size) table. Newton steps run on the (source, size) histogram of that table,
 so a source that holds a third of all rows costs no more than its distinct sizes. The
-per-source state stays a DataFrame; the driver sees one residual a step.
+per-source state stays a DataFrame; the driver sees none of it.
 """
 
 from __future__ import annotations
@@ -51,28 +51,40 @@ def tilt(hist: DataFrame, goals: DataFrame, tolerance: float = 1e-7, most_steps:
     """goals with ``lam``, the dual variable of each source.
 
     Minimises the convex dual whose gradient is (words taken - target): Newton steps on the
-    log of the words taken, kept inside a bracket that each step narrows.
+    log of the words taken, kept inside a bracket that each step narrows. A source's distinct
+    sizes are one array, sqrt(2 * words) of them at most, so all steps are one expression of
+    one query, not several queries a step.
     """
     full = F.col("target") >= F.col("source_size") * float(MOST) * (1 - 1e-12)
     state = goals.withColumn("lam", F.when(full | (F.col("source_size") == 0), F.lit(None)).otherwise(F.lit(0.0)))
-    state = cut(state.withColumns({"lo": F.lit(-60.0), "hi": F.lit(1.2), "off": F.lit(1.0)}).coalesce(1))
-    for _ in range(most_steps):
-        size, lam = F.col("size").cast("double"), F.col("lam")
-        rate = _rate(lam, size)
-        seen = (
-            hist.where("size > 0").join(state.where("lam is not null").select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source").agg(F.sum((F.col("n") * size * rate).cast(EXACT)).cast("double").alias("g"), F.sum(F.when(rate < MOST, F.col("n") * size * size * rate).otherwise(0.0).cast(EXACT)).cast("double").alias("h"))
-            .select(F.col("source").alias("s"), "g", "h")
-        )
-        now = state.join(seen, F.col("source").eqNullSafe(F.col("s")), "left")
-        gap = F.log("g") - F.log("target")
-        lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        now = now.withColumns({"off": F.coalesce(F.abs(F.col("g") / F.col("target") - 1), F.lit(0.0)), "lo2": lo, "hi2": hi, "newton": F.when(F.col("h") > 0, F.col("lam") - gap * F.col("g") / F.col("h"))})
-        step = F.when(F.col("off") <= tolerance, F.col("lam")).when((F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2")), F.col("newton")).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        state = cut(now.select("source", "source_size", "source_rows", "target", F.when(F.col("g").isNull(), F.col("lam")).otherwise(step).alias("lam"), F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), "off").coalesce(1))
-        worst = state.agg(F.max("off")).first()[0]
-        if worst is None or worst <= tolerance:
-            break
+    sizes = hist.where("size > 0").groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"))
+    zero = F.lit(0).cast(EXACT)
+
+    def sums(lam: Column) -> Column:
+        """g, the words taken, and h, their derivative by lambda."""
+        def add(acc: Column, x: Column) -> Column:
+            size = x["size"].cast("double")
+            rate = _rate(lam, size)
+            slope = F.when(rate < MOST, x["n"] * size * size * rate).otherwise(0.0)
+            return F.struct((acc["g"] + (x["n"] * size * rate).cast(EXACT)).cast(EXACT).alias("g"), (acc["h"] + slope.cast(EXACT)).cast(EXACT).alias("h"))
+
+        return F.aggregate("sizes", F.struct(zero.alias("g"), zero.alias("h")), add, lambda acc: F.struct(acc["g"].cast("double").alias("g"), acc["h"].cast("double").alias("h")))
+
+    def step(now: Column, seen: Column) -> Column:
+        g, h, lam, target = seen["g"], seen["h"], now["lam"], F.col("target")
+        gap = F.log(g) - F.log(target)
+        lo, hi = F.when(gap < 0, lam).otherwise(now["lo"]), F.when(gap > 0, lam).otherwise(now["hi"])
+        newton, off = F.when(h > 0, lam - gap * g / h), F.abs(g / target - 1)
+        new = F.when(off <= tolerance, lam).when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        return F.struct(new.alias("lam"), lo.alias("lo"), hi.alias("hi"), off.alias("off"))
+
+    def stepped(now: Column, _: Column) -> Column:
+        # the sums are an element of an array, so that they are taken once a step
+        return F.when(now["off"] <= tolerance, now).otherwise(F.transform(F.array(sums(now["lam"])), lambda seen: step(now, seen))[0])
+
+    begin = F.struct(F.lit(0.0).alias("lam"), F.lit(-60.0).alias("lo"), F.lit(1.2).alias("hi"), F.lit(1.0).alias("off"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(most_steps)), begin, stepped)["lam"]
+    state = cut(state.join(sizes, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("lam", F.when(F.col("lam").isNull(), F.col("lam")).otherwise(solved)).drop("s", "sizes"))
     return state.select("source", "source_size", "source_rows", "target", "lam")
 
 
