@@ -170,6 +170,37 @@ def test_prefix_entries_are_short():
     assert np.array_equal(got[0][7:9].view(np.uint64), token[7:9]) and np.array_equal(got[0][9:].view(np.uint64), token[9:] & low) and np.array_equal(got[3], block)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=12), st.integers(2, 64))
+def test_holders_left_out_lose_no_link(sets, few):
+    """Linked sets stay together in the group of the first token that they share; places told two to a byte come back."""
+    arrays = [np.unique(np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
+    size = np.array([len(a) for a in arrays])
+    many = jaccard.prefix_length(size)
+    token = np.concatenate([a[:k] for a, k in zip(arrays, many, strict=True)])
+    name, n = np.repeat(np.arange(len(sets)), many), np.repeat(size, many)
+    where = jaccard.place(np.concatenate([np.arange(k) for k in many]), n)
+    assert np.array_equal(jaccard._whole(jaccard._halves(where), len(where)), where)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "FEW_HOLDERS", few)
+        got = jaccard.holders(token, name, n, np.zeros(len(n), np.uint32), 1000, jaccard.reach(where, n))
+    together = {(a, b) for g in got for a in g[3].tolist() for b in g[3].tolist()}
+    distinct = {frozenset(s): i for i, s in enumerate(sets)}.values()
+    for i in distinct:
+        for j in distinct:
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and i != j:
+                assert (i, j) in together
+
+
+def test_holders_by_chance_are_left_out():
+    """Two sets of one size whose first common token is late in both prefixes can't be linked, and no bitmap of theirs is sent."""
+    n = np.array([100, 100, 100, 100])
+    token, name = np.array([5, 5, 6, 6], np.uint64), np.array([1, 2, 1, 3])
+    where = jaccard.place(np.array([20, 25, 3, 4]), n)
+    got = jaccard.holders(token, name, n, np.zeros(4, np.uint32), 1000, jaccard.reach(where, n))
+    assert [g[3].tolist() for g in got] == [[1, 3]]
+
+
 # --- search -------------------------------------------------------------------------------------------------------------
 
 def test_recall_and_exact_scores(spark, tiny):
