@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions import any_of, basename, binary_leaf
+from tracelake.functions import all_of, any_of, basename, binary_leaf, canonical
 from tracelake.operators.store import first_writer
 from tracelake.plans.rules import field_value
 
@@ -35,6 +35,8 @@ BURST = 25
 
 #: Process ids that C005 names of each group.
 FIRST_PIDS = 20
+#: Time frames a slot of interval_first().
+SLOT = 16
 
 
 def _detections(df: DataFrame, rule_id: str, title: str, severity: str, score: int, attack: list[str], matched: Column) -> DataFrame:
@@ -56,7 +58,39 @@ def _key(*parts: str) -> Column:
     return F.try_variant_get("v__", "$" + "".join(f"['{p}']" for p in parts), "string")
 
 
-def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes: int, condition: Column) -> DataFrame:
+def _reached(ts: Column, minutes: int) -> Column:
+    """The slot in which a row looks for earlier ones: that of the time ``minutes`` before it. A slot is SLOT frames long.
+
+    It isn't null, so that a join on it doesn't ask for that by computing it once more.
+    """
+    return F.coalesce(F.floor((F.unix_seconds(ts) - minutes * 60) / (SLOT * minutes * 60)), F.lit(0))
+
+
+def _reaching(ts: Column, minutes: int) -> Column:
+    """The slots whose rows may find a row: its own, and the one before if a frame crosses from there."""
+    return F.array_distinct(F.array(_reached(ts, minutes), _reached(ts + F.make_dt_interval(mins=F.lit(minutes)), minutes)))
+
+
+def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+    """The keys, a left row (l) and the first right row (r) of equal keys at most ``minutes`` before it; one row a left id.
+
+    Both sides have ts (timestamp) and id. Rows aren't paired: backwards in time over both sides, the last right row
+    seen at a left row's time less ``minutes`` is the first of its frame, if the frame has any. So what is sorted
+    and shuffled grows with the rows, however many of a key fall into a frame; time is cut into slots, so that a
+    key with very many rows is many tasks'.
+    """
+    known = all_of([F.col(k).isNotNull() for k in [*keys, "ts"]])
+    side = lambda df: F.struct(*[c for c in df.columns if c not in keys])
+    at, frame = F.unix_micros("ts"), minutes * 60_000_000
+    l_rows = left.where(known).select(*keys, _reached(F.col("ts"), minutes).alias("slot__"), (at - frame).alias("at__"), side(left).alias("l"))
+    r_rows = right.where(known).select(*keys, F.explode(_reaching(F.col("ts"), minutes)).alias("slot__"), at.alias("at__"), side(right).alias("r"))
+    back = Window.partitionBy(*keys, "slot__").orderBy(F.desc("at__"), F.col("l").isNotNull(), F.desc("r.id")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn("r", F.last("r", ignorenulls=True).over(back))
+    met = swept.where(F.col("l").isNotNull() & (F.col("r.ts") <= F.col("l.ts")))
+    return first_writer(met.select(*keys, "l", "r", F.col("l.id").alias("l_id")), ["l_id"], "r.ts", "r.id").drop("l_id")
+
+
+def interval_first_of_pairs(left: DataFrame, right: DataFrame, keys: list[str], minutes: int, condition: Column) -> DataFrame:
     """Left rows with the first right row of equal keys at most ``minutes`` before them for which ``condition`` holds.
 
     Both sides have ts (timestamp) and id. Time is cut into slots of the window's length, so
@@ -72,16 +106,26 @@ def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes:
 
 
 def download_then_execute(artifacts: DataFrame, minutes: int = 60) -> DataFrame:
-    """C001: an execution on the same host whose description names a file downloaded at most ``minutes`` before."""
-    timed = _parsed(artifacts.where(F.col("timestamp_utc").isNotNull())).withColumn("ts", F.to_timestamp("timestamp_utc"))
+    """C001: an execution on the same host whose description names a file downloaded at most ``minutes`` before.
+
+    Names are looked for in descriptions once for all equal ones of a host and slot; what the join compares doesn't leave it.
+    Of times in canonical form no text is carried.
+    """
+    timed = artifacts.withColumn("ts", F.to_timestamp("timestamp_utc"))
+    odd = F.when(F.col("timestamp_utc") != canonical(F.col("ts")), F.col("timestamp_utc")).alias("odd")
+    row = ["case_id", "host", "ts", F.col("artifact_id").alias("id"), odd]
     target = F.lower(basename(F.coalesce(_key("path"), F.lit(""))))
     name = F.regexp_replace(F.regexp_replace(target, r"\.crdownload$", ""), r"\.part$", "")
-    downloads = timed.where(F.col("artifact_type") == "browser_download").select("case_id", "host", "ts", F.col("artifact_id").alias("id"), "timestamp_utc", name.alias("name")).where(F.length("name") > 4)
-    runs = timed.where(F.col("artifact_type").isin(EXECUTIONS)).select("case_id", "host", "ts", F.col("artifact_id").alias("id"), "timestamp_utc", F.lower("description").alias("description"))
-    met = interval_first(runs, downloads, ["case_id", "host"], minutes, F.col("l.description").contains(F.col("r.name")))
+    # a name that came out of explode() is filtered without being parsed again
+    downloads = _parsed(timed.where(F.col("artifact_type") == "browser_download").where("ts is not null")).select(*row, F.explode(F.filter(F.array(name), lambda n: F.length(n) > 4)).alias("name"))
+    runs = timed.where(F.col("artifact_type").isin(EXECUTIONS)).where("ts is not null").select(*row, F.coalesce(F.lower("description"), F.lit("")).alias("description"), _reached(F.col("ts"), minutes).alias("slot"))
+    place = ["case_id", "host", "slot"]
+    names = downloads.select("case_id", "host", F.explode(_reaching(F.col("ts"), minutes)).alias("slot"), "name").distinct()
+    named = runs.select(*place, "description").distinct().join(names, place).where(F.col("description").contains(F.col("name")))
+    met = interval_first(runs.join(named, [*place, "description"]).drop("slot", "description"), downloads, ["case_id", "host", "name"], minutes)
     gap = F.floor((F.unix_micros("l.ts") - F.unix_micros("r.ts")) / 60_000_000).cast("string")
-    said = F.concat(F.lit("downloaded "), F.col("r.name"), F.lit(" at "), F.col("r.timestamp_utc"), F.lit(", executed at "), F.col("l.timestamp_utc"), F.lit(" (+"), gap, F.lit(" min)"))
-    return _detections(met.select(F.col("l.id").alias("artifact_id"), F.col("l.case_id").alias("case_id"), said.alias("said")), "C001", f"Downloaded file executed within {minutes} minutes", "critical", 70, ["T1204.002"], F.col("said"))
+    said = F.concat(F.lit("downloaded "), F.col("name"), F.lit(" at "), F.coalesce("r.odd", canonical(F.col("r.ts"))), F.lit(", executed at "), F.coalesce("l.odd", canonical(F.col("l.ts"))), F.lit(" (+"), gap, F.lit(" min)"))
+    return _detections(met.select(F.col("l.id").alias("artifact_id"), "case_id", said.alias("said")), "C001", f"Downloaded file executed within {minutes} minutes", "critical", 70, ["T1204.002"], F.col("said"))
 
 
 def _processes(artifacts: DataFrame, kind: str = "memory_process") -> DataFrame:
