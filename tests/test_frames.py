@@ -43,6 +43,12 @@ def test_runs_of_a_full_hour_arent_paired_with_its_downloads(spark, full_hour):
     assert most_rows(got) <= 2 * 3000
 
 
+def test_the_first_click_of_a_full_hour_is_found_without_pairs(spark, full_hour):
+    got = catalog.QUERIES["interval_join_first"](spark, full_hour)
+    assert_same(got, catalog.ORACLE["interval_join_first"], full_hour)
+    assert most_rows(got) <= 2 * 3000
+
+
 def test_the_first_of_a_frame_by_one_sweep(spark):
     r = random.Random(2)
     made = lambda n, side: [(r.choice(["a", "b", None]), r.choice([None, *range(-400, 400)] if i % 9 == 0 else range(-400, 400)), f"{side}{r.randrange(n)}") for i in range(n)]

@@ -212,7 +212,7 @@ _register("timeline_first_100", f"WITH {_TL} SELECT artifact_id, ts_utc FROM tl
 SELECT l.artifact_id, arg_min(r.artifact_id, struct_pack(a := r.ts, b := r.artifact_id)) AS first_click FROM l JOIN r ON l.host = r.host AND r.ts <= l.ts AND l.ts - r.ts <= INTERVAL 60 MINUTE AND r.k > 20 GROUP BY l.artifact_id""")
 def interval_join_first(spark, d):
     rows = artifacts(spark, d).select("host", F.to_timestamp("timestamp_utc").alias("ts"), F.col("artifact_id").alias("id"), "artifact_type", rules.field_value("raw_data.k").cast("int").alias("k"))
-    met = correlate.interval_first_of_pairs(rows.where("artifact_type = 'purchase'"), rows.where("artifact_type = 'click'"), ["host"], 60, F.col("r.k") > 20)
+    met = correlate.interval_first(rows.where("artifact_type = 'purchase'").drop("artifact_type", "k"), rows.where("artifact_type = 'click' and k > 20").drop("artifact_type", "k"), ["host"], 60)
     return met.select(F.col("l.id").alias("artifact_id"), F.col("r.id").alias("first_click"))
 
 

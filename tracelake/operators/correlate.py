@@ -90,21 +90,6 @@ def interval_first(left: DataFrame, right: DataFrame, keys: list[str], minutes:
     return first_writer(met.select(*keys, "l", "r", F.col("l.id").alias("l_id")), ["l_id"], "r.ts", "r.id").drop("l_id")
 
 
-def interval_first_of_pairs(left: DataFrame, right: DataFrame, keys: list[str], minutes: int, condition: Column) -> DataFrame:
-    """Left rows with the first right row of equal keys at most ``minutes`` before them for which ``condition`` holds.
-
-    Both sides have ts (timestamp) and id. Time is cut into slots of the window's length, so
-    the join is an equi-join on (keys, slot) of at most two slots a right row, whatever the
-    size of a host.
-    """
-    span = minutes * 60
-    slot = lambda ts: F.floor(F.unix_timestamp(ts) / span)
-    l_rows = left.withColumn("slot__", slot(F.col("ts"))).select(*keys, "slot__", F.struct(*left.columns).alias("l"))
-    r_rows = right.withColumn("slot__", F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1))).select(*keys, "slot__", F.struct(*right.columns).alias("r"))
-    met = l_rows.join(r_rows, [*keys, "slot__"]).where((F.col("l.ts") >= F.col("r.ts")) & (F.unix_micros("l.ts") - F.unix_micros("r.ts") <= span * 1_000_000) & condition)
-    return first_writer(met.select("l", "r", F.col("l.id").alias("l_id")), ["l_id"], "r.ts", "r.id").drop("l_id")
-
-
 def download_then_execute(artifacts: DataFrame, minutes: int = 60) -> DataFrame:
     """C001: an execution on the same host whose description names a file downloaded at most ``minutes`` before.
 
