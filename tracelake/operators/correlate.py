@@ -45,8 +45,12 @@ def _detections(df: DataFrame, rule_id: str, title: str, severity: str, score: i
 
 
 def _parsed(artifacts: DataFrame) -> DataFrame:
-    """Adds v__, the parsed raw_data that _raw() and _key() read, so that a row is parsed once however many fields are read."""
-    return artifacts.withColumn("v__", F.try_parse_json("raw_data"))
+    """Adds v__, the parsed raw_data that _raw() and _key() read.
+
+    A row is parsed once however many fields are read and compared: as a plain column the optimizer would put the
+    parsing into each comparison, but it doesn't see through explode().
+    """
+    return artifacts.select("*", F.explode(F.array(F.try_parse_json("raw_data"))).alias("v__"))
 
 
 def _raw(name: str) -> Column:
@@ -129,7 +133,8 @@ def rewritten_creation_time(artifacts: DataFrame) -> DataFrame:
     """C003: a creation time moved back by a script host, or in a protected place, and not by a program whose work that is."""
     logs = _parsed(artifacts.where(F.col("artifact_type") == "event_log")).where(F.lower(F.coalesce(_raw("Channel"), F.lit(""))).contains("sysmon") & (_raw("EventId") == "2"))
     get = lambda k: F.coalesce(_key("_enrich", "payload", k), F.lit(""))
-    rows = logs.select("artifact_id", "case_id", get("CreationUtcTime").alias("new"), get("PreviousCreationUtcTime").alias("old"), get("Image").alias("image"), get("TargetFilename").alias("target"))
+    # inline() for the same reason as in _parsed(): dozens of comparisons read the image
+    rows = logs.select("artifact_id", "case_id", F.inline(F.array(F.struct(get("CreationUtcTime").alias("new"), get("PreviousCreationUtcTime").alias("old"), get("Image").alias("image"), get("TargetFilename").alias("target")))))
     return moved_back(rows.where((F.col("new") != "") & (F.col("old") != "")))
 
 
